@@ -150,5 +150,7 @@ def ablations(table: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, policy: str = CURRENT, text_column: str = "text") -> DataFrame:
     """The rows, all their columns as they are, that the policy keeps."""
     columns = docs.columns
-    kept = measured(docs, F.col(f"`{text_column}`")).where(_bits("__ow").bitwiseAND(_long(mask(policy) | mask("base"))) == 0)
+    # a filter is pushed through deterministic projections, and each would repeat the ones below it
+    marked = measured(docs, F.col(f"`{text_column}`")).withColumn("__ow_at", F.monotonically_increasing_id())
+    kept = marked.where((F.col("__ow_at") >= 0) & (_bits("__ow").bitwiseAND(_long(mask(policy) | mask("base"))) == 0))
     return kept.select(*(F.col(f"`{c}`") for c in columns))
