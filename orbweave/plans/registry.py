@@ -1,11 +1,209 @@
-"""All registered queries of the library, and their SQL."""
+"""All registered queries of the library over the driver's tables, and their SQL.
+
+Floating results are rounded alike on both sides, since
+the order in which partitions are added is not fixed.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orbweave.operators import covariance, foundations, learning, location, series
+from orbweave.sources.samples import sample
+
+DIGITS = 6
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+
+
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors with an even and with an odd label."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return tuple(sample(e.where(F.col("label") % 2 == k), "vec_id", "embedding") for k in (0, 1))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return sample(t, "l_orderkey", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+def values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), "value")
+
+
+def one_row(spark: SparkSession, found: dict, *names: str) -> DataFrame:
+    row = {n: found[n] for n in names}
+    return spark.createDataFrame([tuple(int(v) if isinstance(v, int | np.integer) else round(float(v), DIGITS) for v in row.values())], list(row))
+
+
+def matrix(spark: SparkSession, m: np.ndarray, digits: int = DIGITS) -> DataFrame:
+    rows = [(i + 1, j + 1, round(float(m[i, j]), digits) + 0.0) for i in range(len(m)) for j in range(m.shape[1])]
+    return spark.createDataFrame(rows, "i int, j int, v double")
+
+
+def q_spatial_sign(spark, d):
+    out = foundations.spatial_sign(vectors(spark, d))
+    return out.select("id", *(F.round(F.get("sign", F.lit(k)), DIGITS).alias(f"u{k + 1}") for k in range(4)), F.round("norm", DIGITS).alias("norm"))
+
+
+def q_spatial_rank(spark, d):
+    out = foundations.spatial_rank(vectors(spark, d))
+    return out.select("id", *(F.round(F.get("rank", F.lit(k)), DIGITS).alias(f"r{k + 1}") for k in range(4)))
+
+
+def q_sscm(spark, d):
+    return matrix(spark, foundations.sscm(vectors(spark, d), center="none"))
+
+
+def q_spatial_median(spark, d):
+    return matrix(spark, foundations.spatial_median(vectors(spark, d)).value[None, :])
+
+
+def q_tyler_shape(spark, d):
+    return matrix(spark, foundations.tyler_shape(vectors(spark, d)).value)
+
+
+def q_bai_saranadasa(spark, d):
+    return one_row(spark, location.bai_saranadasa(*halves(spark, d)), "statistic", "raw", "trace_sigma2")
+
+
+def q_srivastava_du(spark, d):
+    return one_row(spark, location.srivastava_du(vectors(spark, d)), "statistic", "raw", "trace_r2")
+
+
+def q_srivastava_katayama_kano(spark, d):
+    return one_row(spark, location.srivastava_katayama_kano(*halves(spark, d)), "statistic", "raw")
+
+
+def q_chen_qin(spark, d):
+    return one_row(spark, location.chen_qin(*halves(spark, d)), "statistic", "raw", "a12")
+
+
+def q_wang_peng_li(spark, d):
+    return one_row(spark, location.wang_peng_li(vectors(spark, d)), "statistic", "raw")
+
+
+def q_hotelling(spark, d):
+    return one_row(spark, location.hotelling_two_sample(*halves(spark, d)), "statistic", "p_value", "t2")
+
+
+def q_zhang_zhou_guo(spark, d):
+    return one_row(spark, location.zhang_zhou_guo(vectors(spark, d)), "statistic", "raw", "df")
+
+
+def q_john_sphericity(spark, d):
+    return one_row(spark, covariance.john_sphericity(vectors(spark, d)), "statistic", "u")
+
+
+def q_chen_zhang_zhong(spark, d):
+    return one_row(spark, covariance.chen_zhang_zhong(vectors(spark, d)), "y1", "y2", "y3", "y4", "y5", "statistic")
+
+
+def q_covariance_threshold(spark, d):
+    return matrix(spark, covariance.covariance_threshold(vectors(spark, d)))
+
+
+def q_line_covariance(spark, d):
+    return matrix(spark, covariance.covariance_threshold(lines(spark, d), level=0.0, divisor="n-1"), 3)
+
+
+def q_cusum(spark, d):
+    return one_row(spark, series.classical_cusum(values(spark, d)), "statistic", "k", "sigma2")
+
+
+def q_portmanteau(spark, d):
+    return one_row(spark, series.portmanteau(values(spark, d), 5), "statistic")
+
+
+def labelled(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return sample(e, "vec_id", "embedding").join(e.select(F.col("vec_id").alias("id"), (F.col("label") % 2).cast("string").alias("y")), "id")
+
+
+def q_lda(spark, d):
+    t = labelled(spark, d)
+    return learning.classical_lda(t, ("0", "1")).predict(t).select("id", F.round("score", DIGITS).alias("score"), "label")
+
+
+def q_independence_classifier(spark, d):
+    t = labelled(spark, d)
+    return learning.independence_classifier(t, ("0", "1"), prior=(0.5, 0.5)).predict(t).select("id", F.round("score", 5).alias("score"))
+
+
+def q_pca(spark, d):
+    return matrix(spark, learning.classical_pca(vectors(spark, d), 5)["values"][None, :])
+
+
+def q_kmeans(spark, d):
+    fit = learning.lloyd_kmeans(vectors(spark, d), 10)
+    return learning.assign(vectors(spark, d), fit["centers"]).select("id", "cluster", F.round("distance", DIGITS).alias("distance"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, f in globals().items() if name.startswith("q_")}
+
 
-def queries() -> dict:
-    return {}
+_E = "e AS (SELECT vec_id AS id, label % 2 AS g, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+_TWO = f"""
+WITH {_E}, m AS (SELECT g, d, avg(v) AS m, count(*) AS n FROM e GROUP BY g, d),
+c AS (SELECT e.id, e.g, e.d, v - m AS v, n FROM e JOIN m ON e.g = m.g AND e.d = m.d),
+s AS (SELECT a.g, a.d AS i, b.d AS j, sum(a.v * b.v) / (max(a.n) - 1) AS s, max(a.n) AS n FROM c a JOIN c b ON a.id = b.id GROUP BY 1, 2, 3),
+s2 AS (SELECT x.i, x.j, x.s AS s1, y.s AS s2, x.n AS n1, y.n AS n2, ((x.n - 1) * x.s + (y.n - 1) * y.s) / (x.n + y.n - 2) AS s FROM s x JOIN s y ON x.i = y.i AND x.j = y.j AND x.g = 0 AND y.g = 1),
+f AS (SELECT x.d, x.m - y.m AS f FROM m x JOIN m y ON x.d = y.d AND x.g = 0 AND y.g = 1)
+"""
+_ONE = f"""
+WITH {_E}, m AS (SELECT d, avg(v) AS m, count(*) AS n FROM e GROUP BY d),
+c AS (SELECT e.id, e.d, v - m AS v, n FROM e JOIN m ON e.d = m.d),
+s AS (SELECT a.d AS i, b.d AS j, sum(a.v * b.v) / (max(a.n) - 1) AS s, max(a.n) AS n FROM c a JOIN c b ON a.id = b.id GROUP BY 1, 2)
+"""
+_GRAM = f"WITH {_E}, k AS (SELECT a.id AS a, b.id AS b, sum(a.v * b.v) AS k FROM e a JOIN e b ON a.d = b.d GROUP BY 1, 2)"
+_SUMS = "WITH r AS (SELECT event_id AS id, value, row_number() OVER w AS k, sum(value) OVER w AS s, lag(value) OVER w AS was FROM events WINDOW w AS (ORDER BY event_id)), n AS (SELECT count(*) AS n, sum(value) AS s, avg(value) AS m, sum((value - was) * (value - was)) / (2 * (count(*) - 1)) AS v FROM r)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    u = ", ".join(f"round(max(CASE WHEN d = {k} THEN v / norm END), {DIGITS}) AS u{k}" for k in range(1, 5))
+    r = ", ".join(f"round(sum(CASE WHEN d = {k} AND norm > 0 THEN v / norm ELSE 0 END) / max(n), {DIGITS}) AS r{k}" for k in range(1, 5))
+    return {
+        "q_spatial_sign": f"WITH {_E}, n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM e GROUP BY id) SELECT e.id, {u}, round(max(norm), {DIGITS}) AS norm FROM e JOIN n ON e.id = n.id GROUP BY e.id",
+        "q_spatial_rank": f"""WITH {_E}, p AS (SELECT a.id, b.id AS o, a.d, a.v - b.v AS v FROM e a JOIN e b ON a.d = b.d),
+            n AS (SELECT id, o, sqrt(sum(v * v)) AS norm FROM p GROUP BY 1, 2), c AS (SELECT count(*) AS n FROM embeddings)
+            SELECT p.id, {r} FROM p JOIN n ON p.id = n.id AND p.o = n.o, c WHERE p.d <= 4 GROUP BY p.id""",
+        "q_sscm": f"""WITH {_E}, n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM e GROUP BY id), c AS (SELECT count(*) AS n FROM embeddings)
+            SELECT a.d::INTEGER AS i, b.d::INTEGER AS j, round(sum(a.v * b.v / (norm * norm)) / max(c.n), {DIGITS}) + 0.0 AS v FROM e a JOIN e b ON a.id = b.id JOIN n ON n.id = a.id, c GROUP BY 1, 2""",
+        "q_bai_saranadasa": f"""{_TWO}, t AS (SELECT sum(s * s) AS ss, sum(CASE WHEN i = j THEN s END) AS tr, max(n1) AS n1, max(n2) AS n2 FROM s2),
+            x AS (SELECT (SELECT sum(f * f) FROM f) - (n1 + n2) / (n1 * n2)::DOUBLE * tr AS raw, (n1 + n2) / (n1 * n2)::DOUBLE AS a, n1 + n2 AS n, n1 + n2 - 2 AS nu,
+              (n1 + n2 - 2)::DOUBLE * (n1 + n2 - 2) / ((n1 + n2)::DOUBLE * (n1 + n2 - 3)) * (ss - tr * tr / (n1 + n2 - 2)) AS b FROM t)
+            SELECT round(raw / sqrt(2 * a * a * (n - 1) / nu * b), {DIGITS}) AS statistic, round(raw, {DIGITS}) AS raw, round(b, {DIGITS}) AS trace_sigma2 FROM x""",
+        "q_srivastava_du": f"""{_ONE}, v AS (SELECT i, s FROM s WHERE i = j), q AS (SELECT sum(s.s * s.s / (a.s * b.s)) AS r2, max(n) AS n FROM s JOIN v a ON s.i = a.i JOIN v b ON s.j = b.i),
+            x AS (SELECT n * (SELECT sum(m * m / s) FROM m JOIN v ON m.d = v.i) AS raw, r2, n - 1 AS nu, 1 + r2 / pow(64, 1.5) AS c FROM q)
+            SELECT round((raw - nu * 64 / (nu - 2)::DOUBLE) / sqrt(2 * (r2 - 4096 / nu::DOUBLE) * c), {DIGITS}) AS statistic, round(raw, {DIGITS}) AS raw, round(r2, {DIGITS}) AS trace_r2 FROM x""",
+        "q_srivastava_katayama_kano": f"""{_TWO}, v AS (SELECT i, s1 / n1 + s2 / n2 AS d FROM s2 WHERE i = j),
+            a AS (SELECT s2.i, s2.j, s1 / n1 / sqrt(x.d * y.d) AS a1, s2 / n2 / sqrt(x.d * y.d) AS a2, n1, n2 FROM s2 JOIN v x ON s2.i = x.i JOIN v y ON s2.j = y.i),
+            t AS (SELECT sum(a1 * a1) AS q1, sum(a2 * a2) AS q2, sum(a1 * a2) AS q12, sum(CASE WHEN i = j THEN a1 END) AS t1, sum(CASE WHEN i = j THEN a2 END) AS t2, sum((a1 + a2) * (a1 + a2)) AS r2, max(n1) AS n1, max(n2) AS n2 FROM a),
+            x AS (SELECT (SELECT sum(f * f / v.d) FROM f JOIN v ON f.d = v.i) AS raw, 2 * (q1 - t1 * t1 / (n1 - 1) + q2 - t2 * t2 / (n2 - 1) + 2 * q12) / 64 AS w, 1 + r2 / pow(64, 1.5) AS c FROM t)
+            SELECT round((raw - 64) / 8 / sqrt(w * c), {DIGITS}) AS statistic, round(raw, {DIGITS}) AS raw FROM x""",
+        "q_wang_peng_li": f"""WITH {_E}, z AS (SELECT id, sqrt(sum(v * v)) AS norm FROM e GROUP BY id), u AS (SELECT e.id, d, v / norm AS v FROM e JOIN z ON e.id = z.id),
+            t AS (SELECT d, sum(v) AS t FROM u GROUP BY d), n AS (SELECT count(*)::DOUBLE AS n FROM embeddings),
+            k AS (SELECT a.id AS a, b.id AS b, sum(a.v * b.v) AS k FROM u a JOIN u b ON a.d = b.d GROUP BY 1, 2),
+            r AS (SELECT id, sum(v * t) - sum(v * v) AS r FROM u JOIN t ON u.d = t.d GROUP BY id),
+            b AS (SELECT sum(k) AS s, sum((k - (x.r - k) / (n - 2)) * (k - (y.r - k) / (n - 2))) / max(n * (n - 1)) AS tr FROM k JOIN r x ON x.id = k.a JOIN r y ON y.id = k.b, n WHERE k.a <> k.b)
+            SELECT round(s / 2 / sqrt(n * (n - 1) / 2 * tr), {DIGITS}) AS statistic, round(s / 2, {DIGITS}) AS raw FROM b, n""",
+        "q_john_sphericity": f"""{_ONE}, t AS (SELECT 64 * sum(s * s) / pow(sum(CASE WHEN i = j THEN s END), 2) - 1 AS u, max(n) AS n FROM s)
+            SELECT round((n - 1) * 64 * u / 2, {DIGITS}) AS statistic, round(u, {DIGITS}) AS u FROM t""",
+        "q_chen_zhang_zhong": f"""{_GRAM}, n AS (SELECT count(*)::DOUBLE AS n FROM embeddings), o AS (SELECT a, sum(k) AS r FROM k WHERE a <> b GROUP BY a),
+            q AS (SELECT sum(CASE WHEN a = b THEN k END) AS dg, sum(CASE WHEN a <> b THEN k * k END) AS sq, sum(CASE WHEN a <> b THEN k END) AS o FROM k), w AS (SELECT sum(r * r) AS rr FROM o),
+            y AS (SELECT dg / n AS y1, sq / (n * (n - 1)) AS y2, o / (n * (n - 1)) AS y3, (rr - sq) / (n * (n - 1) * (n - 2)) AS y4, (o * o - 4 * rr + 2 * sq) / (n * (n - 1) * (n - 2) * (n - 3)) AS y5, n FROM q, w, n)
+            SELECT round(y1, {DIGITS}) AS y1, round(y2, {DIGITS}) AS y2, round(y3, {DIGITS}) AS y3, round(y4, {DIGITS}) AS y4, round(y5, {DIGITS}) AS y5,
+              round(n * (64 * (y2 - 2 * y4 + y5) / pow(y1 - y3, 2) - 1) / 2, {DIGITS}) AS statistic FROM y""",
+        "q_covariance_threshold": f"""{_ONE} SELECT i::INTEGER AS i, j::INTEGER AS j, CASE WHEN abs(s * (n - 1) / n) > sqrt(ln(64) / n) THEN round(s * (n - 1) / n, {DIGITS}) ELSE 0.0 END AS v FROM s""",
+        "q_cusum": f"""{_SUMS}, c AS (SELECT k, abs(r.s - k / n::DOUBLE * n.s) / sqrt(n) / sqrt(v) AS c, v, n FROM r, n)
+            SELECT round(max(c), {DIGITS}) AS statistic, arg_max(k, c) AS k, round(max(v), {DIGITS}) AS sigma2 FROM c WHERE k BETWEEN 1 AND n - 1""",
+        "q_portmanteau": f"""{_SUMS}, g AS (SELECT b.k - a.k AS h, sum((a.value - m) * (b.value - m)) AS g FROM r a JOIN r b ON b.k BETWEEN a.k AND a.k + 5, n GROUP BY 1)
+            SELECT round(max(n * (n + 2.0)) * sum(g.g * g.g / (z.g * z.g) / (n - g.h)), {DIGITS}) AS statistic FROM g, (SELECT g FROM g WHERE h = 0) z, n WHERE g.h > 0""",
+    }
