@@ -289,6 +289,8 @@ def render(root: Node) -> str:
             x()
             continue
         if isinstance(x, str):
+            if parent.name == "details" and "open" not in parent.attributes:
+                continue
             if pre:
                 first, *rest = x.replace("\r\n", "\n").split("\n")
                 out.now.append(first)

@@ -102,8 +102,11 @@ def measured(docs: DataFrame, text: Column) -> DataFrame:
         "n_upper": gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         "n_exclaims": gone("!"),
     }
-    out = out.withColumn("__ow", F.struct(*(values[m].alias(m) for m in MEASURES)))
-    return out.drop("__ow_text", "__ow_words", "__ow_pairs", "__ow_fours", "__ow_eights", "__ow_lines", "__ow_sorted", "__ow_same", "__ow_hit")
+    # a later filter would be pushed through all these projections, and repeat each in the one above;
+    # it stops at a projection that holds something not deterministic
+    out = out.withColumns({"__ow": F.struct(*(values[m].alias(m) for m in MEASURES)), "__ow_at": F.monotonically_increasing_id()})
+    out = out.withColumn("__ow", F.when(F.col("__ow_at") >= 0, F.col("__ow")))
+    return out.drop("__ow_at", "__ow_text", "__ow_words", "__ow_pairs", "__ow_fours", "__ow_eights", "__ow_lines", "__ow_sorted", "__ow_same", "__ow_hit")
 
 
 def _bits(measures: str) -> Column:
@@ -150,7 +153,5 @@ def ablations(table: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, policy: str = CURRENT, text_column: str = "text") -> DataFrame:
     """The rows, all their columns as they are, that the policy keeps."""
     columns = docs.columns
-    # a filter is pushed through deterministic projections, and each would repeat the ones below it
-    marked = measured(docs, F.col(f"`{text_column}`")).withColumn("__ow_at", F.monotonically_increasing_id())
-    kept = marked.where((F.col("__ow_at") >= 0) & (_bits("__ow").bitwiseAND(_long(mask(policy) | mask("base"))) == 0))
+    kept = measured(docs, F.col(f"`{text_column}`")).where(_bits("__ow").bitwiseAND(_long(mask(policy) | mask("base"))) == 0)
     return kept.select(*(F.col(f"`{c}`") for c in columns))
