@@ -188,14 +188,33 @@ def test_jaccard_join(spark, monkeypatch):
                 x[g.randrange(80)] = g.choice(words)
             texts.append(" ".join(x))
     texts += [" ".join(g.choice(words[:5]) for _ in range(g.randint(0, 9))) for _ in range(60)]
+    # unlike one another beyond the threshold, but on the same lists; some pairs link
+    base = [g.choice(words) for _ in range(120)]
+    for k in range(40):
+        x = list(base)
+        for i in range(0, 120, 17):
+            x[i] = f"own{k // 2}-{i}"
+        texts.append(" ".join(x) + " end" * (k % 2))
     df = spark.createDataFrame(list(enumerate(texts)) + [(None, "A b")], "doc_id long, text string").repartition(4)
     want = brute_components(texts, 4, 85)
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", 6)
+    monkeypatch.setattr(jaccard_join, "CELL", 7)
     rows = jaccard_join.jaccard_components(df, 4, 85).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows if r["doc_id"] is not None} == want
     assert [r["component_id"] for r in rows if r["doc_id"] is None] == [None]
 
 
+def test_parities_bound_the_difference():
+    g = np.random.default_rng(5)
+    for n in (1, 64, 65, 700, 3000):
+        a = g.integers(0, 1 << 63, n, np.uint64)
+        b = np.unique(np.r_[a[n // 5 :], g.integers(0, 1 << 63, n // 3, np.uint64)])
+        one, two = (np.frombuffer(jaccard_join.parities(x), np.uint64)[None, :] for x in (a, b))
+        width = min(one.shape[1], two.shape[1])
+        differ = np.bitwise_count(jaccard_join._fold(one, width) ^ jaccard_join._fold(two, width)).sum()
+        assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0
+
+
 def test_jaccard_join_of_nothing(empty):
     assert jaccard_join.jaccard_components(empty).collect() == []
 
