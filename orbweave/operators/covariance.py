@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from orbweave.functions import tails
 from orbweave.functions.partial import moments, total
-from orbweave.operators.foundations import sscm
+from orbweave.operators.foundations import center_of, signs, sscm
 from orbweave.sources.samples import dimensions, rows_of
 
 
@@ -64,6 +64,100 @@ def spatial_sign_sphericity(df: DataFrame, center="spatial") -> dict:
     return _chi2(n * (p + 2) * q / 2, (p - 1) * (p + 2) / 2, q=q)
 
 
+def fisher_sun_gallagher_sphericity(df: DataFrame) -> dict:
+    """Unbiased means of the second and fourth powers of the covariance's eigenvalues, compared."""
+    rows, p, n, s = _second(df, divisor="n-1")
+    if p < 2 or rows < 5:
+        raise ValueError("at least two variables and five rows are needed")
+    s = s / np.abs(s).max() if s.any() else s
+    values = np.linalg.eigvalsh(s)
+    t1, t2, t3, t4 = (float((values**k).sum()) for k in (1, 2, 3, 4))
+    common = n * (n * n + n + 2)
+    a2 = n * n / ((n - 1) * (n + 2) * p) * (t2 - t1 * t1 / n)
+    inner = t4 - 4 / n * t3 * t1 - (2 * n * n + 3 * n - 6) / common * t2 * t2 + 2 * (5 * n + 6) / common * t2 * t1 * t1 - (5 * n + 6) / (n * common) * t1**4
+    a4 = n**4 * common / ((n + 1) * (n + 2) * (n + 4) * (n + 6) * (n - 1) * (n - 2) * (n - 3)) / p * inner
+    if not a2 > 0 or not math.isfinite(a4):
+        raise ArithmeticError("a trace estimate is not positive")
+    c, psi = p / n, a4 / a2**2
+    z = math.sqrt(n * p / (8 * (8 + 12 * c + c * c))) * (psi - 1)
+    return {"statistic": z, "p_value": tails.normal_sf(z), "psi": psi}
+
+
+def _sign_moments(df: DataFrame, center) -> tuple[int, int, np.ndarray, np.ndarray, int]:
+    """Rows, columns, SSCM, means of the radii's powers -1, -2, -3 (of a common scale), rows at the center.
+
+    Those rows have a zero direction and no part in the radii's powers.
+    """
+    n, p = dimensions(df)
+    if n < 2 or p < 2:
+        raise ValueError("at least two rows and two variables are needed")
+    c = center_of(df, center, p)
+
+    def size(x):
+        return np.r_[np.linalg.norm(rows_of(x) - c, axis=1).sum()]
+
+    scale = float(total(df.select("x"), size)[0]) / n
+
+    def f(x):
+        u, r = signs(rows_of(x) - c)
+        inverse = scale / r[r > 0]
+        return np.r_[inverse.sum(), (inverse**2).sum(), (inverse**3).sum(), len(r) - len(inverse), (u.T @ u).ravel()]
+
+    t = total(df.select("x"), f)
+    return n, p, t[4:].reshape(p, p) / n, t[:3] / n, int(t[3])
+
+
+def sign_sum_sphericity(df: DataFrame, center="spatial", bias: str = "residual") -> dict:
+    """Sum of squared cosines over pairs of directions, less the fitted center's bias.
+
+    ``bias`` is "residual", from inverse moments of the radii, or "normal_limit".
+    A row at the center has a zero direction; with "residual", it raises.
+    """
+    if bias not in ("residual", "normal_limit"):
+        raise ValueError(f"unknown bias {bias!r}")
+    n, p, b, inverse, zeros = _sign_moments(df, center)
+    if zeros and bias == "residual":
+        raise ArithmeticError("a row at the center has no inverse radius")
+    if bias == "residual":
+        r2, r3 = inverse[1] / inverse[0] ** 2, inverse[2] / inverse[0] ** 3
+        delta = (2 - 2 * r2 + r2 * r2) / n**2 + (8 * r2 - 6 * r2 * r2 + 2 * r2 * r3 - 2 * r3) / n**3
+    else:
+        delta = n**-2.0 + 2 * n**-3.0
+    q = p / (n * (n - 1)) * (n * n * float((b**2).sum()) - (n - zeros)) - 1
+    z = (q - p * delta) / math.sqrt(4 * (p - 1) / (n * (n - 1) * (p + 2)))
+    return {"statistic": z, "p_value": tails.normal_sf(z), "raw": q, "delta": delta}
+
+
+def sign_max_sphericity(df: DataFrame, center="spatial") -> dict:
+    """Largest entry of the SSCM less I / p, each by its own variance; Gumbel tail."""
+    n, p, b, _, _ = _sign_moments(df, center)
+    score = n * p * (p + 2) * (b - np.eye(p) / p) ** 2
+    score[np.diag_indices(p)] /= 2 * (1 - 1 / p)
+    count = p * (p + 1) / 2
+    g = float(score.max()) - 2 * math.log(count) + math.log(math.log(count))
+    return {"statistic": g, "p_value": tails.gumbel_sf(g), "raw": float(score.max())}
+
+
+def adaptive_sphericity(df: DataFrame, center="spatial") -> dict:
+    """The sum's and the maximum's p-values by the truncated Cauchy combination."""
+    p_sum, p_max = sign_sum_sphericity(df, center)["p_value"], sign_max_sphericity(df, center)["p_value"]
+    p = tails.truncated_cauchy(p_sum, p_max)
+    return {"statistic": p, "p_value": p, "p_sum": p_sum, "p_max": p_max}
+
+
+def regularized_sign_covariance(df: DataFrame, center="spatial") -> dict:
+    """p times the SSCM, drawn to the identity by an estimated weight in [0, 1].  A row at the center raises."""
+    n, p, b, _, zeros = _sign_moments(df, center)
+    if zeros:
+        raise ArithmeticError("a row at the center has no direction")
+    a = p * float((b**2).sum())
+    if a == 1:
+        weight = 0.0
+    else:
+        weight = min(1.0, max(0.0, (n / (n - 1) * (a - p / n) - 1) / (a - 1)))
+    return {"value": weight * p * b + (1 - weight) * np.eye(p), "weight": weight, "a": a}
+
+
 def wang_yao_corrected_john(df: DataFrame, center: bool = False, beta: float = 0.0) -> dict:
     n, p, m, s = _second(df, center)
     u = p * float((s**2).sum()) / float(np.trace(s)) ** 2 - 1

@@ -239,6 +239,30 @@ def scaled_spatial_median(df: DataFrame, tol: float = 1e-7, max_iter: int = 500)
     return best
 
 
+def spatial_sign_max_test(df: DataFrame, mu=None, tol: float = 1e-7, max_iter: int = 500) -> dict:
+    """Largest standardised coordinate of the scaled median less ``mu``; Gumbel tail.
+
+    A fit that did not settle, or a row at its center, raises.
+    """
+    fit = scaled_spatial_median(df, tol, max_iter)
+    if not fit.converged:
+        raise ArithmeticError("the scaled median did not settle")
+    n, p = dimensions(df)
+    root = np.sqrt(fit.shape)
+
+    def f(x):
+        r = np.linalg.norm((rows_of(x) - fit.value) / root, axis=1)
+        if not r.all():
+            raise ArithmeticError("a row at the center has no direction")
+        return np.r_[(1 / r).sum()]
+
+    inverse = float(total(df.select("x"), f)[0]) / n
+    largest = float((((fit.value - _null(mu, p)) / root) ** 2).max())
+    raw = n * largest * p * (1 - n**-0.5) * inverse**2
+    g = float(raw - 2 * math.log(p) + math.log(math.log(p)))
+    return {"statistic": g, "p_value": tails.gumbel_sf(g), "raw": float(raw), "zeta": float(inverse)}
+
+
 def park_ayyala_numerator(df: DataFrame, mu=None) -> float:
     """Mean over ordered pairs of z_i' D^-1 z_j, D the variances without both."""
     n, p = dimensions(df)

@@ -105,6 +105,26 @@ def q_chen_zhang_zhong(spark, d):
     return one_row(spark, covariance.chen_zhang_zhong(vectors(spark, d)), "y1", "y2", "y3", "y4", "y5", "statistic")
 
 
+def q_fisher_sun_gallagher(spark, d):
+    return one_row(spark, covariance.fisher_sun_gallagher_sphericity(vectors(spark, d)), "statistic", "psi")
+
+
+def q_sign_sum_sphericity(spark, d):
+    return one_row(spark, covariance.sign_sum_sphericity(vectors(spark, d), "mean"), "statistic", "raw")
+
+
+def q_sign_max_sphericity(spark, d):
+    return one_row(spark, covariance.sign_max_sphericity(vectors(spark, d), "mean"), "statistic", "raw")
+
+
+def q_regularized_sign_covariance(spark, d):
+    return matrix(spark, covariance.regularized_sign_covariance(vectors(spark, d), "mean")["value"])
+
+
+def q_spatial_sign_max(spark, d):
+    return one_row(spark, location.spatial_sign_max_test(vectors(spark, d)), "statistic", "raw")
+
+
 def q_covariance_threshold(spark, d):
     return matrix(spark, covariance.covariance_threshold(vectors(spark, d)))
 
@@ -163,6 +183,12 @@ c AS (SELECT e.id, e.d, v - m AS v, n FROM e JOIN m ON e.d = m.d),
 s AS (SELECT a.d AS i, b.d AS j, sum(a.v * b.v) / (max(a.n) - 1) AS s, max(a.n) AS n FROM c a JOIN c b ON a.id = b.id GROUP BY 1, 2)
 """
 _GRAM = f"WITH {_E}, k AS (SELECT a.id AS a, b.id AS b, sum(a.v * b.v) AS k FROM e a JOIN e b ON a.d = b.d GROUP BY 1, 2)"
+_SIGNS = f"""
+WITH {_E}, m AS (SELECT d, avg(v) AS m FROM e GROUP BY d), c AS (SELECT e.id, e.d, v - m AS v FROM e JOIN m ON e.d = m.d),
+r AS (SELECT id, sqrt(sum(v * v)) AS r FROM c GROUP BY id), u AS (SELECT c.id, d, v / r AS v FROM c JOIN r ON c.id = r.id),
+k AS (SELECT count(*)::DOUBLE AS n, 64.0::DOUBLE AS p, avg(1 / (r * r)) / pow(avg(1 / r), 2) AS r2, avg(1 / (r * r * r)) / pow(avg(1 / r), 3) AS r3 FROM r),
+b AS (SELECT x.d AS i, y.d AS j, sum(x.v * y.v) / max(n) AS b FROM u x JOIN u y ON x.id = y.id, k GROUP BY 1, 2)
+"""
 _SUMS = "WITH r AS (SELECT event_id AS id, value, row_number() OVER w AS k, sum(value) OVER w AS s, lag(value) OVER w AS was FROM events WINDOW w AS (ORDER BY event_id)), n AS (SELECT count(*) AS n, sum(value) AS s, avg(value) AS m, sum((value - was) * (value - was)) / (2 * (count(*) - 1)) AS v FROM r)"
 
 
@@ -201,6 +227,17 @@ def oracle_sql() -> dict[str, str]:
             y AS (SELECT dg / n AS y1, sq / (n * (n - 1)) AS y2, o / (n * (n - 1)) AS y3, (rr - sq) / (n * (n - 1) * (n - 2)) AS y4, (o * o - 4 * rr + 2 * sq) / (n * (n - 1) * (n - 2) * (n - 3)) AS y5, n FROM q, w, n)
             SELECT round(y1, {DIGITS}) AS y1, round(y2, {DIGITS}) AS y2, round(y3, {DIGITS}) AS y3, round(y4, {DIGITS}) AS y4, round(y5, {DIGITS}) AS y5,
               round(n * (64 * (y2 - 2 * y4 + y5) / pow(y1 - y3, 2) - 1) / 2, {DIGITS}) AS statistic FROM y""",
+        "q_fisher_sun_gallagher": f"""{_ONE}, q AS (SELECT a.i, b.j, sum(a.s * b.s) AS q FROM s a JOIN s b ON a.j = b.i GROUP BY 1, 2),
+            t AS (SELECT sum(CASE WHEN s.i = s.j THEN s END) AS t1, sum(s * s) AS t2, sum(s * q) AS t3, sum(q * q) AS t4, max(n) - 1.0::DOUBLE AS n, 64.0::DOUBLE AS p FROM s JOIN q ON s.i = q.i AND s.j = q.j),
+            a AS (SELECT n, p, n * n / ((n - 1) * (n + 2) * p) * (t2 - t1 * t1 / n) AS a2, n * n * n * n * n * (n * n + n + 2) / ((n + 1) * (n + 2) * (n + 4) * (n + 6) * (n - 1) * (n - 2) * (n - 3)) / p
+              * (t4 - 4 / n * t3 * t1 - (2 * n * n + 3 * n - 6) / (n * (n * n + n + 2)) * t2 * t2 + 2 * (5 * n + 6) / (n * (n * n + n + 2)) * t2 * t1 * t1 - (5 * n + 6) / (n * n * (n * n + n + 2)) * pow(t1, 4)) AS a4 FROM t)
+            SELECT round(sqrt(n * p / (8 * (8 + 12 * p / n + p * p / n / n))) * (a4 / (a2 * a2) - 1), {DIGITS}) AS statistic, round(a4 / (a2 * a2), {DIGITS}) AS psi FROM a""",
+        "q_sign_sum_sphericity": f"""{_SIGNS}, x AS (SELECT max(p) / (max(n) * (max(n) - 1)) * (max(n * n) * sum(b * b) - max(n)) - 1 AS q FROM b, k)
+            SELECT round((q - p * ((2 - 2 * r2 + r2 * r2) / n / n + (8 * r2 - 6 * r2 * r2 + 2 * r2 * r3 - 2 * r3) / n / n / n)) / sqrt(4 * (p - 1) / (n * (n - 1) * (p + 2))), {DIGITS}) AS statistic, round(q, {DIGITS}) AS raw FROM x, k""",
+        "q_sign_max_sphericity": f"""{_SIGNS}, x AS (SELECT max(n * p * (p + 2) * CASE WHEN i = j THEN pow(b - 1 / p, 2) / (2 * (1 - 1 / p)) ELSE b * b END) AS g, max(p * (p + 1) / 2) AS c FROM b, k)
+            SELECT round(g - 2 * ln(c) + ln(ln(c)), {DIGITS}) AS statistic, round(g, {DIGITS}) AS raw FROM x""",
+        "q_regularized_sign_covariance": f"""{_SIGNS}, a AS (SELECT max(p) * sum(b * b) AS a FROM b, k), w AS (SELECT least(1, greatest(0, (n / (n - 1) * (a - p / n) - 1) / (a - 1))) AS w FROM a, k)
+            SELECT i::INTEGER AS i, j::INTEGER AS j, round(w * p * b + CASE WHEN i = j THEN 1 - w ELSE 0 END, {DIGITS}) + 0.0 AS v FROM b, w, k""",
         "q_covariance_threshold": f"""{_ONE} SELECT i::INTEGER AS i, j::INTEGER AS j, CASE WHEN abs(s * (n - 1) / n) > sqrt(ln(64) / n) THEN round(s * (n - 1) / n, {DIGITS}) ELSE 0.0 END AS v FROM s""",
         "q_cusum": f"""{_SUMS}, c AS (SELECT k, abs(r.s - k / n::DOUBLE * n.s) / sqrt(n) / sqrt(v) AS c, v, n FROM r, n)
             SELECT round(max(c), {DIGITS}) AS statistic, arg_max(k, c) AS k, round(max(v), {DIGITS}) AS sigma2 FROM c WHERE k BETWEEN 1 AND n - 1""",

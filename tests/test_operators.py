@@ -209,3 +209,66 @@ def test_registry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_sphericity_of_signs(spark, data):
+    x, _ = data
+    df = frame(spark, x)
+    n, p = x.shape
+    for center, c in (("mean", x.mean(0)), ("none", np.zeros(p))):
+        u = unit(x - c)
+        r = np.linalg.norm(x - c, axis=1)
+        b = u.T @ u / n
+        q = p / (n * (n - 1)) * sum((u[i] @ u[j]) ** 2 for i in range(n) for j in range(n) if i != j) - 1
+        got = covariance.sign_sum_sphericity(df, center)
+        r2, r3 = (r**-2.0).mean() / (1 / r).mean() ** 2, (r**-3.0).mean() / (1 / r).mean() ** 3
+        delta = (2 - 2 * r2 + r2**2) / n**2 + (8 * r2 - 6 * r2**2 + 2 * r2 * r3 - 2 * r3) / n**3
+        assert (got["raw"], got["delta"]) == pytest.approx((q, delta))
+        plain = covariance.sign_sum_sphericity(df, center, "normal_limit")
+        assert plain["statistic"] == pytest.approx((q - p * (n**-2 + 2 * n**-3)) / math.sqrt(4 * (p - 1) / (n * (n - 1) * (p + 2))))
+        scores = [n * p * (p + 2) * (b[i, i] - 1 / p) ** 2 / (2 * (1 - 1 / p)) for i in range(p)]
+        scores += [n * p * (p + 2) * b[i, j] ** 2 for i in range(p) for j in range(i)]
+        assert covariance.sign_max_sphericity(df, center)["raw"] == pytest.approx(max(scores))
+        a = p * (b**2).sum()
+        w = min(1, max(0, (n / (n - 1) * (a - p / n) - 1) / (a - 1)))
+        assert covariance.regularized_sign_covariance(df, center)["value"] == pytest.approx(w * p * b + (1 - w) * np.eye(p))
+    both = covariance.adaptive_sphericity(df)
+    assert 0 <= both["p_value"] <= 1
+    at_center = frame(spark, np.r_[x, -x, np.zeros((1, p))])
+    u = unit(np.r_[x, -x])
+    m = 2 * n + 1
+    want = p / (m * (m - 1)) * ((u @ u.T) ** 2).sum() - p / (m * (m - 1)) * 2 * n - 1
+    assert covariance.sign_sum_sphericity(at_center, "none", "normal_limit")["raw"] == pytest.approx(want)
+    with pytest.raises(ArithmeticError):
+        covariance.sign_sum_sphericity(at_center, "none")
+    with pytest.raises(ArithmeticError):
+        covariance.regularized_sign_covariance(at_center, "none")
+
+
+def test_fisher_sun_gallagher(spark, data):
+    x, _ = data
+    rows, p = x.shape
+    n = rows - 1
+    s = np.cov(x.T)
+    got = covariance.fisher_sun_gallagher_sphericity(frame(spark, x))
+    t = [np.trace(np.linalg.matrix_power(s, k)) for k in range(5)]
+    a2 = n**2 / ((n - 1) * (n + 2) * p) * (t[2] - t[1] ** 2 / n)
+    tau = n**5 * (n**2 + n + 2) / ((n + 1) * (n + 2) * (n + 4) * (n + 6) * (n - 1) * (n - 2) * (n - 3))
+    k = n * (n**2 + n + 2)
+    a4 = tau / p * (t[4] - 4 / n * t[3] * t[1] - (2 * n**2 + 3 * n - 6) / k * t[2] ** 2 + 2 * (5 * n + 6) / k * t[2] * t[1] ** 2 - (5 * n + 6) / (n * k) * t[1] ** 4)
+    assert got["psi"] == pytest.approx(a4 / a2**2)
+
+
+def test_sign_max_of_scaled_median(spark, data):
+    x, _ = data
+    n, p = x.shape
+    df = frame(spark, x)
+    fit = location.scaled_spatial_median(df)
+    assert fit.converged
+    z = (x - fit.value) / np.sqrt(fit.shape)
+    r = np.linalg.norm(z, axis=1)
+    assert unit(z).sum(0) == pytest.approx(np.zeros(p), abs=1e-4)
+    assert p * (unit(z) ** 2).mean(0) == pytest.approx(np.ones(p), abs=1e-5)
+    got = location.spatial_sign_max_test(df)
+    raw = n * (fit.value**2 / fit.shape).max() * p * (1 - n**-0.5) * (1 / r).mean() ** 2
+    assert got["raw"] == pytest.approx(raw)
