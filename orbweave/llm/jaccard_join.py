@@ -6,8 +6,8 @@
     among the first ``size - ceil(t * size) + 1`` of each: the prefix.
 3.  The prefixes make inverted lists.  A list of up to ``SHORT_LIST`` nodes gives
     the pairs that size and place in the prefix allow.  A longer one is compared
-    with its first node only (and, where a shingle is very frequent, is split
-    into parts with a first node each).
+    with its first node only.  Where a shingle is very frequent its list is split
+    into parts, compared likewise; all the list's nodes count as one long list in 5.
 4.  Parities of the sets' hashes, a bit or two a shingle, bound a pair's overlap from
     above (`parities`); pairs that cannot reach the threshold go no further.
     Each first node of a pair that may is a query against the block of its candidates:
@@ -151,7 +151,8 @@ def _postings(words: int, percent: int, frequent):
                 index, doc = np.concatenate(chosen), np.repeat(np.arange(len(n)), n)
                 h = flat[index]
                 parts = np.r_[seen // SALT_FROM + 1, 1][found[index]].astype(np.uint64)
-                salt = (mix(h ^ k1.view(np.uint64)[doc]) % parts).astype(np.int32)
+                # 0: the shingle's list is whole; from 1 on: one of several parts
+                salt = (mix(h ^ k1.view(np.uint64)[doc]) % parts).astype(np.int32) + (parts > 1)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(k1[doc]), pa.array(k2[doc]), pa.array(sizes[doc].astype(np.int32)), pa.array((ragged(np.zeros(len(n), np.int64), n)).astype(np.int32))], schema=POSTINGS)
 
     return run
@@ -165,7 +166,7 @@ def _may_link(size_a, place_a, size_b, place_b, percent: int):
 
 
 def _lists(percent: int):
-    """Candidate pairs (k1, k2, b1, b2), and the members (h not null) of long lists."""
+    """Candidate pairs (k1, k2, b1, b2), and the members (h not null) of long and of split lists."""
 
     def pairs(c: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         ok = _may_link(c[4][a].astype(np.int64), c[5][a].astype(np.int64), c[4][b].astype(np.int64), c[5][b].astype(np.int64), percent)
@@ -197,8 +198,11 @@ def _lists(percent: int):
                 yield pairs(c, (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()), None, False
         for at, length in zip(begins[:-1][long].tolist(), sizes[long].tolist(), strict=True):
             yield pairs(c, np.full(length - 1, at), np.arange(at + 1, at + length)), None, False
-            none = pa.nulls(length, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[k][at : at + length]) for k in (0, 2, 3, 4, 5)), none, none], schema=LISTS), None, False
+        # a part of a split list, however short, has yet to meet the other parts
+        told = np.flatnonzero(np.repeat(long | (c[1][begins[:-1]] > 0), sizes))
+        if len(told):
+            none = pa.nulls(len(told), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[k][told]) for k in (0, 2, 3, 4, 5)), none, none], schema=LISTS), None, False
         yield None, held, going
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

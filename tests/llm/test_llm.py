@@ -204,6 +204,19 @@ def test_jaccard_join(spark, monkeypatch):
     assert [r["component_id"] for r in rows if r["doc_id"] is None] == [None]
 
 
+def test_jaccard_join_of_few_variants_among_many_copies(spark, monkeypatch):
+    """Lists are split by documents, however few different texts the copies are."""
+    g = random.Random(11)
+    texts = []
+    for k in range(6):
+        base = " ".join(f"c{k}-{g.randrange(10**6)}" for _ in range(20))
+        texts += [base] * 60 + [base + " end", base + " other end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard_join, "SALT_FROM", 4)
+    rows = jaccard_join.jaccard_components(df, 4, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts, 4, 85)
+
+
 def test_parities_bound_the_difference():
     g = np.random.default_rng(5)
     for n in (1, 64, 65, 700, 3000):
