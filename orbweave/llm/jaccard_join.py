@@ -56,7 +56,7 @@ BROADCAST_ROWS = 1 << 20
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.int64()), ("seen", pa.int64())])
 POSTINGS = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
 LISTS = pa.schema([("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("b1", pa.int64()), ("b2", pa.int64())])
-BLOCKS = pa.schema([("x", pa.int64()), ("part", pa.int32()), ("y", pa.int64()), ("shingles", pa.binary())])
+BLOCKS = pa.schema([("x", pa.int64()), ("x1", pa.int64()), ("x2", pa.int64()), ("part", pa.int32()), ("y", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("shingles", pa.binary())])
 PARITIES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 REST = pa.schema([(c, pa.int64()) for c in ("x", "x1", "x2", "y", "y1", "y2")])
 LINKS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("overlap", pa.int64()), ("union", pa.int64())])
@@ -229,7 +229,7 @@ def _blocks(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, x, part, y, k1, k2 = b.columns
+            text, x, x1, x2, part, y, k1, k2 = b.columns
             texts = _texts(text)
             # a document in several blocks comes in neighbouring rows
             first = [i for i in range(len(texts)) if not i or texts[i] != texts[i - 1]]
@@ -242,16 +242,19 @@ def _blocks(words: int):
             keep = [i for i in range(len(texts)) if keys[owner[i]] == wanted[i]]
             for i in range(0, len(keep), 2000):
                 some = pa.array(keep[i : i + 2000], pa.int64())
-                yield pa.RecordBatch.from_arrays([x.take(some), part.take(some), y.take(some), pa.array([data[owner[k]] for k in keep[i : i + 2000]], pa.binary())], schema=BLOCKS)
+                yield pa.RecordBatch.from_arrays([*(c.take(some) for c in (x, x1, x2, part, y, k1, k2)), pa.array([data[owner[k]] for k in keep[i : i + 2000]], pa.binary())], schema=BLOCKS)
 
     return run
 
 
 def _search(percent: int):
-    """Links found in blocks: the query's row comes first, with y null."""
+    """Links found in blocks: the query's row comes first, with y null.
+
+    Sets are told apart by their keys, as one document may have several texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, query, ys, sets = None, None, [], []
+        now, query, last, ys, sets = None, None, None, [], []
         out: list[tuple[int, int, int, int]] = []
 
         def close() -> None:
@@ -267,14 +270,15 @@ def _search(percent: int):
             return batch
 
         for b in batches:
-            for x, part, y, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (x, part) != now:
+            for x, x1, x2, part, y, k1, k2, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (x, x1, x2, part) != now:
                     close()
-                    now, query, ys, sets = (x, part), None, [], []
+                    now, query, last, ys, sets = (x, x1, x2, part), None, None, [], []
                 s = np.frombuffer(data, np.uint64)
                 if y is None:
                     query = s
-                elif not ys or ys[-1] != y:
+                elif last != (y, k1, k2):
+                    last = y, k1, k2
                     ys.append(y)
                     sets.append(s)
                     if len(sets) >= 4 * BLOCK:
@@ -290,13 +294,14 @@ def _search(percent: int):
 def _links(spark: SparkSession, texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links among candidate pairs (x, x1, x2, y, y1, y2): ids and set keys."""
     n = pairs.count()
-    sizes = pairs.groupBy("x").agg(F.count("*").alias("n")).select("x", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    placed = pairs.join(sizes, "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int"))
-    queries = pairs.select("x", "x1", "x2").distinct().join(sizes, "x").select(F.col("x").alias("doc_id"), "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("y"), F.col("x1").alias("k1"), F.col("x2").alias("k2"))
-    work = placed.select(F.col("y").alias("doc_id"), "x", "part", "y", F.col("y1").alias("k1"), F.col("y2").alias("k2")).union(queries)
+    query = ["x", "x1", "x2"]
+    sizes = pairs.groupBy(query).agg(F.count("*").alias("n")).select(*query, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    placed = pairs.join(sizes, query).withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int"))
+    queries = sizes.select(F.col("x").alias("doc_id"), *query, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("y"), F.col("x1").alias("k1"), F.col("x2").alias("k2"))
+    work = placed.select(F.col("y").alias("doc_id"), *query, "part", "y", F.col("y1").alias("k1"), F.col("y2").alias("k2")).union(queries)
     work = F.broadcast(work) if n <= BROADCAST_ROWS else work
-    blocks = texts.join(work, "doc_id").select("text", "x", "part", "y", "k1", "k2").mapInArrow(_blocks(words), ddl(BLOCKS))
-    blocks = blocks.repartition(partitions(spark), "x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
+    blocks = texts.join(work, "doc_id").select("text", *query, "part", "y", "k1", "k2").mapInArrow(_blocks(words), ddl(BLOCKS))
+    blocks = blocks.repartition(partitions(spark), *query, "part").sortWithinPartitions(*query, "part", F.col("y").asc_nulls_first(), "k1", "k2")
     return written(blocks.mapInArrow(_search(percent), ddl(LINKS)), "similar")
 
 

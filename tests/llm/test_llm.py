@@ -217,6 +217,25 @@ def test_jaccard_join_of_few_variants_among_many_copies(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts, 4, 85)
 
 
+def test_jaccard_join_of_documents_with_several_texts(spark):
+    """Every text of a document links, on either side of a pair."""
+    g = random.Random(12)
+    rows, want = [], {}
+    for k in range(0, 120, 4):
+        two = [" ".join(f"d{k}-{g.randrange(10**6)}" for _ in range(40)) for _ in range(2)]
+        # one id with both texts, and one near copy of each; the id is below, between or above theirs
+        several, *others = g.sample(range(k, k + 3), 3)
+        rows += [(several, t) for t in two] + [(i, t + " end") for i, t in zip(others, two, strict=True)]
+        want |= dict.fromkeys(range(k, k + 3), k)
+    # both ids have two texts, alike in pairs
+    a, b = (" ".join(f"e{k}-{g.randrange(10**6)}" for _ in range(40)) for k in range(2))
+    rows += [(500, a), (500, b), (501, b + " end"), (501, "other text"), (502, a + " end"), (502, "text of another kind")]
+    want |= dict.fromkeys((500, 501, 502), 500)
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()
+    assert len(found) == len(rows) and {r["doc_id"]: r["component_id"] for r in found} == want
+    assert len({(r["doc_id"], r["component_id"]) for r in found}) == len(want)
+
+
 def test_parities_bound_the_difference():
     g = np.random.default_rng(5)
     for n in (1, 64, 65, 700, 3000):
