@@ -3,8 +3,8 @@
 A tokenizer and tree builder with implied end tags makes a tree of any markup;
 visibility rules drop what a browser would not show; the rest is laid out:
 blocks on lines of their own, blank lines around paragraphs, headings, lists
-and tables, list items behind bullets or numbers, table cells aligned in
-columns, white space collapsed except in preformatted text.
+and tables, list items behind bullets or numbers, table cells laid out like pages
+and aligned in columns, white space collapsed except in preformatted text.
 
 Nothing recurses, so nesting may be as deep as a page makes it, and every byte
 is looked at a bounded number of times.
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +55,11 @@ _UNQUOTED = re.compile(r"[^\s>]*")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _STYLE = re.compile(r"(display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
+#: Tables deeper in tables than this have cells of one line.
+NESTED = 32
+#: A table that aligned would be of more characters has its cells one under another.
+TABLE_SIZE = 1 << 22
+
 
 class Node:
     __slots__ = ("attributes", "children", "name")
@@ -212,8 +219,13 @@ class _Lines:
         self.lines.append((lead + line).rstrip())
 
 
-def _cells(table: Node) -> tuple[list[Node], list[list[tuple[Node, int]]]]:
-    """Captions, and rows of cells with their column spans."""
+def _span(text: str) -> int:
+    text = text.strip()
+    return min(int(text), 1000) if text.isascii() and text.isdigit() and len(text) < 6 else 1
+
+
+def _cells(table: Node) -> tuple[list[Node], list[list[tuple[Node, int, int]]]]:
+    """Captions, and rows of cells with the columns and rows they span; 0 rows: all that follow."""
     captions, rows, todo = [], [], [(c, table) for c in reversed(table.children)]
     while todo:
         node, parent = todo.pop()
@@ -231,8 +243,7 @@ def _cells(table: Node) -> tuple[list[Node], list[list[tuple[Node, int]]]]:
         elif node.name in ("td", "th"):
             if not rows:
                 rows.append([])
-            span = node.attributes.get("colspan", "1").strip()
-            rows[-1].append((node, min(max(int(span), 1), 1000) if span.isascii() and span.isdigit() and len(span) < 6 else 1))
+            rows[-1].append((node, max(_span(node.attributes.get("colspan", "1")), 1), _span(node.attributes.get("rowspan", "1"))))
         elif node.name in ("thead", "tbody", "tfoot", "form", "colgroup"):
             todo += [(c, node) for c in reversed(node.children)]
         else:
@@ -257,32 +268,71 @@ def _flat(node: Node) -> str:
     return _SPACE.sub(" ", "".join(parts)).strip(" ")
 
 
-def _table(rows: list[list[tuple[Node, int]]]) -> list[str]:
-    """Cells of one column begin at one place, two spaces after the widest."""
-    texts = [[(_flat(c), span) for c, span in row] for row in rows]
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Cells of one column begin at one place, two spaces after the widest; those of one row on one line."""
+    free: dict[int, int] = {}  # by column, the row from which on no cell from above is there
+    cells = []
+    for r, row in enumerate(rows):
+        column, below = 0, {}
+        for lines, across, down in row:
+            while free.get(column, 0) > r:
+                column += 1
+            if free:
+                across = next((k for k in range(1, across) if free.get(column + k, 0) > r), across)
+            down = min(down or len(rows), len(rows) - r, 1000)
+            cells.append((r, column, across, down, lines))
+            if down > 1:
+                below |= dict.fromkeys(range(column, column + across), r + down)
+            column += across
+        free |= below
     width: dict[int, int] = {}
-    for row in texts:
-        column = 0
-        for text, span in row:
-            if span == 1:
-                width[column] = max(width.get(column, 0), len(text))
-            column += span
-    out = []
-    for row in texts:
-        line, column = [], 0
-        for text, span in row:
-            room = sum(width.get(k, 0) for k in range(column, column + span)) + 2 * (span - 1)
-            line.append(text.ljust(room))
-            column += span
-        out.append("  ".join(line).rstrip())
-    return [x for x in out if x]
+    height = [0] * len(rows)
+    for r, column, across, down, lines in cells:
+        if across == 1:
+            width[column] = max(width.get(column, 0), *map(len, lines), 0)
+        if down == 1:
+            height[r] = max(height[r], len(lines))
+    for _, column, across, _, lines in sorted(cells, key=lambda c: c[2]):
+        if across > 1:
+            lack = max(map(len, lines), default=0) - sum(width.get(k, 0) for k in range(column, column + across)) - 2 * (across - 1)
+            if lack > 0:
+                width[column + across - 1] = width.get(column + across - 1, 0) + lack
+    for r, _, _, down, lines in sorted(cells, key=lambda c: c[3]):
+        if down > 1:
+            height[r + down - 1] += max(0, len(lines) - sum(height[r : r + down]))
+    columns = sorted(width)
+    before = [0, *accumulate(width[k] for k in columns)]
+    top = [0, *accumulate(height)]
+    out: list[list[tuple[int, str]]] = [[] for _ in range(top[-1])]
+    for r, column, _, _, lines in cells:
+        begin = before[bisect_left(columns, column)] + 2 * column
+        for k, line in enumerate(lines, top[r]):
+            if line:
+                out[k].append((begin, line))
+    if sum(max(begin + len(line) for begin, line in x) for x in out if x) > TABLE_SIZE:
+        return [line for *_, lines in cells for line in lines]
+    found = []
+    for x in out:
+        line, end = [], 0
+        for begin, part in sorted(x):
+            line += [" " * (begin - end), part]
+            end = begin + len(part)
+        found.append("".join(line))
+    return found
 
 
 def render(root: Node) -> str:
     out = _Lines()
     todo: list[tuple[str, object, Node | None]] = [("node", root, None)]
     lists: list[list[int]] = []
+    outer: list[tuple[_Lines, list[list[int]]]] = []
     pre = 0
+
+    def enter() -> None:
+        nonlocal out, lists
+        outer.append((out, lists))
+        out, lists = _Lines(), []
+
     while todo:
         step, x, parent = todo.pop()
         if step == "call":
@@ -318,13 +368,30 @@ def render(root: Node) -> str:
             out.blank = True
             captions, rows = _cells(x)
 
-            def lay(rows=rows) -> None:
+            laid: list[list[tuple[list[str], int, int]]] = [[] for _ in rows]
+
+            def lay(laid=laid) -> None:
                 out.flush()
-                for line in _table(rows):
+                for line in _table(laid):
                     out.put(line)
                 out.blank = True
 
             todo.append(("call", lay, None))
+            for row, into in zip(reversed(rows), reversed(laid), strict=True):
+                if len(outer) >= NESTED:
+                    into += [([t] if (t := _flat(cell)) else [], across, down) for cell, across, down in row]
+                    continue
+                for cell, across, down in reversed(row):
+                    def leave_cell(into=into, across=across, down=down) -> None:
+                        nonlocal out, lists
+                        out.flush()
+                        text = re.sub(r"\n{3,}", "\n\n", "\n".join(out.lines)).strip("\n")
+                        into.append((text.split("\n") if text else [], across, down))
+                        out, lists = outer.pop()
+
+                    todo.append(("call", leave_cell, None))
+                    todo += [("node", c, cell) for c in reversed(cell.children)]
+                    todo.append(("call", enter, None))
             todo += [("node", c, x) for c in reversed(captions)]
             continue
         after: list = []

@@ -346,6 +346,28 @@ def test_html(page, text):
     assert html_layout.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td>nav<td><p>one<p>two<ul><li>a<li>b</ul><tr><td>x<td>y</table>", "nav  one\n\n     two\n\n     - a\n     - b\nx    y"),
+        ("<table><tr><td>a<br>bb<td>c<br>d<tr><td><pre>x\n  y</pre><td>z</table>", "a    c\nbb   d\nx    z\n  y"),
+        ("<table><tr><td rowspan=2>tall<td>1<tr><td>2<tr><td>last<td>3</table>", "tall  1\n      2\nlast  3"),
+        ("<table><tr><td rowspan=2>a<br>b<br>c<td>1<tr><td>2</table>", "a  1\nb  2\nc"),
+        ("<table><tr><td>l<td><table><tr><td>n<td>1<tr><td>mm<td>2</table><td>r</table>", "l  n   1  r\n   mm  2"),
+        ("<table><tr><td colspan=2>a wide one<td>x<tr><td>b<td>c<td>y</table>", "a wide one  x\nb  c        y"),
+    ],
+)
+def test_html_lays_out_cells(page, text):
+    assert html_layout.extract(page) == text
+
+
+def test_html_of_large_tables_is_safe(monkeypatch):
+    assert html_layout.extract("<table><tr><td>" * 20000 + "deep") == "deep"
+    html_layout.extract("<table>" + "<tr><td rowspan=999>a" * 2000)
+    monkeypatch.setattr(html_layout, "TABLE_SIZE", 100)
+    assert html_layout.extract(f"<table><tr><td>{'w' * 90}<td>1<br>2<tr><td>a<td>b") == "w" * 90 + "\n1\n2\na\nb"
+
+
 def test_html_is_safe():
     assert html_layout.extract("<div>" * 20000 + "deep") == "deep"
     html_layout.extract("<p><button>" + "<div>" * 20000)
