@@ -333,7 +333,7 @@ def thumbnail_hash(thumbnail: np.ndarray) -> str:
 
 
 MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("n_images", pa.int64()), ("thumbnail_hash", pa.string()), ("payload", pa.binary()), ("media", pa.binary())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("n_images", pa.int64()), ("thumbnail_hash", pa.string()), ("feature", pa.string()), ("payload", pa.binary()), ("media", pa.binary())])
 
 
 def encode_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -356,7 +356,8 @@ def encode_media(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def decode_media(media: DataFrame) -> DataFrame:
     """The rows with what the stored bytes hold: sizes in pixels, number of
-    images, the first thumbnail's hash, and all thumbnails' bytes as payload."""
+    images, the first thumbnail's hash, as feature the sizes and hashes of all
+    images, and all thumbnails' bytes as payload."""
 
     def run(ids: pa.Array, n_bytes: pa.Array, stored: pa.Array) -> list:
         values = stored.to_pylist()
@@ -365,6 +366,8 @@ def decode_media(media: DataFrame) -> DataFrame:
             found += decode_images(values[a:b])
         payload = [b"".join(t.tobytes() for _, _, t in x) for x in found]
         sizes = [np.array([f(x) for x in found], np.int64) for f in (lambda x: x[0][0], lambda x: x[0][1], len)]
-        return [ids, n_bytes, *sizes, [thumbnail_hash(x[0][2]) for x in found], payload, stored]
+        hashes = [[thumbnail_hash(t) for _, _, t in x] for x in found]
+        feature = [",".join(f"{w}x{h}:{s}" for (w, h, _), s in zip(x, y, strict=True)) for x, y in zip(found, hashes, strict=True)]
+        return [ids, n_bytes, *sizes, [x[0] for x in hashes], feature, payload, stored]
 
     return media.mapInArrow(in_batches(["doc_id", "n_bytes", "media"], FEATURES, run), ddl(FEATURES))

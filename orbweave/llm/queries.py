@@ -62,10 +62,9 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jpeg_media.decode_media(jpeg_media.encode_media(documents(spark, sf_dir)))
-    feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash")
     return found.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
     )
 
 

@@ -141,6 +141,16 @@ def test_jpeg(docs):
         jpeg_media.decode_images([b"\xff\xd8\xff\xc2\x00\x0b"])
 
 
+def test_jpeg_feature_of_all_images(spark):
+    """A text of several images differs in its feature where a later image differs."""
+    head, tails = "a" * (2731 * jpeg_media.UNIT - 192), ["abcdefghijkl" * 16, "lkjihgfedcba" * 16]
+    rows = spark.createDataFrame([(k, head + t) for k, t in enumerate([*tails, tails[0]])], "doc_id long, text string")
+    one, two, three = jpeg_media.decode_media(jpeg_media.encode_media(rows)).orderBy("doc_id").collect()
+    assert one["n_images"] == len(one["feature"].split(",")) > 1
+    assert one["thumbnail_hash"] == two["thumbnail_hash"] and one["feature"] != two["feature"] and one["feature"] == three["feature"]
+    assert one["feature"].startswith(f"{one['width']}x{one['height']}:{one['thumbnail_hash']},")
+
+
 def test_jpeg_with_ac_coefficients():
     """A hand-made image of two blocks without restart markers: AC codes are skipped."""
     dc, ac = (0, 2, *[0] * 14), (0, 2, 1, *[0] * 13)
