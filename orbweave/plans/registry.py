@@ -57,6 +57,19 @@ def q_spatial_rank(spark, d):
     return out.select("id", *(F.round(F.get("rank", F.lit(k)), DIGITS).alias(f"r{k + 1}") for k in range(4)))
 
 
+def _coordinates(out: DataFrame, name: str) -> DataFrame:
+    """Rows (id, d, v), one a coordinate; d from 1."""
+    return out.select("id", F.posexplode(name).alias("d", "v")).select("id", (F.col("d") + 1).alias("d"), (F.round("v", DIGITS) + 0.0).alias("v"))
+
+
+def q_spatial_sign_coordinates(spark, d):
+    return _coordinates(foundations.spatial_sign(vectors(spark, d)), "sign")
+
+
+def q_spatial_rank_coordinates(spark, d):
+    return _coordinates(foundations.spatial_rank(vectors(spark, d)), "rank")
+
+
 def q_sscm(spark, d):
     return matrix(spark, foundations.sscm(vectors(spark, d), center="none"))
 
@@ -200,6 +213,11 @@ def oracle_sql() -> dict[str, str]:
         "q_spatial_rank": f"""WITH {_E}, p AS (SELECT a.id, b.id AS o, a.d, a.v - b.v AS v FROM e a JOIN e b ON a.d = b.d),
             n AS (SELECT id, o, sqrt(sum(v * v)) AS norm FROM p GROUP BY 1, 2), c AS (SELECT count(*) AS n FROM embeddings)
             SELECT p.id, {r} FROM p JOIN n ON p.id = n.id AND p.o = n.o, c WHERE p.d <= 4 GROUP BY p.id""",
+        "q_spatial_sign_coordinates": f"""WITH {_E}, n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM e GROUP BY id)
+            SELECT e.id, d::INTEGER AS d, round(CASE WHEN norm > 0 THEN v / norm ELSE 0 END, {DIGITS}) + 0.0 AS v FROM e JOIN n ON e.id = n.id""",
+        "q_spatial_rank_coordinates": f"""WITH {_E}, p AS (SELECT a.id, b.id AS o, a.d, a.v - b.v AS v FROM e a JOIN e b ON a.d = b.d),
+            n AS (SELECT id, o, sqrt(sum(v * v)) AS norm FROM p GROUP BY 1, 2), c AS (SELECT count(*) AS n FROM embeddings)
+            SELECT p.id, d::INTEGER AS d, round(sum(CASE WHEN norm > 0 THEN v / norm ELSE 0 END) / max(n), {DIGITS}) + 0.0 AS v FROM p JOIN n ON p.id = n.id AND p.o = n.o, c GROUP BY 1, 2""",
         "q_sscm": f"""WITH {_E}, n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM e GROUP BY id), c AS (SELECT count(*) AS n FROM embeddings)
             SELECT a.d::INTEGER AS i, b.d::INTEGER AS j, round(sum(a.v * b.v / (norm * norm)) / max(c.n), {DIGITS}) + 0.0 AS v FROM e a JOIN e b ON a.id = b.id JOIN n ON n.id = a.id, c GROUP BY 1, 2""",
         "q_bai_saranadasa": f"""{_TWO}, t AS (SELECT sum(s * s) AS ss, sum(CASE WHEN i = j THEN s END) AS tr, max(n1) AS n1, max(n2) AS n2 FROM s2),

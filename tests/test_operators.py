@@ -272,3 +272,24 @@ def test_sign_max_of_scaled_median(spark, data):
     got = location.spatial_sign_max_test(df)
     raw = n * (fit.value**2 / fit.shape).max() * p * (1 - n**-0.5) * (1 / r).mean() ** 2
     assert got["raw"] == pytest.approx(raw)
+
+
+def test_queries_of_all_coordinates(spark, tmp_path):
+    """Every coordinate of every sign and rank, as numpy and the queries' SQL have them."""
+    from orbweave.plans import registry
+
+    x = np.random.default_rng(4).normal(size=(12, 64)).astype(np.float32)
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame([(k, k % 3, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, label int, embedding array<float>").write.parquet(path)
+    x = x.astype(float)
+    pairs = x[:, None] - x[None]
+    norm = np.linalg.norm(pairs, axis=2, keepdims=True)
+    want = {"sign": unit(x), "rank": (pairs / np.where(norm > 0, norm, 1)).mean(1)}
+    for name, m in want.items():
+        query = f"q_spatial_{name}_coordinates"
+        got = {(r["id"], r["d"]): r["v"] for r in registry.queries()[query](spark, str(tmp_path)).collect()}
+        assert got == pytest.approx({(i, k + 1): v for (i, k), v in np.ndenumerate(m)}, abs=1e-6)
+        duckdb = pytest.importorskip("duckdb")
+        with duckdb.connect() as c:
+            c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
+            assert {(i, d): v for i, d, v in c.execute(registry.oracle_sql()[query]).fetchall()} == pytest.approx(got, abs=2e-6)
