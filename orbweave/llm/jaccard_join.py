@@ -59,7 +59,7 @@ LISTS = pa.schema([("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("
 BLOCKS = pa.schema([("x", pa.int64()), ("x1", pa.int64()), ("x2", pa.int64()), ("part", pa.int32()), ("y", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("shingles", pa.binary())])
 PARITIES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
 REST = pa.schema([(c, pa.int64()) for c in ("x", "x1", "x2", "y", "y1", "y2")])
-LINKS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("overlap", pa.int64()), ("union", pa.int64())])
+LINKS = pa.schema([(c, pa.int64()) for c in ("x", "x1", "x2", "y", "y1", "y2", "overlap", "union")])
 
 
 def required(sizes_a, sizes_b, percent: int):
@@ -255,17 +255,17 @@ def _search(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, query, last, ys, sets = None, None, None, [], []
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, ...]] = []
 
         def close() -> None:
             if query is None or not sets:
                 return
             sizes = np.array([len(s) for s in sets])
             found = search(query, sets, required(len(query), sizes, percent).tolist())
-            out.extend((now[0], ys[k], n, len(query) + int(sizes[k]) - n) for k, n in found.items())
+            out.extend((*now[:3], *ys[k], n, len(query) + int(sizes[k]) - n) for k, n in found.items())
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], [], []))], schema=LINKS)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 8)], schema=LINKS)
             out.clear()
             return batch
 
@@ -279,7 +279,7 @@ def _search(percent: int):
                     query = s
                 elif last != (y, k1, k2):
                     last = y, k1, k2
-                    ys.append(y)
+                    ys.append(last)
                     sets.append(s)
                     if len(sets) >= 4 * BLOCK:
                         close()
@@ -305,6 +305,57 @@ def _links(spark: SparkSession, texts: DataFrame, pairs: DataFrame, words: int,
     return written(blocks.mapInArrow(_search(percent), ddl(LINKS)), "similar")
 
 
+def _start(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their sets' keys, different sets (k1, k2, node), and what their lists give."""
+    sets = written(texts.mapInArrow(_sets(words), ddl(SETS)), "sets")
+    frequent = texts.sparkSession.sparkContext.broadcast(_frequent(sets.where("h is not null").select("h", "seen")))
+    # the rows of documents have a key; those of frequent shingles have none
+    members = sets.where("k1 is not null").select("doc_id", "n", "k1", "k2")
+    nodes = members.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
+    postings = texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(_postings(words, percent, frequent), ddl(POSTINGS))
+    postings = postings.repartition(partitions(texts.sparkSession), "h", "salt").sortWithinPartitions("h", "salt", "k1", "k2")
+    return members, nodes, written(postings.mapInArrow(_lists(percent), ddl(LISTS)), "lists")
+
+
+def _listed(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (x, x1, x2, y, y1, y2) that the lists give."""
+    x = nodes.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("node").alias("x"))
+    y = nodes.select(F.col("k1").alias("y1"), F.col("k2").alias("y2"), F.col("node").alias("y"))
+    pairs = lists.where("h is null").select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("b1").alias("y1"), F.col("b2").alias("y2")).distinct()
+    return pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"])
+
+
+def jaccard_links(docs: DataFrame, words: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """All links: rows (x, x1, x2, y, y1, y2, overlap, union), one a pair of different sets alike.
+
+    ``x1, x2`` and ``y1, y2`` are the sets' keys, ``x`` and ``y`` the least ids of
+    documents with them.  Documents with equal sets are one here.  A family of m
+    near copies has up to m * (m - 1) / 2 links, and all are searched.
+    """
+    spark = docs.sparkSession
+    texts = id_and_text(docs, id_column, text_column)
+    _, nodes, lists = _start(texts, words, percent)
+    nodes = written(nodes.withColumn("component", F.monotonically_increasing_id()), "nodes")
+    pairs = _plausible(texts, _listed(lists, nodes), words, percent)
+    # every set is a component of its own, and none is a list's largest: all meet all
+    long = written(lists.where("h is not null").select("h", "k1", "k2", "size", "place").distinct().join(nodes, ["k1", "k2"]).withColumn("main", F.lit(-1).cast("long")), "long")
+    bits = _node_parities(texts, long.select(F.col("node").alias("doc_id"), "k1", "k2"), words)
+    more = _cells(spark, long.join(bits.drop("n"), ["k1", "k2"]), percent, False)
+    a, b = (F.struct(*(F.col(f"{c}{k}").alias(n) for k, n in (("1", "k1"), ("2", "k2"), ("", "node")))) for c in "xy")
+    both = pairs.select(*REST.names).union(more.select(*REST.names)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    both = both.select(*(F.col(f"{s}.{n}").alias(f"{c}{k}") for s, c in (("a", "x"), ("b", "y")) for n, k in (("node", ""), ("k1", "1"), ("k2", "2"))))
+    return _links(spark, texts, written(both, "all-pairs"), words, percent)
+
+
+def jaccard_link_counts(docs: DataFrame, words: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows (doc_id, n_links), one a row of ``docs``: how many different sets are alike to its own."""
+    links = jaccard_links(docs, words, percent, id_column, text_column)
+    ends = links.select(F.col("x1").alias("k1"), F.col("x2").alias("k2")).union(links.select("y1", "y2")).groupBy("k1", "k2").agg(F.count("*").alias("n_links"))
+    members = id_and_text(docs, id_column, text_column).mapInArrow(_sets(words), ddl(SETS)).where("k1 is not null").select("doc_id", "n", "k1", "k2")
+    found = members.join(ends, ["k1", "k2"], "left")
+    return found.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one a row of ``docs``.
 
@@ -318,19 +369,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_column, text_column)
-    sets = written(texts.mapInArrow(_sets(words), ddl(SETS)), "sets")
-    frequent = spark.sparkContext.broadcast(_frequent(sets.where("h is not null").select("h", "seen")))
-    # the rows of documents have a key; those of frequent shingles have none
-    members = sets.where("k1 is not null").select("doc_id", "n", "k1", "k2")
+    members, nodes, lists = _start(texts, words, percent)
     linkable = members.where("doc_id is not null and n > 0")
-    nodes = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    postings = texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(_postings(words, percent, frequent), ddl(POSTINGS))
-    postings = postings.repartition(partitions(spark), "h", "salt").sortWithinPartitions("h", "salt", "k1", "k2")
-    lists = written(postings.mapInArrow(_lists(percent), ddl(LISTS)), "lists")
-    x = nodes.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("node").alias("x"))
-    y = nodes.select(F.col("k1").alias("y1"), F.col("k2").alias("y2"), F.col("node").alias("y"))
-    pairs = lists.where("h is null").select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("b1").alias("y1"), F.col("b2").alias("y2")).distinct()
-    pairs = _plausible(texts, pairs.join(x, ["x1", "x2"]).join(y, ["y1", "y2"]).where("x <> y"), words, percent)
+    pairs = _plausible(texts, _listed(lists, nodes).where("x <> y"), words, percent)
     links = _links(spark, texts, pairs, words, percent).select("x", "y")
     # one document with several texts joins their nodes
     several = linkable.join(nodes, ["k1", "k2"]).where("doc_id <> node").select(F.col("doc_id").alias("x"), F.col("node").alias("y"))

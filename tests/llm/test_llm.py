@@ -246,6 +246,30 @@ def test_jaccard_join_of_documents_with_several_texts(spark):
     assert len({(r["doc_id"], r["component_id"]) for r in found}) == len(want)
 
 
+def test_jaccard_links_are_all_links(spark, monkeypatch):
+    """Also those inside one component, of long lists and split ones."""
+    g = random.Random(14)
+    base = [f"w{g.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base)] * 30
+    for _ in range(25):
+        x = list(base)
+        for _ in range(g.randint(1, 4)):
+            x[g.randrange(300)] = f"v{g.randrange(10**6)}"
+        texts.append(" ".join(x))
+    texts += [None, "short", "Short"]
+    sets = [{tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    kinds = {frozenset(s): min(i for i, t in enumerate(sets) if t == s) for s in sets if s}
+    want = {(i, j): (len(a & b), len(a | b)) for a, i in kinds.items() for b, j in kinds.items() if i < j and 100 * len(a & b) >= 85 * len(a | b)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 6)
+    monkeypatch.setattr(jaccard_join, "CELL", 7)
+    monkeypatch.setattr(jaccard_join, "SALT_FROM", 20)
+    rows = jaccard_join.jaccard_links(df).collect()
+    assert len(rows) == len(want) > 100 and {(min(r["x"], r["y"]), max(r["x"], r["y"])): (r["overlap"], r["union"]) for r in rows} == want
+    counts = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_link_counts(df).collect()}
+    assert counts == {i: sum(kinds[frozenset(s)] in p for p in want) if s else 0 for i, s in enumerate(sets)}
+
+
 def test_parities_bound_the_difference():
     g = np.random.default_rng(5)
     for n in (1, 64, 65, 700, 3000):
