@@ -28,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orbweave.llm.common import binary_array, id_and_text, in_batches
-from orbweave.llm.packing import ddl
+from orbweave.llm.common import binary_array, ddl, id_and_text, in_batches
 from orbweave.llm.text_kernels import ragged
-from orbweave.llm.word_tokens import WordTokens
+from orbweave.llm.word_tokens import Pieces, read_specification
 
 END = 256  # symbols at or above end their piece
 _NONE = -1
@@ -126,15 +125,18 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class PrefixBPE(WordTokens):
-    """`WordTokens` whose pieces are encoded by the prefixes' last tokens."""
+class PrefixBPE(Pieces):
+    """Pieces are encoded by the prefixes' last tokens.
+
+    Made on the driver and broadcast: tables of numbers, bounded by the vocabulary.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__(path)
+        spec = read_specification(path)
+        super().__init__(spec)
         if not self.known:
             raise ValueError("this file's normalizer, splitting or model is not the one known here")
-        self.names = [self.whole.id_to_token(i) for i in range(self.size)]
-        model = json.loads(self.whole.to_str())["model"]
+        model = spec["model"]
         vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
         self.bytes_of = {c: b for b, c in byte_characters().items()}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -161,6 +163,9 @@ class PrefixBPE(WordTokens):
         edges = np.array([(s, c, t) for s, out in enumerate(to) for c, t in out.items()], np.int64)
         self.next = PairTable(edges[:, 0], edges[:, 1], edges[:, 2], 2 * END)
         self._link_tokens(words, to)
+        # the library's normalizer and splitting, for texts that numpy does not split
+        light = spec | {"added_tokens": [], "post_processor": None, "truncation": None, "padding": None, "model": model | {"vocab": {}, "merges": [], "unk_token": None}}
+        self.light = json.dumps(light)
 
     def _symbols(self, token: str, suffix: str) -> tuple[int, ...]:
         body, final = (token[: -len(suffix)], True) if len(token) > len(suffix) and token.endswith(suffix) else (token, False)
@@ -263,12 +268,13 @@ class PrefixBPE(WordTokens):
         """A text with special tokens or with characters that need the library's tables."""
         import regex
 
+        library = _library(self.light)
         ids: list[np.ndarray] = [np.empty(0, np.uint32)]
         for part in regex.split("(" + "|".join(map(regex.escape, self.specials)) + ")", text) if self.specials else [text]:
-            if part in self.specials:
-                ids.append(np.array([self.whole.token_to_id(part)], np.uint32))
+            if part in self.special_ids:
+                ids.append(np.array([self.special_ids[part]], np.uint32))
             elif part:
-                found = self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(part))
+                found = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part))
                 pieces = [bytes(self.bytes_of[c] for c in p) for p, _ in found]
                 different = sorted(set(pieces))
                 if different:
@@ -280,47 +286,93 @@ class PrefixBPE(WordTokens):
                     ids.append(self.id_of[ranks[ragged((np.cumsum(counts) - counts)[at], counts[at])]])
         return np.concatenate(ids)
 
+
+class Names:
+    """``decode`` gives texts as the library decodes ids, special tokens included."""
+
+    def __init__(self, path: str) -> None:
+        spec = read_specification(path)
+        vocabulary = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.names = [""] * (1 + max(vocabulary.values(), default=0))
+        for name, i in vocabulary.items():
+            self.names[i] = name
+        self.light = json.dumps(spec | {"added_tokens": [], "post_processor": None, "truncation": None, "padding": None, "model": spec["model"] | {"vocab": {}, "merges": [], "unk_token": None}}) if spec["decoder"] else None
+
     def decode(self, ids: np.ndarray, begins: np.ndarray) -> list[str]:
-        """Texts as the library decodes ids, special tokens included."""
-        if self.whole.decoder is not None:
-            return [self.whole.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
-        names = self.names
-        return [" ".join(map(names.__getitem__, ids[a:b].tolist())) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+        name, at = self.names.__getitem__, list(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True))
+        if self.light:
+            decoder = _library(self.light).decoder
+            return [decoder.decode(list(map(name, ids[a:b].tolist()))) for a, b in at]
+        return [" ".join(map(name, ids[a:b].tolist())) for a, b in at]
 
 
-_LOADED: dict[str, PrefixBPE] = {}
+@cache
+def _library(specification: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(specification)
 
 
+@cache
 def load(path: str) -> PrefixBPE:
-    """One a Python worker; the automaton is built once."""
-    if path not in _LOADED:
-        _LOADED[path] = PrefixBPE(path)
-    return _LOADED[path]
+    """One a process; the automaton is built once, on the driver."""
+    return PrefixBPE(path)
+
+
+@cache
+def load_names(path: str) -> Names:
+    return Names(path)
 
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 DECODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
 
+def _encoded(tables: PrefixBPE, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return tables.encode([t or "" for t in texts.to_pylist()])
+
+
+def _bytes(flat: np.ndarray, at: np.ndarray) -> pa.Array:
+    return binary_array(flat.astype("<u4").tobytes(), 4 * at)
+
+
 def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids): ids are little-endian unsigned 32-bit.
 
     A null text counts as empty and has no ids.  Rows with equal or null ids are
     answered each; other columns are ignored; an empty table stays empty.
     """
+    tables = docs.sparkSession.sparkContext.broadcast(load(tokenizer))
 
     def run(ids: pa.Array, texts: pa.Array) -> list:
-        flat, at = load(tokenizer).encode([t or "" for t in texts.to_pylist()])
-        return [ids, np.diff(at), binary_array(flat.astype("<u4").tobytes(), 4 * at)]
+        flat, at = _encoded(tables.value, texts)
+        return [ids, np.diff(at), _bytes(flat, at)]
 
     return id_and_text(docs, id_column, text_column).mapInArrow(in_batches(["doc_id", "text"], ENCODED, run), ddl(ENCODED))
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """The rows of `encode` with the text that the library decodes."""
+    """The rows of `encode` with the text that the library decodes.
+
+    No ids, an empty text.  Needs the tokens' names only.
+    """
+    names = encoded.sparkSession.sparkContext.broadcast(load_names(tokenizer))
 
     def run(ids: pa.Array, counts: pa.Array, data: pa.Array) -> list:
         n = counts.to_numpy()
-        return [ids, counts, data, load(tokenizer).decode(np.frombuffer(b"".join(data.to_pylist()), "<u4"), np.r_[0, np.cumsum(n)])]
+        return [ids, counts, data, names.value.decode(np.frombuffer(b"".join(data.to_pylist()), "<u4"), np.r_[0, np.cumsum(n)])]
 
     return encoded.mapInArrow(in_batches(["doc_id", "n_tokens", "ids"], DECODED, run), ddl(DECODED))
+
+
+def round_trip(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `decode` of `encode`, in one pass: a task has one Python worker, not two."""
+    context = docs.sparkSession.sparkContext
+    tables, names = context.broadcast(load(tokenizer)), context.broadcast(load_names(tokenizer))
+
+    def run(ids: pa.Array, texts: pa.Array) -> list:
+        flat, at = _encoded(tables.value, texts)
+        stored = _bytes(flat, at)
+        return [ids, np.diff(at), stored, names.value.decode(np.frombuffer(b"".join(stored.to_pylist()), "<u4"), at)]
+
+    return id_and_text(docs, id_column, text_column).mapInArrow(in_batches(["doc_id", "text"], DECODED, run), ddl(DECODED))

@@ -73,8 +73,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer()
-    rows = prefix_bpe.decode(prefix_bpe.encode(documents(spark, sf_dir), path), path)
+    rows = prefix_bpe.round_trip(documents(spark, sf_dir), tokenizer())
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

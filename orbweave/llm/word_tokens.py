@@ -6,21 +6,25 @@ pieces that the file's pre-tokenizer makes, the library's model encodes each
 different piece once, and numpy lays the pieces' ids out again.  Texts with a
 character outside a set where both are known to agree, or with the string of a
 special token, are left to the library as they are; so are all texts if a file
-has another normalizer or pre-tokenizer than the one known here.
+has another normalizer or pre-tokenizer than the one known here.  Long texts are
+cut at white space, so that the memory taken does not grow with them.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
 
+from orbweave.llm.common import tool
 from orbweave.llm.text_kernels import groups, hash_spans, ragged
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-CACHE_PIECES = 1 << 21
-GROUP_CHARACTERS = 1 << 19
+CACHE_PIECES = 1 << 18
+GROUP_CHARACTERS = 1 << 18
+_BREAK = re.compile(r"[ \t\n]")
 #: The pre-tokenizer's pattern that `split` follows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -89,26 +93,18 @@ class PieceCache:
         return self.begins[at], self.lengths[at]
 
 
-class WordTokens:
-    """``encode`` gives the ids of the library, without special tokens added."""
+class Pieces:
+    """Ids of texts from the ids of their pieces; how a piece gets its ids is a subclass's.
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    ``specification`` is the tokenizer file's content.
+    """
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        spec = json.loads(self.whole.to_str())
-        self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.size = self.whole.get_vocab_size()
-        self.known = self._known(spec)
-        if self.known:
-            spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}}
-            self.pieces = Tokenizer.from_str(json.dumps(spec))
-            suffix = spec["model"]["end_of_word_suffix"]
-            self.final = np.zeros(self.size, bool)
-            for token, i in spec["model"]["vocab"].items():
-                self.final[i] = token.endswith(suffix)
+    def __init__(self, specification: dict) -> None:
+        model = specification["model"]
+        self.specials = [t["content"] for t in specification["added_tokens"]]
+        self.special_ids = {t["content"]: t["id"] for t in specification["added_tokens"]}
+        self.size = 1 + max(*model["vocab"].values(), *self.special_ids.values(), 0, 0)
+        self.known = self._known(specification)
         self.cache = PieceCache()
 
     @staticmethod
@@ -120,16 +116,11 @@ class WordTokens:
 
     def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of different pieces, and how many each has."""
-        step = 512
-        found = self.pieces.encode_batch_fast([" ".join(pieces[i : i + step]) for i in range(0, len(pieces), step)], add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, np.uint32) for x in found])
-        lengths = np.diff(np.flatnonzero(self.final[ids]), prepend=-1)
-        assert len(lengths) == len(pieces), "a piece without an end"
-        return ids, lengths
+        raise NotImplementedError
 
     def _odd(self, text: str) -> np.ndarray:
         """Ids of a text that is not for numpy."""
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        raise NotImplementedError
 
     def _group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\n".join(texts)
@@ -160,24 +151,77 @@ class WordTokens:
         at = total[np.searchsorted(starts, np.r_[0, np.cumsum(sizes + 1)])]
         return ids, np.diff(at)
 
+    def _parts(self, text: str) -> list[str]:
+        """A long text cut at white space, where no piece, nor anything the normalizer joins, goes on."""
+        if len(text) <= GROUP_CHARACTERS or not self.known or any(s in text for s in self.specials):
+            return [text]
+        out, at = [], 0
+        while len(text) - at > GROUP_CHARACTERS and (m := _BREAK.search(text, at + GROUP_CHARACTERS)):
+            out.append(text[at : m.start()])
+            at = m.start()
+        return [*out, text[at:]]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one uint32 array, and where each text's begin (one more)."""
-        ids, counts = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
-        for a, b in groups(texts, GROUP_CHARACTERS):
-            x, n = self._group(texts[a:b])
+        parts = [self._parts(t) for t in texts]
+        flat = [x for p in parts for x in p]
+        ids, counts = [np.empty(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a, b in groups(flat, GROUP_CHARACTERS):
+            x, n = self._group(flat[a:b])
             ids.append(x)
             counts.append(n)
-        return np.concatenate(ids), np.cumsum(np.concatenate(counts))
+        ends = np.r_[0, np.cumsum(np.concatenate(counts))]
+        return np.concatenate(ids), ends[np.r_[0, np.cumsum([len(p) for p in parts], dtype=np.int64)]]
 
 
-_LOADED: dict[str, WordTokens] = {}
+def read_specification(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+class WordTokens(Pieces):
+    """``encode`` gives the ids of the library, without special tokens added."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        spec = read_specification(path)
+        super().__init__(spec)
+        self.path, self._whole = path, None
+        if self.known:
+            spec |= {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}}
+            self.pieces = Tokenizer.from_str(json.dumps(spec))
+            suffix = spec["model"]["end_of_word_suffix"]
+            self.final = np.zeros(self.size, bool)
+            for token, i in spec["model"]["vocab"].items():
+                self.final[i] = token.endswith(suffix)
+
+    @property
+    def whole(self):
+        """The library's own tokenizer, loaded when a text first needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+            self._whole.no_truncation()
+            self._whole.no_padding()
+        return self._whole
+
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        step = 512
+        found = self.pieces.encode_batch_fast([" ".join(pieces[i : i + step]) for i in range(0, len(pieces), step)], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in found])
+        lengths = np.diff(np.flatnonzero(self.final[ids]), prepend=-1)
+        assert len(lengths) == len(pieces), "a piece without an end"
+        return ids, lengths
+
+    def _odd(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def load(path: str) -> WordTokens:
     """One a Python worker; a file is read once."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokens(path)
-    return _LOADED[path]
+    return tool(("word_tokens", path), lambda: WordTokens(path))
 
 
 def with_end(ids: np.ndarray, begins: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
