@@ -1,7 +1,7 @@
 """Token counts: an exact histogram of document lengths.
 
 One pass encodes every text and counts how many documents have each length; the
-histogram is small whatever the corpus.  Suffix sums over it answer, for every
+histogram is small whatever the corpus, and written, so that nothing is encoded twice.  Suffix sums over it answer, for every
 context limit, how many documents and tokens lie above and how many tokens stay
 when documents are cut there, and every quantile.  They are summed over blocks
 of ``BLOCK`` lengths first and then within each block, so that no task gets the
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import in_batches
+from orbweave.llm.common import in_batches, written
 from orbweave.llm.word_tokens import load
 
 BLOCK = 256
@@ -44,8 +44,9 @@ def with_suffix_sums(counts: DataFrame) -> DataFrame:
     documents hold when each is cut to that length; quantile: the share of
     documents of at most that length.  Equal to the same sums over documents.
     Between two lengths, ``truncated_tokens`` is linear in the limit.  An empty
-    table gives no rows.
+    table gives no rows.  ``counts`` has a row a length, as `histogram` gives it.
     """
+    counts = written(counts.select("length", "n_docs"), "histogram")
     counts = counts.select("length", "n_docs", F.floor(F.col("length") / BLOCK).cast("long").alias("block"))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("length")).alias("tokens"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)

@@ -44,7 +44,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = token_files.read_token_files(spark, *token_files.write_token_files(documents(spark, sf_dir), tokenizer()))
+    rows = token_files.read_token_files(spark, token_files.write_token_files(documents(spark, sf_dir), tokenizer()))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
