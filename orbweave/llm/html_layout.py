@@ -6,8 +6,12 @@ blocks on lines of their own, blank lines around paragraphs, headings, lists
 and tables, list items behind bullets or numbers, table cells laid out like pages
 and aligned in columns, white space collapsed except in preformatted text.
 
-Nothing recurses, so nesting may be as deep as a page makes it, and every byte
-is looked at a bounded number of times.
+Nothing recurses, so nesting may be as deep as a page makes it.  What layout adds
+is bounded: lines are indented by ``INDENT`` columns at most, and a table whose
+aligned form would have more than ``PADDING`` times its visible characters, and
+``PADDING_FREE`` more, has its cells one under another instead.  So the text has
+at most about ``INDENT + PADDING`` times the characters of the page, and no word
+is lost.
 """
 
 from __future__ import annotations
@@ -15,14 +19,14 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from functools import cache
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import in_batches
-from orbweave.llm.packing import ddl
+from orbweave.llm.common import ddl, in_batches
 
 #: Element names by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,8 +61,16 @@ _STYLE = re.compile(r"(display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))"
 
 #: Tables deeper in tables than this have cells of one line.
 NESTED = 32
-#: A table that aligned would be of more characters has its cells one under another.
-TABLE_SIZE = 1 << 22
+#: A table may have so many characters aligned for each visible one, and so many more.
+PADDING, PADDING_FREE = 8, 1024
+#: Deeper indentation is not shown.
+INDENT = 64
+
+
+@cache
+def _end_of(name: str) -> re.Pattern[str]:
+    """The end tag of an element of raw text, in any case of A-Z."""
+    return re.compile("</" + name, re.I | re.A)
 
 
 class Node:
@@ -97,7 +109,6 @@ def parse(text: str) -> Node:
     stack = [root]
     places: dict[str, list[int]] = {}
     last = {q: text.rfind(q) for q in "'\""}
-    low = None
     at, n = 0, len(text)
 
     def add(data: str) -> None:
@@ -160,8 +171,8 @@ def parse(text: str) -> Node:
         if name in VOID or text[at - 2 : at] == "/>" and name not in BLOCK:
             continue
         if name in RAW or name in ESCAPABLE:
-            low = low or text.lower()
-            end = low.find("</" + name, at)
+            found = _end_of(name).search(text, at)
+            end = found.start() if found else -1
             data = text[at : n if end < 0 else end]
             if name in ESCAPABLE:
                 data = html.unescape(data)
@@ -209,14 +220,26 @@ class _Lines:
             self.now = []
         self.space = False
 
-    def put(self, line: str) -> None:
-        if self.blank and self.lines:
+    def put(self, line: str, kept: bool = False) -> None:
+        """Add a line; empty ones after an empty one only where ``kept``."""
+        if self.blank and self.lines and self.lines[-1]:
             self.lines.append("")
         self.blank = False
-        lead = self.prefix
+        lead = self.prefix[:INDENT]
         if self.mark:
-            lead, self.mark = self.prefix[: len(self.prefix) - len(self.mark)] + self.mark, ""
-        self.lines.append((lead + line).rstrip())
+            lead, self.mark = self.prefix[: len(self.prefix) - len(self.mark)][:INDENT] + self.mark, ""
+        line = (lead + line).rstrip()
+        if line or kept or self.lines and self.lines[-1]:
+            self.lines.append(line)
+
+    def text_lines(self) -> list[str]:
+        """All lines but empty ones at the ends."""
+        first, last = 0, len(self.lines)
+        while first < last and not self.lines[first]:
+            first += 1
+        while first < last and not self.lines[last - 1]:
+            last -= 1
+        return self.lines[first:last]
 
 
 def _span(text: str) -> int:
@@ -309,7 +332,8 @@ def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
         for k, line in enumerate(lines, top[r]):
             if line:
                 out[k].append((begin, line))
-    if sum(max(begin + len(line) for begin, line in x) for x in out if x) > TABLE_SIZE:
+    seen = sum(len(line) - line.count(" ") for *_, lines in cells for line in lines)
+    if sum(max(begin + len(line) for begin, line in x) for x in out if x) > PADDING * seen + PADDING_FREE:
         return [line for *_, lines in cells for line in lines]
     found = []
     for x in out:
@@ -345,7 +369,7 @@ def render(root: Node) -> str:
                 first, *rest = x.replace("\r\n", "\n").split("\n")
                 out.now.append(first)
                 for line in rest:
-                    out.put("".join(out.now))
+                    out.put("".join(out.now), True)
                     out.now = [line]
             else:
                 out.text(x)
@@ -373,7 +397,7 @@ def render(root: Node) -> str:
             def lay(laid=laid) -> None:
                 out.flush()
                 for line in _table(laid):
-                    out.put(line)
+                    out.put(line, True)
                 out.blank = True
 
             todo.append(("call", lay, None))
@@ -385,8 +409,7 @@ def render(root: Node) -> str:
                     def leave_cell(into=into, across=across, down=down) -> None:
                         nonlocal out, lists
                         out.flush()
-                        text = re.sub(r"\n{3,}", "\n\n", "\n".join(out.lines)).strip("\n")
-                        into.append((text.split("\n") if text else [], across, down))
+                        into.append((out.text_lines(), across, down))
                         out, lists = outer.pop()
 
                     todo.append(("call", leave_cell, None))
@@ -437,7 +460,7 @@ def render(root: Node) -> str:
         todo += [("call", f, None) for f in reversed(after)]
         todo += [("node", c, x) for c in reversed(x.children)]
     out.flush()
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out.lines)).strip("\n")
+    return "\n".join(out.text_lines())
 
 
 def extract(page: str | None) -> str:
