@@ -22,8 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orbweave.llm.common import binary_array, id_and_text, in_batches
-from orbweave.llm.packing import ddl
+from orbweave.llm.common import binary_array, ddl, id_and_text, in_batches
 from orbweave.llm.text_kernels import groups, ragged
 
 UNIT, SIDE = 576, 24
@@ -159,7 +158,14 @@ class Image:
 
 
 def parse(data: bytes, at: int = 0) -> tuple[Image, int]:
-    """One image and where it ends; ValueError for anything not baseline."""
+    """One image and where it ends; ValueError for anything not baseline or cut short."""
+    try:
+        return _parse(data, at)
+    except (IndexError, KeyError) as e:
+        raise ValueError("a segment is too short") from e
+
+
+def _parse(data: bytes, at: int) -> tuple[Image, int]:
     if data[at : at + 2] != b"\xff\xd8":
         raise ValueError("no start of an image")
     image, at = Image(), at + 2
@@ -175,12 +181,18 @@ def parse(data: bytes, at: int = 0) -> tuple[Image, int]:
         if marker == 0xDB:
             while body:
                 wide = body[0] >> 4
+                if wide > 1 or len(body) < 1 + 64 * (1 + wide):
+                    raise ValueError("not a quantiser")
                 image.quantiser[body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")
                 body = body[1 + 64 * (1 + wide) :]
         elif marker == 0xC4:
             while body:
                 counts = tuple(body[1:17])
-                image.tables[body[0]] = counts, tuple(body[17 : 17 + sum(counts)])
+                symbols = tuple(body[17 : 17 + sum(counts)])
+                fits = len(counts) == 16 and len(symbols) == sum(counts) and sum(c << 15 - k for k, c in enumerate(counts)) <= 1 << 16
+                if not fits or body[0] >> 4 == 0 and max(symbols, default=0) > 11:
+                    raise ValueError("not a Huffman table")
+                image.tables[body[0]] = counts, symbols
                 body = body[17 + sum(counts) :]
         elif marker in (0xC0, 0xC1):
             if body[0] != 8 or body[5] not in (1, 3):
@@ -200,6 +212,11 @@ def parse(data: bytes, at: int = 0) -> tuple[Image, int]:
     if end < 0:
         raise ValueError("no end of the image")
     image.data = data[at:end]
+    image.key()  # a table that is named but missing raises
+    if image.components[0][3] not in image.quantiser or not all(0 < h < 5 and 0 < v < 5 for _, h, v, _ in image.components):
+        raise ValueError("no quantiser, or sampling factors out of range")
+    if image.width * image.height // 64 > 4 * max(len(image.data), 1) * max(h * v for _, h, v, _ in image.components):
+        raise ValueError("too little data for the size")
     return image, end + 2
 
 
@@ -333,7 +350,7 @@ def thumbnail_hash(thumbnail: np.ndarray) -> str:
 
 
 MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("n_images", pa.int64()), ("thumbnail_hash", pa.string()), ("feature", pa.string()), ("payload", pa.binary()), ("media", pa.binary())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("n_images", pa.int64()), ("thumbnail_hash", pa.string()), ("feature", pa.string()), ("payload", pa.binary()), ("media", pa.binary()), ("error", pa.string())])
 
 
 def encode_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -354,20 +371,41 @@ def encode_media(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return id_and_text(docs, id_column, text_column).mapInArrow(in_batches(["doc_id", "text"], MEDIA, run), ddl(MEDIA))
 
 
+def _each(values: list[bytes | None]) -> tuple[list[list | None], list[str | None]]:
+    """Images, or what is wrong, of each value; a damaged one does not spoil the others."""
+    if None not in values:
+        try:
+            return decode_images(values), [None] * len(values)
+        except ValueError as e:
+            if len(values) == 1:
+                return [None], [str(e)]
+    elif len(values) == 1:
+        return [None], ["no medium"]
+    each = [_each([v]) for v in values]
+    return [x[0][0] for x in each], [x[1][0] for x in each]
+
+
 def decode_media(media: DataFrame) -> DataFrame:
     """The rows with what the stored bytes hold: sizes in pixels, number of
     images, the first thumbnail's hash, as feature the sizes and hashes of all
-    images, and all thumbnails' bytes as payload."""
+    images, and all thumbnails' bytes as payload.
+
+    A null or damaged medium has nulls there and says in ``error`` what is wrong;
+    the others are read.  An empty table stays empty.
+    """
 
     def run(ids: pa.Array, n_bytes: pa.Array, stored: pa.Array) -> list:
         values = stored.to_pylist()
-        found = []
-        for a, b in groups(values):
-            found += decode_images(values[a:b])
-        payload = [b"".join(t.tobytes() for _, _, t in x) for x in found]
-        sizes = [np.array([f(x) for x in found], np.int64) for f in (lambda x: x[0][0], lambda x: x[0][1], len)]
-        hashes = [[thumbnail_hash(t) for _, _, t in x] for x in found]
-        feature = [",".join(f"{w}x{h}:{s}" for (w, h, _), s in zip(x, y, strict=True)) for x, y in zip(found, hashes, strict=True)]
-        return [ids, n_bytes, *sizes, [x[0] for x in hashes], feature, payload, stored]
+        found: list[list | None] = []
+        errors: list[str | None] = []
+        sizes = [v or b"" for v in values]
+        for a, b in groups(sizes):
+            some, wrong = _each(values[a:b])
+            found += some
+            errors += wrong
+        hashes = [x and [thumbnail_hash(t) for _, _, t in x] for x in found]
+        feature = [x and ",".join(f"{w}x{h}:{s}" for (w, h, _), s in zip(x, y, strict=True)) for x, y in zip(found, hashes, strict=True)]
+        columns = [[x and f(x) for x in found] for f in (lambda x: x[0][0], lambda x: x[0][1], len)]
+        return [ids, n_bytes, *columns, [x and x[0] for x in hashes], feature, [x and b"".join(t.tobytes() for _, _, t in x) for x in found], stored, errors]
 
     return media.mapInArrow(in_batches(["doc_id", "n_bytes", "media"], FEATURES, run), ddl(FEATURES))
