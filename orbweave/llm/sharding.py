@@ -19,6 +19,8 @@ from orbweave.llm.common import partitions, written
 
 #: Fixed value: the multiplier of the published generator.
 MULTIPLIER = 2862933555777941757
+#: Above so many runs of a shard in a range, they are joined by a shuffle.
+BROADCAST_RUNS = 1 << 18
 _HIGH, _LOW, _MASK = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF, 0xFFFFFFFF
 
 
@@ -72,7 +74,8 @@ def assign_shards(docs: DataFrame, shards: int, id_column: str = "doc_id", text_
     Only ids, sizes and checksums are shuffled, once, by ranges of ids.  Within
     a range the rows are sorted by shard, so a row's place there, less the place
     of its shard's first row, plus the shard's rows in the ranges before, is its
-    slot.  One row a range and shard is broadcast.
+    slot.  One row a range and shard is joined back, by broadcast where ranges
+    times shards are at most ``BROADCAST_RUNS``.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
@@ -85,4 +88,5 @@ def assign_shards(docs: DataFrame, shards: int, id_column: str = "doc_id", text_
     runs = rows.groupBy("shard", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("shard", "part", (F.coalesce(F.sum("n").over(before), _lit(0)) - F.col("first")).alias("shift"))
-    return rows.join(F.broadcast(runs), ["shard", "part"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("at") + F.col("shift")).alias("slot"), "grown_shard")
+    runs = F.broadcast(runs) if partitions(spark) * shards <= BROADCAST_RUNS else runs
+    return rows.join(runs, ["shard", "part"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("at") + F.col("shift")).alias("slot"), "grown_shard")
