@@ -1,11 +1,14 @@
 """Packing: neighbouring documents along a space-filling curve share sequences.
 
 Every document becomes a vector: its token ids are hashed to signed weights in
-``DIMENSIONS`` directions, summed and scaled, so that documents with the same
-tokens lie together.  Each direction is cut into ``2 ** BITS`` cells, and the
-cells' Hilbert number orders the documents.  A range sort by (Hilbert number,
-id) lays all tokens on one line; the line is cut every ``length`` tokens.  So
-each token lies in exactly one piece and only the very last sequence is padded.
+``DIMENSIONS`` directions and averaged, so that documents with the same tokens
+lie together, however long they are.  Each direction is cut into ``2 ** BITS``
+cells that hold equal shares of all tokens (quantiles of the whole corpus, from a
+histogram of ``BINS`` bins), and the cells' Hilbert number orders the documents.
+Documents go along the line in rows of at most one sequence, so that ranges of
+rows are ranges of about as many tokens.  A range sort by (Hilbert number, id)
+lays all tokens on one line; the line is cut every ``length`` tokens.  So each
+token lies in exactly one piece and only the very last sequence is padded.
 
 Each partition of the range sort counts its own tokens; what the earlier
 partitions hold, one number a partition, is summed on the driver.
@@ -16,19 +19,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import binary_array, id_and_text, in_batches, partitions, written
+from orbweave.llm.common import binary_array, ddl, discard, id_and_text, in_batches, partitions, slices, written
 from orbweave.llm.text_kernels import mix, ragged
 from orbweave.llm.word_tokens import load, with_end
 
-DIMENSIONS, BITS = 4, 12
+DIMENSIONS, BITS, BINS = 4, 12, 1 << 14
+_AXES = [f"c{k}" for k in range(DIMENSIONS)]
 
 
 def directions(vocabulary: int) -> np.ndarray:
-    """Fixed pseudo-random weights in +-1 a token id and direction.
+    """Fixed pseudo-random weights, below 1.75, a token id and direction.
 
     Later ids of a merge table stand for rarer, more telling strings and weigh
     more.
@@ -38,13 +43,20 @@ def directions(vocabulary: int) -> np.ndarray:
     return signs * np.sqrt(3 * (ids[:, None] + 1.0) / vocabulary)
 
 
-def cells(ids: np.ndarray, begins: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Integer coordinates of texts, none of them empty."""
-    out = np.empty((len(begins) - 1, DIMENSIONS))
-    size = np.sqrt(np.add.reduceat((weights**2).mean(1)[ids], begins[:-1]))
-    for k in range(DIMENSIONS):
-        out[:, k] = np.add.reduceat(weights[:, k][ids], begins[:-1]) / size
-    return np.minimum((2**BITS) / (1 + np.exp(-1.7 * out)), 2**BITS - 1).astype(np.int64)
+def coordinates(ids: np.ndarray, begins: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The mean weight in each direction of texts, none of them empty: within +-2."""
+    n = np.diff(begins)
+    return np.stack([np.add.reduceat(weights[:, k][ids], begins[:-1]) / n for k in range(DIMENSIONS)], 1) if len(n) else np.empty((0, DIMENSIONS))
+
+
+def bins(values: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((values + 2) * (BINS / 4)), 0, BINS - 1).astype(np.int64)
+
+
+def quantile_cells(weights: np.ndarray) -> np.ndarray:
+    """By bin, the cell among ``2 ** BITS`` by the share of weight below the bin's middle."""
+    middle = np.cumsum(weights) - weights / 2
+    return np.minimum(middle / max(weights.sum(), 1) * 2**BITS, 2**BITS - 1).astype(np.int64)
 
 
 def hilbert(coordinates: np.ndarray, bits: int) -> np.ndarray:
@@ -76,70 +88,103 @@ def hilbert(coordinates: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-TOKENS = pa.schema([("doc_id", pa.int64()), ("curve", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-PLACED = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+TOKENS = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), *((c, pa.float64()) for c in _AXES), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+PLACED = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("before", pa.int64()), ("ids", pa.binary())])
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean"}
-    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+def _cell_tables(encoded: DataFrame) -> np.ndarray:
+    """Cells by direction and bin, from the tokens of all documents; a bounded histogram is gathered."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("axis"), F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col(c) + 2) * (BINS / 4)))).alias("bin")) for k, c in enumerate(_AXES))))
+    found = encoded.select("n", each.alias("e")).groupBy("e.axis", "e.bin").agg(F.sum("n").alias("n")).toPandas()
+    weights = np.zeros((DIMENSIONS, BINS))
+    weights[found["axis"].to_numpy(int), found["bin"].to_numpy(int)] = found["n"].to_numpy(float)
+    return np.stack([quantile_cells(w) for w in weights])
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Pack all documents into sequences of ``length`` tokens.
+def on_curve(encoded: DataFrame) -> DataFrame:
+    """The rows with their documents' place on the curve."""
+    tables = _cell_tables(encoded)
 
-    Returns a row a piece: doc_id, start (the document's tokens before it),
-    length, ids (little-endian unsigned 32-bit), doc_tokens (with ``end_id``),
-    sequence_id and offset (place there).  A null text counts as empty and has
-    just ``end_id``.  Rows with equal or null ids are separate documents.  An
-    empty table gives no pieces.  Other columns are ignored.
+    @F.pandas_udf("long")
+    def curve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        cells = np.stack([tables[k][bins(x.to_numpy())] for k, x in enumerate((a, b, c, d))], 1)
+        return pd.Series(hilbert(cells, BITS))
+
+    return encoded.withColumn("curve", curve(*_AXES))
+
+
+def line(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """All tokens in the line's order: rows of up to ``length`` tokens of one document.
+
+    Columns: doc_id, doc_tokens, start, n, part, before (the tokens before the row
+    in its part; parts follow one another), ids (2 or 4 bytes each).
     """
 
     def tokens(ids: pa.Array, texts: pa.Array) -> list:
-        tool = load(tokenizer)
-        flat, at = with_end(*tool.encode([t or "" for t in texts.to_pylist()]), end_id)
-        width = np.uint16 if tool.size <= 1 << 16 and end_id < 1 << 16 else np.uint32
-        key = hilbert(cells(flat, at, directions(max(tool.size, end_id + 1))), BITS)
-        return [ids, key, np.diff(at), binary_array(flat.astype(width).tobytes(), at * np.dtype(width).itemsize)]
+        words = load(tokenizer)
+        if not hasattr(words, "directions"):
+            words.directions = directions(max(words.size, end_id + 1))
+        flat, at = with_end(*words.encode([t or "" for t in texts.to_pylist()]), end_id)
+        width = np.uint16 if words.size <= 1 << 16 and end_id < 1 << 16 else np.uint32
+        n = np.diff(at)
+        count = -(-n // length)
+        doc = np.repeat(np.arange(len(n)), count)
+        start = ragged(np.zeros(len(n), np.int64), count) * length
+        place = coordinates(flat, at, words.directions)[doc]
+        begins = np.r_[at[doc] + start, at[-1]]
+        return [ids.take(pa.array(doc)), n[doc], *place.T, start, np.diff(begins), binary_array(flat.astype(width).tobytes(), begins * np.dtype(width).itemsize)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, total = TaskContext.get().partitionId(), 0
         for b in batches:
-            n = b.column(2).to_numpy()
+            n = b.column("n").to_numpy()
             ends = total + np.cumsum(n)
             total = int(ends[-1]) if len(ends) else total
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), b.column(2), b.column(3)], schema=PLACED)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "doc_tokens", "start", "n")), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), b.column("ids")], schema=PLACED)
 
-    spark = docs.sparkSession
-    encoded = id_and_text(docs, id_column, text_column).mapInArrow(in_batches(["doc_id", "text"], TOKENS, tokens), ddl(TOKENS))
-    encoded = written(encoded, "pack-tokens")
-    ordered = encoded.repartitionByRange(partitions(spark), "curve", "doc_id", "n").sortWithinPartitions("curve", "doc_id", "n", "ids")
+    encoded = written(id_and_text(docs, id_column, text_column).mapInArrow(in_batches(["doc_id", "text"], TOKENS, tokens), ddl(TOKENS)), "pack-tokens")
+    # the first direction tells documents of one id and length apart
+    order = ("curve", "doc_id", "doc_tokens", _AXES[0], "start")
+    ordered = on_curve(encoded).select(*order, "n", "ids").repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "ids")
     placed = written(ordered.mapInArrow(place, ddl(PLACED)), "pack-line")
+    discard(encoded)
+    return placed
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Pack all documents into sequences of ``length`` tokens.
+
+    Returns a row a piece: doc_id, start (the document's tokens before it),
+    length, ids (little-endian unsigned 32-bit), doc_tokens (with ``end_id``),
+    sequence_id and offset (place there).  A document of more than ``length``
+    tokens is also cut every ``length`` of its own.  A null text counts as empty
+    and has just ``end_id``.  Rows with equal or null ids are separate documents.
+    An empty table gives no pieces.  Other columns are ignored.
+    """
+    placed = line(docs, tokenizer, end_id, length, id_column, text_column)
     sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     base, total = {}, 0
     for p in sorted(sizes):
         base[p], total = total, total + sizes[p]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, part, before, n, data = b.columns
+        for b in (s for whole in batches for s in slices(whole)):
+            ids, doc_tokens, start, n, part, before, data = b.columns
             n = n.to_numpy()
             width = np.uint16 if len(data[0].as_py()) == 2 * n[0] else np.uint32
             flat = np.frombuffer(b"".join(data.to_pylist()), width).astype("<u4")
             at = before.to_numpy() + np.array([base[p] for p in part.to_pylist()], np.int64)
             first, last = at // length, (at + n - 1) // length
             count = last - first + 1
-            doc = np.repeat(np.arange(len(n)), count)
+            row = np.repeat(np.arange(len(n)), count)
             sequence = ragged(first, count)
-            begin = np.maximum(sequence * length, at[doc])
-            end = np.minimum((sequence + 1) * length, (at + n)[doc])
+            begin = np.maximum(sequence * length, at[row])
+            end = np.minimum((sequence + 1) * length, (at + n)[row])
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(doc)), *map(pa.array, (begin - at[doc], end - begin)), binary_array(flat.tobytes(), 4 * np.r_[0, np.cumsum(end - begin)]), *map(pa.array, (n[doc], sequence, begin - sequence * length))], schema=PIECES
+                [ids.take(pa.array(row)), *map(pa.array, (start.to_numpy()[row] + begin - at[row], end - begin)), binary_array(flat.tobytes(), 4 * np.r_[0, np.cumsum(end - begin)]), *map(pa.array, (doc_tokens.to_numpy()[row], sequence, begin - sequence * length))], schema=PIECES
             )
 
     return placed.mapInArrow(cut, ddl(PIECES))
