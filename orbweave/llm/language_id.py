@@ -15,14 +15,15 @@ storage never pays and small differences show.
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import in_batches
-from orbweave.llm.packing import ddl
+from orbweave.llm.common import ddl, in_batches, partitions, slices, tool
 
 CHUNK = 4096
 DICTIONARY_BYTES = 64 << 10
@@ -81,7 +82,8 @@ def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang
 
     The sample is bounded: ``SAMPLE_DOCUMENTS`` texts a language, those with the
     least hash of the text (a text counts once), and of all their pieces of
-    ``PIECE_CHARACTERS`` the ``SAMPLE_PIECES`` with the least hash.  More than
+    ``PIECE_CHARACTERS`` the ``SAMPLE_PIECES`` with the least hash, of which the
+    last ``DICTIONARY_BYTES`` bytes are the dictionary.  More than
     ``MAX_LANGUAGES`` labels are an error.  Both selections are made partition
     by partition first, so a hot language does not gather in one task.  Without
     labelled rows there are no dictionaries and every text is ``und``.
@@ -90,9 +92,7 @@ def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang
     rows = labelled.select(F.col(f"`{text_column}`").cast("string").alias("text"), F.col(f"`{lang_column}`").cast("string").alias("lang")).where("lang is not null and text is not null")
     rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
     # the least hashes first, without texts: at most SAMPLE_DOCUMENTS a language
-    least = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(least)).where(F.col("k") <= SAMPLE_DOCUMENTS).select("lang", "h")
-    chosen = chosen.collect()
+    chosen = _least(rows.select("lang", "h").distinct(), ["h"], SAMPLE_DOCUMENTS).select("lang", "h").collect()
     if len({r["lang"] for r in chosen}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not chosen:
@@ -101,23 +101,29 @@ def fit(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang
     texts = rows.join(keys, ["lang", "h"]).dropDuplicates(["lang", "h"])
     starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE_CHARACTERS).cast("int"))
     pieces = texts.where(F.length("text") > 0).select("lang", F.explode(F.transform(starts, lambda i: F.substring("text", i * PIECE_CHARACTERS + 1, F.lit(PIECE_CHARACTERS)))).alias("piece"))
-    pieces = pieces.withColumn("h", F.xxhash64("piece")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(F.col("k") <= SAMPLE_PIECES)
+    pieces = _least(pieces.withColumn("h", F.xxhash64("piece")), ["h", "piece"], SAMPLE_PIECES)
     found: dict[str, list[bytes]] = {}
-    for r in pieces.orderBy("lang", "k").collect():
+    for r in sorted(pieces.collect(), key=lambda r: (r["lang"], r["h"], r["piece"])):
         found.setdefault(r["lang"], []).append(plain(r["piece"]))
     return {lang: (b" ".join(parts)[-DICTIONARY_BYTES:]).ljust(8) for lang, parts in found.items()}
 
 
-_TOOLS: dict[int, tuple[dict, Classifier]] = {}
+def _least(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """A language's ``k`` least rows, in two levels.
+
+    What a partition keeps of a language goes to one of about as many tasks as
+    the root of the number of partitions, and what those keep, to one.
+    """
+    salts = math.isqrt(partitions(rows.sparkSession)) + 1
+    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    for keys in (["lang", "salt"], ["lang"]):
+        salted = salted.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("k") <= k).drop("k")
+    return salted.drop("salt")
 
 
 def _classifier(dictionaries: dict[str, bytes]) -> Classifier:
     """One a Python worker and set of dictionaries."""
-    key = hash(tuple(sorted(dictionaries.items())))
-    if key not in _TOOLS or _TOOLS[key][0] != dictionaries:
-        _TOOLS.clear()
-        _TOOLS[key] = dictionaries, Classifier(dictionaries)
-    return _TOOLS[key][1]
+    return tool(("language_id", tuple(sorted(dictionaries.items()))), lambda: Classifier(dictionaries))
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -130,8 +136,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_column: str = "d
     tables = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def answer(ids: pa.Array, texts: pa.Array) -> list:
-        tool = _classifier(tables.value)
-        found = [tool.predict(t) for t in texts.to_pylist()]
+        classifier = _classifier(tables.value)
+        found = [classifier.predict(t) for t in texts.to_pylist()]
         return [ids, [x[0] for x in found], [x[1] for x in found]]
 
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
@@ -147,10 +153,10 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     tables = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def keep(batches):
-        tool = None
-        for b in batches:
-            tool = tool or _classifier(tables.value)
-            found = [tool.predict(t) for t in b.column(b.schema.get_field_index(text_column)).cast(pa.string()).to_pylist()]
-            yield b.filter(pa.array([x[0] != UNKNOWN and x[1] >= min_margin for x in found], pa.bool_()))
+        for whole in batches:
+            for b in slices(whole):
+                classifier = _classifier(tables.value)
+                found = [classifier.predict(t) for t in b.column(b.schema.get_field_index(text_column)).cast(pa.string()).to_pylist()]
+                yield b.filter(pa.array([x[0] != UNKNOWN and x[1] >= min_margin for x in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
