@@ -1,8 +1,9 @@
 """Connected components of a table of links, by alternating stars.
 
 Every round joins each node's larger neighbours to its smallest one, then its
-smaller neighbours.  Rounds are written to the shared folder; groups of links
-are only ever reduced to their minimum, which combines before the shuffle.
+smaller neighbours.  Rounds are written to the shared folder, the one before goes;
+groups of links are only ever reduced to their minimum and number, which combine
+before the shuffle, and the centres of large stars get their minimum by broadcast.
 """
 
 from __future__ import annotations
@@ -10,20 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import written
+from orbweave.llm.common import discard, join_hot, written
 
 
-def _least(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, total: int, most: int) -> DataFrame:
     """Edges (u, v) with the least of u and its neighbours as m."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_hot(edges, least, ["u"], "n", total, most)
 
 
-def _round(edges: DataFrame) -> DataFrame:
+def _round(edges: DataFrame, total: int, most: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    large = _least(both, 2 * total, most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    small = _least(down)
+    small = _least(down, 2 * total, most)
     return small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -36,9 +37,12 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     state = None
     for _ in range(max_rounds):
-        found = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        # how many edges, a sum of their hashes, and the edges of the largest star, each edge seen from both ends
+        ends = edges.select(F.explode(F.array("u", "v")).alias("node"), F.xxhash64("u", "v").cast("decimal(38,0)").alias("h")).groupBy("node").agg(F.count("*").alias("n"), F.sum("h").alias("s"))
+        found = ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("s").alias("s"), F.max("n").alias("most")).first()
         if found["n"] == 0 or (found["n"], found["s"]) == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         state = found["n"], found["s"]
-        edges = written(_round(edges), "links")
+        last, edges = edges, written(_round(edges, found["n"] // 2, found["most"]), "links")
+        discard(last)
     raise RuntimeError("components did not settle")

@@ -34,9 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import id_and_text, partitions, written
+from orbweave.llm.common import BATCH_BYTES, ddl, id_and_text, join_hot, partitions, slices, written
 from orbweave.llm.components import components
-from orbweave.llm.packing import ddl
 from orbweave.llm.t_occurrence import search
 from orbweave.llm.text_kernels import mix, ragged, set_keys, shingle_sets
 
@@ -67,6 +66,10 @@ def required(sizes_a, sizes_b, percent: int):
     return -(-percent * (sizes_a + sizes_b) // (100 + percent))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (part for batch in batches for part in slices(batch))
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [t.encode() if t else b"" for t in column.to_pylist()]
 
@@ -85,7 +88,7 @@ def _sets(words: int):
             return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(h), pa.array(n)], schema=SETS)
 
         size = 0
-        for b in batches:
+        for b in _parts(batches):
             n, k1, k2 = [], [], []
             for flat, at in shingle_sets(_texts(b.column(1)), words):
                 n.append(np.diff(at))
@@ -127,7 +130,7 @@ def _postings(words: int, percent: int, frequent):
         known, seen = frequent.value
         done: set[tuple[int, int]] = set()
         level = np.r_[np.minimum(4 * np.log2(np.maximum(seen, 1)), 255).astype(np.uint64), np.uint64(0)]
-        for b in batches:
+        for b in _parts(batches):
             for flat, at in shingle_sets(_texts(b.column(1)), words):
                 if not len(flat):
                     continue
@@ -228,7 +231,7 @@ def _blocks(words: int):
     """The shingle sets of documents that take part in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             text, x, x1, x2, part, y, k1, k2 = b.columns
             texts = _texts(text)
             # a document in several blocks comes in neighbouring rows
@@ -240,9 +243,12 @@ def _blocks(words: int):
                 keys += list(zip(*(k.tolist() for k in set_keys(flat, at)), strict=True))
             wanted = list(zip(k1.to_pylist(), k2.to_pylist(), strict=True))
             keep = [i for i in range(len(texts)) if keys[owner[i]] == wanted[i]]
-            for i in range(0, len(keep), 2000):
-                some = pa.array(keep[i : i + 2000], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(c.take(some) for c in (x, x1, x2, part, y, k1, k2)), pa.array([data[owner[k]] for k in keep[i : i + 2000]], pa.binary())], schema=BLOCKS)
+            ends, at = np.cumsum([len(data[owner[k]]) for k in keep], dtype=np.int64), 0
+            while at < len(keep):
+                until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+                some = pa.array(keep[at:until], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(some) for c in (x, x1, x2, part, y, k1, k2)), pa.array([data[owner[k]] for k in keep[at:until]], pa.binary())], schema=BLOCKS)
+                at = until
 
     return run
 
@@ -254,7 +260,7 @@ def _search(percent: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, query, last, ys, sets = None, None, None, [], []
+        now, query, last, ys, sets, size = None, None, None, [], [], 0
         out: list[tuple[int, ...]] = []
 
         def close() -> None:
@@ -269,11 +275,11 @@ def _search(percent: int):
             out.clear()
             return batch
 
-        for b in batches:
+        for b in _parts(batches):
             for x, x1, x2, part, y, k1, k2, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (x, x1, x2, part) != now:
                     close()
-                    now, query, last, ys, sets = (x, x1, x2, part), None, None, [], []
+                    now, query, last, ys, sets, size = (x, x1, x2, part), None, None, [], [], 0
                 s = np.frombuffer(data, np.uint64)
                 if y is None:
                     query = s
@@ -281,9 +287,10 @@ def _search(percent: int):
                     last = y, k1, k2
                     ys.append(last)
                     sets.append(s)
-                    if len(sets) >= 4 * BLOCK:
+                    size += len(s)
+                    if len(sets) >= 4 * BLOCK or size >= HEAVY_BUFFER:
                         close()
-                        ys, sets = [], []
+                        ys, sets, size = [], [], 0
             yield flush()
         close()
         yield flush()
@@ -306,12 +313,12 @@ def _links(spark: SparkSession, texts: DataFrame, pairs: DataFrame, words: int,
 
 
 def _start(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with their sets' keys, different sets (k1, k2, node), and what their lists give."""
+    """Documents with their sets' keys, different sets (k1, k2, node, copies), and what their lists give."""
     sets = written(texts.mapInArrow(_sets(words), ddl(SETS)), "sets")
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(sets.where("h is not null").select("h", "seen")))
     # the rows of documents have a key; those of frequent shingles have none
     members = sets.where("k1 is not null").select("doc_id", "n", "k1", "k2")
-    nodes = members.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
+    nodes = written(members.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "nodes")
     postings = texts.where("doc_id is not null").select("doc_id", "text").mapInArrow(_postings(words, percent, frequent), ddl(POSTINGS))
     postings = postings.repartition(partitions(texts.sparkSession), "h", "salt").sortWithinPartitions("h", "salt", "k1", "k2")
     return members, nodes, written(postings.mapInArrow(_lists(percent), ddl(LISTS)), "lists")
@@ -335,7 +342,7 @@ def jaccard_links(docs: DataFrame, words: int = 4, percent: int = 85, id_column:
     spark = docs.sparkSession
     texts = id_and_text(docs, id_column, text_column)
     _, nodes, lists = _start(texts, words, percent)
-    nodes = written(nodes.withColumn("component", F.monotonically_increasing_id()), "nodes")
+    nodes = written(nodes.drop("copies").withColumn("component", F.monotonically_increasing_id()), "nodes")
     pairs = _plausible(texts, _listed(lists, nodes), words, percent)
     # every set is a component of its own, and none is a list's largest: all meet all
     long = written(lists.where("h is not null").select("h", "k1", "k2", "size", "place").distinct().join(nodes, ["k1", "k2"]).withColumn("main", F.lit(-1).cast("long")), "long")
@@ -371,15 +378,19 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     texts = id_and_text(docs, id_column, text_column)
     members, nodes, lists = _start(texts, words, percent)
     linkable = members.where("doc_id is not null and n > 0")
+    total, most = (x or 0 for x in nodes.agg(F.sum("copies"), F.max("copies")).first())
     pairs = _plausible(texts, _listed(lists, nodes).where("x <> y"), words, percent)
     links = _links(spark, texts, pairs, words, percent).select("x", "y")
     # one document with several texts joins their nodes
-    several = linkable.join(nodes, ["k1", "k2"]).where("doc_id <> node").select(F.col("doc_id").alias("x"), F.col("node").alias("y"))
-    links = links.union(several.distinct())
+    key = F.struct("k1", "k2")
+    several = linkable.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("doc_id")
+    several = written(linkable.join(several, "doc_id", "left_semi").distinct(), "several")
+    if not several.isEmpty():
+        links = links.union(join_hot(several, nodes, ["k1", "k2"], "copies", total, most).where("doc_id <> node").select(F.col("doc_id").alias("x"), F.col("node").alias("y")))
     found = components(links, "x", "y")
     long = lists.where("h is not null").select("h", "k1", "k2", "size", "place").distinct()
     if not long.isEmpty():
-        long = written(long.join(nodes, ["k1", "k2"]), "long")
+        long = written(long.join(nodes.drop("copies"), ["k1", "k2"]), "long")
         bits = None
         for k in (STAR, LIKEST, ALL):
             at = _unresolved(long, found)
@@ -392,11 +403,15 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
                 more = written(_cells(spark, at.join(bits.drop("n"), ["k1", "k2"]), percent, k == LIKEST).distinct(), "rest-pairs")
             if more.isEmpty():
                 continue
-            links = links.union(_links(spark, texts, more, words, percent).select("x", "y"))
-            found = components(links, "x", "y")
-    out = members.join(nodes, ["k1", "k2"], "left").join(found.withColumnRenamed("node", "n0"), F.col("node") == F.col("n0"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+            # the components so far are stars, which the new links join
+            stars = found.select(F.col("node").alias("x"), F.col("component").alias("y"))
+            found = components(stars.union(_links(spark, texts, more, words, percent).select("x", "y")), "x", "y")
+    # a row a set, then a row a document: copies of one set, however many, do not meet in one task
+    labels = nodes.join(found.withColumnRenamed("node", "n0"), F.col("node") == F.col("n0"), "left")
+    labels = written(labels.select("k1", "k2", F.coalesce("component", "node").alias("component_id"), "copies"), "labels")
+    linked = join_hot(linkable, labels, ["k1", "k2"], "copies", total, most).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = members.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.union(alone)
 
 
 def _unresolved(long: DataFrame, found: DataFrame) -> DataFrame:
@@ -436,7 +451,7 @@ def _node_parities(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """Size and parities (k1, k2, n, bits) of some sets (doc_id, k1, k2), once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             wanted = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
             rows, d = [], 0
             for flat, begins in shingle_sets(_texts(b.column(0)), words):
@@ -456,7 +471,7 @@ def _plausible(texts: DataFrame, pairs: DataFrame, words: int, percent: int) ->
     """Those of some pairs (x, x1, x2, y, y1, y2) whose parities may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             left, right = b.column("x_bits"), b.column("y_bits")
             widths = np.stack([pc.binary_length(c).to_numpy() // 8 for c in (left, right)])
             total = b.column("x_n").to_numpy() + b.column("y_n").to_numpy()
