@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +31,47 @@ def _totals(f: Callable[..., np.ndarray]):
     return run
 
 
+#: Above so many partitions, their sums are added by GROUPS tasks before the driver adds those.
+MANY, GROUPS = 64, 16
+
+
 def total(df: DataFrame, f: Callable[..., np.ndarray]) -> np.ndarray:
     """Sum over all Arrow batches of ``f(*columns)``, a vector of one length.
 
-    Each partition adds its batches up; beyond 256 partitions, groups of them
+    Each partition adds its batches up; where there are many, groups of them
     are added on executors before the driver adds what is left, in order.
     """
     parts = df.mapInArrow(_totals(f), "part int, total binary")
-    if df.sparkSession.sparkContext.defaultParallelism > 256:
-        parts = parts.repartition(64, "part").mapInArrow(_totals(lambda _, t: sum(np.frombuffer(x) for x in t.to_pylist())), "part int, total binary")
+    if _many_partitions(df):
+        parts = parts.repartition(GROUPS, F.pmod("part", F.lit(GROUPS))).sortWithinPartitions("part").mapInArrow(_totals(lambda _, t: sum(np.frombuffer(x) for x in t.to_pylist())), "part int, total binary")
     rows = sorted(parts.collect(), key=lambda r: r["part"])
     if not rows:
         raise ValueError("an empty sample")
     return np.sum([np.frombuffer(r["total"]) for r in rows], axis=0)
 
 
+def _many_partitions(df: DataFrame) -> bool:
+    """Whether cores or, by the plan's size, file splits may be more than ``MANY`` partitions."""
+    spark = df.sparkSession
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return spark.sparkContext.defaultParallelism > MANY or size > MANY * split
+
+
+def held(f: Callable) -> Callable:
+    """For functions that pass over a sample many times: its rows are read once and kept by the executors."""
+
+    @wraps(f)
+    def run(df: DataFrame, *args, **settings):
+        data = df.persist()
+        try:
+            return f(data, *args, **settings)
+        finally:
+            data.unpersist()
+
+    return run
+
+
 def moments(df: DataFrame, p: int, center=None) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, mean, and Gram matrix about ``center`` (the mean where None)."""
     if center is None:
@@ -83,9 +110,12 @@ def blocks(df: DataFrame) -> DataFrame:
 
 
 def block_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-    """All pairs of blocks: (x_ids, x_rows, y_ids, y_rows)."""
-    a = blocks(x).select(F.col("ids").alias("x_ids"), F.col("rows").alias("x_rows"))
-    return a.crossJoin(blocks(y).select(F.col("ids").alias("y_ids"), F.col("rows").alias("y_rows")))
+    """All pairs of blocks: (x_ids, x_rows, y_ids, y_rows).
+
+    The blocks of either side are kept, so that none is built for every partition of the other.
+    """
+    a = blocks(x).select(F.col("ids").alias("x_ids"), F.col("rows").alias("x_rows")).persist()
+    return a.crossJoin(blocks(y).select(F.col("ids").alias("y_ids"), F.col("rows").alias("y_rows")).persist())
 
 
 def over_pairs(f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], p: int):

@@ -237,8 +237,14 @@ def adaptive_covariance_threshold(df: DataFrame, delta: float = 2.0, rule: str =
     """Levels by entry, from the variance of the products of centred columns."""
     n, p, _, s = _second(df)
     mean = moments(df, p)[1]
-    square = total(df.select("x"), lambda x: ((lambda d: (d**2).T @ d**2)(rows_of(x) - mean)).ravel()).reshape(p, p) / n
-    out = threshold(s, delta * np.sqrt(np.maximum(square - s**2, 0) * math.log(p) / n), rule, **shape)
+
+    def squares(x):
+        """Of each entry, the products' squared distance from their mean."""
+        d = rows_of(x) - mean
+        return sum((np.outer(r, r) - s) ** 2 for r in d).ravel()
+
+    variance = total(df.select("x"), squares).reshape(p, p) / n
+    out = threshold(s, delta * np.sqrt(variance * math.log(p) / n), rule, **shape)
     if not threshold_diagonal:
         np.fill_diagonal(out, np.diag(s))
     return out
@@ -273,13 +279,25 @@ def spatial_sign_poet(df: DataFrame, factors: int, constant: float = 1.0, rule:
 
 
 def elliptical_factor_number(df: DataFrame, max_factors: int, method: str = "er") -> int:
-    """The largest ratio of neighbouring eigenvalues of p SSCM, or of their growth."""
+    """The largest ratio of neighbouring eigenvalues of p SSCM ("er"), or of their growth ("gr").
+
+    Growth is log(1 + value / tail); the tail of place j adds the values from j
+    to the last but one of min(n, p).  Places without a positive tail do not count.
+    """
     n, p = dimensions(df)
-    v = np.maximum(leading(p * sscm(df), p)[0], 0)
-    if method == "er":
-        ratio = v[:max_factors] / v[1 : max_factors + 1]
-    else:
-        rest = np.r_[v.sum(), v.sum() - np.cumsum(v)]
-        growth = np.log1p(v / rest[1:])
-        ratio = growth[:max_factors] / growth[1 : max_factors + 1]
+    r = min(n, p)
+    most = r - 1 if method == "er" else r - 2
+    if method not in ("er", "gr") or not 1 <= max_factors <= most:
+        raise ValueError(f"method er or gr, and 1 to {most} factors")
+    v = leading(p * sscm(df), p)[0]
+    ratio = np.full(max_factors, -math.inf)
+    for j in range(max_factors):
+        if method == "er":
+            ratio[j] = v[j] / v[j + 1] if v[j + 1] > 0 else math.inf
+            continue
+        tail, after = float(v[j : r - 1].sum()), float(v[j + 1 : r - 1].sum())
+        if tail > 0 and after > 0 and v[j + 1] > 0:
+            ratio[j] = math.log1p(v[j] / tail) / math.log1p(v[j + 1] / after)
+    if np.isneginf(ratio).all():
+        raise ArithmeticError("no tail is positive")
     return int(np.argmax(ratio)) + 1

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.functions.partial import block_pairs, moments, over_pairs, total
+from orbweave.functions.partial import block_pairs, held, moments, over_pairs, total
 from orbweave.sources.samples import dimensions, norm, rows_of, vector
 
 
@@ -44,18 +44,19 @@ def spatial_sign(df: DataFrame, center=None, zero_tol: float = 0.0) -> DataFrame
     return out.select("id", sign.alias("sign"), "norm")
 
 
-def _coordinate_median(df: DataFrame, p: int) -> np.ndarray:
-    """The lower median of every coordinate."""
-    return np.array(df.agg(*(F.expr(f"percentile_disc(0.5) within group (order by x[{k}])").alias(f"m{k}") for k in range(p))).first(), float)
+def _mean(df: DataFrame) -> np.ndarray:
+    t = total(df.select("x"), lambda x: np.r_[len(x), rows_of(x).sum(0)])
+    return t[1:] / t[0]
 
 
+@held
 def spatial_median(df: DataFrame, initial=None, tol: float = 1e-8, max_iter: int = 500, zero_tol: float = 0.0) -> Fit:
     """The point of least summed distance, by Weiszfeld steps that allow for
-    coinciding rows; one pass a step.  ``residual`` is what is left of the mean
+    coinciding rows, from the mean; one pass a step.  ``residual`` is what is left of the mean
     direction beyond the weight of rows at the point; it must be at most ``tol``.
     """
     _, p = dimensions(df)
-    y = _coordinate_median(df, p) if initial is None else np.asarray(initial, float)
+    y = _mean(df) if initial is None else np.asarray(initial, float)
     best, step = (np.inf, y), np.inf
     data = df.select("x")
 
@@ -100,8 +101,7 @@ def center_of(df: DataFrame, center, p: int, **settings) -> np.ndarray:
     if not isinstance(center, str):
         return np.asarray(center, float)
     if center == "mean":
-        t = total(df.select("x"), lambda x: np.r_[len(x), rows_of(x).sum(0)])
-        return t[1:] / t[0]
+        return _mean(df)
     if center != "spatial":
         raise ValueError(f"no centre {center}")
     fit = spatial_median(df, **settings)
@@ -183,6 +183,7 @@ def normalize_shape(shape, method: str = "trace") -> np.ndarray:
     return v * (p / values.sum() if method == "trace" else np.exp(-np.log(values).mean()))
 
 
+@held
 def tyler_shape(df: DataFrame, center="mean", initial=None, tol: float = 1e-8, max_iter: int = 500) -> Fit:
     """V = p/n sum z z' / (z' V^-1 z) with trace p; a pass a step."""
     n, p = dimensions(df)
@@ -211,11 +212,12 @@ def tyler_shape(df: DataFrame, center="mean", initial=None, tol: float = 1e-8, m
     return Fit(best[1], best[0], max_iter, False)
 
 
+@held
 def hr_estimator(df: DataFrame, initial_location=None, initial_shape=None, tol: float = 1e-8, max_iter: int = 500) -> Fit:
     """Location and shape together, so that standardised signs have mean zero and
     identity covariance; the iterate of least residual is given back."""
     n, p = dimensions(df)
-    mu = _coordinate_median(df, p) if initial_location is None else np.asarray(initial_location, float)
+    mu = _mean(df) if initial_location is None else np.asarray(initial_location, float)
     v = normalize_shape(moments(df, p)[2]) if initial_shape is None else normalize_shape(initial_shape)
     best: Fit | None = None
     for k in range(max_iter):

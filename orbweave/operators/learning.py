@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions import tails
-from orbweave.functions.partial import moments, total
+from orbweave.functions.partial import held, moments, total
 from orbweave.operators.covariance import leading
-from orbweave.operators.foundations import Fit, center_of, signs, spatial_kendall, spatial_median, sscm
+from orbweave.operators.foundations import center_of, spatial_kendall, spatial_median, sscm
 from orbweave.sources.samples import dimensions, rows_of
 
 
@@ -62,7 +62,14 @@ def _by_class(df: DataFrame, levels) -> list[tuple[int, np.ndarray, np.ndarray]]
 
 
 def _log_prior(n1: int, n2: int, prior) -> float:
-    a, b = (n1, n2) if prior is None else prior
+    """Of the classes' odds: "equal" (also None), "empirical", or two positive numbers."""
+    if prior is None or isinstance(prior, str):
+        if prior not in (None, "equal", "empirical"):
+            raise ValueError(f"no prior {prior!r}")
+        prior = (n1, n2) if prior == "empirical" else (1, 1)
+    a, b = prior
+    if not (0 < a < math.inf and 0 < b < math.inf):
+        raise ValueError("a prior must be two positive numbers")
     return math.log(a / b)
 
 
@@ -198,11 +205,11 @@ def robust_factor_subspace(df: DataFrame, k: int, scatter: str = "sscm", min_gap
     return vectors[:, :k]
 
 
-def rts_factor(df: DataFrame, k: int) -> dict:
-    """Loadings sqrt(p) times Kendall directions; scores x L / p."""
+def rts_factor(df: DataFrame, k: int, center="mean") -> dict:
+    """Loadings sqrt(p) times Kendall directions; scores of rows about ``center`` times L / p."""
     p = dimensions(df)[1]
     loadings = math.sqrt(p) * leading(spatial_kendall(df), k)[1]
-    return {"vectors": loadings / p, "loadings": loadings, "center": np.zeros(p)}
+    return {"vectors": loadings / p, "loadings": loadings, "center": center_of(df, center, p)}
 
 
 def truncated_power(operator, s: int, k: int = 1, tol: float = 1e-10, max_iter: int = 1000) -> list[dict]:
@@ -232,12 +239,37 @@ def sparse_spatial_sign_pca(df: DataFrame, s: int, k: int = 1) -> list[dict]:
     return truncated_power(sscm(df), s, k)
 
 
-def _maxmin_start(df: DataFrame, k: int, p: int) -> np.ndarray:
-    """The row nearest the mean, then always the row farthest from all chosen."""
-    centers = [np.array(df.agg(F.min_by("x", F.struct(_distance(center_of(df, "mean", p)), "id"))).first()[0])]
+def _squares(r: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of rows from centres, a column a centre."""
+    return np.stack([((r - c) ** 2).sum(1) for c in centers], 1)
+
+
+def _maxmin_start(df: DataFrame, k: int, p: int, first_index: int = 1) -> np.ndarray:
+    """The row ``first_index`` by id, then always the row farthest from all chosen, the least id where several are.
+
+    One pass a centre; of each partition one row reaches the driver.
+    """
+    ids = [df.orderBy("id").select("id").limit(first_index).agg(F.max("id")).first()[0]]
+    centers = [np.array(df.where(F.col("id") == ids[0]).first()["x"], float)]
     while len(centers) < k:
-        d = F.least(*(_distance(c) for c in centers)) if len(centers) > 1 else _distance(centers[0])
-        centers.append(np.array(df.agg(F.max_by("x", F.struct(d, -F.col("id")))).first()[0]))
+        at = np.array(centers)
+
+        def farthest(batches, at=at):
+            best = None
+            for b in batches:
+                if b.num_rows:
+                    d = _squares(rows_of(b.column(1)), at).min(1)
+                    own = b.column(0).to_numpy()
+                    i = int(np.lexsort((own, -d))[0])
+                    if best is None or (d[i], -own[i]) > (best[0], -best[1]):
+                        best = float(d[i]), int(own[i]), b.column(1)[i].as_py()
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]]), pa.array([best[2]], pa.list_(pa.float64()))], names=["d", "id", "x"])
+
+        row = df.select("id", "x").mapInArrow(farthest, "d double, id long, x array<double>").orderBy(F.desc("d"), "id").first()
+        if not row["d"] > 0:
+            raise ValueError("fewer different rows than centres")
+        centers.append(np.array(row["x"]))
     return np.array(centers)
 
 
@@ -245,16 +277,20 @@ def _distance(c):
     return F.aggregate(F.zip_with("x", F.array(*(F.lit(float(v)) for v in c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 
 
-def lloyd_kmeans(df: DataFrame, k: int, initial=None, max_iter: int = 100) -> dict:
-    """Nearest mean, ties to the first; an empty cluster is an error."""
+@held
+def lloyd_kmeans(df: DataFrame, k: int, initial=None, max_iter: int = 100, first_index: int = 1) -> dict:
+    """Nearest mean, ties to the first; an empty cluster is an error.
+
+    ``converged`` tells whether the objective stopped falling before ``max_iter``.
+    """
     n, p = dimensions(df)
-    centers = _maxmin_start(df, k, p) if initial is None else np.asarray(initial, float)
-    objective = math.inf
+    centers = _maxmin_start(df, k, p, first_index) if initial is None else np.asarray(initial, float)
+    objective, done = math.inf, False
     for it in range(max_iter):
 
         def f(x, centers=centers):
             r = rows_of(x)
-            d = ((r[:, None, :] - centers) ** 2).sum(2)
+            d = _squares(r, centers)
             g = d.argmin(1)
             one = np.eye(k)[g]
             return np.r_[d.min(1).sum(), one.sum(0), (one.T @ r).ravel()]
@@ -267,7 +303,7 @@ def lloyd_kmeans(df: DataFrame, k: int, initial=None, max_iter: int = 100) -> di
         if done:
             break
         centers = t[1 + k :].reshape(k, p) / size[:, None]
-    return {"centers": centers, "objective": objective, "sizes": size.astype(int), "iterations": it + 1}
+    return {"centers": centers, "objective": objective, "sizes": size.astype(int), "iterations": it + 1, "converged": bool(done)}
 
 
 def assign(df: DataFrame, centers: np.ndarray) -> DataFrame:
@@ -276,16 +312,23 @@ def assign(df: DataFrame, centers: np.ndarray) -> DataFrame:
     return df.select("id", d.alias("d")).select("id", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("cluster"), F.sqrt(F.array_min("d")).alias("distance"))
 
 
-def k_spatial_median(df: DataFrame, k: int, initial=None, max_iter: int = 50) -> dict:
-    """Centres are spatial medians; the objective is the sum of distances."""
+@held
+def k_spatial_median(df: DataFrame, k: int, initial=None, max_iter: int = 50, first_index: int = 1) -> dict:
+    """Centres are spatial medians; the objective is the sum of distances.
+
+    A median that does not converge is an error.
+    """
     p = dimensions(df)[1]
-    centers = _maxmin_start(df, k, p) if initial is None else np.asarray(initial, float)
+    centers = _maxmin_start(df, k, p, first_index) if initial is None else np.asarray(initial, float)
     before: list[float] = []
     for _ in range(max_iter):
         placed = df.join(assign(df, centers), "id").cache()
         objective = placed.agg(F.sum("distance")).first()[0]
-        new = np.array([spatial_median(placed.where(F.col("cluster") == c).select("id", "x"), initial=centers[c]).value for c in range(k)])
+        fits = [spatial_median(placed.where(F.col("cluster") == c).select("id", "x"), initial=centers[c]) for c in range(k)]
         placed.unpersist()
+        if not all(fit.converged for fit in fits):
+            raise ArithmeticError("a cluster's median did not converge")
+        new = np.array([fit.value for fit in fits])
         if before and objective >= before[-1] - 1e-12:
             break
         before.append(objective)
@@ -293,6 +336,7 @@ def k_spatial_median(df: DataFrame, k: int, initial=None, max_iter: int = 50) ->
     return {"centers": centers, "objective": before[-1], "history": before}
 
 
+@held
 def gaussian_mixture(df: DataFrame, weights, means, covariances, tol: float = 1e-8, max_iter: int = 200) -> dict:
     """Full-covariance EM from a given start; the likelihood must not fall."""
     n, p = dimensions(df)
@@ -321,5 +365,3 @@ def gaussian_mixture(df: DataFrame, weights, means, covariances, tol: float = 1e
         s = t[1 + k + k * p :].reshape(k, p, p) / size[:, None, None] - np.einsum("ki,kj->kij", m, m)
     return {"weights": w, "means": m, "covariances": s, "loglik": history[-1], "history": history}
 
-
-__all__ = [name for name, value in globals().items() if callable(value) and getattr(value, "__module__", "") == __name__] + ["Fit", "signs"]

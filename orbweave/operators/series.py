@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -12,21 +14,30 @@ from orbweave.functions import tails
 from orbweave.functions.partial import moments, total
 from orbweave.sources.samples import dimensions, rows_of
 
-BLOCK = 4096
+@contextmanager
+def prefix_sums(df: DataFrame, column: str) -> Iterator[DataFrame]:
+    """Rows (id, value, k, s, was): rank of the id, sum of values up to it, and the value before.
 
-
-def prefix_sums(df: DataFrame, column: str) -> DataFrame:
-    """Rows (id, value, k, s): rank of the id and sum of values up to it.
-
-    Ids are cut into blocks; sums over blocks are added to sums within them.
+    Rows are dealt to ranges of ids, whatever the ids; each range has one window,
+    and what the ranges before hold, one row a range, is added.  The executors keep
+    the rows while the block runs, as several passes follow.
     """
-    rows = df.select("id", F.col(column).cast("double").alias("value"), F.floor(F.col("id") / BLOCK).alias("block"))
-    sums = rows.groupBy("block").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("block", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    within = Window.partitionBy("block").orderBy("id")
-    out = rows.withColumn("s1", F.sum("value").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n1", F.row_number().over(within))
-    return out.join(sums, "block").select("id", "value", (F.col("n0") + F.col("n1")).cast("long").alias("k"), (F.col("s0") + F.col("s1")).alias("s"))
+    rows = df.select("id", F.col(column).cast("double").alias("value"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, "id").withColumn("part", F.spark_partition_id()).persist()
+    within = Window.partitionBy("part").orderBy("id")
+    ends = rows.groupBy("part").agg(F.sum("value").alias("s"), F.count("*").alias("n"), F.max_by("value", "id").alias("last")).orderBy("part").collect()
+    shifts, s0, n0, last = [], 0.0, 0, None
+    for r in ends:
+        shifts.append((r["part"], s0, n0, last))
+        s0, n0, last = s0 + r["s"], n0 + r["n"], r["last"]
+    shifts = F.broadcast(df.sparkSession.createDataFrame(shifts, "part int, s0 double, n0 long, w0 double"))
+    out = rows.select("*", F.sum("value").over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("s1"), F.row_number().over(within).alias("n1"), F.lag("value").over(within).alias("w1"))
+    out = out.join(shifts, "part").select("id", "value", (F.col("n0") + F.col("n1")).cast("long").alias("k"), (F.col("s0") + F.col("s1")).alias("s"), F.coalesce("w1", "w0").alias("was"))
+    try:
+        yield out
+    finally:
+        rows.unpersist()
 
 
 def kolmogorov_sf(x: float) -> float:
@@ -40,13 +51,15 @@ def classical_cusum(df: DataFrame, column: str = "value", gamma: float = 0.0, tr
 
     The first of equal places is the change point.
     """
-    sums = prefix_sums(df, column)
+    with prefix_sums(df, column) as sums:
+        return _cusum(sums, gamma, trim, variance)
+
+
+def _cusum(sums: DataFrame, gamma: float, trim: int, variance: str) -> dict:
     last = sums.agg(F.max("k").alias("n"), F.max_by("s", "k").alias("s"), F.avg("value").alias("m")).first()
     n, s = last["n"], last["s"]
     if variance == "difference":
-        # the value before, from the neighbouring row by rank
-        nxt = sums.select((F.col("k") + 1).alias("k"), F.col("value").alias("was"))
-        sigma2 = sums.join(nxt, "k").agg(F.sum((F.col("value") - F.col("was")) ** 2)).first()[0] / (2 * (n - 1))
+        sigma2 = sums.agg(F.sum((F.col("value") - F.col("was")) ** 2)).first()[0] / (2 * (n - 1))
     else:
         sigma2 = sums.agg(F.sum((F.col("value") - last["m"]) ** 2)).first()[0] / (n - 1)
     if not sigma2 > 0:
@@ -59,7 +72,11 @@ def classical_cusum(df: DataFrame, column: str = "value", gamma: float = 0.0, tr
 
 def portmanteau(df: DataFrame, lags: int, column: str = "value", kind: str = "ljung-box") -> dict:
     """Box-Pierce or Ljung-Box over the first lags of a series."""
-    sums = prefix_sums(df, column)
+    with prefix_sums(df, column) as sums:
+        return _portmanteau(sums, lags, kind)
+
+
+def _portmanteau(sums: DataFrame, lags: int, kind: str) -> dict:
     r = sums.agg(F.count("*").alias("n"), F.avg("value").alias("m")).first()
     n, m = r["n"], r["m"]
     z = sums.select("k", (F.col("value") - m).alias("v"))
@@ -158,6 +175,7 @@ def gaussian_alpha_combination(returns: DataFrame, factors: DataFrame | None = N
 def benjamini_hochberg(p_values: DataFrame, q: float = 0.05) -> DataFrame:
     """Rows (id, p, rejected) by the step-up rule; equal p-values go together."""
     m = p_values.count()
-    at_most = p_values.groupBy("p").agg(F.count("*").alias("c")).withColumn("rank", F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = at_most.where(F.col("p") <= q * F.col("rank") / m).agg(F.max("p")).first()[0]
+    with prefix_sums(p_values.select(F.col("p").alias("id"), F.lit(1.0).alias("value")), "value") as ranked:
+        # of equal p-values the last has their rank
+        cut = ranked.where(F.col("id") <= q * F.col("k") / m).agg(F.max("id")).first()[0]
     return p_values.select("id", "p", (F.col("p") <= cut if cut is not None else F.lit(False)).alias("rejected"))

@@ -178,6 +178,59 @@ def q_kmeans(spark, d):
     return learning.assign(vectors(spark, d), fit["centers"]).select("id", "cluster", F.round("distance", DIGITS).alias("distance"))
 
 
+def q_nagao(spark, d):
+    return one_row(spark, covariance.nagao_identity(vectors(spark, d)), "statistic")
+
+
+def q_wang_yao_john(spark, d):
+    return one_row(spark, covariance.wang_yao_corrected_john(vectors(spark, d), center=True), "statistic", "raw")
+
+
+def q_pesaran_cd(spark, d):
+    return one_row(spark, series.pesaran_cd(vectors(spark, d)), "statistic")
+
+
+def q_alpha_max(spark, d):
+    return one_row(spark, series.alpha_max(vectors(spark, d)), "statistic")
+
+
+def q_pesaran_yamagata(spark, d):
+    return one_row(spark, series.pesaran_yamagata_alpha(vectors(spark, d)), "statistic", "rho2")
+
+
+def q_threshold_soft(spark, d):
+    return matrix(spark, covariance.covariance_threshold(vectors(spark, d), level=0.002, rule="soft"))
+
+
+def q_threshold_scad(spark, d):
+    return matrix(spark, covariance.covariance_threshold(vectors(spark, d), level=0.002, rule="scad"))
+
+
+def q_threshold_adaptive_lasso(spark, d):
+    return matrix(spark, covariance.covariance_threshold(vectors(spark, d), level=0.002, rule="adaptive_lasso"))
+
+
+def q_adaptive_threshold(spark, d):
+    return matrix(spark, covariance.adaptive_covariance_threshold(vectors(spark, d), delta=1.0))
+
+
+def q_spatial_kendall(spark, d):
+    return matrix(spark, foundations.spatial_kendall(vectors(spark, d)))
+
+
+def q_rank_covariance(spark, d):
+    return matrix(spark, foundations.spatial_rank_covariance(vectors(spark, d)))
+
+
+def q_acg_loglik(spark, d):
+    shape = np.diag(np.arange(1.0, 65.0))
+    return one_row(spark, {"loglik": foundations.acg_loglik(vectors(spark, d), shape)}, "loglik")
+
+
+def q_li_chen(spark, d):
+    return one_row(spark, covariance.li_chen(*halves(spark, d)), "statistic", "raw")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q_")}
 
@@ -218,6 +271,39 @@ def oracle_sql() -> dict[str, str]:
         "q_spatial_rank_coordinates": f"""WITH {_E}, p AS (SELECT a.id, b.id AS o, a.d, a.v - b.v AS v FROM e a JOIN e b ON a.d = b.d),
             n AS (SELECT id, o, sqrt(sum(v * v)) AS norm FROM p GROUP BY 1, 2), c AS (SELECT count(*) AS n FROM embeddings)
             SELECT p.id, d::INTEGER AS d, round(sum(CASE WHEN norm > 0 THEN v / norm ELSE 0 END) / max(n), {DIGITS}) + 0.0 AS v FROM p JOIN n ON p.id = n.id AND p.o = n.o, c GROUP BY 1, 2""",
+        "q_nagao": f"""{_ONE} SELECT round((max(n) - 1) / 2.0 * sum(pow(s - CASE WHEN i = j THEN 1 ELSE 0 END, 2)), {DIGITS}) AS statistic FROM s""",
+        "q_wang_yao_john": f"""{_ONE}, t AS (SELECT 64 * sum(s * s) / pow(sum(CASE WHEN i = j THEN s END), 2) - 1 AS u, max(n)::DOUBLE AS n FROM s), r AS (SELECT n * u - n * 64 / (n - 1) AS raw FROM t)
+            SELECT round((raw - 1) / 2, {DIGITS}) AS statistic, round(raw, {DIGITS}) AS raw FROM r""",
+        "q_pesaran_cd": f"""WITH {_E}, g AS (SELECT a.d AS i, b.d AS j, sum(a.v * b.v) AS g FROM e a JOIN e b ON a.id = b.id GROUP BY 1, 2), v AS (SELECT i, g FROM g WHERE i = j)
+            SELECT round(sqrt(2 * (SELECT count(*) FROM embeddings) / (64 * 63.0)) * sum(g.g / sqrt(a.g * b.g)), {DIGITS}) AS statistic FROM g JOIN v a ON g.i = a.i JOIN v b ON g.j = b.i WHERE g.i < g.j""",
+        "q_alpha_max": f"""{_ONE} SELECT round(max(n * m * m / s) - 2 * ln(64) + ln(ln(64)), {DIGITS}) AS statistic FROM s JOIN (SELECT d, m FROM m) m ON s.i = m.d WHERE s.i = s.j""",
+        "q_pesaran_yamagata": f"""{_ONE}, v AS (SELECT i, s, n FROM s WHERE i = j), k AS (SELECT (max(n) - 1)::DOUBLE AS v FROM v),
+            r AS (SELECT s.s / sqrt(a.s * b.s) AS r FROM s JOIN v a ON s.i = a.i JOIN v b ON s.j = b.i WHERE s.i < s.j),
+            t AS (SELECT 2 * coalesce(sum(CASE WHEN abs(sqrt(v) * r) > {series._normal_quantile(1 - 0.1 / 128)!r} THEN r * r END), 0) / (64 * 63.0) AS rho2 FROM r, k),
+            a AS (SELECT sum(n * m * m / s) AS t2 FROM v JOIN (SELECT d, m FROM m) m ON v.i = m.d)
+            SELECT round((t2 - 64 * v / (v - 2)) / 8 / (v / (v - 2) * sqrt(2 * (v - 1) * (1 + 63 * rho2) / (v - 4))), {DIGITS}) AS statistic, round(rho2, {DIGITS}) AS rho2 FROM a, t, k""",
+        "q_threshold_soft": f"""{_ONE}, w AS (SELECT i, j, s * (n - 1) / n AS c FROM s) SELECT i::INTEGER AS i, j::INTEGER AS j, round(sign(c) * greatest(abs(c) - 0.002::DOUBLE, 0), {DIGITS}) + 0.0 AS v FROM w""",
+        "q_threshold_scad": f"""{_ONE}, w AS (SELECT i, j, s * (n - 1) / n AS c FROM s) SELECT i::INTEGER AS i, j::INTEGER AS j, round(CASE WHEN abs(c) <= 0.004::DOUBLE THEN sign(c) * greatest(abs(c) - 0.002::DOUBLE, 0)
+            WHEN abs(c) <= 3.7::DOUBLE * 0.002::DOUBLE THEN (2.7::DOUBLE * c - sign(c) * 3.7::DOUBLE * 0.002::DOUBLE) / 1.7::DOUBLE ELSE c END, {DIGITS}) + 0.0 AS v FROM w""",
+        "q_threshold_adaptive_lasso": f"""{_ONE}, w AS (SELECT i, j, s * (n - 1) / n AS c FROM s)
+            SELECT i::INTEGER AS i, j::INTEGER AS j, round(CASE WHEN c = 0 THEN 0 ELSE sign(c) * greatest(abs(c) - 0.002::DOUBLE * 0.002::DOUBLE / abs(c), 0) END, {DIGITS}) + 0.0 AS v FROM w""",
+        "q_adaptive_threshold": f"""{_ONE}, w AS (SELECT a.d AS i, b.d AS j, avg(a.v * b.v) AS c, var_pop(a.v * b.v) AS v, max(a.n)::DOUBLE AS n FROM c a JOIN c b ON a.id = b.id GROUP BY 1, 2)
+            SELECT i::INTEGER AS i, j::INTEGER AS j, round(CASE WHEN abs(c) > sqrt(v * ln(64) / n) THEN c ELSE 0 END, {DIGITS}) + 0.0 AS v FROM w""",
+        "q_spatial_kendall": f"""WITH {_E}, g AS (SELECT a.id AS a, b.id AS b, sum((a.v - b.v) * (a.v - b.v)) AS q FROM e a JOIN e b ON a.d = b.d AND a.id <> b.id GROUP BY 1, 2),
+            z AS (SELECT g.a AS id, e.d, sum(CASE WHEN q > 0 THEN (x.v - e.v) / q ELSE 0 END) AS z FROM g JOIN e ON g.b = e.id JOIN e x ON x.id = g.a AND x.d = e.d GROUP BY 1, 2),
+            n AS (SELECT count(*)::DOUBLE AS n FROM embeddings)
+            SELECT e.d::INTEGER AS i, z.d::INTEGER AS j, round(2 * sum(e.v * z.z) / max(n * (n - 1)), {DIGITS}) + 0.0 AS v FROM e JOIN z ON e.id = z.id, n GROUP BY 1, 2""",
+        "q_rank_covariance": f"""WITH {_E}, g AS (SELECT a.id AS a, b.id AS b, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS q FROM e a JOIN e b ON a.d = b.d AND a.id <> b.id GROUP BY 1, 2),
+            n AS (SELECT count(*)::DOUBLE AS n FROM embeddings),
+            r AS (SELECT g.a AS id, e.d, sum(CASE WHEN q > 0 THEN (x.v - e.v) / q ELSE 0 END) / max(n) AS r FROM g JOIN e ON g.b = e.id JOIN e x ON x.id = g.a AND x.d = e.d, n GROUP BY 1, 2)
+            SELECT a.d::INTEGER AS i, b.d::INTEGER AS j, round(sum(a.r * b.r) / max(n), {DIGITS}) + 0.0 AS v FROM r a JOIN r b ON a.id = b.id, n GROUP BY 1, 2""",
+        "q_acg_loglik": f"""WITH {_E}, u AS (SELECT id, ln(sum(v * v / d) / sum(v * v)) AS q, count(*) AS p FROM e GROUP BY id)
+            SELECT round(-count(*) / 2.0 * (SELECT sum(ln(k)) FROM range(1, 65) r(k)) - 32 * sum(q), {DIGITS}) AS loglik FROM u""",
+        "q_li_chen": f"""{_TWO}, k AS (SELECT a.g, a.id AS a, b.id AS b, sum(a.v * b.v) AS k FROM e a JOIN e b ON a.d = b.d AND a.g = b.g AND a.id <> b.id GROUP BY 1, 2, 3),
+            o AS (SELECT g, a, sum(k) AS r, sum(k * k) AS q FROM k GROUP BY 1, 2), q AS (SELECT g, sum(q) AS sq, sum(r) AS o, sum(r * r) AS rr, count(*)::DOUBLE AS n FROM o GROUP BY g),
+            t AS (SELECT g, n, sq / (n * (n - 1)) - 2 * (rr - sq) / (n * (n - 1) * (n - 2)) + (o * o - 4 * rr + 2 * sq) / (n * (n - 1) * (n - 2) * (n - 3)) AS t2 FROM q),
+            w AS (SELECT x.t2 + y.t2 - 2 * (SELECT sum(s1 * s2) FROM s2) AS raw, 2 * x.t2 / y.n + 2 * y.t2 / x.n AS se FROM t x JOIN t y ON x.g = 0 AND y.g = 1)
+            SELECT round(raw / se, {DIGITS}) AS statistic, round(raw, {DIGITS}) AS raw FROM w""",
         "q_sscm": f"""WITH {_E}, n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM e GROUP BY id), c AS (SELECT count(*) AS n FROM embeddings)
             SELECT a.d::INTEGER AS i, b.d::INTEGER AS j, round(sum(a.v * b.v / (norm * norm)) / max(c.n), {DIGITS}) + 0.0 AS v FROM e a JOIN e b ON a.id = b.id JOIN n ON n.id = a.id, c GROUP BY 1, 2""",
         "q_bai_saranadasa": f"""{_TWO}, t AS (SELECT sum(s * s) AS ss, sum(CASE WHEN i = j THEN s END) AS tr, max(n1) AS n1, max(n2) AS n2 FROM s2),

@@ -168,9 +168,11 @@ def test_learning(spark, data):
     w = np.linalg.solve(s, x.mean(0) - y.mean(0) - 1)
     z = np.r_[x, y + 1]
     want = (z - (x.mean(0) + y.mean(0) + 1) / 2) @ w + math.log(15 / 12)
-    got = {r["id"]: r for r in learning.classical_lda(df).predict(df).collect()}
+    got = {r["id"]: r for r in learning.classical_lda(df, prior="empirical").predict(df).collect()}
+    equal = {r["id"]: r["score"] for r in learning.classical_lda(df).predict(df).collect()}
+    assert all(equal[i] == pytest.approx(want[i] - math.log(15 / 12)) for i in range(27))
     assert all(got[i]["score"] == pytest.approx(want[i]) and got[i]["label"] == ("A" if want[i] >= 0 else "B") for i in range(27))
-    q = learning.classical_qda(df)
+    q = learning.classical_qda(df, prior="empirical")
     oracle = learning.gaussian_qda_oracle(("A", "B"), x.mean(0), np.cov(x.T), y.mean(0) + 1, np.cov(y.T), (15, 12))
     assert q.score(z) == pytest.approx(oracle.score(z))
     assert len(learning.fair_classifier(df, features=2).detail["features"]) == 2
