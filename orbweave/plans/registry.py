@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.operators import covariance, foundations, learning, location, series
+from orbweave.operators import covariance, foundations, learning, location, series, shrinkage
 from orbweave.sources.samples import sample
 
 DIGITS = 6
@@ -227,6 +227,18 @@ def q_acg_loglik(spark, d):
     return one_row(spark, {"loglik": foundations.acg_loglik(vectors(spark, d), shape)}, "loglik")
 
 
+def q_ollila_raninen(spark, d):
+    return matrix(spark, shrinkage.ollila_raninen_shrinkage(vectors(spark, d), "ell2")["value"])
+
+
+def q_basic_shape(spark, d):
+    return matrix(spark, shrinkage.basic_shape(vectors(spark, d))["value"])
+
+
+def q_basics_shape(spark, d):
+    return matrix(spark, shrinkage.basics_shape(vectors(spark, d))["value"])
+
+
 def q_li_chen(spark, d):
     return one_row(spark, covariance.li_chen(*halves(spark, d)), "statistic", "raw")
 
@@ -297,6 +309,12 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT count(*)::DOUBLE AS n FROM embeddings),
             r AS (SELECT g.a AS id, e.d, sum(CASE WHEN q > 0 THEN (x.v - e.v) / q ELSE 0 END) / max(n) AS r FROM g JOIN e ON g.b = e.id JOIN e x ON x.id = g.a AND x.d = e.d, n GROUP BY 1, 2)
             SELECT a.d::INTEGER AS i, b.d::INTEGER AS j, round(sum(a.r * b.r) / max(n), {DIGITS}) + 0.0 AS v FROM r a JOIN r b ON a.id = b.id, n GROUP BY 1, 2""",
+        "q_ollila_raninen": f"""{_ONE}, g AS (SELECT d, avg(v * v * v * v) / pow(avg(v * v), 2) - 3 AS g2, max(n)::DOUBLE AS n FROM c GROUP BY d),
+            k AS (SELECT greatest(-2 / 66.0, avg((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)) / 3) AS k, max(n) AS n FROM g),
+            t AS (SELECT sum(s * s) AS q, sum(CASE WHEN i = j THEN s END) AS tr FROM s),
+            y AS (SELECT k, n, tr, least(64, greatest(1, (k + n) * pow(n - 1, 2) / ((n - 2) * (3 * k * (n - 1) + n * (n + 1))) * (64 * q / (tr * tr) - n / (n + k) * (n / (n - 1) + k) * 64 / n))) AS y FROM k, t),
+            w AS (SELECT tr / 64 AS eta, (y - 1) / (y - 1 + k * (2 * y + 64) / n + (y + 64) / (n - 1)) AS w FROM y)
+            SELECT i::INTEGER AS i, j::INTEGER AS j, round(w * s + CASE WHEN i = j THEN (1 - w) * eta ELSE 0 END, {DIGITS}) + 0.0 AS v FROM s, w""",
         "q_acg_loglik": f"""WITH {_E}, u AS (SELECT id, ln(sum(v * v / d) / sum(v * v)) AS q, count(*) AS p FROM e GROUP BY id)
             SELECT round(-count(*) / 2.0 * (SELECT sum(ln(k)) FROM range(1, 65) r(k)) - 32 * sum(q), {DIGITS}) AS loglik FROM u""",
         "q_li_chen": f"""{_TWO}, k AS (SELECT a.g, a.id AS a, b.id AS b, sum(a.v * b.v) AS k FROM e a JOIN e b ON a.d = b.d AND a.g = b.g AND a.id <> b.id GROUP BY 1, 2, 3),

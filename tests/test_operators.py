@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions import tails
-from orbweave.operators import covariance, foundations, learning, location, series
+from orbweave.operators import covariance, foundations, learning, location, series, shrinkage
 from orbweave.sources.samples import relliptical, rspherical
 
 
@@ -295,3 +295,106 @@ def test_queries_of_all_coordinates(spark, tmp_path):
         with duckdb.connect() as c:
             c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
             assert {(i, d): v for i, d, v in c.execute(registry.oracle_sql()[query]).fetchall()} == pytest.approx(got, abs=2e-6)
+
+
+def test_shrinkage(spark, data):
+    x, _ = data
+    df = frame(spark, x)
+    s, n, p = np.cov(x.T), 15, 4
+    found = {k: shrinkage.ollila_raninen_shrinkage(df, k) for k in ("ell1", "ell2", "ell3")}
+    d = x - x.mean(0)
+    g2 = (d**4).mean(0) / (d**2).mean(0) ** 2 - 3
+    kappa = max(-2 / 6, np.mean(14 / (13 * 12) * (16 * g2 + 6)) / 3)
+    u = unit(x - foundations.spatial_median(df).value)
+    ell1 = min(p, max(1, n / (n - 1) * (p * ((u.T @ u / n) ** 2).sum() - p / n)))
+    assert found["ell1"]["kappa"] == pytest.approx(kappa) and found["ell1"]["gamma"] == pytest.approx(ell1, rel=1e-6)
+    assert found["ell3"]["gamma"] == min(found["ell1"]["gamma"], found["ell2"]["gamma"])
+    for f in found.values():
+        y = f["gamma"]
+        w = (y - 1) / (y - 1 + kappa * (2 * y + p) / n + (y + p) / (n - 1))
+        assert f["value"] == pytest.approx(w * s + (1 - w) * np.trace(s) / p * np.eye(p))
+    # in two dimensions the map has a closed form; the identity stays itself
+    v = np.array([0.01, 0.5, 3.0, 40.0])
+    assert shrinkage.sign_map(v, 2, 128) == pytest.approx(v * np.log(v) / (v - 1) / 2, abs=1e-8)
+    assert shrinkage.inverse_sign_map(np.full(5, 0.2), 5) == pytest.approx(np.ones(5))
+    shape = np.array([0.4, 0.8, 1.2, 1.6])
+    assert shrinkage.inverse_sign_map(shrinkage.sign_map(shape, 4, 128), 4) == pytest.approx(shape)
+    for f in (shrinkage.basic_shape(df), shrinkage.basics_shape(df)):
+        assert np.trace(f["value"]) == pytest.approx(4) and np.linalg.eigvalsh(f["value"]) == pytest.approx(np.sort(f["eigenvalues"]))
+    values, vectors = np.linalg.eigh(u.T @ u / n)
+    assert shrinkage.basic_shape(df)["value"] == pytest.approx((vectors * shrinkage.inverse_sign_map(values, 4)) @ vectors.T, abs=1e-5)
+
+
+def test_growth_ratio_of_factors(spark, data):
+    x, _ = data
+    df = frame(spark, x)
+    v = np.sort(np.linalg.eigvalsh(4 * foundations.sscm(df)))[::-1]
+    grow = [math.log1p(v[0] / (v[0] + v[1] + v[2])) / math.log1p(v[1] / (v[1] + v[2])), math.log1p(v[1] / (v[1] + v[2])) / math.log1p(v[2] / v[2])]
+    assert covariance.elliptical_factor_number(df, 2, "gr") == 1 + int(np.argmax(grow))
+    assert covariance.elliptical_factor_number(df, 3, "er") == 1 + int(np.argmax(v[:3] / v[1:]))
+    with pytest.raises(ValueError):
+        covariance.elliptical_factor_number(df, 3, "gr")
+
+
+def test_classical_statistics(spark, data):
+    """Against formulas written out: shape, independence, alphas, signs."""
+    x, _ = data
+    df = frame(spark, x)
+    s = np.cov(x.T)
+    w = 4**4 * np.linalg.det(s) / np.trace(s) ** 4
+    assert covariance.mauchly_sphericity(df)["statistic"] == pytest.approx(-(14 - (2 * 16 + 4 + 2) / 24) * math.log(w))
+    assert covariance.nagao_identity(df)["statistic"] == pytest.approx(7 * ((s - np.eye(4)) ** 2).sum())
+    u = unit(x - x.mean(0))
+    assert covariance.spatial_sign_sphericity(df, "mean")["q"] == pytest.approx(4 * ((u.T @ u / 15) ** 2).sum() - 1)
+    lam = np.linalg.det(s) / np.linalg.det(s[:2, :2]) / np.linalg.det(s[2:, 2:])
+    assert series.gaussian_wilks_independence(df, 2)["lambda"] == pytest.approx(lam)
+    market = np.sin(np.arange(15.0))[:, None]
+    z = np.column_stack([np.ones(15), market])
+    beta, *_ = np.linalg.lstsq(z, x, rcond=None)
+    e = x - z @ beta
+    sigma = e.T @ e / 15
+    grs = (15 - 4 - 1) / 4 / (1 + market.mean() ** 2 / market.var()) * beta[0] @ np.linalg.solve(sigma, beta[0])
+    factors = frame(spark, market)
+    assert series.grs_alpha(df, factors)["statistic"] == pytest.approx(grs)
+    t2 = beta[0] ** 2 / (np.diag(e.T @ e) / 13 * np.linalg.inv(z.T @ z)[0, 0])
+    assert series.alpha_max(df, factors)["statistic"] == pytest.approx(t2.max() - 2 * math.log(4) + math.log(math.log(4)))
+    both = series.pesaran_yamagata_alpha(df, factors)["p_value"], series.alpha_max(df, factors)["p_value"]
+    assert series.gaussian_alpha_combination(df, factors)["p_value"] == pytest.approx(min(1, 2 * min(both)))
+    sign = learning.spatial_sign_pca(df, 2, "mean")
+    assert sign["values"] == pytest.approx(np.linalg.eigvalsh(u.T @ u / 15)[::-1][:2])
+    pairs = unit(np.array([a - b for i, a in enumerate(x) for b in x[:i]]))
+    kendall = np.linalg.eigh(pairs.T @ pairs / len(pairs))
+    assert learning.kendall_pca(df, 2)["values"] == pytest.approx(kendall[0][::-1][:2])
+    rts = learning.rts_factor(df, 1)
+    assert np.abs(rts["loadings"][:, 0]) == pytest.approx(2 * np.abs(kendall[1][:, -1])) and rts["center"] == pytest.approx(x.mean(0))
+    assert learning.robust_factor_subspace(df, 1, "kendall").shape == (4, 1)
+
+
+def test_kmeans_start(spark):
+    rows = [(0.0,), (1.0,), (2.0,), (8.0,), (9.0,), (10.0,)]
+    df = frame(spark, rows)
+    assert learning._maxmin_start(df, 2, 1).ravel().tolist() == [0.0, 10.0]
+    assert learning._maxmin_start(df, 2, 1, first_index=6).ravel().tolist() == [10.0, 0.0]
+    fit = learning.lloyd_kmeans(df, 2)
+    assert sorted(fit["centers"].ravel().tolist()) == [1.0, 9.0] and fit["objective"] == pytest.approx(4) and fit["converged"]
+    with pytest.raises(ValueError):
+        learning.lloyd_kmeans(frame(spark, [(1.0,), (1.0,)]), 2)
+
+
+def test_sums_in_a_tree(spark, data, monkeypatch):
+    from orbweave.functions import partial
+
+    df = frame(spark, data[0]).repartition(9)
+    f = lambda x: np.r_[len(x), np.concatenate(x.to_pylist()).sum()]
+    plain = partial.total(df.select("x"), f)
+    monkeypatch.setattr(partial, "MANY", 0)
+    assert partial.total(df.select("x"), f) == pytest.approx(plain) and plain == pytest.approx([15, data[0].sum()])
+
+
+def test_series_over_ranges(spark):
+    values = [math.sin(k * k) for k in range(40)]
+    df = spark.createDataFrame([(1000 * k * k, v) for k, v in enumerate(values)], "id long, value double").repartition(5)
+    with series.prefix_sums(df, "value") as sums:
+        rows = sums.orderBy("id").collect()
+    assert [r["k"] for r in rows] == list(range(1, 41)) and [r["s"] for r in rows] == pytest.approx(np.cumsum(values).tolist())
+    assert [r["was"] for r in rows] == [None, *values[:-1]]
