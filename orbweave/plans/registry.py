@@ -142,6 +142,10 @@ def q_covariance_threshold(spark, d):
     return matrix(spark, covariance.covariance_threshold(vectors(spark, d)))
 
 
+def q_poet(spark, d):
+    return matrix(spark, covariance.poet_covariance(vectors(spark, d), 2, 0.1))
+
+
 def q_line_covariance(spark, d):
     return matrix(spark, covariance.covariance_threshold(lines(spark, d), level=0.0, divisor="n-1"), 3)
 
