@@ -116,6 +116,47 @@ def classical_qda(df: DataFrame, levels=None, prior=None) -> Classifier:
     return _quadratic(levels, m1, g1 / (n1 - 1), m2, g2 / (n2 - 1), _log_prior(n1, n2, prior))
 
 
+def sparse_plugin_lda(df: DataFrame, precision=None, covariance=None, locations=None, levels=None, prior="empirical") -> Classifier:
+    """The linear rule from a given precision, or covariance, matrix and the classes' means."""
+    if (precision is None) == (covariance is None):
+        raise ValueError("give either the covariance or the precision")
+    levels = two_classes(df, levels)
+    (n1, m1, _), (n2, m2, _) = _by_class(df, levels)
+    if locations is not None:
+        m1, m2 = (np.asarray(v, float) for v in locations)
+    given = np.asarray(covariance if precision is None else precision, float)
+    np.linalg.cholesky(given)
+    return _linear(levels, m1, m2, np.linalg.inv(given) if precision is None else given, _log_prior(n1, n2, prior))
+
+
+def spatial_sign_precision_lda(df: DataFrame, fit, locations=None, levels=None) -> Classifier:
+    """The linear rule of equal priors from a fit of `spatial_sign_precision` and the
+    classes' spatial medians; the score is known up to a positive factor."""
+    levels = two_classes(df, levels)
+    if locations is None:
+        p = dimensions(df)[1]
+        locations = [center_of(df.where(F.col("y").cast("string") == v), "spatial", p) for v in levels]
+    return _linear(levels, *(np.asarray(v, float) for v in locations), fit.value, 0.0)
+
+
+def elliptical_oracle(levels, location1, shape1, location2, shape2, log_generator1: Callable, log_generator2: Callable | None = None, prior=(0.5, 0.5)) -> Classifier:
+    """The exact rule of two known elliptical laws.
+
+    A generator's logarithm is a function of an array of squared distances; the
+    second is the first where it is not given.
+    """
+    c1, c2 = np.asarray(location1, float), np.asarray(location2, float)
+    r1, r2 = (np.linalg.inv(np.linalg.cholesky(np.asarray(s, float))) for s in (shape1, shape2))
+    g1, g2 = log_generator1, log_generator2 or log_generator1
+    shift = np.log(np.diag(r1)).sum() - np.log(np.diag(r2)).sum() + _log_prior(0, 0, prior)
+
+    def score(z):
+        d1, d2 = (((z - c1) @ r1.T) ** 2).sum(1), (((z - c2) @ r2.T) ** 2).sum(1)
+        return np.asarray(g1(d1), float) - np.asarray(g2(d2), float) + shift
+
+    return Classifier(levels, score)
+
+
 def independence_classifier(df: DataFrame, levels=None, prior=None, divisor: str = "n-2") -> Classifier:
     levels = two_classes(df, levels)
     (n1, m1, g1), (n2, m2, g2) = _by_class(df, levels)
@@ -197,6 +238,30 @@ def kendall_pca(df: DataFrame, k: int) -> dict:
     return {"values": values, "vectors": vectors, "center": center_of(df, "mean", dimensions(df)[1])}
 
 
+def kendall_factor_number(df: DataFrame, kmax: int, c: float, method: str = "mker", zero_pair_action: str = "error") -> dict:
+    """The number of factors by ratios of eigenvalues of spatial Kendall's scatter, each raised by
+    c / sqrt(min(n, p)): "mker" of neighbours, "mktcr" of their logarithmic shares in the tail.
+
+    The first of equal ratios counts.  Equal rows raise unless ``zero_pair_action`` is "zero".
+    """
+    n, p = dimensions(df)
+    m = min(n, p)
+    if not 1 <= kmax < m or not 0 < c < math.inf or method not in ("mker", "mktcr"):
+        raise ValueError("kmax must be from 1 to min(n, p) - 1, c positive, the method mker or mktcr")
+    scatter = spatial_kendall(df)
+    # a pair of equal rows adds nothing to a trace that is 1 without any
+    if zero_pair_action == "error" and np.trace(scatter) < 1 - 1 / (n * (n - 1)):
+        raise ArithmeticError("two rows are equal")
+    values, _ = leading(scatter, m)
+    v = values + c / math.sqrt(m)
+    if v.min() <= 0:
+        raise ArithmeticError("an eigenvalue is not positive")
+    tails_ = np.cumsum(v[::-1])[::-1]
+    share = v if method == "mker" else np.log1p(v / tails_)
+    ratios = share[:kmax] / share[1 : kmax + 1]
+    return {"k": int(ratios.argmax()) + 1, "ratios": ratios, "values": values}
+
+
 def robust_factor_subspace(df: DataFrame, k: int, scatter: str = "sscm", min_gap: float = 1e-12) -> np.ndarray:
     m = sscm(df) if scatter == "sscm" else spatial_kendall(df)
     values, vectors = leading(m, len(m))

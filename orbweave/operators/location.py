@@ -325,3 +325,35 @@ def zhang_feng_sum(scores: DataFrame, tau_sq: float) -> dict:
     """The sum of squared scores, centred, over the root of p times ``tau_sq``."""
     r = scores.agg(F.sum(F.col("u") * F.col("u")).alias("s"), F.count("*").alias("p")).first()
     return _normal((r["s"] - r["p"]) / math.sqrt(r["p"] * _positive(tau_sq, "tau_sq")), raw=r["s"])
+
+
+def oracle_weighted_sign_sum(df: DataFrame, theta, diagonal, weight="constant", power: float = 0.0, null_sd: float | None = None, nu2: float | None = None, trace_r2: float | None = None, zero_tol: float = 0.0) -> dict:
+    """Mean inner product of two rows' signs, weighted by radius, about a known location and diagonal.
+
+    ``weight`` is "constant", "inverse_norm", "power" (of ``power``) or a function of
+    an array of radii.  With ``null_sd``, or with ``nu2`` and ``trace_r2``, the
+    statistic is standardised; otherwise there is no p-value.  A radius of at most
+    ``zero_tol`` raises.
+    """
+    if (nu2 is None) != (trace_r2 is None) or (null_sd is not None and nu2 is not None):
+        raise ValueError("give either null_sd, or nu2 and trace_r2 together")
+    n, p = dimensions(df)
+    c, d = np.asarray(theta, float), np.asarray(diagonal, float)
+    if n < 2 or c.shape != (p,) or d.shape != (p,) or d.min() <= 0:
+        raise ValueError("two rows, a location and a positive diagonal of their dimension are needed")
+    k = weight if callable(weight) else {"constant": np.ones_like, "inverse_norm": lambda r: 1 / r, "power": lambda r: r**power}[weight]
+
+    def f(x):
+        u, r = signs((rows_of(x) - c) / np.sqrt(d), zero_tol)
+        if r.min() <= zero_tol:
+            raise ArithmeticError("a radius is zero")
+        w = np.asarray(k(r), float)
+        return np.r_[(w**2).sum(), (w[:, None] * u).sum(0)]
+
+    t = total(df.select("x"), f)
+    score = float((t[1:] ** 2).sum() - t[0]) / (n * (n - 1))
+    if nu2 is not None:
+        null_sd = nu2 / p * math.sqrt(2 * trace_r2 / (n * (n - 1)))
+    if null_sd is None:
+        return {"statistic": score, "raw": score, "nu2": float(t[0]) / n}
+    return _normal(score / _positive(null_sd, "the standard deviation"), raw=score, nu2=float(t[0]) / n)

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import tails
 from orbweave.functions.partial import moments, total
+from orbweave.operators.foundations import signs
 from orbweave.sources.samples import dimensions, rows_of
 
+
 @contextmanager
 def prefix_sums(df: DataFrame, column: str) -> Iterator[DataFrame]:
     """Rows (id, value, k, s, was): rank of the id, sum of values up to it, and the value before.
@@ -87,6 +89,100 @@ def _portmanteau(sums: DataFrame, lags: int, kind: str) -> dict:
     return {"statistic": q, "p_value": tails.chi2_sf(q, lags), "rho": rho}
 
 
+#: Times in one block of lagged products; a block also holds as many more as there are lags.
+LAG_BLOCK = 1024
+
+
+def _lagged(df: DataFrame, lags: int, prepare) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Sums over times t, for lags h from 0, of x_t x_{t+h}' and of |x_t|^2 |x_{t+h}|^2.
+
+    Times are ranks of the ids.  A block of times takes the first times of the next
+    one along, so that each row moves once, or twice near a block's start.
+    """
+    n, p = dimensions(df)
+    if not 1 <= lags <= n - 2:
+        raise ValueError("lags must be between 1 and the rows less two")
+    size = max(LAG_BLOCK, lags)
+    with prefix_sums(df.select("id", F.lit(0.0).alias("value")), "value") as ranked:
+        times = df.select("id", "x").join(ranked.select("id", (F.col("k") - 1).alias("k")), "id")
+        block, at = F.floor(F.col("k") / size), F.col("k") % size
+        copies = F.when((at < lags) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+        held = times.select(F.explode(copies).alias("block"), "k", "x").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("rows"))
+
+        def f(blocks, rows):
+            out = np.zeros((lags + 1) * (p * p + 1))
+            for b, held_rows in zip(blocks.to_pylist(), rows, strict=True):
+                k, x = (held_rows.values.field(c) for c in ("k", "x"))
+                x = prepare(rows_of(x))
+                own, square = int((k.to_numpy() < (b + 1) * size).sum()), (x**2).sum(1)
+                parts = []
+                for h in range(lags + 1):
+                    m = min(own, len(x) - h)
+                    parts += [(x[:m].T @ x[h : h + m]).ravel(), [square[:m] @ square[h : h + m]]] if m > 0 else [np.zeros(p * p + 1)]
+                out += np.concatenate(parts)
+            return out
+
+        t = total(held, f).reshape(lags + 1, -1)
+    return n, p, t[:, :-1].reshape(-1, p, p), t[:, -1]
+
+
+def _centred(df: DataFrame, center: str) -> np.ndarray | float:
+    if center not in ("none", "mean"):
+        raise ValueError(f"no centre {center!r}")
+    if center == "none":
+        return 0.0
+    t = total(df.select("x"), lambda x: np.r_[len(x), rows_of(x).sum(0)])
+    return t[1:] / t[0]
+
+
+def feng_liu_ma_white_noise(df: DataFrame, lags: int = 1, component: str = "fisher", center: str = "none") -> dict:
+    """Whether vectors are uncorrelated over time: the largest lagged correlation, the
+    sum of products of inner products a lag apart over all pairs of times, or both.
+
+    The sum over pairs of times is the square of the lagged products' sum less its
+    equal times, so that no pair of rows meets.  Autocovariances have divisor n.
+    """
+    c = _centred(df, center)
+    n, p, m, same = _lagged(df, lags, lambda x: x - c)
+    if lags * p * p <= 1:
+        raise ValueError("one lag of one column has no extreme-value law; use the portmanteau")
+    v = np.diag(m[0]) / n
+    if v.min() <= 0:
+        raise ArithmeticError("a variance is zero")
+    largest = math.sqrt(n) * float(np.abs(m[1:] / n / np.sqrt(np.outer(v, v))).max())
+    gumbel = largest**2 - 2 * math.log(lags * p * p) + math.log(math.log(lags * p * p))
+    pairs = ((m**2).sum((1, 2)) - same) / (n * (n - 1))
+    if not pairs[0] > 0:
+        raise ArithmeticError("the trace estimate is not positive")
+    z = float(pairs[1:].sum()) / (math.sqrt(2 * lags / (n * (n - 1))) * pairs[0])
+    p_max, p_sum = tails.gumbel_sf(gumbel), tails.normal_sf(z)
+    found = {"max": gumbel, "sum": z, "p_max": p_max, "p_sum": p_sum, "trace": float(pairs[0]), "largest": largest}
+    if component == "fisher":
+        both = -2 * (math.log(p_max) + math.log(p_sum)) if p_max > 0 and p_sum > 0 else math.inf
+        return {"statistic": both, "p_value": tails.fisher_two(p_max, p_sum), **found}
+    return {"statistic": found[component], "p_value": found[f"p_{component}"], **found}
+
+
+def spatial_sign_white_noise(df: DataFrame, lags: int = 1, center: str = "none", zero_action: str = "error") -> dict:
+    """The sum test on the rows' spatial signs; zero rows raise, or stay as zeros ("keep")."""
+    c = _centred(df, center)
+
+    def prepare(x):
+        u, r = signs(x - c)
+        if zero_action == "error" and r.min() <= 0:
+            raise ArithmeticError("a row has no direction")
+        return u
+
+    n, _, m, same = _lagged(df, lags, prepare)
+    pairs = (m**2).sum((1, 2)) - same
+    trace = float(pairs[0]) / (n * (n - 1))
+    if not trace > 0:
+        raise ArithmeticError("the trace estimate is not positive")
+    raw = float((pairs[1:] / 2 / (n - np.arange(1, lags + 1))).sum())
+    z = raw / (math.sqrt(lags / 2) * trace)
+    return {"statistic": z, "p_value": tails.normal_sf(z), "raw": raw, "trace": trace}
+
+
 def pesaran_cd(df: DataFrame) -> dict:
     """Rows are times, columns units: scaled sum of uncentred correlations."""
     t, n = dimensions(df)
@@ -172,6 +268,43 @@ def gaussian_alpha_combination(returns: DataFrame, factors: DataFrame | None = N
     return {"statistic": p, "p_value": p}
 
 
+def gaussian_alpha_cauchy(returns: DataFrame, trace_r2: float, factors: DataFrame | None = None) -> dict:
+    """The sum of squared alphas over variances, standardised by a known trace of the squared
+    correlation, and the largest squared t, by Cauchy's combination."""
+    if not 0 < trace_r2 < math.inf:
+        raise ValueError("the trace must be positive")
+    a = alpha_fit(returns, factors)
+    variance = np.diag(a["scatter"]) / (a["t"] - a["k"] - 1)
+    if variance.min() <= 0:
+        raise ArithmeticError("a residual variance is not positive")
+    z = (a["t"] * float((a["alpha"] ** 2 / variance).sum()) - a["n"]) / math.sqrt(2 * trace_r2)
+    g = float(_squared_t(a).max()) - 2 * math.log(a["n"]) + math.log(math.log(a["n"]))
+    p = tails.cauchy_combination(tails.normal_sf(z), tails.gumbel_sf(g))
+    return {"statistic": p, "p_value": p, "sum": z, "max": g}
+
+
+def weighted_sign_alpha_oracle(scores: DataFrame, trace_r2: float, weight) -> dict:
+    """From rows (x direction, radius, h): the weighted quadratic form of all pairs of
+    times, with all nuisances known.  ``weight`` is a function of an array of radii."""
+    t, n = dimensions(scores)
+    if t < 2 or n < 2 or not trace_r2 > 0:
+        raise ValueError("two times, two assets and a positive trace are needed")
+
+    def f(x, radius, h):
+        u, h = rows_of(x), h.to_numpy()
+        if np.abs((u**2).sum(1) - 1).max() > 1e-8:
+            raise ValueError("a direction is not of length 1")
+        w = np.asarray(weight(radius.to_numpy()), float)
+        return np.r_[h @ h, w @ w, ((h * w) ** 2) @ (u**2).sum(1), (h * w) @ u]
+
+    s = total(scores.select("x", F.col("radius").cast("double"), F.col("h").cast("double")), f)
+    if not (s[0] > 0 and s[1] > 0):
+        raise ArithmeticError("the weights or the residualised intercept are zero")
+    q, psi2 = n * float((s[3:] ** 2).sum() - s[2]) / s[0], s[1] / t
+    z = float(q / (psi2 * math.sqrt(2 * trace_r2)))
+    return {"statistic": z, "p_value": tails.normal_sf(z), "raw": float(q), "psi2": float(psi2)}
+
+
 def benjamini_hochberg(p_values: DataFrame, q: float = 0.05) -> DataFrame:
     """Rows (id, p, rejected) by the step-up rule; equal p-values go together."""
     m = p_values.count()

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.operators import covariance, foundations, learning, location, series, shrinkage
+from orbweave.operators import covariance, foundations, learning, location, precision, series, shrinkage
 from orbweave.sources.samples import sample
 
 DIGITS = 6
@@ -247,6 +247,73 @@ def q_li_chen(spark, d):
     return one_row(spark, covariance.li_chen(*halves(spark, d)), "statistic", "raw")
 
 
+def q_feng_liu_ma_white_noise(spark, d):
+    return one_row(spark, series.feng_liu_ma_white_noise(vectors(spark, d), lags=2), "max", "sum", "trace", "largest")
+
+
+def q_spatial_sign_white_noise(spark, d):
+    return one_row(spark, series.spatial_sign_white_noise(vectors(spark, d), lags=2), "statistic", "raw", "trace")
+
+
+def q_gaussian_alpha_cauchy(spark, d):
+    return one_row(spark, series.gaussian_alpha_cauchy(vectors(spark, d), trace_r2=64.0), "sum", "max")
+
+
+def q_weighted_sign_alpha(spark, d):
+    scores = foundations.spatial_sign(vectors(spark, d)).select("id", F.col("sign").alias("x"), F.col("norm").alias("radius"), F.lit(1.0).alias("h"))
+    return one_row(spark, series.weighted_sign_alpha_oracle(scores, 64.0, lambda r: 1 / r), "statistic", "raw", "psi2")
+
+
+def q_oracle_weighted_sign_sum(spark, d):
+    found = location.oracle_weighted_sign_sum(vectors(spark, d), np.zeros(64), np.arange(1.0, 65.0), "inverse_norm", nu2=1.0, trace_r2=64.0)
+    return one_row(spark, found, "statistic", "raw", "nu2")
+
+
+def _labelled(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") % 2).cast("string").alias("y"))
+
+
+def q_sparse_plugin_lda(spark, d):
+    rows = _labelled(spark, d)
+    fit = learning.sparse_plugin_lda(rows, precision=np.diag(np.arange(1.0, 65.0)), levels=("0", "1"))
+    return fit.predict(rows).select("id", F.round("score", DIGITS).alias("score"), "label")
+
+
+def q_elliptical_oracle(spark, d):
+    rows = _labelled(spark, d)
+    ones = np.full(64, 0.1)
+    fit = learning.elliptical_oracle(("0", "1"), ones, np.eye(64), -ones, 2 * np.eye(64), lambda q: -34.0 * np.log1p(q / 4))
+    return fit.predict(rows).select("id", F.round("score", DIGITS).alias("score"), "label")
+
+
+def q_spatial_sign_precision_lda(spark, d):
+    rows = _labelled(spark, d)
+    fit = learning.spatial_sign_precision_lda(rows, precision.spatial_sign_precision(rows, 0.3, "sglasso"), levels=("0", "1"))
+    return fit.predict(rows).select("id", F.round("score", 4).alias("score"), "label")
+
+
+def q_kendall_factor_number(spark, d):
+    found = learning.kendall_factor_number(vectors(spark, d), 8, 0.1)
+    return one_row(spark, {"k": found["k"], "ratio": found["ratios"].max()}, "k", "ratio")
+
+
+def q_graphical_lasso(spark, d):
+    return matrix(spark, precision.gaussian_graphical_lasso(vectors(spark, d), 0.005).value, 4)
+
+
+def q_clime(spark, d):
+    return matrix(spark, precision.clime_precision(vectors(spark, d), 0.3).value, 4)
+
+
+def q_spatial_sign_precision(spark, d):
+    return matrix(spark, precision.spatial_sign_precision(vectors(spark, d), 0.3, "sglasso").value, 4)
+
+
+def q_ec2_covariance(spark, d):
+    return matrix(spark, precision.ec2_covariance(vectors(spark, d), 0.05, 0.1).value)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q_")}
 
@@ -277,7 +344,31 @@ _SUMS = "WITH r AS (SELECT event_id AS id, value, row_number() OVER w AS k, sum(
 def oracle_sql() -> dict[str, str]:
     u = ", ".join(f"round(max(CASE WHEN d = {k} THEN v / norm END), {DIGITS}) AS u{k}" for k in range(1, 5))
     r = ", ".join(f"round(sum(CASE WHEN d = {k} AND norm > 0 THEN v / norm ELSE 0 END) / max(n), {DIGITS}) AS r{k}" for k in range(1, 5))
+    z = f"WITH {_E}, r AS (SELECT id, row_number() OVER (ORDER BY id) AS k, sqrt(sum(v * v)) AS norm FROM e GROUP BY id), z AS (SELECT k, d, v, v / norm AS u FROM e JOIN r ON e.id = r.id), n AS (SELECT count(*)::DOUBLE AS n FROM r)"
+    lagged = """h AS (SELECT unnest([0, 1, 2]) AS h), m AS (SELECT h, a.d AS i, b.d AS j, sum(a.{v} * b.{v}) AS m FROM h, z a JOIN z b ON b.k = a.k + h GROUP BY 1, 2, 3),
+            s AS (SELECT k, sum({v} * {v}) AS q FROM z GROUP BY k), o AS (SELECT h, sum(a.q * b.q) AS o FROM h, s a JOIN s b ON b.k = a.k + h GROUP BY 1),
+            q AS (SELECT m.h, sum(m * m) - max(o) AS q FROM m JOIN o ON m.h = o.h GROUP BY 1)"""
     return {
+        "q_feng_liu_ma_white_noise": f"""{z}, {lagged.format(v="v")}, g AS (SELECT i, m AS g FROM m WHERE h = 0 AND i = j),
+            x AS (SELECT sqrt(max(n)) * max(abs(m) / sqrt(a.g * b.g)) AS largest FROM m JOIN g a ON m.i = a.i JOIN g b ON m.j = b.i, n WHERE h > 0),
+            y AS (SELECT sum(CASE WHEN h = 0 THEN q END) / max(n * (n - 1)) AS trace, sum(CASE WHEN h > 0 THEN q END) / max(n * (n - 1)) AS q, max(n) AS n FROM q, n)
+            SELECT round(largest * largest - 2 * ln(8192) + ln(ln(8192)), {DIGITS}) AS max, round(q / (sqrt(4 / (n * (n - 1))) * trace), {DIGITS}) AS sum, round(trace, {DIGITS}) AS trace, round(largest, {DIGITS}) AS largest FROM x, y""",
+        "q_spatial_sign_white_noise": f"""{z}, {lagged.format(v="u")}, y AS (SELECT sum(CASE WHEN h = 0 THEN q END) / max(n * (n - 1)) AS trace, sum(CASE WHEN h > 0 THEN q / 2 / (n - h) END) AS raw FROM q, n)
+            SELECT round(raw / trace, {DIGITS}) AS statistic, round(raw, {DIGITS}) AS raw, round(trace, {DIGITS}) AS trace FROM y""",
+        "q_gaussian_alpha_cauchy": f"""{_ONE} SELECT round((sum(n * m * m / s) - 64) / sqrt(128), {DIGITS}) AS sum, round(max(n * m * m / s) - 2 * ln(64) + ln(ln(64)), {DIGITS}) AS max FROM s JOIN (SELECT d, m FROM m) m ON s.i = m.d WHERE s.i = s.j""",
+        "q_weighted_sign_alpha": f"""{z}, t AS (SELECT d, sum(u / norm) AS t FROM z JOIN r ON z.k = r.k GROUP BY d), w AS (SELECT sum(1 / (norm * norm)) AS w, max(n) AS n FROM r, n),
+            x AS (SELECT 64 * ((SELECT sum(t * t) FROM t) - w) / n AS raw, w / n AS psi2 FROM w)
+            SELECT round(raw / (psi2 * sqrt(128)), {DIGITS}) AS statistic, round(raw, {DIGITS}) AS raw, round(psi2, {DIGITS}) AS psi2 FROM x""",
+        "q_oracle_weighted_sign_sum": f"""WITH {_E}, r AS (SELECT id, sum(v * v / d) AS r2 FROM e GROUP BY id), t AS (SELECT d, sum(v / sqrt(d) / r2) AS t FROM e JOIN r ON e.id = r.id GROUP BY d),
+            w AS (SELECT sum(1 / r2) AS w, count(*)::DOUBLE AS n FROM r), x AS (SELECT ((SELECT sum(t * t) FROM t) - w) / (n * (n - 1)) AS raw, w, n FROM w)
+            SELECT round(raw * 64 / sqrt(128 / (n * (n - 1))), {DIGITS}) AS statistic, round(raw, {DIGITS}) AS raw, round(w / n, {DIGITS}) AS nu2 FROM x""",
+        "q_sparse_plugin_lda": f"""WITH {_E}, m AS (SELECT g, d, avg(v) AS m, count(*)::DOUBLE AS n FROM e GROUP BY g, d),
+            f AS (SELECT x.d, x.m AS m1, y.m AS m2, ln(x.n / y.n) AS prior FROM m x JOIN m y ON x.d = y.d AND x.g = 0 AND y.g = 1),
+            s AS (SELECT id, sum((v - (m1 + m2) / 2) * e.d * (m1 - m2)) + max(prior) AS score FROM e JOIN f ON e.d = f.d GROUP BY id)
+            SELECT id, round(score, {DIGITS}) + 0.0 AS score, CASE WHEN score >= 0 THEN '0' ELSE '1' END AS label FROM s""",
+        "q_elliptical_oracle": f"""WITH {_E}, q AS (SELECT id, sum(pow(v - 0.1::DOUBLE, 2)) AS a, sum(pow(v + 0.1::DOUBLE, 2)) / 2 AS b FROM e GROUP BY id),
+            s AS (SELECT id, -34 * ln(1 + a / 4) + 34 * ln(1 + b / 4) + 32 * ln(2) AS score FROM q)
+            SELECT id, round(score, {DIGITS}) + 0.0 AS score, CASE WHEN score >= 0 THEN '0' ELSE '1' END AS label FROM s""",
         "q_spatial_sign": f"WITH {_E}, n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM e GROUP BY id) SELECT e.id, {u}, round(max(norm), {DIGITS}) AS norm FROM e JOIN n ON e.id = n.id GROUP BY e.id",
         "q_spatial_rank": f"""WITH {_E}, p AS (SELECT a.id, b.id AS o, a.d, a.v - b.v AS v FROM e a JOIN e b ON a.d = b.d),
             n AS (SELECT id, o, sqrt(sum(v * v)) AS norm FROM p GROUP BY 1, 2), c AS (SELECT count(*) AS n FROM embeddings)
