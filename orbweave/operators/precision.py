@@ -108,6 +108,9 @@ def _clime_columns(s: np.ndarray, columns: np.ndarray, lam: float, tol: float, m
     scaled multiplier of the box, made feasible, bounds the optimum from below.
     """
     p = len(s)
+    # a scatter of norm 1 has the same program, with columns as many times as long
+    scale = np.linalg.norm(s, 2) or 1.0
+    s = s / scale
     e = np.zeros((p, len(columns)))
     e[columns, np.arange(len(columns))] = 1.0
     solve = np.linalg.inv(np.eye(p) + s @ s)
@@ -127,7 +130,7 @@ def _clime_columns(s: np.ndarray, columns: np.ndarray, lam: float, tol: float, m
         value = np.abs(w).sum(0)
         gap = np.maximum(outside, np.abs(value - ((y * e).sum(0) - lam * np.abs(y).sum(0))) / (1 + value))
         if gap.max() <= tol:
-            return w, gap, k
+            return w / scale, gap, k
         if k <= 2000:
             primal = max(np.abs(b - w).max(), np.abs(sb - z).max())
             factor = _balanced(rho, primal, rho * max(np.abs(w - w0).max(), np.abs(z - z0).max()))
