@@ -107,6 +107,12 @@ def _sign_moments(df: DataFrame, center) -> tuple[int, int, np.ndarray, np.ndarr
     return n, p, t[4:].reshape(p, p) / n, t[:3] / n, int(t[3])
 
 
+def _center_bias(inverse, n: int) -> float:
+    """What fitting the center adds to the squared cosines, from means of 1 / r, 1 / r^2 and 1 / r^3."""
+    r2, r3 = inverse[1] / inverse[0] ** 2, inverse[2] / inverse[0] ** 3
+    return (2 - 2 * r2 + r2 * r2) / n**2 + (8 * r2 - 6 * r2 * r2 + 2 * r2 * r3 - 2 * r3) / n**3
+
+
 def sign_sum_sphericity(df: DataFrame, center="spatial", bias: str = "residual") -> dict:
     """Sum of squared cosines over pairs of directions, less the fitted center's bias.
 
@@ -118,16 +124,33 @@ def sign_sum_sphericity(df: DataFrame, center="spatial", bias: str = "residual")
     n, p, b, inverse, zeros = _sign_moments(df, center)
     if zeros and bias == "residual":
         raise ArithmeticError("a row at the center has no inverse radius")
-    if bias == "residual":
-        r2, r3 = inverse[1] / inverse[0] ** 2, inverse[2] / inverse[0] ** 3
-        delta = (2 - 2 * r2 + r2 * r2) / n**2 + (8 * r2 - 6 * r2 * r2 + 2 * r2 * r3 - 2 * r3) / n**3
-    else:
-        delta = n**-2.0 + 2 * n**-3.0
+    delta = _center_bias(inverse, n) if bias == "residual" else n**-2.0 + 2 * n**-3.0
     q = p / (n * (n - 1)) * (n * n * float((b**2).sum()) - (n - zeros)) - 1
     z = (q - p * delta) / math.sqrt(4 * (p - 1) / (n * (n - 1) * (p + 2)))
     return {"statistic": z, "p_value": tails.normal_sf(z), "raw": q, "delta": delta}
 
 
+def cheng_sscm_equality(x: DataFrame, y: DataFrame, center="spatial") -> dict:
+    """Whether two samples have one SSCM: squared cosines over pairs of rows within
+    each sample, less twice those across, less the fitted centers' bias.
+
+    A row at its center raises.
+    """
+    (n1, p, b1, inverse1, zeros1), (n2, p2, b2, inverse2, zeros2) = _sign_moments(x, center), _sign_moments(y, center)
+    if p != p2:
+        raise ValueError("samples of different dimension")
+    if zeros1 or zeros2:
+        raise ArithmeticError("a row at the center has no inverse radius")
+    within = [(n * float((b**2).sum()) - 1) / (n - 1) for n, b in ((n1, b1), (n2, b2))]
+    bias = [_center_bias(inverse, n) for n, inverse in ((n1, inverse1), (n2, inverse2))]
+    trace = p * p / (n1 + n2) * (n1 * (within[0] - bias[0]) + n2 * (within[1] - bias[1]))
+    if not trace > 0:
+        raise ArithmeticError("the trace estimate is not positive")
+    raw = p * (sum(within) - 2 * float((b1 * b2).sum()))
+    z = (raw - p * sum(bias)) / (2 * (1 / n1 + 1 / n2) / (p + 2) * trace)
+    return {"statistic": z, "p_value": tails.normal_sf(z), "raw": raw, "trace": trace}
+
+
 def sign_max_sphericity(df: DataFrame, center="spatial") -> dict:
     """Largest entry of the SSCM less I / p, each by its own variance; Gumbel tail."""
     n, p, b, _, _ = _sign_moments(df, center)

@@ -129,6 +129,27 @@ def sparse_plugin_lda(df: DataFrame, precision=None, covariance=None, locations=
     return _linear(levels, m1, m2, np.linalg.inv(given) if precision is None else given, _log_prior(n1, n2, prior))
 
 
+def shao_threshold_lda(df: DataFrame, m_cov: float, m_mean: float, alpha: float, levels=None, prior=None) -> Classifier:
+    """LDA of a pooled covariance (divisor n) whose off-diagonal entries, and a mean difference
+    whose entries, of at most m_cov sqrt(log p / n) and m_mean (log p / n)^alpha are 0.
+
+    A covariance that is not positive definite then raises.
+    """
+    if not (0 < alpha < 0.5 and m_cov >= 0 and m_mean >= 0):
+        raise ValueError("alpha must be between 0 and 1/2, the multipliers not negative")
+    levels = two_classes(df, levels)
+    (n1, m1, g1), (n2, m2, g2) = _by_class(df, levels)
+    n, p = n1 + n2, len(m1)
+    s, d = (g1 + g2) / n, m1 - m2
+    keep = np.abs(s) > m_cov * math.sqrt(math.log(p) / n)
+    np.fill_diagonal(keep, True)
+    s = np.where(keep, s, 0.0)
+    np.linalg.cholesky(s)
+    d = np.where(np.abs(d) > m_mean * (math.log(p) / n) ** alpha, d, 0.0)
+    direction, middle, shift = np.linalg.solve(s, d), (m1 + m2) / 2, _log_prior(n1, n2, prior)
+    return Classifier(levels, lambda z: (z - middle) @ direction + shift, detail={"direction": direction, "covariance": s, "difference": d})
+
+
 def spatial_sign_precision_lda(df: DataFrame, fit, locations=None, levels=None) -> Classifier:
     """The linear rule of equal priors from a fit of `spatial_sign_precision` and the
     classes' spatial medians; the score is known up to a positive factor."""

@@ -280,6 +280,17 @@ def q_sparse_plugin_lda(spark, d):
     return fit.predict(rows).select("id", F.round("score", DIGITS).alias("score"), "label")
 
 
+def q_shao_threshold_lda(spark, d):
+    rows = _labelled(spark, d)
+    # all off-diagonal entries are below the first threshold, so that SQL needs no inverse
+    fit = learning.shao_threshold_lda(rows, 10.0, 0.02, 0.3, levels=("0", "1"))
+    return fit.predict(rows).select("id", F.round("score", DIGITS).alias("score"), "label")
+
+
+def q_cheng_sscm_equality(spark, d):
+    return one_row(spark, covariance.cheng_sscm_equality(*halves(spark, d), center="mean"), "statistic", "raw", "trace")
+
+
 def q_elliptical_oracle(spark, d):
     rows = _labelled(spark, d)
     ones = np.full(64, 0.1)
@@ -366,6 +377,17 @@ def oracle_sql() -> dict[str, str]:
             f AS (SELECT x.d, x.m AS m1, y.m AS m2, ln(x.n / y.n) AS prior FROM m x JOIN m y ON x.d = y.d AND x.g = 0 AND y.g = 1),
             s AS (SELECT id, sum((v - (m1 + m2) / 2) * e.d * (m1 - m2)) + max(prior) AS score FROM e JOIN f ON e.d = f.d GROUP BY id)
             SELECT id, round(score, {DIGITS}) + 0.0 AS score, CASE WHEN score >= 0 THEN '0' ELSE '1' END AS label FROM s""",
+        "q_shao_threshold_lda": f"""{_TWO}, k AS (SELECT max(n1 + n2)::DOUBLE AS n FROM s2), w AS (SELECT i, s * (n - 2) / n AS w FROM s2, k WHERE i = j),
+            b AS (SELECT x.d, (x.m + y.m) / 2 AS middle, x.m - y.m AS f FROM m x JOIN m y ON x.d = y.d AND x.g = 0 AND y.g = 1),
+            q AS (SELECT id, sum((v - middle) * CASE WHEN abs(f) > 0.02::DOUBLE * pow(ln(64) / n, 0.3) THEN f ELSE 0 END / w) AS score FROM e JOIN b ON e.d = b.d JOIN w ON w.i = e.d, k GROUP BY id)
+            SELECT id, round(score, {DIGITS}) + 0.0 AS score, CASE WHEN score >= 0 THEN '0' ELSE '1' END AS label FROM q""",
+        "q_cheng_sscm_equality": f"""WITH {_E}, m AS (SELECT g, d, avg(v) AS m FROM e GROUP BY g, d), c AS (SELECT e.id, e.g, e.d, v - m AS v FROM e JOIN m ON e.d = m.d AND e.g = m.g),
+            r AS (SELECT id, g, sqrt(sum(v * v)) AS r FROM c GROUP BY 1, 2), u AS (SELECT c.id, c.g, d, v / r AS v FROM c JOIN r ON c.id = r.id),
+            k AS (SELECT g, count(*)::DOUBLE AS n, avg(1 / (r * r)) / pow(avg(1 / r), 2) AS r2, avg(1 / (r * r * r)) / pow(avg(1 / r), 3) AS r3 FROM r GROUP BY g),
+            b AS (SELECT x.g, x.d AS i, y.d AS j, sum(x.v * y.v) / max(n) AS b FROM u x JOIN u y ON x.id = y.id JOIN k ON k.g = x.g GROUP BY 1, 2, 3),
+            a AS (SELECT b.g, (max(n) * sum(b * b) - 1) / (max(n) - 1) AS a, max(n) AS n, max((2 - 2 * r2 + r2 * r2) / n / n + (8 * r2 - 6 * r2 * r2 + 2 * r2 * r3 - 2 * r3) / n / n / n) AS bias FROM b JOIN k ON b.g = k.g GROUP BY b.g),
+            t AS (SELECT 64 * (sum(a) - 2 * (SELECT sum(x.b * y.b) FROM b x JOIN b y ON x.i = y.i AND x.j = y.j AND x.g = 0 AND y.g = 1)) AS raw, 64 * sum(bias) AS bias, 4096 * sum(n * (a - bias)) / sum(n) AS trace, sum(1 / n) AS f FROM a)
+            SELECT round((raw - bias) / (2 * f / 66 * trace), {DIGITS}) AS statistic, round(raw, {DIGITS}) AS raw, round(trace, {DIGITS}) AS trace FROM t""",
         "q_elliptical_oracle": f"""WITH {_E}, q AS (SELECT id, sum(pow(v - 0.1::DOUBLE, 2)) AS a, sum(pow(v + 0.1::DOUBLE, 2)) / 2 AS b FROM e GROUP BY id),
             s AS (SELECT id, -34 * ln(1 + a / 4) + 34 * ln(1 + b / 4) + 32 * ln(2) AS score FROM q)
             SELECT id, round(score, {DIGITS}) + 0.0 AS score, CASE WHEN score >= 0 THEN '0' ELSE '1' END AS label FROM s""",

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from orbweave.functions import tails
-from orbweave.operators import foundations, learning, location, precision, series
+from orbweave.operators import covariance, foundations, learning, location, precision, series
 from tests.test_operators import frame, unit
 
 
@@ -169,3 +169,35 @@ def test_kendall_factor_number(spark, rows):
     with pytest.raises(ArithmeticError):
         learning.kendall_factor_number(frame(spark, twice), 2, 0.5)
     assert learning.kendall_factor_number(frame(spark, twice), 2, 0.5, zero_pair_action="zero")["k"] >= 1
+
+
+def test_cheng_sscm_equality(spark, rows):
+    other = rows[:13] * [1, 2, 1, 0.5] + 1
+    a, b = frame(spark, rows), frame(spark, other)
+    parts = []
+    for df, x in ((a, rows), (b, other)):
+        d = x - foundations.spatial_median(df).value
+        u, r, n = unit(d), np.linalg.norm(d, axis=1), len(x)
+        m1, m2, m3 = ((1 / r**k).mean() for k in (1, 2, 3))
+        bias = (2 - 2 * m2 / m1**2 + m2**2 / m1**4) / n**2 + (-6 * m2**2 / m1**4 + 2 * m2 * m3 / m1**5 + 8 * m2 / m1**2 - 2 * m3 / m1**3) / n**3
+        parts.append((u, n, sum((u[i] @ u[j]) ** 2 for i in range(n) for j in range(n) if i != j) / (n * (n - 1)), bias))
+    (u, n1, s1, d1), (v, n2, s2, d2) = parts
+    raw = 4 * (s1 + s2 - 2 * ((u @ v.T) ** 2).mean())
+    q = 4 / (n1 + n2) * (n1 * (s1 - d1) + n2 * (s2 - d2))
+    got = covariance.cheng_sscm_equality(a, b)
+    assert got["raw"] == pytest.approx(raw, abs=1e-6)
+    assert got["statistic"] == pytest.approx((raw - 4 * (d1 + d2)) / (2 * (1 / n1 + 1 / n2) / 6 * 4 * q), abs=1e-5)
+
+
+def test_shao_threshold_lda(spark, rows):
+    first = np.arange(20) % 3 > 0
+    df = spark.createDataFrame([(i, r.tolist(), "a" if f else "b") for i, (r, f) in enumerate(zip(rows, first, strict=True))], "id long, x array<double>, y string")
+    m1, m2 = rows[first].mean(0), rows[~first].mean(0)
+    c = np.vstack([rows[first] - m1, rows[~first] - m2])
+    s, d = c.T @ c / 20, m1 - m2
+    t1, t2 = 0.8 * math.sqrt(math.log(4) / 20), 0.3 * (math.log(4) / 20) ** 0.25
+    cut = np.where((np.abs(s) > t1) | np.eye(4, dtype=bool), s, 0)
+    assert 0 < (cut == 0).sum() < 12
+    want = (rows - (m1 + m2) / 2) @ np.linalg.solve(cut, np.where(np.abs(d) > t2, d, 0))
+    got = learning.shao_threshold_lda(df, 0.8, 0.3, 0.25, levels=("a", "b")).predict(df).orderBy("id").collect()
+    assert [r["score"] for r in got] == pytest.approx(want.tolist())
