@@ -42,6 +42,26 @@ def chi2_sf(x: float, df: float) -> float:
     return 1 - total * front
 
 
+def chi2_quantile(q: float, df: float) -> float:
+    """Where the lower tail is ``q``, by Newton steps kept within a shrinking bracket."""
+    if not 0 < q < 1:
+        raise ValueError("a probability strictly between 0 and 1 is needed")
+    a, low, high = df / 2, 0.0, df + 1.0
+    while chi2_sf(high, df) > 1 - q:
+        low, high = high, 2 * high
+    x = (low + high) / 2
+    for _ in range(200):
+        over = 1 - chi2_sf(x, df) - q
+        low, high = (low, x) if over > 0 else (x, high)
+        density = math.exp((a - 1) * math.log(x / 2) - x / 2 - math.lgamma(a)) / 2
+        new = x - over / density if density else low
+        new = new if low < new < high else (low + high) / 2
+        if abs(new - x) <= 1e-14 * x:
+            break
+        x = new
+    return x
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny = 1e-300
     c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)

@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from orbweave.functions import tails
 from orbweave.functions.partial import moments, total
 from orbweave.operators.foundations import center_of, signs, sscm
+from orbweave.operators.series import prefix_sums
 from orbweave.sources.samples import dimensions, rows_of
 
 
@@ -189,6 +192,83 @@ def wang_yao_corrected_john(df: DataFrame, center: bool = False, beta: float = 0
     return {"statistic": z, "p_value": tails.normal_sf(z), "raw": raw}
 
 
+def wang_yao_corrected_lrt(df: DataFrame, center: bool = False, beta: float | None = 0.0) -> dict:
+    """The likelihood ratio of sphericity, recentred for as many dimensions as a share of the rows.
+
+    ``beta`` is the entries' fourth cumulant, taken from the data where None.
+    Dimensions must be fewer than degrees of freedom.
+    """
+    n, p, m, s = _second(df, center)
+    s = s * n / m
+    if n < 3 or p >= m:
+        raise ValueError("at least three rows, and more degrees of freedom than dimensions, are needed")
+    if beta is None:
+        c = center_of(df, "mean" if center else "none", p)
+        t = total(df.select("x"), lambda x: np.r_[((rows_of(x) - c) ** 2).sum(), ((rows_of(x) - c) ** 4).sum()]) / (n * p)
+        beta = float(t[1] / t[0] ** 2) - 3
+    y = p / m
+    ratio = p * math.log(np.trace(s) / p) - _logdet(s)
+    raw = ratio + (p - m) * math.log1p(-y) - p
+    mean, variance = (beta * y - math.log1p(-y)) / 2, -2 * math.log1p(-y) - 2 * y
+    z = (raw - mean) / math.sqrt(variance)
+    return {"statistic": z, "p_value": tails.normal_sf(z), "raw": raw, "ratio": ratio, "beta": beta, "mean": mean, "variance": variance}
+
+
+#: Second moments of the scores at uniform ranks (fixed values).
+SCORE_MOMENTS = {"sign": lambda p: 1.0, "wilcoxon": lambda p: 1 / 3, "spearman": lambda p: 1 / 5, "vdw": lambda p: float(p * (p + 2))}
+
+
+def hallin_paindaveine_shape(df: DataFrame, shape0=None, center="spatial", score: str = "sign") -> dict:
+    """Signs about the centre, sphericised by ``shape0``, weighted by scores of their radii's ranks.
+
+    Scores: "sign" (none), "wilcoxon" (the rank over n + 1), "spearman" (its square)
+    and "vdw" (the chi-square quantile there).  A row at the centre raises, and so do
+    equal radii where ranks count.  Ranks are of ranges of radii, without one task for all.
+    """
+    n, p = dimensions(df)
+    if score not in SCORE_MOMENTS:
+        raise ValueError(f"no score {score}")
+    if p < 2 or n < 3:
+        raise ValueError("at least two variables and three rows are needed")
+    c, low = center_of(df, center, p), np.linalg.cholesky(np.eye(p) if shape0 is None else np.asarray(shape0, float))
+
+    def directions(x) -> tuple[np.ndarray, np.ndarray]:
+        u, r = signs(np.linalg.solve(low, (rows_of(x) - c).T).T)
+        if not r.all():
+            raise ArithmeticError("a row at the centre has no direction")
+        return u, r
+
+    if score == "sign":
+        found = total(df.select("x"), lambda x: (directions(x)[0].T @ directions(x)[0]).ravel())
+    else:
+
+        def radii(batches):
+            for b in batches:
+                if b.num_rows:
+                    u, r = directions(b.column(0))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ravel(r)), pa.array(list(u), pa.list_(pa.float64()))], names=["id", "u"])
+
+        def weight(k: np.ndarray) -> np.ndarray:
+            q = k / (n + 1)
+            return {"wilcoxon": lambda: q, "spearman": lambda: q**2, "vdw": lambda: np.array([tails.chi2_quantile(v, p) for v in q])}[score]()
+
+        def scatter(u, k):
+            u = rows_of(u)
+            return (u.T @ (u * weight(k.to_numpy())[:, None])).ravel()
+
+        rows = df.select("x").mapInArrow(radii, "id double, u array<double>").persist()
+        try:
+            if rows.select("id").distinct().count() < n:
+                raise ValueError("equal radii")
+            with prefix_sums(rows.select("id", F.lit(0.0).alias("value")), "value") as ranked:
+                found = total(rows.join(ranked.select("id", "k"), "id").select("u", "k"), scatter)
+        finally:
+            rows.unpersist()
+    s = found.reshape(p, p) / n
+    contrast = float(((s - np.eye(p) * np.trace(s) / p) ** 2).sum())
+    return _chi2(n * p * (p + 2) * contrast / (2 * SCORE_MOMENTS[score](p)), p * (p + 1) / 2 - 1, scatter=s, contrast=contrast)
+
+
 def trace_u_statistics(df: DataFrame) -> dict:
     """Unbiased estimates over distinct rows, from sums over rows alone."""
     n, p = dimensions(df)

@@ -325,6 +325,22 @@ def q_ec2_covariance(spark, d):
     return matrix(spark, precision.ec2_covariance(vectors(spark, d), 0.05, 0.1).value)
 
 
+def q_wang_yao_lrt(spark, d):
+    return one_row(spark, covariance.wang_yao_corrected_lrt(lines(spark, d), center=True), "raw", "ratio", "mean")
+
+
+def q_hallin_paindaveine(spark, d):
+    return one_row(spark, covariance.hallin_paindaveine_shape(vectors(spark, d), center="mean", score="sign"), "statistic", "contrast")
+
+
+def q_hallin_paindaveine_wilcoxon(spark, d):
+    return one_row(spark, covariance.hallin_paindaveine_shape(vectors(spark, d), center="mean", score="wilcoxon"), "statistic", "contrast")
+
+
+def q_zhang_zhu_zhang(spark, d):
+    return one_row(spark, location.zhang_zhu_zhang(*halves(spark, d)), "statistic", "df", "factor", "trace")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q_")}
 
@@ -359,7 +375,24 @@ def oracle_sql() -> dict[str, str]:
     lagged = """h AS (SELECT unnest([0, 1, 2]) AS h), m AS (SELECT h, a.d AS i, b.d AS j, sum(a.{v} * b.{v}) AS m FROM h, z a JOIN z b ON b.k = a.k + h GROUP BY 1, 2, 3),
             s AS (SELECT k, sum({v} * {v}) AS q FROM z GROUP BY k), o AS (SELECT h, sum(a.q * b.q) AS o FROM h, s a JOIN s b ON b.k = a.k + h GROUP BY 1),
             q AS (SELECT m.h, sum(m * m) - max(o) AS q FROM m JOIN o ON m.h = o.h GROUP BY 1)"""
+    minor = "({0} * {3} - {1} * {2})".format
+    pairs = [(1, 2, 3, 4, "+"), (1, 3, 2, 4, "-"), (1, 4, 2, 3, "+"), (2, 3, 1, 4, "+"), (2, 4, 1, 3, "-"), (3, 4, 1, 2, "+")]
+    det = " ".join(f"{sign} {minor(f'a1{i}', f'a1{j}', f'a2{i}', f'a2{j}')} * {minor(f'a3{k}', f'a3{m}', f'a4{k}', f'a4{m}')}" for i, j, k, m, sign in pairs)
+    names = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    entries = ", ".join(f"covar_samp({a}, {b}) AS a{i}{j}" for i, a in enumerate(names, 1) for j, b in enumerate(names, 1))
+    shape = """o AS (SELECT n, t2 - t * t / 64 AS c FROM (SELECT sum(b * b) AS t2, sum(CASE WHEN i = j THEN b END) AS t FROM b), (SELECT count(*)::DOUBLE AS n FROM embeddings))"""
     return {
+        "q_wang_yao_lrt": f"""WITH a AS (SELECT {entries}, count(*)::DOUBLE AS n FROM lineitem), l AS (SELECT 4 * ln((a11 + a22 + a33 + a44) / 4) - ln({det}) AS ratio, n - 1 AS m FROM a)
+            SELECT round(ratio + (4 - m) * ln(1 - 4 / m) - 4, {DIGITS}) AS raw, round(ratio, {DIGITS}) AS ratio, round(-ln(1 - 4 / m) / 2, {DIGITS}) AS mean FROM l""",
+        "q_hallin_paindaveine": f"""{_SIGNS}, {shape} SELECT round(n * 64 * 66 * c / 2, {DIGITS}) AS statistic, round(c, {DIGITS}) AS contrast FROM o""",
+        "q_hallin_paindaveine_wilcoxon": f"""{_SIGNS.replace("b AS (SELECT", "q AS (SELECT id, rank() OVER (ORDER BY r) AS q FROM r), b AS (SELECT").replace("sum(x.v * y.v) / max(n) AS b FROM u x JOIN u y ON x.id = y.id, k", "sum(x.v * y.v * q) / max(n) / (max(n) + 1) AS b FROM u x JOIN u y ON x.id = y.id JOIN q ON q.id = x.id, k")}, {shape}
+            SELECT round(n * 64 * 66 * c / 2 * 3, {DIGITS}) AS statistic, round(c, {DIGITS}) AS contrast FROM o""",
+        "q_zhang_zhu_zhang": f"""{_TWO}, k AS (SELECT max(n1)::DOUBLE AS n1, max(n2)::DOUBLE AS n2, max(n1 + n2)::DOUBLE AS n FROM s2), v AS (SELECT i, (k.n2 * s1 + k.n1 * s2) / n AS d FROM s2, k WHERE i = j),
+            t AS (SELECT sum(s1 * s1 / x.d / y.d) AS q1, sum(s2 * s2 / x.d / y.d) AS q2, sum(s1 * s2 / x.d / y.d) AS q12, sum(CASE WHEN s2.i = s2.j THEN s1 / x.d END) AS t1, sum(CASE WHEN s2.i = s2.j THEN s2.s2 / x.d END) AS t2 FROM s2 JOIN v x ON s2.i = x.i JOIN v y ON s2.j = y.i),
+            w AS (SELECT 2 * n1 * n2 / n / n * q12 AS q12, n2 * n2 / n / n AS w1, n1 * n1 / n / n AS w2, q1, q2, t1, t2, n1, n2, n FROM t, k),
+            z AS (SELECT n1 * n2 / (n * 64) * (SELECT sum(f * f / v.d) FROM f JOIN v ON f.d = v.i) AS statistic, 1 + (w1 * q1 + w2 * q2 + q12) / 512 AS factor,
+                w1 * (n1 - 1) * (n1 - 1) / ((n1 - 2) * (n1 + 1)) * (q1 - t1 * t1 / (n1 - 1)) + w2 * (n2 - 1) * (n2 - 1) / ((n2 - 2) * (n2 + 1)) * (q2 - t2 * t2 / (n2 - 1)) + q12 AS trace FROM w)
+            SELECT round(statistic, {DIGITS}) AS statistic, round(4096 / trace / CASE WHEN factor <= 1.2 THEN factor ELSE 1 END, {DIGITS}) AS df, round(factor, {DIGITS}) AS factor, round(trace, {DIGITS}) AS trace FROM z""",
         "q_feng_liu_ma_white_noise": f"""{z}, {lagged.format(v="v")}, g AS (SELECT i, m AS g FROM m WHERE h = 0 AND i = j),
             x AS (SELECT sqrt(max(n)) * max(abs(m) / sqrt(a.g * b.g)) AS largest FROM m JOIN g a ON m.i = a.i JOIN g b ON m.j = b.i, n WHERE h > 0),
             y AS (SELECT sum(CASE WHEN h = 0 THEN q END) / max(n * (n - 1)) AS trace, sum(CASE WHEN h > 0 THEN q END) / max(n * (n - 1)) AS q, max(n) AS n FROM q, n)

@@ -398,3 +398,61 @@ def test_series_over_ranges(spark):
         rows = sums.orderBy("id").collect()
     assert [r["k"] for r in rows] == list(range(1, 41)) and [r["s"] for r in rows] == pytest.approx(np.cumsum(values).tolist())
     assert [r["was"] for r in rows] == [None, *values[:-1]]
+
+
+def test_chi2_quantile():
+    for df in (1, 2, 5, 64):
+        for q in (1e-6, 0.05, 0.5, 0.99):
+            assert 1 - tails.chi2_sf(tails.chi2_quantile(q, df), df) == pytest.approx(q, rel=1e-8)
+    with pytest.raises(ValueError):
+        tails.chi2_quantile(1.0, 3)
+
+
+@pytest.mark.parametrize("center", [False, True])
+def test_wang_yao_corrected_lrt(spark, data, center):
+    x = data[0]
+    n, p = x.shape
+    m = n - center
+    d = x - x.mean(0) * center
+    values = np.linalg.eigvalsh(d.T @ d / m)
+    y, beta = p / m, (d**4).mean() / (d**2).mean() ** 2 - 3
+    raw = -np.log(values).sum() + p * math.log(values.mean()) + (p - m) * math.log(1 - y) - p
+    want = (raw + math.log(1 - y) / 2 - beta * y / 2) / math.sqrt(-2 * math.log(1 - y) - 2 * y)
+    found = covariance.wang_yao_corrected_lrt(frame(spark, x), center, None)
+    assert found["statistic"] == pytest.approx(want) and found["beta"] == pytest.approx(beta)
+    with pytest.raises(ValueError):
+        covariance.wang_yao_corrected_lrt(frame(spark, x[:4]), center)
+
+
+@pytest.mark.parametrize("score", ["sign", "wilcoxon", "spearman", "vdw"])
+def test_hallin_paindaveine_shape(spark, data, score):
+    x, shape = data[0], np.diag([1.0, 2.0, 1.5, 1.0]) + 0.2
+    n, p = x.shape
+    z = np.linalg.solve(np.linalg.cholesky(shape), (x - 0.3).T).T
+    r, u = np.linalg.norm(z, axis=1), unit(z)
+    q = (np.argsort(np.argsort(r)) + 1) / (n + 1)
+    k, second = {"sign": (np.ones(n), 1), "wilcoxon": (q, 1 / 3), "spearman": (q**2, 1 / 5), "vdw": (np.array([tails.chi2_quantile(v, p) for v in q]), p * (p + 2))}[score]
+    want = p * (p + 2) / (2 * n * second) * sum(k[i] * k[j] * ((u[i] @ u[j]) ** 2 - 1 / p) for i in range(n) for j in range(n))
+    found = covariance.hallin_paindaveine_shape(frame(spark, x), shape, np.full(p, 0.3), score)
+    assert found["statistic"] == pytest.approx(want) and found["df"] == 9
+    if score == "wilcoxon":
+        with pytest.raises(ValueError):
+            covariance.hallin_paindaveine_shape(frame(spark, np.r_[x, x[:1]]), None, "mean", score)
+
+
+def test_zhang_zhu_zhang(spark, data):
+    x, y = data
+    (n1, p), n2 = x.shape, len(y)
+    n = n1 + n2
+    s1, s2 = np.cov(x.T), np.cov(y.T)
+    half = np.diag(1 / np.sqrt((n2 * np.diag(s1) + n1 * np.diag(s2)) / n))
+    r1, r2 = half @ s1 @ half, half @ s2 @ half
+    fair = [(k - 1) ** 2 / ((k - 2) * (k + 1)) * (np.trace(r @ r) - np.trace(r) ** 2 / (k - 1)) for k, r in ((n1, r1), (n2, r2))]
+    trace = (n2**2 * fair[0] + n1**2 * fair[1] + 2 * n1 * n2 * np.trace(r1 @ r2)) / n**2
+    pooled = (n2 * r1 + n1 * r2) / n
+    factor = 1 + np.trace(pooled @ pooled) / p**1.5
+    d = half @ (x.mean(0) - y.mean(0))
+    found = location.zhang_zhu_zhang(frame(spark, x), frame(spark, y))
+    assert found["statistic"] == pytest.approx(n1 * n2 / (n * p) * d @ d)
+    assert found["factor"] == pytest.approx(factor) and found["df"] == pytest.approx(p * p / trace / (factor if factor <= 1.2 else 1))
+    assert found["p_value"] == pytest.approx(tails.chi2_sf(found["df"] * found["statistic"], found["df"]))
