@@ -374,9 +374,18 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     texts.  Rows with a null id are answered with a null component and link
     nothing.  Other columns are ignored; an empty table stays empty.
     """
-    spark = docs.sparkSession
     texts = id_and_text(docs, id_column, text_column)
     members, nodes, lists = _start(texts, words, percent)
+    return listed_components(texts, members, nodes, lists, words, percent)
+
+
+def listed_components(texts: DataFrame, members: DataFrame, nodes: DataFrame, lists: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components of the links among sets that meet in a list: rows (doc_id, n_shingles, component_id).
+
+    ``members`` (doc_id, n, k1, k2) are the documents with their sets, ``nodes`` (k1,
+    k2, node, copies) the different sets, ``lists`` what `_lists` makes of the lists.
+    """
+    spark = texts.sparkSession
     linkable = members.where("doc_id is not null and n > 0")
     total, most = (x or 0 for x in nodes.agg(F.sum("copies"), F.max("copies")).first())
     pairs = _plausible(texts, _listed(lists, nodes).where("x <> y"), words, percent)
@@ -419,8 +428,10 @@ def _unresolved(long: DataFrame, found: DataFrame) -> DataFrame:
     at = long.join(found.withColumnRenamed("node", "n0"), F.col("node") == F.col("n0"), "left").drop("n0")
     at = at.withColumn("component", F.coalesce("component", "node"))
     sizes = at.groupBy("h", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("h").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("main")).where("kinds > 1").select("h", "main")
-    return written(at.join(main, "h"), "rest")
+    main = sizes.groupBy("h").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members")).where("kinds > 1")
+    main = written(main.select("h", "main", "members"), "main")
+    size = main.agg(F.sum("members").alias("n"), F.max("members").alias("most")).first()
+    return written(join_hot(at, main, ["h"], "members", size["n"] or 0, size["most"] or 0), "rest")
 
 
 def _star(at: DataFrame, long: DataFrame, percent: int) -> DataFrame:

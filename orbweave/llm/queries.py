@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import Template
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import html_layout, jaccard_join, jpeg_media, language_id, length_histogram, packing, prefix_bpe, quality_rules, sharding, token_files
+from orbweave.llm import html_layout, jaccard_join, jpeg_media, language_id, length_histogram, packing, prefix_bpe, prefix_trie, quality_rules, sharding, spelling_variants, tensored_minhash, token_files
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -77,8 +78,20 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(documents(spark, sf_dir))
+
+
+def op12_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensored_minhash.minhash_components(documents(spark, sf_dir), words=3, percent=85)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_quality_rules, op3_language_id, op4_token_files, op5_length_histogram, op6_html_layout, op7_jaccard_join, op8_jpeg_media, op9_sharding, op10_prefix_bpe)
+    found = (op1_packing, op2_quality_rules, op3_language_id, op4_token_files, op5_length_histogram, op6_html_layout, op7_jaccard_join, op8_jpeg_media, op9_sharding, op10_prefix_bpe, op11_spelling_variants, op12_tensored_minhash, op13_prefix_trie)
     return {f.__name__: f for f in found}
 
 
@@ -118,6 +131,18 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, bits FROM b
 """
 
+#: A table of crc32's steps by byte, and crc32 of a string's bytes by it.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))
+)"""
+
+
+def _crc(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))::BIGINT"""
+
+
 _JUMP = """
   SELECT doc_id, coalesce(max(CASE WHEN j < {n} THEN j END), 0)::INTEGER AS shard FROM walk GROUP BY doc_id
 """
@@ -129,25 +154,21 @@ WITH RECURSIVE walk AS (
   SELECT doc_id, k2, floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k2 // 8589934592) + 1)::DOUBLE))::BIGINT
   FROM (SELECT doc_id, j, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM walk WHERE j < 9)
 ), s8 AS ({_JUMP.format(n=8)}), s9 AS ({_JUMP.format(n=9)}),
-crc_table AS (
-  SELECT list(c ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))
-), sums AS (
+{_CRC_TABLE}, sums AS (
   SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size,
-    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
-      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))::BIGINT AS text_crc32
+    {_crc("coalesce(text, '')")} AS text_crc32
   FROM documents, crc_table
 )
 SELECT d.doc_id, d.size, d.text_crc32, 'key' AS law, s8.shard, row_number() OVER (PARTITION BY s8.shard ORDER BY d.doc_id) - 1 AS slot, s9.shard AS grown_shard
 FROM sums d JOIN s8 ON d.doc_id = s8.doc_id JOIN s9 ON d.doc_id = s9.doc_id
 """
 
-JACCARD_SQL = rf"""
+_COMPONENTS_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS g
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + $more), ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - $more, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
@@ -156,10 +177,69 @@ reach AS (
   UNION
   SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
 )
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.m AS component_id
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.m AS component_id$kept
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = w.doc_id
 """
 
+JACCARD_SQL = Template(_COMPONENTS_SQL).substitute(more=3, kept="")
+MINHASH_SQL = Template(_COMPONENTS_SQL).substitute(more=2, kept=", w.doc_id = r.m AS kept")
+
+SPELLING_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE}, r AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY ALL
+), c AS (
+  SELECT run, n, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM r, crc_table
+), w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM c)
+  GROUP BY word HAVING sum(n) >= 5 AND length(word) >= 6
+), less AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN w b ON a.rest = b.word
+), best AS (
+  SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n FROM near GROUP BY word, n
+), f AS (
+  SELECT w.word, CASE WHEN other_n >= 5 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM w LEFT JOIN best ON w.word = best.word
+), path AS (
+  SELECT word, word AS at FROM f UNION SELECT path.word, f.form FROM path JOIN f ON f.word = path.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, p.at AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n
+FROM f JOIN path p ON p.word = f.word JOIN f g ON g.word = p.at AND g.form IS NULL
+"""
+
+TRIE_SQL = rf"""
+WITH {_CRC_TABLE}, own AS (
+  SELECT conv_id, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_hash,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own), crc_table
+), turns AS (
+  SELECT c.conv_id, o.place, o.text, o.turn_hash FROM convs c JOIN own o ON o.conv_id = c.base AND o.place <= c.h
+  UNION ALL SELECT c.conv_id, o.place, o.text, o.turn_hash FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.place > c.h
+), prefixes AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(turn_hash, '') OVER w AS prefix, length(text) AS chars FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), ends AS (
+  SELECT prefix, lower(sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id))) AS hash FROM (SELECT conv_id, max_by(prefix, depth) AS prefix FROM prefixes GROUP BY conv_id) GROUP BY prefix
+), nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, left(prefix, greatest(length(prefix) - 64, 0)) AS parent FROM prefixes GROUP BY prefix, depth
+), kids AS (SELECT parent AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent
+), below AS (
+  SELECT a.prefix, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved
+  FROM nodes a JOIN nodes b ON starts_with(b.prefix, a.prefix) LEFT JOIN kids k ON k.prefix = b.prefix GROUP BY a.prefix
+)
+SELECT a.conv_id, a.depth, CASE WHEN a.depth > 0 THEN p.conv_id END AS parent_conv_id, a.n_convs, coalesce(k.n, 0)::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves,
+  b.saved::BIGINT AS saved_tokens, coalesce(e.hash, lower(sha256(''))) AS ends_sha256
+FROM nodes a JOIN nodes p ON p.prefix = a.parent JOIN below b ON b.prefix = a.prefix LEFT JOIN kids k ON k.prefix = a.prefix LEFT JOIN ends e ON e.prefix = a.prefix
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_SQL, "op9_sharding": SHARDING_SQL, "op7_jaccard_join": JACCARD_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op9_sharding": SHARDING_SQL, "op7_jaccard_join": JACCARD_SQL, "op11_spelling_variants": SPELLING_SQL, "op12_tensored_minhash": MINHASH_SQL, "op13_prefix_trie": TRIE_SQL}
