@@ -158,6 +158,9 @@ def parse(text: str) -> Node:
                 stack[-1].children.append(Node("br", {}))
                 continue
             k = places[name][-1] if places.get(name) else 0
+            if name == "p" and (not k or k < nearest(_FENCE)):  # it closes an empty one
+                stack[-1].children.append(Node("p", {}))
+                continue
             if k and (k >= nearest(_FENCE) or name in _CROSSES):
                 cut(k)
             continue
@@ -293,42 +296,52 @@ def _flat(node: Node) -> str:
 
 def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Cells of one column begin at one place, two spaces after the widest; those of one row on one line."""
-    free: dict[int, int] = {}  # by column, the row from which on no cell from above is there
+    above: list[tuple[int, int, int]] = []  # columns from, to, and the row from which on they are free, in order
     cells = []
     for r, row in enumerate(rows):
-        column, below = 0, {}
+        if not row:
+            continue
+        above = [x for x in above if x[2] > r]
+        column, k, below = 0, 0, []
         for lines, across, down in row:
-            while free.get(column, 0) > r:
-                column += 1
-            if free:
-                across = next((k for k in range(1, across) if free.get(column + k, 0) > r), across)
+            while k < len(above) and above[k][0] <= column:
+                column = max(column, above[k][1])
+                k += 1
+            if k < len(above):
+                across = min(across, above[k][0] - column)
             down = min(down or len(rows), len(rows) - r, 1000)
             cells.append((r, column, across, down, lines))
             if down > 1:
-                below |= dict.fromkeys(range(column, column + across), r + down)
+                if below and below[-1][1:] == (column, r + down):
+                    below[-1] = (below[-1][0], column + across, r + down)
+                else:
+                    below.append((column, column + across, r + down))
             column += across
-        free |= below
-    width: dict[int, int] = {}
-    height = [0] * len(rows)
+        if below:
+            above = sorted(above + below)
+    # only columns where a cell ends have a width of their own
+    ends = sorted({column + across - 1 for _, column, across, _, _ in cells})
+    width, height = [0] * len(ends), [0] * len(rows)
     for r, column, across, down, lines in cells:
         if across == 1:
-            width[column] = max(width.get(column, 0), *map(len, lines), 0)
+            k = bisect_left(ends, column)
+            width[k] = max(width[k], *map(len, lines), 0)
         if down == 1:
             height[r] = max(height[r], len(lines))
     for _, column, across, _, lines in sorted(cells, key=lambda c: c[2]):
         if across > 1:
-            lack = max(map(len, lines), default=0) - sum(width.get(k, 0) for k in range(column, column + across)) - 2 * (across - 1)
+            k = bisect_left(ends, column + across - 1)
+            lack = max(map(len, lines), default=0) - sum(width[bisect_left(ends, column) : k + 1]) - 2 * (across - 1)
             if lack > 0:
-                width[column + across - 1] = width.get(column + across - 1, 0) + lack
+                width[k] += lack
     for r, _, _, down, lines in sorted(cells, key=lambda c: c[3]):
         if down > 1:
             height[r + down - 1] += max(0, len(lines) - sum(height[r : r + down]))
-    columns = sorted(width)
-    before = [0, *accumulate(width[k] for k in columns)]
+    before = [0, *accumulate(width)]
     top = [0, *accumulate(height)]
     out: list[list[tuple[int, str]]] = [[] for _ in range(top[-1])]
     for r, column, _, _, lines in cells:
-        begin = before[bisect_left(columns, column)] + 2 * column
+        begin = before[bisect_left(ends, column)] + 2 * column
         for k, line in enumerate(lines, top[r]):
             if line:
                 out[k].append((begin, line))

@@ -14,7 +14,8 @@ compatibility test undoes both tokens' merges along their seam, latest first,
 and asks whether an earlier merge would have joined across it.
 
 All different pieces of a batch are worked on in step, a symbol at a time, with
-numpy.  A symbol is a byte, or a byte that ends its piece.  Splitting a text
+numpy; the few longest go on alone, so that a piece's cost does not grow beyond
+some microseconds a byte.  A symbol is a byte, or a byte that ends its piece.  Splitting a text
 into pieces is shared with `word_tokens`; texts that are not plain there are
 normalised and split with the tokenizers library, and encoded here all the same.
 """
@@ -34,6 +35,10 @@ from orbweave.llm.word_tokens import Pieces, read_specification
 
 END = 256  # symbols at or above end their piece
 _NONE = -1
+#: So many pieces or fewer are worked on one by one, not in step.
+FEW = 32
+#: Pairs, and transitions, whose answers a worker keeps.
+PAIRS_KNOWN = 1 << 19
 
 
 class PairTable:
@@ -218,6 +223,11 @@ class PrefixBPE(Pieces):
         state, matched = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         for place in range(int(remaining[0]) if len(order) else 0):
             live = int(np.searchsorted(-remaining, -place, side="left"))
+            if live <= FEW:  # the longest pieces go on one by one
+                for k in range(live):
+                    a, n = int(begin[k]), int(remaining[k])
+                    last[a + place : a + n] = self._further(symbols[a + place : a + n].tolist(), last[a : a + place].tolist(), int(state[k]), int(matched[k]))
+                break
             begin, state, matched = begin[:live], state[:live], matched[:live]
             c = symbols[begin + place]
             to = self.next.get(state, c)
@@ -244,11 +254,80 @@ class PrefixBPE(Pieces):
                 token[left] = self.shorter[token[left]]
         return self._back(last, begins, sizes)
 
+    def _lists(self) -> tuple:
+        """The tables as lists, with what is known of pairs and transitions so far; one a process."""
+        if not hasattr(self, "_plain"):
+            merge = dict(zip(zip(self.left[self.base :].tolist(), self.right[self.base :].tolist(), strict=True), range(self.base, len(self.left)), strict=True))
+            self._plain = (*(x.tolist() for x in (self.left, self.right, self.link, self.reach, self.longest, self.shorter, self.length)), merge, {}, {})
+        return self._plain
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_plain"}
+
+    def _further(self, symbols: list[int], known: list[int], state: int, matched: int) -> list[int]:
+        """The last tokens of a piece's further prefixes, from those ``known`` and the automaton's state on."""
+        left, right, link, reach, longest, shorter, lengths, merge, pairs, edges = self._lists()
+        base, place = self.base, len(known)
+        begin = place
+
+        def stay_two(a: int, b: int) -> bool:
+            limit = 1 << 31
+            while True:
+                joined = merge.get((a, b))
+                if joined is not None and joined < limit:
+                    return False
+                if a < base and b < base:
+                    return True
+                if b < base or a >= base and a > b:
+                    limit, a = a, right[a]
+                else:
+                    limit, b = b + 1, left[b]
+
+        for c in symbols:
+            while True:
+                key = state * 2 * END + c
+                to = edges.get(key)
+                if to is None:
+                    if len(edges) >= PAIRS_KNOWN:
+                        edges.clear()
+                    to = edges[key] = int(self.next.get(np.array([state]), np.array([c]))[0])
+                if to != _NONE:
+                    break
+                state = link[state]
+                matched = reach[state]
+            state, matched = to, matched + 1
+            t = longest[state]
+            while True:
+                n = lengths[t]
+                if n <= matched:
+                    if n == place + 1:
+                        break
+                    pair = known[place - n], t
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        if len(pairs) >= PAIRS_KNOWN:
+                            pairs.clear()
+                        fits = pairs[pair] = stay_two(*pair)
+                    if fits:
+                        break
+                t = shorter[t]
+            known.append(t)
+            place += 1
+        return known[begin:]
+
     def _back(self, last: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Follow the last tokens back from every piece's end."""
         chosen = np.zeros(len(last), bool)
         at, begin = begins[1:][sizes > 0] - 1, begins[:-1][sizes > 0]
         while len(at):
+            if len(at) <= FEW:
+                lengths = self._lists()[6]
+                for i, first in zip(at.tolist(), begin.tolist(), strict=True):
+                    tokens = last[first : i + 1].tolist()
+                    while i >= first:
+                        chosen[i] = True
+                        i -= lengths[tokens[i - first]]
+                break
             chosen[at] = True
             at = at - self.length[last[at]]
             go = at >= begin

@@ -23,6 +23,8 @@ from orbweave.llm.text_kernels import groups, hash_spans, ragged
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 CACHE_PIECES = 1 << 18
+#: And so many ids, or those of one group of texts more.
+CACHE_IDS = 1 << 21
 GROUP_CHARACTERS = 1 << 18
 _BREAK = re.compile(r"[ \t\n]")
 #: The pre-tokenizer's pattern that `split` follows.
@@ -75,13 +77,16 @@ class PieceCache:
     def __init__(self) -> None:
         self.hashes, self.begins, self.lengths, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
+    def full(self) -> bool:
+        return len(self.hashes) > CACHE_PIECES or len(self.flat) > CACHE_IDS
+
     def missing(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.ones(len(hashes), bool)
         return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] != hashes
 
     def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        if len(self.hashes) > CACHE_PIECES:
+        if self.full():
             self.__init__()
         begins = np.cumsum(lengths) - lengths + len(self.flat)
         at = np.searchsorted(self.hashes, hashes)
@@ -139,7 +144,7 @@ class Pieces:
         different, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         new = self.cache.missing(different)
         if new.any():
-            if len(self.cache.hashes) > CACHE_PIECES:
+            if self.cache.full():
                 self.cache, new = PieceCache(), np.ones(len(different), bool)
             low = codes.tobytes().decode("utf-16-le")
             self.cache.add(different[new], *self._new([low[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]))

@@ -1,6 +1,8 @@
 """The training-data operators against brute force and round trips."""
 
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -51,6 +53,37 @@ def test_word_tokens_equal_the_library(library):
             assert ids[at[k] : at[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_long_pieces_take_microseconds_a_byte(library):
+    g = random.Random(6)
+    tool = prefix_bpe.load(tokenizer())
+    texts = ["a" * 200_000, "".join(g.choice("日本語中文字漢") for _ in range(20_000)), "".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), " ".join("x" * g.randint(1, 400) for _ in range(300))]
+    for text in texts:
+        began = time.time()
+        ids, _ = tool.encode([text])
+        took = time.time() - began
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert took < 30  # of some seconds; a step a symbol over all pieces took many minutes
+    assert len(tool.cache.flat) <= word_tokens.CACHE_IDS + 1_000_000
+
+
+def test_spanning_cells_cost_no_columns():
+    cell = "<td colspan=1000 rowspan={}>x"
+    pages = ["<table><tr>" + cell.format(0) * 200 + "<tr>" * 600, "<table>" + ("<tr>" + cell.format(0) * 36) * 1000, "<table><tr>" + cell.format(1000) * 20_000 + "<tr><td>y" * 40_000, "<table><tr>" + "".join(f"<td rowspan={2 + i * 7919 % 998}>x" for i in range(30_000)) + "<tr><td>y" * 20_000]
+    for page in pages:
+        tracemalloc.start()
+        began = time.time()
+        out = html_layout.extract(page)
+        took, (_, most) = time.time() - began, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert out.count("x") == page.count(">x") and out.count("y") == page.count("<td>y")
+        assert took < 60 and most < 300 << 20  # traced runs are some times slower
+
+
+def test_a_stray_end_of_paragraph_parts_words():
+    assert html_layout.extract("<div>b</p>c</div>").split() == ["b", "c"]
+    assert html_layout.extract("<p>a</p>b</p>c") == "a\n\nb\n\nc"
+
+
 def test_prefix_bpe_decodes_as_the_library(docs, empty, library):
     want = []
     for r in docs.collect():
