@@ -424,9 +424,10 @@ def test_divide_skip():
         assert t_occurrence.search(query, sets, need) == want
 
 
-@pytest.mark.parametrize("hot", [2, 1000])
-def test_components(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "last"), [(2, 0), (1000, 3), (1000, 1000)])
+def test_components(spark, monkeypatch, hot, last):
     monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr("orbweave.llm.components.LAST_LINKS", last)
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(40, 50), (50, 45), (60, 60)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links, "a", "b").collect()}
     assert got == {**dict.fromkeys(range(31), 0), 40: 40, 45: 40, 50: 40}
