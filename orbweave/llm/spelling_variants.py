@@ -51,10 +51,9 @@ def runs(text: str) -> list[str]:
     return _RUN.findall(text.encode().lower().decode())  # bytes have no other letters to lower
 
 
-def observed(doc_id: int | None, run: str, noise: int) -> str:
-    """The run as it counts: of some documents and runs, one in ``noise``, without one letter."""
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
-    return run[: h % len(run)] + run[h % len(run) + 1 :] if noise and h % noise == 0 else run
+def without_letter(run: str, h: int) -> str:
+    """The run without the letter that a number tells."""
+    return run[: h % len(run)] + run[h % len(run) + 1 :]
 
 
 def word_counts(docs: DataFrame, noise: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -64,7 +63,8 @@ def word_counts(docs: DataFrame, noise: int = 0, id_column: str = "doc_id", text
         n: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], schema=COUNTS)
+            rows = [(w, k) for w, k in n.items() if k]
+            batch = pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.int64())], schema=COUNTS)
             n.clear()
             return batch
 
@@ -72,9 +72,16 @@ def word_counts(docs: DataFrame, noise: int = 0, id_column: str = "doc_id", text
         for whole in batches:
             for b in slices(whole):
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for run, k in Counter(runs(text or "")).items():
-                        n[observed(doc_id, run, noise)] += k
-                        letters += len(run)
+                    found = runs(text or "")
+                    n.update(found)
+                    letters += len(text or "")
+                    if noise:
+                        own = zlib.crc32(b"%d:" % doc_id if doc_id is not None else b":")
+                        for run in set(found):
+                            if not (h := zlib.crc32(run.encode(), own)) % noise:
+                                k = found.count(run)
+                                n[run] -= k
+                                n[without_letter(run, h)] += k
                     if len(n) >= COUNTED or letters >= COUNTED << 8:
                         yield flush()
                         letters = 0
@@ -185,27 +192,29 @@ def neighbours(trie: Trie, word: bytes) -> list[tuple[bytes, int]]:
         node, t, state, path = stack.pop()
         if n[node] and ((state & OTHER and t == size) or (state & MORE and t == size + 1) or (state & (LESS | SAME) and t == size - 1)):
             found.append((path, n[node]))
-        if t > size:
-            continue
         below = kids[node]
-        if state & SAME:
-            ahead = below.values()
-        else:  # only the letters that keep a place alive
-            ahead = {below.get(padded[t + k]) for k in (0, 1, 2) if state & (2 << k)}
-        for kid in ahead:
-            if kid is None:
-                continue
-            i, q = t, state
-            for c in label[kid]:
-                if i > size:
-                    q = 0
-                    break
-                q = step[q][(padded[i] == c) | (padded[i + 1] == c) << 1 | (padded[i + 2] == c) << 2]
-                if not q:
-                    break
-                i += 1
+        if not state & SAME:  # what is left of the word, from each place that is alive
+            for bit, place in ((MORE, t - 1), (OTHER, t), (LESS, t + 1)):
+                if state & bit and place < size and (kid := below.get(word[place])) is not None and word.startswith(label[kid], place):
+                    stack.append((kid, t + len(label[kid]), bit, path + label[kid]))
+            continue
+        for c, kid in below.items():
+            letters, i, q = label[kid], t, state
+            if c == padded[t + 1]:
+                for c in letters:
+                    if i > size:
+                        q = 0
+                        break
+                    q = step[q][(padded[i] == c) | (padded[i + 1] == c) << 1 | (padded[i + 2] == c) << 2]
+                    if not q:
+                        break
+                    i += 1
+            else:  # a change here, whatever was alive; then the edge's other letters as they are
+                rest = letters[1:]
+                q = (MORE if word.startswith(rest, t) else 0) | (OTHER if word.startswith(rest, t + 1) else 0) | (LESS if c == padded[t + 2] and word.startswith(rest, t + 2) else 0)
+                i += len(letters)
             if q:
-                stack.append((kid, i, q, path + label[kid]))
+                stack.append((kid, i, q, path + letters))
     return found
 
 
