@@ -31,38 +31,48 @@ def _totals(f: Callable[..., np.ndarray]):
     return run
 
 
-#: Above so many partitions, their sums are added by GROUPS tasks before the driver adds those.
-MANY, GROUPS = 64, 16
+#: A task, and at last the driver, adds about so many vectors.
+FAN_IN = 64
 
 
-def total(df: DataFrame, f: Callable[..., np.ndarray]) -> np.ndarray:
+def total(df: DataFrame, f: Callable[..., np.ndarray], partitions: int | None = None) -> np.ndarray:
     """Sum over all Arrow batches of ``f(*columns)``, a vector of one length.
 
-    Each partition adds its batches up; where there are many, groups of them
-    are added on executors before the driver adds what is left, in order.
+    Each partition adds its batches up; while these may be more than ``FAN_IN``, groups of
+    so many are added on executors before the driver adds what is left, in order.
+    ``partitions`` tells their number where the sizes of what is scanned do not.
     """
     parts = df.mapInArrow(_totals(f), "part int, total binary")
-    if _many_partitions(df):
-        parts = parts.repartition(GROUPS, F.pmod("part", F.lit(GROUPS))).sortWithinPartitions("part").mapInArrow(_totals(lambda _, t: sum(np.frombuffer(x) for x in t.to_pylist())), "part int, total binary")
+    left = partitions or _partitions(df)
+    while left > FAN_IN:
+        left = -(-left // FAN_IN)
+        parts = parts.repartition(left, F.pmod("part", F.lit(left))).sortWithinPartitions("part").mapInArrow(_totals(lambda _, t: sum(np.frombuffer(x) for x in t.to_pylist())), "part int, total binary")
     rows = sorted(parts.collect(), key=lambda r: r["part"])
     if not rows:
         raise ValueError("an empty sample")
     return np.sum([np.frombuffer(r["total"]) for r in rows], axis=0)
 
 
-def _many_partitions(df: DataFrame) -> bool:
-    """Whether cores or, by the plan's size, file splits may be more than ``MANY`` partitions."""
+def _partitions(df: DataFrame) -> int:
+    """How many partitions there may be: the cores or, by the size of what is scanned, file splits."""
     spark = df.sparkSession
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return spark.sparkContext.defaultParallelism > MANY or size > MANY * split
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    # tables without known sizes count as larger than any
+    return max(spark.sparkContext.defaultParallelism, -(-size // split)) if size < 1 << 60 else max(spark.sparkContext.defaultParallelism, FAN_IN**2)
 
 
 def held(f: Callable) -> Callable:
-    """For functions that pass over a sample many times: its rows are read once and kept by the executors."""
+    """For functions that pass over a sample many times: its rows are read once and kept by the executors.
+
+    A sample that is kept already, by the caller or a function around, is left as it is.
+    """
 
     @wraps(f)
     def run(df: DataFrame, *args, **settings):
+        if df.storageLevel.useMemory or df.storageLevel.useDisk:
+            return f(df, *args, **settings)
         data = df.persist()
         try:
             return f(data, *args, **settings)
@@ -109,13 +119,24 @@ def blocks(df: DataFrame) -> DataFrame:
     return df.select("id", "x").mapInArrow(run, "block long, ids binary, rows binary")
 
 
-def block_pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+def block_pairs(x: DataFrame, y: DataFrame | None = None) -> DataFrame:
     """All pairs of blocks: (x_ids, x_rows, y_ids, y_rows).
 
-    The blocks of either side are kept, so that none is built for every partition of the other.
+    Without ``y``, each pair of blocks of ``x`` once, a block with itself included.  The blocks are
+    shuffled once, so that none is built for every partition of the other side.
     """
-    a = blocks(x).select(F.col("ids").alias("x_ids"), F.col("rows").alias("x_rows")).persist()
-    return a.crossJoin(blocks(y).select(F.col("ids").alias("y_ids"), F.col("rows").alias("y_rows")).persist())
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return blocks(df).repartition("block").select(*(F.col(c).alias(f"{name}_{c}") for c in ("block", "ids", "rows")))
+
+    pairs = side(x, "x").crossJoin(side(x if y is None else y, "y"))
+    pairs = pairs.where("x_block <= y_block") if y is None else pairs
+    return pairs.select("x_ids", "x_rows", "y_ids", "y_rows")
+
+
+def pairs_total(pairs: DataFrame, f: Callable[..., np.ndarray]) -> np.ndarray:
+    """`total` over `block_pairs`: a task for each pair of shuffle partitions."""
+    return total(pairs, f, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 2)
 
 
 def over_pairs(f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], p: int):

@@ -44,7 +44,7 @@ def gaussian_covariance_lrt(df: DataFrame, sigma0, center: bool = True) -> dict:
 def mauchly_sphericity(df: DataFrame, center: bool = True) -> dict:
     n, p, m, s = _second(df, center)
     log_v = _logdet(s) - p * math.log(np.trace(s) / p)
-    return _chi2(-(m - (2 * p * p + p + 2) / (6 * p)) * log_v, (p - 1) * (p + 2) / 2)
+    return _chi2(-(m - (2 * p * p + p + 2) / (6 * p)) * log_v, (p - 1) * (p + 2) / 2, log_v=log_v)
 
 
 def john_sphericity(df: DataFrame, center: bool = True) -> dict:
@@ -344,7 +344,7 @@ def adaptive_covariance_threshold(df: DataFrame, delta: float = 2.0, rule: str =
     def squares(x):
         """Of each entry, the products' squared distance from their mean."""
         d = rows_of(x) - mean
-        return sum((np.outer(r, r) - s) ** 2 for r in d).ravel()
+        return ((d**2).T @ d**2 - 2 * s * (d.T @ d) + len(d) * s**2).ravel()
 
     variance = total(df.select("x"), squares).reshape(p, p) / n
     out = threshold(s, delta * np.sqrt(variance * math.log(p) / n), rule, **shape)
@@ -366,7 +366,12 @@ def poet(s: np.ndarray, factors: int, level: float, rule: str = "hard", kind: st
     values, vectors = leading(s, factors)
     low = (vectors * values) @ vectors.T
     rest = s - low
-    scale = np.sqrt(np.outer(np.diag(rest), np.diag(rest))) if kind == "correlation" else 1.0
+    left = np.diag(rest)
+    if kind == "correlation" and (left < -1e-10 * np.abs(np.diag(s)).max()).any():
+        raise ArithmeticError("a residual variance is negative")
+    # with as many factors as columns nothing is left but rounding
+    root = np.sqrt(np.maximum(left, 0.0))
+    scale = np.outer(root, root) if kind == "correlation" else 1.0
     kept = threshold(rest, level * scale, rule)
     np.fill_diagonal(kept, np.diag(rest))
     return low + kept

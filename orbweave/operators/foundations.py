@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.functions.partial import block_pairs, held, moments, over_pairs, total
+from orbweave.functions.partial import block_pairs, held, moments, over_pairs, pairs_total, total
 from orbweave.sources.samples import dimensions, norm, rows_of, vector
 
 
@@ -149,14 +149,15 @@ def spatial_kendall(df: DataFrame, zero_tol: float = 0.0) -> np.ndarray:
     """Mean over pairs of rows of their difference's sign times itself transposed."""
     n, p = dimensions(df)
 
-    def f(_, x, __, y):
+    def f(ids, x, others, y):
         out = np.zeros((p, p))
         for row in x:
-            u, _r = signs(row - y, zero_tol)
+            u, _ = signs(row - y, zero_tol)
             out += u.T @ u
-        return out.ravel()
+        # a pair of different blocks comes once for both orders
+        return out.ravel() * (1 if np.array_equal(ids, others) else 2)
 
-    return total(block_pairs(df, df), over_pairs(f, p)).reshape(p, p) / (n * (n - 1))
+    return pairs_total(block_pairs(df), over_pairs(f, p)).reshape(p, p) / (n * (n - 1))
 
 
 def spatial_rank_covariance(df: DataFrame, zero_tol: float = 0.0) -> np.ndarray:

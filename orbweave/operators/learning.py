@@ -188,7 +188,7 @@ def independence_classifier(df: DataFrame, levels=None, prior=None, divisor: str
 
 
 def fair_classifier(df: DataFrame, levels=None, features: int | None = None) -> Classifier:
-    """Independence rule on the features of largest Welch statistic."""
+    """Independence rule, by the mean of both classes' variances, on the features of largest Welch statistic."""
     levels = two_classes(df, levels)
     (n1, m1, g1), (n2, m2, g2) = _by_class(df, levels)
     n, p = n1 + n2, len(m1)
@@ -207,7 +207,7 @@ def fair_classifier(df: DataFrame, levels=None, features: int | None = None) ->
                 best, features = value, m
     keep = order[:features]
     w = np.zeros(p)
-    w[keep] = 1 / ((np.diag(g1) + np.diag(g2)) / (n - 2))[keep]
+    w[keep] = 2 / (v1 + v2)[keep]
     return _linear(levels, m1, m2, np.diag(w), 0.0, features=keep, t=t)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions import tails
-from orbweave.functions.partial import block_pairs, moments, over_pairs, total
+from orbweave.functions.partial import block_pairs, moments, over_pairs, pairs_total, total
 from orbweave.operators.foundations import Fit, signs, spatial_rank
 from orbweave.sources.samples import dimensions, rows_of
 
@@ -306,7 +306,7 @@ def park_ayyala_numerator(df: DataFrame, mu=None) -> float:
             out += (a * b / v).sum()
         return [out]
 
-    return float(total(block_pairs(df, df), over_pairs(f, p))[0]) / (n * (n - 1))
+    return float(pairs_total(block_pairs(df, df), over_pairs(f, p))[0]) / (n * (n - 1))
 
 
 def _long(df: DataFrame) -> DataFrame:

@@ -71,11 +71,15 @@ def graphical_lasso(s: np.ndarray, lam: float, diagonal: bool = False, tol: floa
 
     The sum leaves the diagonal out unless ``diagonal``.  By alternating
     directions; the sparse iterate is returned once it is positive definite and
-    the optimality conditions hold within ``tol`` in every entry.
+    the optimality conditions hold within ``tol`` of the mean variance in every entry.
     """
     s = np.asarray(s, float)
     p = len(s)
-    w = _penalty(p, lam, diagonal)
+    # a scatter of mean variance 1 has the same problem, with an estimate as many times as large
+    scale = float(np.diag(s).mean())
+    if not scale > 0:
+        raise ArithmeticError("variances must be positive")
+    s, w = s / scale, _penalty(p, lam / scale, diagonal)
     if (np.diag(s) + np.diag(w)).min() <= 0:
         raise ArithmeticError("without a penalty on the diagonal its variances must be positive")
     z, u, rho = np.diag(1 / (np.diag(s) + np.diag(w))), np.zeros((p, p)), 1.0
@@ -91,7 +95,7 @@ def graphical_lasso(s: np.ndarray, lam: float, diagonal: bool = False, tol: floa
             g = s - np.linalg.inv(z)
             residual = float(np.where(z == 0, np.maximum(np.abs(g) - w, 0.0), np.abs(g + w * np.sign(z))).max())
             if residual <= tol:
-                return Sparse(z, residual, k, s)
+                return Sparse(z / scale, residual, k, s * scale)
         factor = _balanced(rho, primal, dual) if k % 10 == 0 else 1.0
         rho, u = rho * factor, u / factor
     raise ArithmeticError(f"the graphical lasso did not converge (residual {residual})")
@@ -101,19 +105,17 @@ def gaussian_graphical_lasso(df: DataFrame, lam: float, center: bool = True, div
     return graphical_lasso(_scatter(df, center, divisor), lam, **solver)
 
 
-def _clime_columns(s: np.ndarray, columns: np.ndarray, lam: float, tol: float, max_iter: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Columns b of least |b|_1 with |S b - e|_inf <= lam, and their gaps.
+def _clime_columns(s: np.ndarray, solve: np.ndarray, scale: float, columns: np.ndarray, lam: float, tol: float, max_iter: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Columns b of least |b|_1 with |scale S b - e|_inf <= lam, and their gaps.
 
+    ``s`` has norm 1: it has the same program, with columns ``scale`` times as long;
+    ``solve`` is the inverse of 1 + S^2.
     Alternating directions with two copies, one thresholded, one in the box.  The
     scaled multiplier of the box, made feasible, bounds the optimum from below.
     """
     p = len(s)
-    # a scatter of norm 1 has the same program, with columns as many times as long
-    scale = np.linalg.norm(s, 2) or 1.0
-    s = s / scale
     e = np.zeros((p, len(columns)))
     e[columns, np.arange(len(columns))] = 1.0
-    solve = np.linalg.inv(np.eye(p) + s @ s)
     w, z, u, v, rho = np.zeros_like(e), np.zeros_like(e), np.zeros_like(e), np.zeros_like(e), 1.0
     gap = np.full(len(columns), np.inf)
     for k in range(1, max_iter + 1):
@@ -149,12 +151,16 @@ def clime(spark: SparkSession, s: np.ndarray, lam: float, tol: float = 1e-7, max
     p = len(s)
     _penalty(p, lam, True)
 
+    scale = np.linalg.norm(s, 2) or 1.0
+    shared = spark.sparkContext.broadcast((s / scale, np.linalg.inv(np.eye(p) + s @ s / scale**2)))
+
     def run(batches):
+        one, solve = shared.value
         for batch in batches:
             columns = batch.column(0).to_numpy()
             for at in range(0, len(columns), COLUMNS):
                 part = columns[at : at + COLUMNS]
-                b, gap, k = _clime_columns(s, part, lam, tol, max_iter)
+                b, gap, k = _clime_columns(one, solve, scale, part, lam, tol, max_iter)
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(b.T), pa.list_(pa.float64())), pa.array(gap), pa.array([k] * len(part), pa.int64())], names=["j", "b", "gap", "k"])
 
     rows = spark.range(0, p, 1, -(-p // COLUMNS)).mapInArrow(run, "j long, b array<double>, gap double, k long").collect()

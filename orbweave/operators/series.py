@@ -74,17 +74,10 @@ def _cusum(sums: DataFrame, gamma: float, trim: int, variance: str) -> dict:
 
 def portmanteau(df: DataFrame, lags: int, column: str = "value", kind: str = "ljung-box") -> dict:
     """Box-Pierce or Ljung-Box over the first lags of a series."""
-    with prefix_sums(df, column) as sums:
-        return _portmanteau(sums, lags, kind)
-
-
-def _portmanteau(sums: DataFrame, lags: int, kind: str) -> dict:
-    r = sums.agg(F.count("*").alias("n"), F.avg("value").alias("m")).first()
-    n, m = r["n"], r["m"]
-    z = sums.select("k", (F.col("value") - m).alias("v"))
-    later = z.select("k", F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("h")).select((F.col("k") + F.col("h")).alias("k"), "h", "w")
-    g = {x["h"]: x["g"] for x in later.join(z, "k").groupBy("h").agg(F.sum(F.col("v") * F.col("w")).alias("g")).collect()}
-    rho = [g[h] / g[0] for h in range(1, lags + 1)]
+    x = df.select("id", F.array(F.col(column).cast("double")).alias("x"))
+    m = _centred(x, "mean")
+    n, _, g, _ = _lagged(x, lags, lambda r: r - m)
+    rho = [float(g[h, 0, 0] / g[0, 0, 0]) for h in range(1, lags + 1)]
     q = n * sum(x * x for x in rho) if kind == "box-pierce" else n * (n + 2) * sum(x * x / (n - h) for h, x in enumerate(rho, 1))
     return {"statistic": q, "p_value": tails.chi2_sf(q, lags), "rho": rho}
 
@@ -308,7 +301,8 @@ def weighted_sign_alpha_oracle(scores: DataFrame, trace_r2: float, weight) -> di
 def benjamini_hochberg(p_values: DataFrame, q: float = 0.05) -> DataFrame:
     """Rows (id, p, rejected) by the step-up rule; equal p-values go together."""
     m = p_values.count()
-    with prefix_sums(p_values.select(F.col("p").alias("id"), F.lit(1.0).alias("value")), "value") as ranked:
-        # of equal p-values the last has their rank
-        cut = ranked.where(F.col("id") <= q * F.col("k") / m).agg(F.max("id")).first()[0]
+    # equal p-values, however many, are one row that has the rank of their last
+    different = p_values.groupBy(F.col("p").alias("id")).agg(F.count("*").cast("double").alias("value"))
+    with prefix_sums(different, "value") as ranked:
+        cut = ranked.where(F.col("id") <= q * F.col("s") / m).agg(F.max("id")).first()[0]
     return p_values.select("id", "p", (F.col("p") <= cut if cut is not None else F.lit(False)).alias("rejected"))

@@ -12,10 +12,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.operators import covariance, foundations, learning, location, precision, series, shrinkage
+from orbweave.operators import covariance, foundations, learning, location, precision, resampling, series, shrinkage, sparse_clustering
 from orbweave.sources.samples import sample
 
 DIGITS = 6
+LINE_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+#: What the columns' means and variances are compared with.
+LINE_MEANS, LINE_VARIANCES = (25.0, 38000.0, 0.05, 0.04), (200.0, 5e8, 1e-3, 1e-3)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,6 +344,92 @@ def q_zhang_zhu_zhang(spark, d):
     return one_row(spark, location.zhang_zhu_zhang(*halves(spark, d)), "statistic", "df", "factor", "trace")
 
 
+def q_mauchly(spark, d):
+    return one_row(spark, covariance.mauchly_sphericity(lines(spark, d)), "log_v")
+
+
+def q_covariance_lrt(spark, d):
+    rows = lines(spark, d)
+    found = covariance.gaussian_covariance_lrt(rows, np.diag(LINE_VARIANCES))
+    return one_row(spark, {"mean_statistic": found["statistic"] / rows.count()}, "mean_statistic")
+
+
+def q_wilks_independence(spark, d):
+    return one_row(spark, series.gaussian_wilks_independence(lines(spark, d), 2), "lambda")
+
+
+def q_hotelling_one(spark, d):
+    return one_row(spark, location.hotelling_one_sample(lines(spark, d), LINE_MEANS, tol=1e-16), "statistic", "t2")
+
+
+def q_hotelling_lines(spark, d):
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    return one_row(spark, location.hotelling_two_sample(*(sample(t.where(F.col("l_linenumber") % 2 == k), "l_orderkey", list(LINE_COLUMNS)) for k in (0, 1)), tol=1e-16), "statistic", "t2")
+
+
+def q_grs_alpha(spark, d):
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    excess = t.select("l_orderkey", *((F.col(c) - m).alias(c) for c, m in zip(LINE_COLUMNS, LINE_MEANS, strict=True)))
+    return one_row(spark, series.grs_alpha(sample(excess, "l_orderkey", list(LINE_COLUMNS))), "statistic")
+
+
+def q_gaussian_lda_oracle(spark, d):
+    fit = learning.gaussian_lda_oracle(("0", "1"), np.full(64, 0.1), np.full(64, -0.1), covariance=np.diag(np.arange(1.0, 65.0)), prior=(0.25, 0.75))
+    return fit.predict(vectors(spark, d)).select("id", F.round("score", DIGITS).alias("score"), "label")
+
+
+def q_gaussian_qda_oracle(spark, d):
+    fit = learning.gaussian_qda_oracle(("0", "1"), np.full(64, 0.1), np.eye(64), np.full(64, -0.1), 2 * np.eye(64))
+    return fit.predict(vectors(spark, d)).select("id", F.round("score", DIGITS).alias("score"), "label")
+
+
+def q_park_ayyala_numerator(spark, d):
+    return one_row(spark, {"raw": location.park_ayyala_numerator(vectors(spark, d))}, "raw")
+
+
+def q_strong_correlation_sign(spark, d):
+    found = resampling.strong_correlation_sign_test(vectors(spark, d), B=499, seed=7)
+    return one_row(spark, found, "statistic", "raw")
+
+
+def q_approximate_randomization(spark, d):
+    found = resampling.approximate_randomization_test(*halves(spark, d), B=499, seed=7)
+    return one_row(spark, found, "statistic", "evaluations")
+
+
+def _clusters(fit: dict, rows: DataFrame, metric: np.ndarray, absolute: bool = False) -> DataFrame:
+    return sparse_clustering.weighted_assign(rows, fit["centers"], metric, absolute).select("id", "cluster", F.round("distance", DIGITS).alias("distance"))
+
+
+def q_sparse_kmeans(spark, d):
+    rows = vectors(spark, d)
+    fit = sparse_clustering.sparse_kmeans(rows, 3, 4.0, empty_action="farthest")
+    return _clusters(fit, rows, fit["weights"])
+
+
+def q_sparse_kmedian(spark, d):
+    rows = vectors(spark, d)
+    fit = sparse_clustering.sparse_kmedian(rows, 3, 4.0, empty_action="farthest")
+    return _clusters(fit, rows, fit["weights"], True)
+
+
+def q_sparse_kmeans_gap(spark, d):
+    found = sparse_clustering.sparse_kmeans_select_s(vectors(spark, d), 3, [2.0, 4.0, 8.0], B=3, seed=11, empty_action="farthest")
+    return spark.createDataFrame([(r["setting"], round(r["objective"], DIGITS), round(r["gap"], DIGITS), r["setting"] == found["selected"]) for r in found["table"]], "bound double, objective double, gap double, selected boolean")
+
+
+def q_sparse_k_spatial_median(spark, d):
+    rows = vectors(spark, d)
+    fit = sparse_clustering.sparse_k_spatial_median(rows, 3, 0.05, tol=1e-7, empty_action="farthest", empty_active="largest", cycle_action="return")
+    return _clusters(fit, rows, fit["active"].astype(float))
+
+
+def q_sm_sscm(spark, d):
+    rows = vectors(spark, d)
+    fit = sparse_clustering.sm_sscm(rows, 3, 0.1, tol=1e-7, empty_action="farthest", cycle_action="return")
+    return _clusters(fit, rows, fit["metric"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q_")}
 
@@ -368,6 +457,38 @@ b AS (SELECT x.d AS i, y.d AS j, sum(x.v * y.v) / max(n) AS b FROM u x JOIN u y
 _SUMS = "WITH r AS (SELECT event_id AS id, value, row_number() OVER w AS k, sum(value) OVER w AS s, lag(value) OVER w AS was FROM events WINDOW w AS (ORDER BY event_id)), n AS (SELECT count(*) AS n, sum(value) AS s, avg(value) AS m, sum((value - was) * (value - was)) / (2 * (count(*) - 1)) AS v FROM r)"
 
 
+def _det(a: str) -> str:
+    """The determinant of a 4 x 4 matrix of columns named ``a`` and two numbers."""
+    pairs = [(1, 2, 3, 4, "+"), (1, 3, 2, 4, "-"), (1, 4, 2, 3, "+"), (2, 3, 1, 4, "+"), (2, 4, 1, 3, "-"), (3, 4, 1, 2, "+")]
+    return " ".join(f"{sign} ({a}1{i} * {a}2{j} - {a}1{j} * {a}2{i}) * ({a}3{k} * {a}4{m} - {a}3{m} * {a}4{k})" for i, j, k, m, sign in pairs)
+
+
+def _line_sql() -> dict[str, str]:
+    """Statistics of lineitem's four columns by determinants; d' S^-1 d is the growth of det S by d d'."""
+    entries = ", ".join(f"covar_pop({a}, {b}) AS a{i}{j}" for i, a in enumerate(LINE_COLUMNS, 1) for j, b in enumerate(LINE_COLUMNS, 1))
+    means = ", ".join(f"avg({a}) AS m{i}" for i, a in enumerate(LINE_COLUMNS, 1))
+    away = ", ".join(f"m{i} - ({v}::DOUBLE) AS d{i}" for i, v in enumerate(LINE_MEANS, 1))
+    both = ", ".join(f"a{i}{j} + d{i} * d{j} AS b{i}{j}" for i in range(1, 5) for j in range(1, 5))
+    one = f"WITH s AS (SELECT {entries}, {means}, count(*)::DOUBLE AS n FROM lineitem), t AS (SELECT *, {away} FROM s), u AS (SELECT *, {both} FROM t), q AS (SELECT n, ({_det('b')}) / ({_det('a')}) - 1 AS q FROM u)"
+    pooled = ", ".join(f"(x.n * x.a{i}{j} + y.n * y.a{i}{j}) / (x.n + y.n - 2) AS a{i}{j}" for i in range(1, 5) for j in range(1, 5))
+    apart = ", ".join(f"x.m{i} - y.m{i} AS d{i}" for i in range(1, 5))
+    two = f"""WITH s AS (SELECT l_linenumber % 2 AS g, {entries}, {means}, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), t AS (SELECT {pooled}, {apart}, x.n AS n1, y.n AS n2 FROM s x JOIN s y ON x.g = 0 AND y.g = 1),
+        u AS (SELECT *, {both} FROM t), q AS (SELECT n1, n2, n1 * n2 / (n1 + n2) * (({_det('b')}) / ({_det('a')}) - 1) AS t2 FROM u)"""
+    v1, v2, v3, v4 = (f"({v}::DOUBLE)" for v in LINE_VARIANCES)
+    return {
+        "q_mauchly": f"WITH s AS (SELECT {entries} FROM lineitem) SELECT round(ln({_det('a')}) - 4 * ln((a11 + a22 + a33 + a44) / 4), {DIGITS}) AS log_v FROM s",
+        "q_covariance_lrt": f"WITH s AS (SELECT {entries} FROM lineitem) SELECT round(a11 / {v1} + a22 / {v2} + a33 / {v3} + a44 / {v4} - ln({_det('a')}) + ln({v1} * {v2} * {v3} * {v4}) - 4, {DIGITS}) AS mean_statistic FROM s",
+        "q_wilks_independence": f"WITH s AS (SELECT {entries} FROM lineitem) SELECT round(({_det('a')}) / ((a11 * a22 - a12 * a21) * (a33 * a44 - a34 * a43)), {DIGITS}) AS lambda FROM s",
+        "q_hotelling_one": f"{one} SELECT round((n - 4) * q / 4, {DIGITS}) AS statistic, round((n - 1) * q, {DIGITS}) AS t2 FROM q",
+        "q_hotelling_lines": f"{two} SELECT round((n1 + n2 - 5) * t2 / (4 * (n1 + n2 - 2)), {DIGITS}) AS statistic, round(t2, {DIGITS}) AS t2 FROM q",
+        "q_grs_alpha": f"{one} SELECT round((n - 4) / 4 * q, {DIGITS}) AS statistic FROM q",
+    }
+
+
+def _score_sql(score: str) -> str:
+    return f"WITH {_E}, s AS (SELECT id, {score} AS score FROM e GROUP BY id) SELECT id, round(score, {DIGITS}) + 0.0 AS score, CASE WHEN score >= 0 THEN '0' ELSE '1' END AS label FROM s"
+
+
 def oracle_sql() -> dict[str, str]:
     u = ", ".join(f"round(max(CASE WHEN d = {k} THEN v / norm END), {DIGITS}) AS u{k}" for k in range(1, 5))
     r = ", ".join(f"round(sum(CASE WHEN d = {k} AND norm > 0 THEN v / norm ELSE 0 END) / max(n), {DIGITS}) AS r{k}" for k in range(1, 5))
@@ -382,6 +503,19 @@ def oracle_sql() -> dict[str, str]:
     entries = ", ".join(f"covar_samp({a}, {b}) AS a{i}{j}" for i, a in enumerate(names, 1) for j, b in enumerate(names, 1))
     shape = """o AS (SELECT n, t2 - t * t / 64 AS c FROM (SELECT sum(b * b) AS t2, sum(CASE WHEN i = j THEN b END) AS t FROM b), (SELECT count(*)::DOUBLE AS n FROM embeddings))"""
     return {
+        **_line_sql(),
+        "q_gaussian_lda_oracle": _score_sql("sum(v / d * 0.2::DOUBLE) + ln(1 / 3::DOUBLE)"),
+        "q_gaussian_qda_oracle": _score_sql("(sum((v + 0.1::DOUBLE) * (v + 0.1::DOUBLE)) / 2 - sum((v - 0.1::DOUBLE) * (v - 0.1::DOUBLE))) / 2 + 32 * ln(2)"),
+        "q_park_ayyala_numerator": f"""WITH {_E}, t AS (SELECT d, sum(v) AS s, sum(v * v) AS q, count(*)::DOUBLE AS n FROM e GROUP BY d),
+            w AS (SELECT a.v * b.v / ((q - a.v * a.v - b.v * b.v - pow(s - a.v - b.v, 2) / (n - 2)) / (n - 3)) AS w, n FROM e a JOIN e b ON a.d = b.d AND a.id <> b.id JOIN t ON t.d = a.d)
+            SELECT round(sum(w) / max(n * (n - 1)), {DIGITS}) AS raw FROM w""",
+        "q_chen_qin": f"""{_TWO}, k AS (SELECT a.g, a.id AS i, b.id AS j, sum(a.v * b.v) AS k FROM e a JOIN e b ON a.g = b.g AND a.d = b.d GROUP BY 1, 2, 3), r AS (SELECT g, i, sum(k) AS r, max(CASE WHEN i = j THEN k END) AS o, count(*)::DOUBLE AS n FROM k GROUP BY 1, 2),
+            w AS (SELECT k.g, max(x.n) AS n, sum((k - (x.r - x.o - k) / (x.n - 2)) * (k - (y.r - y.o - k) / (x.n - 2))) / max(x.n * (x.n - 1)) AS w FROM k JOIN r x ON k.g = x.g AND k.i = x.i JOIN r y ON k.g = y.g AND k.j = y.i WHERE k.i <> k.j GROUP BY k.g),
+            z AS (SELECT x.w AS w1, y.w AS w2, x.n AS n1, y.n AS n2, (SELECT sum(s1 * s2) FROM s2) AS a12, (SELECT sum(f * f) FROM f) - (SELECT sum(s1) FROM s2 WHERE i = j) / x.n - (SELECT sum(s2.s2) FROM s2 WHERE i = j) / y.n AS raw FROM w x JOIN w y ON x.g = 0 AND y.g = 1)
+            SELECT round(raw / sqrt(2 * w1 / (n1 * (n1 - 1)) + 2 * w2 / (n2 * (n2 - 1)) + 4 * a12 / (n1 * n2)), {DIGITS}) AS statistic, round(raw, {DIGITS}) AS raw, round(a12, {DIGITS}) AS a12 FROM z""",
+        "q_strong_correlation_sign": f"""WITH {_E}, r AS (SELECT id, sqrt(sum(v * v)) AS r FROM e GROUP BY id), u AS (SELECT d, sum(v / r) AS u FROM e JOIN r ON e.id = r.id GROUP BY d), n AS (SELECT count(*)::DOUBLE AS n FROM r),
+            s AS (SELECT (sum(u * u) - max(n)) / 2 AS raw, max(n) AS n FROM u, n) SELECT round(raw / sqrt(n * (n - 1) / 2), {DIGITS}) AS statistic, round(raw, {DIGITS}) AS raw FROM s""",
+        "q_approximate_randomization": f"""{_TWO} SELECT round((SELECT sum(f * f) FROM f) - sum(s1) / max(n1) - sum(s2) / max(n2), {DIGITS}) AS statistic, 499::BIGINT AS evaluations FROM s2 WHERE i = j""",
         "q_wang_yao_lrt": f"""WITH a AS (SELECT {entries}, count(*)::DOUBLE AS n FROM lineitem), l AS (SELECT 4 * ln((a11 + a22 + a33 + a44) / 4) - ln({det}) AS ratio, n - 1 AS m FROM a)
             SELECT round(ratio + (4 - m) * ln(1 - 4 / m) - 4, {DIGITS}) AS raw, round(ratio, {DIGITS}) AS ratio, round(-ln(1 - 4 / m) / 2, {DIGITS}) AS mean FROM l""",
         "q_hallin_paindaveine": f"""{_SIGNS}, {shape} SELECT round(n * 64 * 66 * c / 2, {DIGITS}) AS statistic, round(c, {DIGITS}) AS contrast FROM o""",

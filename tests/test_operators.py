@@ -315,10 +315,10 @@ def test_shrinkage(spark, data):
         assert f["value"] == pytest.approx(w * s + (1 - w) * np.trace(s) / p * np.eye(p))
     # in two dimensions the map has a closed form; the identity stays itself
     v = np.array([0.01, 0.5, 3.0, 40.0])
-    assert shrinkage.sign_map(v, 2, 128) == pytest.approx(v * np.log(v) / (v - 1) / 2, abs=1e-8)
+    assert shrinkage.sign_map(v, 2) == pytest.approx(v * np.log(v) / (v - 1) / 2, abs=1e-8)
     assert shrinkage.inverse_sign_map(np.full(5, 0.2), 5) == pytest.approx(np.ones(5))
     shape = np.array([0.4, 0.8, 1.2, 1.6])
-    assert shrinkage.inverse_sign_map(shrinkage.sign_map(shape, 4, 128), 4) == pytest.approx(shape)
+    assert shrinkage.inverse_sign_map(shrinkage.sign_map(shape, 4), 4) == pytest.approx(shape)
     for f in (shrinkage.basic_shape(df), shrinkage.basics_shape(df)):
         assert np.trace(f["value"]) == pytest.approx(4) and np.linalg.eigvalsh(f["value"]) == pytest.approx(np.sort(f["eigenvalues"]))
     values, vectors = np.linalg.eigh(u.T @ u / n)
@@ -387,7 +387,7 @@ def test_sums_in_a_tree(spark, data, monkeypatch):
     df = frame(spark, data[0]).repartition(9)
     f = lambda x: np.r_[len(x), np.concatenate(x.to_pylist()).sum()]
     plain = partial.total(df.select("x"), f)
-    monkeypatch.setattr(partial, "MANY", 0)
+    monkeypatch.setattr(partial, "FAN_IN", 2)
     assert partial.total(df.select("x"), f) == pytest.approx(plain) and plain == pytest.approx([15, data[0].sum()])
 
 
@@ -456,3 +456,73 @@ def test_zhang_zhu_zhang(spark, data):
     assert found["statistic"] == pytest.approx(n1 * n2 / (n * p) * d @ d)
     assert found["factor"] == pytest.approx(factor) and found["df"] == pytest.approx(p * p / trace / (factor if factor <= 1.2 else 1))
     assert found["p_value"] == pytest.approx(tails.chi2_sf(found["df"] * found["statistic"], found["df"]))
+
+
+def test_a_kept_sample_stays_kept_and_no_other_is(spark, data):
+    df = frame(spark, data[0]).cache()
+    df.count()
+    foundations.spatial_median(df)
+    shrinkage.basics_shape(df)
+    assert df.storageLevel.useMemory
+    df.unpersist()
+    loose = frame(spark, data[0])
+    shrinkage.ollila_raninen_shrinkage(loose, "ell3")
+    foundations.spatial_kendall(loose)
+    foundations.spatial_rank_covariance(loose)
+    location.park_ayyala_numerator(loose)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_pairs_of_blocks_come_once(spark, data, monkeypatch):
+    monkeypatch.setattr("orbweave.functions.partial.BLOCK_ROWS", 2)
+    x = data[0]
+    u = unit(x[:, None] - x[None]).reshape(-1, 4)
+    assert foundations.spatial_kendall(frame(spark, x)) == pytest.approx(u.T @ u / (15 * 14))
+
+
+@pytest.mark.parametrize("p", [2, 3, 8, 101, 5000, 10_000])
+def test_sign_map_against_integrals(p):
+    def integral(v):  # half of l e^(-p s / 2) / (e^-s + (1 - e^-s) l) over s from 0
+        x, w = np.polynomial.legendre.leggauss(200)
+        edges = np.r_[0, 10 ** np.linspace(-12, math.log10(160 / p), 70)]
+        return sum((b - a) / 4 * (w * np.exp(-p / 2 * s) * v / (np.exp(-s) - np.expm1(-s) * v)).sum() for a, b in zip(edges[:-1], edges[1:], strict=True) for s in [(a + b) / 2 + (b - a) / 2 * x])
+
+    v = np.array([1e-9, 1e-4, 0.3, 0.499, 0.501, 0.999999, 1, 1.000001, 2.5, 60, 3e4])
+    assert shrinkage.sign_map(v, p) == pytest.approx([integral(x) for x in v], rel=1e-9)
+    g = np.random.default_rng(p)
+    shape = g.exponential(size=min(p, 2000)) ** 3
+    if len(shape) == p:
+        shape *= p / shape.sum()
+        assert shrinkage.inverse_sign_map(shrinkage.sign_map(shape, p), p) == pytest.approx(shape, rel=1e-7)
+    assert shrinkage.inverse_sign_map(np.full(p, 1 / p), p) == pytest.approx(np.ones(p))
+    assert shrinkage.inverse_sign_map(np.r_[1.0, np.zeros(p - 1)], p)[0] == pytest.approx(p)
+
+
+def test_fair_weights_are_means_of_both_variances(spark):
+    g = np.random.default_rng(3)
+    x = g.normal(size=(30, 5)) * np.r_[1, 2, 3, 4, 5]
+    y = np.array(["a"] * 22 + ["b"] * 8)
+    x[:22, :2] += 3
+    x[22:] *= 3
+    df = spark.createDataFrame([(i, [float(v) for v in r], k) for i, (r, k) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y string")
+    fit = learning.fair_classifier(df, ("a", "b"), features=3)
+    a, b = x[y == "a"], x[y == "b"]
+    t = (a.mean(0) - b.mean(0)) / np.sqrt(a.var(0, ddof=1) / 22 + b.var(0, ddof=1) / 8)
+    keep = np.argsort(-np.abs(t), kind="stable")[:3]
+    w = np.zeros(5)
+    w[keep] = 2 / (a.var(0, ddof=1) + b.var(0, ddof=1))[keep]
+    assert fit.detail["direction"] == pytest.approx(w * (a.mean(0) - b.mean(0)))
+
+
+def test_equal_p_values_are_one_row(spark):
+    p = [0.001, 0.01, 0.01, 0.01, 0.04, 0.2, 1.0, 1.0, 1.0, 1.0]
+    df = spark.createDataFrame(list(enumerate(p)), "id long, p double").repartition(4)
+    got = {r["id"]: r["rejected"] for r in series.benjamini_hochberg(df, 0.1).collect()}
+    ordered = np.sort(p)
+    cut = max((v for k, v in enumerate(ordered, 1) if v <= 0.1 * k / 10), default=-1)
+    assert got == {i: v <= cut for i, v in enumerate(p)}
+
+
+def test_a_residual_variance_of_zero_raises():
+    with pytest.raises(ArithmeticError):
+        covariance.poet(np.diag([2.0, 1.0, -0.5]), 1, 0.1)

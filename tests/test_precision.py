@@ -201,3 +201,13 @@ def test_shao_threshold_lda(spark, rows):
     want = (rows - (m1 + m2) / 2) @ np.linalg.solve(cut, np.where(np.abs(d) > t2, d, 0))
     got = learning.shao_threshold_lda(df, 0.8, 0.3, 0.25, levels=("a", "b")).predict(df).orderBy("id").collect()
     assert [r["score"] for r in got] == pytest.approx(want.tolist())
+
+
+@pytest.mark.parametrize("scale", [1e-12, 1e-8, 1e-4, 1e3, 1e12])
+def test_graphical_lasso_of_any_scale(scale):
+    g = np.random.default_rng(8)
+    x = g.normal(size=(40, 6)) @ g.normal(size=(6, 6))
+    s = np.cov(x.T, bias=True)
+    one = precision.graphical_lasso(s, 0.1)
+    other = precision.graphical_lasso(scale * s, scale * 0.1)
+    assert scale * other.value == pytest.approx(one.value, rel=1e-5, abs=1e-7 * np.abs(one.value).max())
