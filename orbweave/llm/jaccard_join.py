@@ -508,19 +508,20 @@ def _fold(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def _may_reach(a: dict, b: dict, percent: int, likest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes in two blocks of one list that may join components.
+def _may_reach(a: dict, b: dict, percent: int, likest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes in two blocks of one list that may join components, some at a time.
 
     Where ``likest``, only the likest for each node of the first block.
     """
-    found = []
+    n_own = len(a["size"])
+    best, partner = np.full(n_own, np.inf), np.full(n_own, -1, np.int64)
     for i in a["bits"]:
         for j in b["bits"]:
             width = min(i, j)
             own, left = a["bits"][i]
             other, right = b["bits"][j]
             left, right = _fold(left, width), _fold(right, width)
-            step = max(1, CELL_WORDS // len(other))
+            step = max(1, CELL_WORDS // (4 * len(other)))
             for k in range(0, len(own), step):
                 some = own[k : k + step, None]
                 differ = (a["component"][some] != b["component"][other]) & ((b["component"][other] == b["main"][other]) | (a["component"][some] < b["component"][other]))
@@ -530,26 +531,29 @@ def _may_reach(a: dict, b: dict, percent: int, likest: bool) -> tuple[np.ndarray
                     x, y, t = (c[m : m + max(1, CELL_WORDS // width)] for c in (p, q, total))
                     n = np.bitwise_count(left[k + x] ^ right[y]).sum(1, dtype=np.int64)
                     ok = (t - n) // 2 >= required(t, 0, percent)
-                    found.append((own[k + x[ok]], other[y[ok]], n[ok] / t[ok]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    x, y, unlike = (np.concatenate(c) for c in zip(*found, strict=True))
-    if likest and len(x):
-        order = np.lexsort((y, unlike, x))
-        x, y = x[order], y[order]
-        first = np.r_[True, x[1:] != x[:-1]]
-        x, y = x[first], y[first]
-    return x, y
+                    x, y, unlike = own[k + x[ok]], other[y[ok]], n[ok] / t[ok]
+                    if not likest:
+                        yield x, y
+                        continue
+                    order = np.lexsort((y, unlike, x))
+                    x, y, unlike = x[order], y[order], unlike[order]
+                    first = np.r_[True, x[1:] != x[:-1]][: len(x)]
+                    x, y, unlike = x[first], y[first], unlike[first]
+                    better = (unlike < best[x]) | (unlike == best[x]) & (y < partner[x])
+                    best[x[better]], partner[x[better]] = unlike[better], y[better]
+    if likest:
+        x = np.flatnonzero(partner >= 0)
+        yield x, partner[x]
 
 
 def _meet(percent: int, likest: bool):
     """Pairs from cells: sorted rows (h, i, j, side, k1, k2, node, component, main, size, place, bits)."""
     names = ("h", "i", "j", "side", "k1", "k2", "node", "component", "main", "size", "place")
 
-    def pairs(c: dict, bits: list[bytes], begin: int, end: int) -> tuple | None:
+    def pairs(c: dict, bits: list[bytes], begin: int, end: int) -> Iterator[pa.RecordBatch]:
         cut = begin + int(np.searchsorted(c["side"][begin:end], 1))
         if cut in (begin, end):
-            return None
+            return
         sides = []
         for i, j in ((begin, cut), (cut, end)):
             side = {n: c[n][i:j] for n in names}
@@ -560,29 +564,30 @@ def _meet(percent: int, likest: bool):
                 side["bits"][w] = own, np.frombuffer(b"".join(bits[i + k] for k in own.tolist()), np.uint64).reshape(-1, w)
             sides.append(side)
         a, b = sides
-        x, y = _may_reach(a, b, percent, likest)
-        return tuple(s[n][k] for s, k in ((a, x), (b, y)) for n in ("node", "k1", "k2"))
+        for x, y in _may_reach(a, b, percent, likest):
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(s[n][k]) for s, k in ((a, x), (b, y)) for n in ("node", "k1", "k2")], schema=REST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
-        def whole(last: bool) -> pa.RecordBatch:
+        def whole(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
             c = {n: held.column(n).to_numpy().astype(np.int64) for n in names}
             new = np.flatnonzero(np.any([np.diff(c[n]) != 0 for n in ("h", "i", "j")], 0)) + 1
             begins = [0, *new.tolist()] + [held.num_rows] * last
             bits = held.column("bits").to_pylist()
-            out = [p for i, j in zip(begins[:-1], begins[1:], strict=True) if (p := pairs(c, bits, i, j))]
+            for i, j in zip(begins[:-1], begins[1:], strict=True):
+                yield from pairs(c, bits, i, j)
             held = held.slice(begins[-1]).combine_chunks()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (zip(*out, strict=True) if out else [()] * 6)], schema=REST)
 
         for b in batches:
             if b.num_rows:
                 t = pa.Table.from_batches([b])
                 held = t if held is None else pa.concat_tables([held, t])
-                yield whole(False)
+                yield from whole(False)
         if held is not None and held.num_rows:
-            yield whole(True)
+            yield from whole(True)
 
     return run
 
