@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.operators import covariance, foundations, learning, location, precision, resampling, series, shrinkage, sparse_clustering
+from orbweave.operators import covariance, foundations, learning, location, precision, resampling, series, shrinkage, sparse_clustering, sparse_models
 from orbweave.sources.samples import sample
 
 DIGITS = 6
@@ -161,18 +161,13 @@ def q_portmanteau(spark, d):
     return one_row(spark, series.portmanteau(values(spark, d), 5), "statistic")
 
 
-def labelled(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return sample(e, "vec_id", "embedding").join(e.select(F.col("vec_id").alias("id"), (F.col("label") % 2).cast("string").alias("y")), "id")
-
-
 def q_lda(spark, d):
-    t = labelled(spark, d)
+    t = _labelled(spark, d)
     return learning.classical_lda(t, ("0", "1")).predict(t).select("id", F.round("score", DIGITS).alias("score"), "label")
 
 
 def q_independence_classifier(spark, d):
-    t = labelled(spark, d)
+    t = _labelled(spark, d)
     return learning.independence_classifier(t, ("0", "1"), prior=(0.5, 0.5)).predict(t).select("id", F.round("score", 5).alias("score"))
 
 
@@ -430,6 +425,16 @@ def q_sm_sscm(spark, d):
     return _clusters(fit, rows, fit["metric"])
 
 
+def q_dsda(spark, d):
+    rows = _labelled(spark, d)
+    fit = sparse_models.dsda_classifier(rows, 0.02, ("0", "1"))
+    return fit.predict(rows).select("id", F.round("score", 5).alias("score"), "label")
+
+
+def q_fantope(spark, d):
+    return matrix(spark, sparse_models.fantope_pca(vectors(spark, d), 2, 1e-4).value, 3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q_")}
 
