@@ -12,8 +12,10 @@ several sets have are found first, and only keys of two such are formed: exactly
 those tables' lists of several sets, and possibly others, remain.
 
 The lists go to the n-gram join's machinery: short ones give pairs, long ones
-are compared with their first set, then by their components until no two sets of a
-list that might be alike stay apart unseen.  Every pair is confirmed on full sets.
+are compared with their first set.  Copies of one text meet in nearly all tables; so
+what is still apart then meets once more by the values of the first collection
+alone, at most 12 lists a set, until no two sets of a list
+that might be alike stay apart unseen.  Every pair is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -84,7 +86,10 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def table_keys(sets: DataFrame) -> DataFrame:
-    """Rows (h, k1, k2, size): the tables' keys of different sets (k1, k2, n, values) that may meet others."""
+    """Rows (h, a, k1, k2, size): the tables' keys of different sets (k1, k2, n, values) that may meet others.
+
+    ``a`` is the key's value of the first collection.
+    """
     values = written(sets.select("k1", "k2", "n", "values").mapInArrow(_values, ddl(VALUES)), "values")
     several = written(values.groupBy("v").agg(F.count("*").alias("times")).where("times > 1"), "several")
     size = several.agg(F.sum("times").alias("n"), F.max("times").alias("most")).first()
@@ -93,8 +98,8 @@ def table_keys(sets: DataFrame) -> DataFrame:
     first = F.collect_set(F.when(F.col("v").bitwiseAND(1) == 0, F.col("v")))
     second = F.collect_set(F.when(F.col("v").bitwiseAND(1) == 1, F.col("v")))
     both = shared.groupBy("k1", "k2", "size").agg(first.alias("a"), second.alias("b"))
-    keys = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    return both.select("k1", "k2", "size", F.explode(keys).alias("h"))
+    keys = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct(F.xxhash64(x, y).alias("h"), x.alias("a")))))
+    return both.select("k1", "k2", "size", F.explode(keys).alias("key")).select("key.h", "key.a", "k1", "k2", "size")
 
 
 def minhash_components(docs: DataFrame, words: int = 3, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -123,7 +128,14 @@ def minhash_components(docs: DataFrame, words: int = 3, percent: int = 85, id_co
     salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("h", "k1", "k2"), F.col("parts")) + 1).cast("int")
     postings = keys.join(F.broadcast(hot), "h", "left").select("h", salt.alias("salt"), "k1", "k2", "size", F.lit(0).alias("place"))
     postings = postings.repartition(partitions(spark), "h", "salt").sortWithinPartitions("h", "salt", "k1", "k2")
-    lists = written(postings.mapInArrow(_lists(percent), ddl(LISTS)), "lists")
-    discard(keys)
+    listed = written(postings.mapInArrow(_lists(percent), ddl(LISTS)), "listed")
+    # sets of a long list also meet in the lists of their values of the first collection, which are fewer
+    long = listed.where("h is not null").select("h").distinct()
+    firsts = written(keys.join(long, "h", "left_semi").select("a").distinct(), "firsts")
+    members_of = keys.join(firsts, "a", "left_semi").groupBy("a", "k1", "k2").agg(F.first("size").alias("size"))
+    none = F.lit(None).cast("long")
+    lists = listed.where("h is null").union(members_of.select(F.col("a").alias("h"), "k1", "k2", "size", F.lit(0).alias("place"), none.alias("b1"), none.alias("b2")))
+    lists = written(lists, "lists")
+    discard(keys, listed)
     found = listed_components(texts, members, sets.select("k1", "k2", "node", "copies"), lists, words, percent)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
