@@ -73,6 +73,15 @@ def discard(*tables: DataFrame) -> None:
             system.delete(path, True)
 
 
+def give_back() -> None:
+    """Give a Python worker's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the C library that has it
+        pass
+
+
 def tool(key: Any, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps from task to task: the tool of one key.
 
@@ -82,11 +91,7 @@ def tool(key: Any, make: Callable[[], Any]) -> Any:
     if key not in _TOOL:
         _TOOL.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not the C library that has it
-            pass
+        give_back()
         _TOOL[key] = make()
     return _TOOL[key]
 

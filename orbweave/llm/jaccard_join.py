@@ -34,14 +34,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import BATCH_BYTES, ddl, id_and_text, join_hot, partitions, slices, written
+from orbweave.llm.common import BATCH_BYTES, ddl, give_back, id_and_text, join_hot, partitions, slices, written
 from orbweave.llm.components import components
 from orbweave.llm.t_occurrence import search
 from orbweave.llm.text_kernels import mix, ragged, set_keys, shingle_sets
 
 SHORT_LIST = 32
 BLOCK = 256
-HEAVY_BUFFER = 1 << 22
+#: Shingles whose repetitions a task looks for at once, and shingles of candidates searched at once, at least a set.
+HEAVY_BUFFER, SEARCH_BUFFER = 1 << 21, 1 << 19
 #: At most so many frequent shingles are broadcast (16 bytes each); the order of the rest is by hash.
 FREQUENT = 1 << 20
 SALT_FROM = 50_000
@@ -67,7 +68,9 @@ def required(sizes_a, sizes_b, percent: int):
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (part for batch in batches for part in slices(batch))
+    for batch in batches:
+        yield from slices(batch)
+    give_back()
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -288,7 +291,7 @@ def _search(percent: int):
                     ys.append(last)
                     sets.append(s)
                     size += len(s)
-                    if len(sets) >= 4 * BLOCK or size >= HEAVY_BUFFER:
+                    if len(sets) >= 4 * BLOCK or size >= SEARCH_BUFFER:
                         close()
                         ys, sets, size = [], [], 0
             yield flush()
