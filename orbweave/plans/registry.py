@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.operators import covariance, foundations, learning, location, precision, resampling, series, shrinkage, sparse_clustering, sparse_models
+from orbweave.operators import covariance, foundations, learning, leave_out, location, precision, resampling, series, shrinkage, sparse_clustering, sparse_models
 from orbweave.sources.samples import sample
 
 DIGITS = 6
@@ -101,6 +101,38 @@ def q_chen_qin(spark, d):
     return one_row(spark, location.chen_qin(*halves(spark, d)), "statistic", "raw", "a12")
 
 
+def q_feng_sun(spark, d):
+    return one_row(spark, leave_out.feng_sun_one_sample(vectors(spark, d)), "statistic", "raw", "trace_r2")
+
+
+def q_inst_one_sample(spark, d):
+    return one_row(spark, leave_out.inst_one_sample(vectors(spark, d)), "statistic", "p_value")
+
+
+def q_weighted_median(spark, d):
+    return matrix(spark, leave_out.weighted_scaled_spatial_median(vectors(spark, d)).value[None, :])
+
+
+def q_weighted_max(spark, d):
+    return one_row(spark, leave_out.weighted_max_test(vectors(spark, d)), "statistic", "raw")
+
+
+def q_weighted_maxsum(spark, d):
+    return one_row(spark, leave_out.weighted_maxsum(vectors(spark, d), m=0.5), "statistic", "p_value", "max", "sum")
+
+
+def q_spatial_sign_maxsum(spark, d):
+    return one_row(spark, leave_out.spatial_sign_maxsum(vectors(spark, d)), "statistic", "p_value", "max", "sum")
+
+
+def q_feng_zou_wang(spark, d):
+    return one_row(spark, leave_out.feng_zou_wang_two_sample(*halves(spark, d)), "statistic", "raw")
+
+
+def q_tinst(spark, d):
+    return one_row(spark, leave_out.tinst_two_sample(*halves(spark, d)), "statistic", "p_value")
+
+
 def q_wang_peng_li(spark, d):
     return one_row(spark, location.wang_peng_li(vectors(spark, d)), "statistic", "raw")
 
