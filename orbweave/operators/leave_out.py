@@ -11,7 +11,7 @@ sample of up to ``SHARED_BYTES`` goes to the executors once, and each block of f
 its task.  A larger one stays in blocks: blocks of fits meet blocks of rows, sums of a fit's
 block are added after a shuffle, and what a step leaves is written to the shared folder.
 
-Ids must differ.  A fit that does not settle, or comes to lie on a row it is fitted to, raises,
+Ids must be there and differ.  A fit that does not settle, or comes to lie on a row it is fitted to, raises,
 as does a column without variation among the rows kept, or a variance estimate that is not
 positive.
 """
@@ -62,8 +62,8 @@ def _samples(*dfs: DataFrame) -> list[_Sample]:
     sizes = [dimensions(df) for df in dfs]
     if len({p for _, p in sizes}) > 1:
         raise ValueError("samples of different dimension")
-    if any(df.select("id").distinct().count() != n for df, (n, _) in zip(dfs, sizes, strict=True)):
-        raise ValueError("ids must differ")
+    if any(df.agg(F.count_distinct("id")).first()[0] != n for df, (n, _) in zip(dfs, sizes, strict=True)):
+        raise ValueError("ids must be there and differ")
     n = sum(n for n, _ in sizes)
     mean = sum(total(df.select("x"), lambda x: rows_of(x).sum(0)) for df in dfs) / n
     square = sum(total(df.select("x"), lambda x: ((rows_of(x) - mean) ** 2).sum(0)) for df in dfs)

@@ -178,6 +178,8 @@ def test_what_cannot_be_fitted_raises(spark):
     x = sample(8, 9, 3)
     with pytest.raises(ValueError, match="ids"):
         leave_out.feng_sun_one_sample(frame(spark, x, [0] * 9))
+    with pytest.raises(ValueError, match="ids"):
+        leave_out.feng_sun_one_sample(spark.createDataFrame([(None, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.0, 3.0]), (3, [4.0, 1.0])], "id long, x array<double>"))
     with pytest.raises(ValueError, match="four rows"):
         leave_out.feng_sun_one_sample(frame(spark, x[:3]))
     with pytest.raises(ArithmeticError, match="variation"):
