@@ -15,6 +15,7 @@ network, so that each value knows where it goes and none is sorted.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -24,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.functions.partial import BLOCK_ROWS, total
+from orbweave.functions.partial import BLOCK_ROWS, FAN_IN, total
 from orbweave.operators.foundations import signs
 from orbweave.sources.samples import dimensions, rows_of
 
+#: Bytes of a sample's copies in a task.
+TASK_BYTES = 32 << 20
 _STORED = "copy int, begin long, rows binary"
 
 
@@ -50,7 +53,9 @@ class Sample:
     def __init__(self, df: DataFrame):
         self.n, self.p = dimensions(df)
         self.copies = 0
-        ordered = df.select("id", "x").repartitionByRange("id").sortWithinPartitions("id", "x")
+        self.cores = df.sparkSession.sparkContext.defaultParallelism
+        self.partitions = self._tasks(1)
+        ordered = df.select("id", "x").repartitionByRange(self.partitions, "id").sortWithinPartitions("id", "x")
 
         def pack(batches):
             from pyspark import TaskContext
@@ -83,6 +88,10 @@ class Sample:
         self._kept = [packed]
         self.blocks = packed.mapInArrow(place, _STORED)
 
+    def _tasks(self, copies: int) -> int:
+        """Partitions for some copies: a task a core, no more than blocks, and of ``TASK_BYTES`` at most."""
+        return min(copies * -(-self.n // BLOCK_ROWS), max(self.cores, -(-copies * self.n * self.p * 8 // TASK_BYTES)))
+
     def __enter__(self) -> Sample:
         return self
 
@@ -130,10 +139,11 @@ class Sample:
             if now:
                 yield done()
 
-        spread = self.blocks.mapInArrow(scatter, "copy int, block long, entries binary").repartition("copy", "block").sortWithinPartitions("copy", "block")
+        spread = self.blocks.mapInArrow(scatter, "copy int, block long, entries binary").repartition(self._tasks(copies), "copy", "block").sortWithinPartitions("copy", "block")
         permuted = spread.mapInArrow(gather, _STORED).persist()
         self._kept.append(permuted)
         self.blocks, self.copies = self.blocks.union(permuted), copies
+        self.partitions += self._tasks(copies)
 
     def total(self, f: Callable[[int, np.ndarray, np.ndarray, np.ndarray], None], size: int, of: DataFrame | None = None) -> np.ndarray:
         """What ``f(copy, rows' numbers, rows, out)`` adds to ``out``, a vector of ``size``, over all blocks."""
@@ -146,24 +156,29 @@ class Sample:
                 f(c, np.arange(a, a + len(x)), x, out)
             return out
 
-        return total(self.blocks if of is None else of, g)
+        return total(self.blocks if of is None else of, g, self.partitions if of is None else None)
 
     def best(self, f: Callable[[int, np.ndarray, np.ndarray], list[tuple[int, float, int]]]) -> dict[int, tuple[int, np.ndarray]]:
         """For every key, the number and row of largest value, the first of several; ``f`` gives (key, value, index) of a block's rows."""
         p = self.p
 
         def run(batches):
+            found = {}
             for b in batches:
-                found = {}
                 for c, a, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
                     x = np.frombuffer(data).reshape(-1, p)
                     for key, value, i in f(c, np.arange(a, a + len(x)), x):
                         if key not in found or (value, -a - i) > found[key][:2]:
                             found[key] = value, -a - i, x[i].tobytes()
+            if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *(pa.array([v[k] for v in found.values()], t) for k, t in enumerate((pa.float64(), pa.int64(), pa.binary())))], names=["key", "value", "less", "row"])
 
-        rows = self.blocks.mapInArrow(run, "key long, value double, less long, row binary").groupBy("key").agg(F.max_by(F.struct("less", "row"), F.struct("value", "less")).alias("r")).collect()
-        return {r["key"]: (-r["r"]["less"], np.frombuffer(bytes(r["r"]["row"]))) for r in rows}
+        rows = self.blocks.mapInArrow(run, "key long, value double, less long, row binary")
+        if self.partitions > FAN_IN:
+            rows = rows.groupBy("key").agg(F.max_by(F.struct("value", "less", "row"), F.struct("value", "less")).alias("r")).select("key", "r.*")
+        # last the largest value, of equal ones the first row
+        found = sorted(rows.collect(), key=lambda r: (r["value"], r["less"]))
+        return {r["key"]: (-r["less"], np.frombuffer(bytes(r["row"]))) for r in found}
 
     def rows_at(self, numbers: list[int]) -> dict[int, np.ndarray]:
         """By copy, the rows of some numbers, in their order."""
@@ -429,7 +444,7 @@ def _trace(objectives: list[float], rising: bool) -> float:
     return float(max([0.0, *(-steps if rising else steps)]))
 
 
-def _weighted(data: Sample, k: int, bounds: list[float], copies: list[int], medians: bool, initial, first_index: int, seed, empty_action: str, max_iter: int, tol: float) -> list[dict]:
+def _weighted(data: Sample, k: int, bounds: list[float], copies: list[int], medians: bool, initial, first_index: int, seed, empty_action: str, max_iter: int | None, tol: float) -> list[dict]:
     """Fits of feature-weighted means or medians, one for each pair of bound and copy, in step."""
     if not all(1 <= b <= math.sqrt(data.p) for b in bounds):
         raise ValueError("bounds must lie between 1 and the root of the number of columns")
@@ -447,7 +462,7 @@ def _weighted(data: Sample, k: int, bounds: list[float], copies: list[int], medi
     first = dict(zip(copies, zip(states, found, centers, strict=True), strict=True))
     fits = [{"bound": b, "copy": c, "state": first[c][0], "found": first[c][1], "centers": first[c][2], "seen": {first[c][1]["key"]}, "trace": [], "iterations": 0, "converged": False, "cycle": False} for c in copies for b in bounds]
     going = fits
-    for it in range(1, max_iter + 1):
+    for it in itertools.count(1) if max_iter is None else range(1, max_iter + 1):
         for fit, scores in zip(going, _scores(data, going, whole, medians), strict=True):
             fit["scores"], fit["weights"] = scores, feature_weights(scores, fit["bound"])
             fit["trace"].append(float(fit["weights"] @ scores))
@@ -513,18 +528,19 @@ def _scores(data: Sample, fits: list[dict], whole: dict[int, np.ndarray], median
     return out
 
 
-def sparse_kmeans(df: DataFrame, k: int, s: float, initial="maxmin", first_index: int = 1, seed: int | None = None, empty_action: str = "error", max_iter: int = 100, tol: float = 1e-10) -> dict:
+def sparse_kmeans(df: DataFrame, k: int, s: float, initial="maxmin", first_index: int = 1, seed: int | None = None, empty_action: str = "error", max_iter: int | None = None, tol: float = 1e-10) -> dict:
     """k-means whose columns are weighted, weights of norm 1 and of sum ``s`` at most.
 
     Weights that make the weighted sum of squares between clusters largest, and nearest centres under
     them, take turns until no row changes; rows at the same distance go to the first centre.  Labels that come again, a falling objective and
-    an empty cluster (unless ``empty_action`` is "farthest") are errors.
+    an empty cluster (unless ``empty_action`` is "farthest") are errors.  Labels are finitely many, so that turns
+    end by themselves; there are more of them the more rows there are.  With ``max_iter``, more turns are an error.
     """
     with Sample(df) as data:
         return _weighted(data, k, [s], [0], False, initial, first_index, seed, empty_action, max_iter, tol)[0]
 
 
-def sparse_kmedian(df: DataFrame, k: int, s: float, initial="maxmin", first_index: int = 1, seed: int | None = None, empty_action: str = "error", max_iter: int = 100, tol: float = 1e-10) -> dict:
+def sparse_kmedian(df: DataFrame, k: int, s: float, initial="maxmin", first_index: int = 1, seed: int | None = None, empty_action: str = "error", max_iter: int | None = None, tol: float = 1e-10) -> dict:
     """`sparse_kmeans` with medians of columns, between the middle values, and absolute distances."""
     with Sample(df) as data:
         return _weighted(data, k, [s], [0], True, initial, first_index, seed, empty_action, max_iter, tol)[0]
@@ -567,7 +583,7 @@ def _gaps(grid: list[float], objectives: np.ndarray) -> list[dict]:
     return [{"setting": g, "objective": float(objectives[0, i]), "mean_log": float(logs[1:, i].mean()), "sd_log": float(sd[i]), "se": float(math.sqrt(1 + 1 / n) * sd[i]), "gap": float(logs[0, i] - logs[1:, i].mean())} for i, g in enumerate(grid)]
 
 
-def sparse_kmeans_select_s(df: DataFrame, k: int, s_grid: list[float], B: int | None = None, seed: int | None = None, permutations=None, selection: str = "max", initial="maxmin", first_index: int = 1, clustering_seed: int | None = None, empty_action: str = "error", max_iter: int = 100, tol: float = 1e-10) -> dict:
+def sparse_kmeans_select_s(df: DataFrame, k: int, s_grid: list[float], B: int | None = None, seed: int | None = None, permutations=None, selection: str = "max", initial="maxmin", first_index: int = 1, clustering_seed: int | None = None, empty_action: str = "error", max_iter: int | None = None, tol: float = 1e-10) -> dict:
     """The bound of `sparse_kmeans` by the gap to samples whose columns are permuted.
 
     All fits, of the sample and of ``B`` copies for every bound, go on in step.

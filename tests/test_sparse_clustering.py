@@ -230,3 +230,13 @@ def test_thresholds_and_numbers_of_clusters_by_gap_and_ratio(spark, monkeypatch)
 def test_no_block_stays_kept(spark):
     sc.sparse_kmeans_select_s(frame(spark, rows(9)), 2, [1.5], B=1, seed=1)
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_clusters_settle_after_more_than_a_hundred_steps(spark):
+    x = np.random.default_rng(5).random((4000, 1))
+    fit = sc.sparse_kmeans(frame(spark, x), 8, 1.0)
+    assert fit["iterations"] > 100 and fit["sizes"].sum() == 4000
+    label = np.abs(x - fit["centers"].T).argmin(1)
+    assert fit["centers"][:, 0] == pytest.approx([x[label == k].mean() for k in range(8)])
+    with pytest.raises(ArithmeticError):
+        sc.sparse_kmeans(frame(spark, x), 8, 1.0, max_iter=3)
