@@ -47,12 +47,15 @@ def lasso(c: np.ndarray, b: np.ndarray, yy: float, lam: float, tol: float = 1e-7
 
 
 @held
-def dsda_classifier(df: DataFrame, lam: float, levels=None, tol: float = 1e-7, max_iter: int = 100_000, tie: str = "class1") -> Classifier:
+def dsda_classifier(df: DataFrame, lam: float, levels=None, tol: float = 1e-7, max_iter: int = 100_000, tie: str = "class1", empty: str = "invalid") -> Classifier:
     """Lasso of the classes, coded -n / n1 and n / n2, on the columns; equal priors, the boundary at the means' middle.
 
     From rows (id, x, y).  The objective is the mean squared error plus ``lam`` times the coefficients'
-    absolute sum.  A fit without any coefficient is not valid.
+    absolute sum.  A fit without any coefficient is not valid, or with ``empty`` "tie" (as in the reference) it
+    scores every row 0, so that the class of ties has them all.
     """
+    if empty not in ("invalid", "tie"):
+        raise ValueError("an empty fit is invalid or a tie")
     levels = two_classes(df, levels)
     (n1, m1, g1), (n2, m2, g2) = _by_class(df, levels)
     n, d = n1 + n2, m2 - m1
@@ -60,7 +63,7 @@ def dsda_classifier(df: DataFrame, lam: float, levels=None, tol: float = 1e-7, m
     beta, gap, sweeps = lasso(c, d, n / n1 + n / n2, lam, tol, max_iter)
     middle = (m1 + m2) / 2
     detail = {"direction": -beta, "coefficients": beta, "gap": gap, "iterations": sweeps, "active": np.flatnonzero(beta)}
-    return Classifier(levels, lambda z: -(z - middle) @ beta, tie, bool(beta.any()), detail)
+    return Classifier(levels, lambda z: -(z - middle) @ beta, tie, empty == "tie" or bool(beta.any()), detail)
 
 
 @dataclass

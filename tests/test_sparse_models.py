@@ -65,3 +65,12 @@ def test_fantope_pca_of_any_scale(spark):
     assert sorted(np.abs(one.vectors[[0, 3]]).max(0).round(1)) == [1.0, 1.0]
     other = sparse_models.fantope(1e6 * np.cov(x.T, bias=True), 2, 4e5)
     assert other.objective == pytest.approx(1e6 * one.objective, rel=1e-6)
+
+
+def test_dsda_without_coefficients_scores_ties(spark):
+    x = np.random.default_rng(7).normal(size=(12, 3))
+    df = labelled(spark, x, ["a", "b"] * 6)
+    for tie, label in (("class1", "a"), ("class2", "b")):
+        fit = sparse_models.dsda_classifier(df, 1e6, ("a", "b"), tie=tie, empty="tie")
+        out = fit.predict(df).collect()
+        assert len(out) == 12 and {(r["score"], r["label"]) for r in out} == {(0.0, label)}
