@@ -68,11 +68,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, also where ``f`` uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def largest(a: Column) -> Column:
+    return F.array_max(F.transform(a, F.abs))
+
+
 def norm(a: Column) -> Column:
     """Euclidean norm, scaled by the largest absolute value first."""
-    top = F.array_max(F.transform(a, F.abs))
-    scaled = F.aggregate(F.transform(a, lambda v: (v / top) * (v / top)), F.lit(0.0), lambda s, v: s + v)
-    return F.when(top == 0, F.lit(0.0)).otherwise(top * F.sqrt(scaled))
+
+    def scaled(top: Column) -> Column:
+        square = F.aggregate(a, F.lit(0.0), lambda s, v: s + (v / top) * (v / top))
+        return F.when(top == 0, F.lit(0.0)).otherwise(top * F.sqrt(square))
+
+    return bound(largest(a), scaled)
 
 
 def vector(values) -> Column:
