@@ -7,7 +7,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.sources.samples import rows_of
@@ -119,24 +119,37 @@ def blocks(df: DataFrame) -> DataFrame:
     return df.select("id", "x").mapInArrow(run, "block long, ids binary, rows binary")
 
 
-def block_pairs(x: DataFrame, y: DataFrame | None = None) -> DataFrame:
+#: Bytes of one side of the pairs that a task goes through.
+SIDE_BYTES = 64 << 20
+
+
+def sides(spark: SparkSession, n: int, m: int, p: int) -> tuple[int, int]:
+    """Partitions of both sides of pairs of ``n`` and ``m`` rows: few of the second, so that few sums of a row are
+    shuffled; of the first enough for all cores, with some tasks a core where there are many blocks."""
+    second = -(-m * p * 8 // SIDE_BYTES)
+    return max(1, min(-(-n // BLOCK_ROWS), 8 * spark.sparkContext.defaultParallelism)), second
+
+
+def block_pairs(x: DataFrame, y: DataFrame | None = None, into: tuple[int, int] | None = None) -> DataFrame:
     """All pairs of blocks: (x_ids, x_rows, y_ids, y_rows).
 
     Without ``y``, each pair of blocks of ``x`` once, a block with itself included.  The blocks are
-    shuffled once, so that none is built for every partition of the other side.
+    shuffled once, so that none is built for every partition of the other side.  ``into`` tells the
+    partitions of both sides; a block's pairs within a partition of the other side follow each other.
     """
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return blocks(df).repartition("block").select(*(F.col(c).alias(f"{name}_{c}") for c in ("block", "ids", "rows")))
+        dealt = blocks(df).repartition(into[name == "y"]) if into else blocks(df).repartition("block")
+        return dealt.select(*(F.col(c).alias(f"{name}_{c}") for c in ("block", "ids", "rows")))
 
     pairs = side(x, "x").crossJoin(side(x if y is None else y, "y"))
     pairs = pairs.where("x_block <= y_block") if y is None else pairs
     return pairs.select("x_ids", "x_rows", "y_ids", "y_rows")
 
 
-def pairs_total(pairs: DataFrame, f: Callable[..., np.ndarray]) -> np.ndarray:
-    """`total` over `block_pairs`: a task for each pair of shuffle partitions."""
-    return total(pairs, f, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 2)
+def pairs_total(pairs: DataFrame, f: Callable[..., np.ndarray], into: tuple[int, int] | None = None) -> np.ndarray:
+    """`total` over `block_pairs`: a task for each pair of partitions."""
+    return total(pairs, f, into[0] * into[1] if into else int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 2)
 
 
 def over_pairs(f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], p: int):

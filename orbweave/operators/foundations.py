@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.functions.partial import block_pairs, held, moments, over_pairs, pairs_total, total
-from orbweave.sources.samples import dimensions, norm, rows_of, vector
+from orbweave.functions.partial import block_pairs, held, moments, over_pairs, pairs_total, sides, total
+from orbweave.sources.samples import bound, dimensions, largest, norm, rows_of, vector
 
 
 @dataclass
@@ -39,8 +39,14 @@ def spatial_sign(df: DataFrame, center=None, zero_tol: float = 0.0) -> DataFrame
     """Rows (id, sign, norm); columns only, no shuffle."""
     d = F.col("x") if center is None else F.zip_with("x", vector(center), lambda a, b: a - b)
     out = df.select("id", d.alias("d")).withColumn("norm", norm(F.col("d")))
-    top = F.array_max(F.transform("d", F.abs))
-    sign = F.when(F.col("norm") > zero_tol, F.transform("d", lambda v: (v / top) / (F.col("norm") / top))).otherwise(F.transform("d", lambda v: F.lit(0.0)))
+
+    def scaled(s):
+        return F.transform("d", lambda v: (v / s["top"]) / s["length"])
+
+    # what all elements are divided by is computed once a row
+    top = largest(F.col("d"))
+    parts = F.struct(top.alias("top"), (F.col("norm") / top).alias("length"))
+    sign = F.when(F.col("norm") > zero_tol, bound(parts, scaled)).otherwise(F.transform("d", lambda v: F.lit(0.0)))
     return out.select("id", sign.alias("sign"), "norm")
 
 
@@ -122,25 +128,92 @@ def sscm(df: DataFrame, center="spatial", zero_tol: float = 0.0, **settings) ->
     return total(df.select("x"), gram).reshape(p, p) / n
 
 
+#: Rows of one side at a time, so that a table of their pairs stays in the cache.
+_SLICE = 128
+
+
+def _pair_weights(x: np.ndarray, y: np.ndarray, power: int, zero_tol: float):
+    """For some rows of ``x`` at a time: the slice, they and ``y`` about a common point and in a common unit, distances to minus ``power`` in
+    that unit, and (row of the slice, rows of ``y``) to be looked at one by one.
+
+    Squared distances come from a product of matrices; where this would cancel, or lies near ``zero_tol``
+    or the ends of the floating range, the weight is 0 and the pair is named.
+    """
+    unit = 2.0 ** np.frexp(max(np.abs(x).max(), np.abs(y).max()))[1]
+    shift = (y / unit).mean(0)
+    b = y / unit - shift
+    twice, size_b = -2 * b.T, (b * b).sum(1)
+    least = max(1e-200, 4 * (zero_tol / unit) ** 2)
+    for begin in range(0, len(x), _SLICE):
+        part = slice(begin, begin + _SLICE)
+        a = x[part] / unit - shift
+        size_a = (a * a).sum(1)
+        w = a @ twice
+        w += size_a[:, None]
+        w += size_b
+        near = []
+        for i in np.flatnonzero(w.min(1) <= np.maximum(1e-4 * (size_a + size_b.max()), least)):
+            at = np.flatnonzero(w[i] <= np.maximum(1e-4 * (size_a[i] + size_b), least))
+            w[i, at] = np.inf
+            near.append((i, at))
+        if power == 1:
+            np.sqrt(w, out=w)
+        yield part, a, b, np.divide(1, w, out=w), near
+
+
+def _rank_sums(x: np.ndarray, y: np.ndarray, zero_tol: float = 0.0) -> np.ndarray:
+    """For each row of ``x`` the sum of the directions from all rows of ``y``."""
+    out = []
+    for part, a, b, w, near in _pair_weights(x, y, 1, zero_tol):
+        sums = a * w.sum(1)[:, None] - w @ b
+        for i, at in near:
+            if len(at):
+                sums[i] += signs(x[part][i] - y[at], zero_tol)[0].sum(0)
+        out.append(sums)
+    return np.concatenate(out)
+
+
+def _direction_gram(x: np.ndarray, y: np.ndarray, zero_tol: float = 0.0) -> np.ndarray:
+    """Over all pairs of rows the sum of their direction times itself transposed."""
+    out, of_y, all_b = 0.0, 0.0, None
+    for part, a, b, w, near in _pair_weights(x, y, 2, zero_tol):
+        mixed = a.T @ (w @ b)
+        out = out + (a.T * w.sum(1)) @ a - mixed - mixed.T
+        of_y, all_b = of_y + w.sum(0), b
+        for i, at in near:
+            if len(at):
+                u, _ = signs(x[part][i] - y[at], zero_tol)
+                out += u.T @ u
+    return out + (all_b.T * of_y) @ all_b
+
+
 def spatial_rank(df: DataFrame, reference: DataFrame | None = None, zero_tol: float = 0.0) -> DataFrame:
     """Rows (id, rank): the mean direction from all reference rows.
 
-    Blocks of rows meet blocks of reference rows; sums a row meet by id.
+    Blocks of rows meet blocks of reference rows in products of matrices; sums a row meet by id.
     """
     reference = df if reference is None else reference
-    _, p = dimensions(df)
+    n, p = dimensions(df)
     m, q = dimensions(reference)
     if p != q:
         raise ValueError("samples of different dimension")
 
     def part(batches):
-        for b in batches:
-            for a, xs, _, ys in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, x, y = np.frombuffer(a, "<i8"), np.frombuffer(xs).reshape(-1, p), np.frombuffer(ys).reshape(-1, p)
-                sums = [signs(row - y, zero_tol)[0].sum(0) for row in x]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums, pa.list_(pa.float64()))], names=["id", "s"])
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(now, "<i8")), pa.array(list(sums), pa.list_(pa.float64()))], names=["id", "s"])
 
-    parts = block_pairs(df, reference).mapInArrow(part, "id long, s array<double>")
+        now, sums = None, None
+        for b in batches:
+            for a, xs, ys in zip(*(b.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                if a != now:
+                    if now is not None:
+                        yield done()
+                    now, sums = a, 0.0
+                sums = sums + _rank_sums(np.frombuffer(xs).reshape(-1, p), np.frombuffer(ys).reshape(-1, p), zero_tol)
+        if now is not None:
+            yield done()
+
+    parts = block_pairs(df, reference, sides(df.sparkSession, n, m, p)).mapInArrow(part, "id long, s array<double>")
     out = parts.groupBy("id").agg(*(F.sum(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(p)))
     return out.select("id", F.array(*(F.col(f"s{k}") / m for k in range(p))).alias("rank"))
 
@@ -150,14 +223,11 @@ def spatial_kendall(df: DataFrame, zero_tol: float = 0.0) -> np.ndarray:
     n, p = dimensions(df)
 
     def f(ids, x, others, y):
-        out = np.zeros((p, p))
-        for row in x:
-            u, _ = signs(row - y, zero_tol)
-            out += u.T @ u
         # a pair of different blocks comes once for both orders
-        return out.ravel() * (1 if np.array_equal(ids, others) else 2)
+        return _direction_gram(x, y, zero_tol).ravel() * (1 if np.array_equal(ids, others) else 2)
 
-    return pairs_total(block_pairs(df), over_pairs(f, p)).reshape(p, p) / (n * (n - 1))
+    into = sides(df.sparkSession, n, n, p)
+    return pairs_total(block_pairs(df, into=into), over_pairs(f, p), into).reshape(p, p) / (n * (n - 1))
 
 
 def spatial_rank_covariance(df: DataFrame, zero_tol: float = 0.0) -> np.ndarray:

@@ -526,3 +526,34 @@ def test_equal_p_values_are_one_row(spark):
 def test_a_residual_variance_of_zero_raises():
     with pytest.raises(ArithmeticError):
         covariance.poet(np.diag([2.0, 1.0, -0.5]), 1, 0.1)
+
+
+@pytest.mark.parametrize("scale, offset, zero_tol", [(1.0, 0.0, 0.0), (1e-180, 0.0, 0.0), (1e180, 0.0, 0.0), (1.0, 1e6, 0.0), (1.0, 0.0, 0.9)])
+def test_directions_of_pairs_by_products_of_matrices(scale, offset, zero_tol):
+    g = np.random.default_rng(3)
+    x, y = g.normal(size=(30, 5)), g.normal(size=(40, 5))
+    y[:10], y[10:20] = x[:10], x[:10] + 1e-7 * g.normal(size=(10, 5))
+    x, y = scale * x + offset, scale * y + offset
+    u = np.array([foundations.signs(row - y, zero_tol * scale)[0] for row in x])
+    assert foundations._rank_sums(x, y, zero_tol * scale) == pytest.approx(u.sum(1), abs=1e-8 if offset else 1e-11)
+    assert foundations._direction_gram(x, y, zero_tol * scale) == pytest.approx(np.einsum("ijk,ijl->kl", u, u), abs=1e-7 if offset else 1e-10)
+
+
+def test_park_ayyala_pairs_by_sums_of_powers(spark, monkeypatch):
+    g = np.random.default_rng(12)
+    x = g.normal(size=(70, 3)) * [1, 2, 3] + [0.1, 0, 1]
+    monkeypatch.setattr(location, "pairs_total", lambda *_: pytest.fail("pairs of rows met"))
+    want = 0.0
+    for i in range(70):
+        for j in set(range(70)) - {i}:
+            want += (x[i] * x[j] / np.delete(x, [i, j], 0).var(0, ddof=1)).sum()
+    assert location.park_ayyala_numerator(frame(spark, x)) == pytest.approx(want / (70 * 69), rel=1e-12)
+
+
+def test_sign_divides_by_what_is_computed_once(spark):
+    df = spark.range(3).select("id", F.array(*(F.lit(float(k)) for k in range(-2, 3))).alias("x"))
+    plan = foundations.spatial_sign(df)._jdf.queryExecution().optimizedPlan().toString()
+    # the largest value is found for the norm and for the sign, not within functions of elements
+    assert plan.count("array_max") <= 4
+    u = foundations.spatial_sign(df).first()["sign"]
+    assert u == pytest.approx(np.arange(-2, 3) / np.sqrt(10))
