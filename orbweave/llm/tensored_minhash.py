@@ -132,10 +132,12 @@ def minhash_components(docs: DataFrame, words: int = 3, percent: int = 85, id_co
     # sets of a long list also meet in the lists of their values of the first collection, which are fewer
     long = listed.where("h is not null").select("h").distinct()
     firsts = written(keys.join(long, "h", "left_semi").select("a").distinct(), "firsts")
-    members_of = keys.join(firsts, "a", "left_semi").groupBy("a", "k1", "k2").agg(F.first("size").alias("size"))
+    # a set's keys have each of its first values up to GROUPS times: once is enough, and is written so that the join does not go before it
+    once = written(keys.groupBy("a", "k1", "k2").agg(F.first("size").alias("size")), "once")
+    members_of = once.join(firsts, "a", "left_semi")
     none = F.lit(None).cast("long")
     lists = listed.where("h is null").union(members_of.select(F.col("a").alias("h"), "k1", "k2", "size", F.lit(0).alias("place"), none.alias("b1"), none.alias("b2")))
     lists = written(lists, "lists")
-    discard(keys, listed)
+    discard(keys, listed, once)
     found = listed_components(texts, members, sets.select("k1", "k2", "node", "copies"), lists, words, percent)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
