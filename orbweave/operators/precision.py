@@ -105,14 +105,21 @@ def gaussian_graphical_lasso(df: DataFrame, lam: float, center: bool = True, div
     return graphical_lasso(_scatter(df, center, divisor), lam, **solver)
 
 
-def _clime_columns(s: np.ndarray, solve: np.ndarray, scale: float, columns: np.ndarray, lam: float, tol: float, max_iter: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _prepared(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """A matrix scaled to norm 1, the inverse of 1 + its square, and the scale."""
+    scale = np.linalg.norm(s, 2) or 1.0
+    return s / scale, np.linalg.inv(np.eye(len(s)) + s @ s / scale**2), scale
+
+
+def _clime_columns(s: np.ndarray, columns: np.ndarray, lam: float, tol: float, max_iter: int, prepared: tuple[np.ndarray, np.ndarray, float] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Columns b of least |b|_1 with |scale S b - e|_inf <= lam, and their gaps.
 
-    ``s`` has norm 1: it has the same program, with columns ``scale`` times as long;
-    ``solve`` is the inverse of 1 + S^2.
+    ``s`` of norm 1 has the same program, with columns ``scale`` times as long;
+    ``prepared`` has that, the inverse of 1 + S^2, and the scale.
     Alternating directions with two copies, one thresholded, one in the box.  The
     scaled multiplier of the box, made feasible, bounds the optimum from below.
     """
+    s, solve, scale = prepared or _prepared(s)
     p = len(s)
     e = np.zeros((p, len(columns)))
     e[columns, np.arange(len(columns))] = 1.0
@@ -151,16 +158,14 @@ def clime(spark: SparkSession, s: np.ndarray, lam: float, tol: float = 1e-7, max
     p = len(s)
     _penalty(p, lam, True)
 
-    scale = np.linalg.norm(s, 2) or 1.0
-    shared = spark.sparkContext.broadcast((s / scale, np.linalg.inv(np.eye(p) + s @ s / scale**2)))
+    shared = spark.sparkContext.broadcast(_prepared(s))
 
     def run(batches):
-        one, solve = shared.value
         for batch in batches:
             columns = batch.column(0).to_numpy()
             for at in range(0, len(columns), COLUMNS):
                 part = columns[at : at + COLUMNS]
-                b, gap, k = _clime_columns(one, solve, scale, part, lam, tol, max_iter)
+                b, gap, k = _clime_columns(s, part, lam, tol, max_iter, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(list(b.T), pa.list_(pa.float64())), pa.array(gap), pa.array([k] * len(part), pa.int64())], names=["j", "b", "gap", "k"])
 
     rows = spark.range(0, p, 1, -(-p // COLUMNS)).mapInArrow(run, "j long, b array<double>, gap double, k long").collect()
