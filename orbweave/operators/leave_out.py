@@ -11,6 +11,12 @@ sample of up to ``SHARED_BYTES`` goes to the executors once, and each block of f
 its task.  A larger one stays in blocks: blocks of fits meet blocks of rows, sums of a fit's
 block are added after a shuffle, and what a step leaves is written to the shared folder.
 
+Fits without a pair of rows are as many as pairs, and each is a pass over all rows.  Where both rows
+move the fit little, ``_nested`` takes their recursion from those without one row: what the second row
+changes is carried along the steps of the fit without the first by derivatives, and what the second alone
+changes beyond its derivative is added from its own fit.  What is left out is of third order; pairs for which
+``REMAINDER`` times it is not within the tolerance, and all pairs of a sample too large to share, are fitted themselves.
+
 Ids must be there and differ.  A fit that does not settle, or comes to lie on a row it is fitted to, raises,
 as does a column without variation among the rows kept, or a variance estimate that is not
 positive.
@@ -37,6 +43,10 @@ from orbweave.sources.samples import dimensions, rows_of
 SHARED_BYTES = 32 << 20
 #: Fits in a block.
 FITS = 256
+#: A pair's fit may be off by so many times q of one row and the square of q of the other, q the row's own effect (`_effects`).
+REMAINDER = 16.0
+#: Rows that `_nested` goes through at once.
+_CHUNK = 512
 _BLOCK = "block long, ids binary, own binary, location binary, scale binary, residual binary, origin binary"
 _NAMES = ("ids", "own", "location", "scale", "residual", "origin")
 
@@ -273,12 +283,192 @@ def _stepped(state: DataFrame, rows: DataFrame, s: _Sample, m: float, origin: np
     return state.join(sums, "block").mapInArrow(run, _BLOCK)
 
 
-def _pairs(s: _Sample) -> DataFrame:
-    """Every pair of rows once: (ids, x, y)."""
-    tasks = max(4 * s.df.sparkSession.sparkContext.defaultParallelism, s.n * s.n // (128 * FITS))
-    first = s.df.select("id", "x").repartition(min(s.n, tasks), "id")
-    second = s.df.select(F.col("id").alias("other"), F.col("x").alias("y"))
-    return first.crossJoin(second).where("id < other").select(F.array("id", "other").alias("ids"), "x", "y")
+def _pairs(s: _Sample, ids: np.ndarray | None = None, q: np.ndarray | None = None, tol: float = 0.0) -> DataFrame:
+    """Every pair of rows once: (ids, x, y); with rows' effects ``q`` only those that `_nested` leaves."""
+    spark = s.df.sparkSession
+    first, second = s.df.select("id", "x"), s.df.select(F.col("id").alias("other"), F.col("x").alias("y"))
+    n, keep = s.n, F.col("id") < F.col("other")
+    if q is not None:
+        for_first, for_second = (~(REMAINDER * a * b * b <= tol) for a, b in ((q, q.max()), (q.max(), q)))
+        n = int(for_first.sum())
+        first, second = (df.join(F.broadcast(spark.createDataFrame(pa.table({name: ids[on], f"q_{name}": q[on]}))), name) for df, name, on in ((first, "id", for_first), (second, "other", for_second)))
+        keep &= ~(F.lit(REMAINDER) * F.col("q_id") * F.col("q_other") * F.col("q_other") <= tol)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, n * n // (128 * FITS))
+    return first.repartition(min(s.n, tasks), "id").crossJoin(second).where(keep).select(F.array("id", "other").alias("ids"), "x", "y")
+
+
+def _inner(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    r = np.sqrt((e * e).sum(-1))
+    return e / np.where(r > 0, r, 1.0)[..., None], r
+
+
+def _started_without(x: np.ndarray, total: np.ndarray, squares: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variances of so many rows by their sums, less each row of ``x``."""
+    mean = (total - x) / (rows - 1)
+    return mean, (squares - x * x - (rows - 1) * mean**2) / (rows - 2)
+
+
+def _followed(x: np.ndarray, skip: int | None, first: int, total: np.ndarray, squares: np.ndarray, tol: float, max_iter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The fit of all rows but ``skip``, and by how much location and log scale change, to first order, without
+    each of the rows from ``first`` on.
+    """
+    n, p = x.shape
+    if skip is not None:
+        total, squares, n = total - x[skip], squares - x[skip] ** 2, n - 1
+    location = total / n
+    scale = (squares - n * location**2) / (n - 1)
+    root = np.sqrt(scale)
+    mean, variances = _started_without(x[first:], total, squares, n)
+    change = np.hstack([(mean - location) / root, variances / scale - 1])
+    own, inverses = np.empty((len(x), 2 * p)), np.empty((len(x), 1))  # U, U squared and 1 / r
+    for _ in range(max_iter):
+        m, both, radial = np.zeros((2 * p, 2 * p)), np.zeros((3, 2 * p)), 0
+        a, b = 1 / root, location / root
+        for at in range(0, len(x), _CHUNK):
+            u = own[at : at + _CHUNK]
+            e = x[at : at + _CHUNK] * a
+            e -= b
+            r = np.sqrt(np.einsum("ij,ij->i", e, e))
+            if skip is not None and at <= skip < at + len(e):
+                e[skip - at], r[skip - at] = 0.0, np.inf
+            if not r.min() > 0:
+                raise ArithmeticError("a fit lies on a row")
+            inverse = 1 / r
+            inverses[at : at + _CHUNK, 0] = inverse
+            e *= inverse[:, None]
+            u[:, :p] = e
+            np.multiply(e, e, out=u[:, p:])
+            e *= inverse[:, None]
+            m[:, :p] += u.T @ e
+            m[:, p:] += u.T @ u[:, p:]
+            both += np.stack([np.ones(len(r)), inverse, inverse * inverse]) @ u
+            radial += len(r) - np.isinf(r).sum()
+        sums, second_sums, over, over2, squares_over, steps = both[0, :p], both[0, p:], both[1, :p], both[2, :p], both[1, p:], inverses.sum()
+        second = second_sums * (p / n)
+        if max(np.abs(sums / radial).max(), np.abs(second - 1).max()) <= tol:
+            return location, scale, change[:, :p] * root, change[:, p:]
+        f = sums / steps
+        if len(change):
+            by = np.empty((2 * p, 2 * p))  # what a change (of location over root of scale, of log scale) makes of both sums
+            by[:p, :p], by[:p, p:], by[p:, :p], by[p:, p:] = m[:p, :p].T, 2 * m[p:, :p].T, m[:p, p:].T / 2, m[p:, p:].T
+            k = np.arange(p)
+            by[k, k] -= steps
+            by[k, k + p] -= 2 * over
+            by[k + p, k] -= sums / 2
+            by[k + p, k + p] -= second_sums
+            # and of the step: first sums over the sum of 1 / r, in roots of the next scale; logs of second sums over their rows
+            by[:, :p] -= np.outer(np.r_[over2, squares_over / 2], f)
+            unit = np.r_[1 / (steps * np.sqrt(second)), n / ((n - 1) * second_sums)]
+            by *= unit
+            by[k, k] += 1 / np.sqrt(second)
+            by[k + p, k] += f / (2 * np.sqrt(second))
+            by[k + p, k + p] += 1
+            shift = f * unit[:p]
+            for at in range(0, len(change), _CHUNK):
+                d = change[at : at + _CHUNK] @ by
+                u = own[first + at : first + at + _CHUNK] * unit
+                d -= u
+                d[:, :p] += inverses[first + at : first + at + _CHUNK] * shift
+                d[:, p:] += 1 / (n - 1)
+                change[at : at + _CHUNK] = d
+        location = location + root * f
+        scale = scale * second
+        root = np.sqrt(scale)
+    raise ArithmeticError("a fit did not settle")
+
+
+def _about(x: np.ndarray, origin: np.ndarray, scale: np.ndarray, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of U about ``origin`` of all rows but ``skip``, and its derivative by the log scale (transposed)."""
+    p = x.shape[1]
+    at, by = np.zeros(p), np.zeros((p, p))
+    for a in range(0, len(x), _CHUNK):
+        u, _ = _inner((x[a : a + _CHUNK] - origin) / np.sqrt(scale))
+        if skip is not None and a <= skip < a + len(u):
+            u[skip - a] = 0.0
+        at += u.sum(0)
+        by += (u * u).T @ u
+    return at, (by - np.diag(at)) / 2
+
+
+def _effects(x: np.ndarray, total: np.ndarray, squares: np.ndarray, whole: tuple[np.ndarray, np.ndarray], location: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """How much each row changes the fit: half the largest change of a log scale plus that of the location over
+    the rows' radii (cubic mean), at the start or the end, whichever is larger."""
+    n = len(x)
+    mean = total / n
+    begun = mean, (squares - n * mean**2) / (n - 1)
+    out = []
+    for (c, d), (a, b) in ((begun, _started_without(x, total, squares, n)), (whole, (location, scale))):
+        r = np.concatenate([_inner((x[k : k + _CHUNK] - c) / np.sqrt(d))[1] for k in range(0, n, _CHUNK)])
+        with np.errstate(all="ignore"):
+            near = np.mean(r**-3.0) ** (1 / 3)
+            out.append(np.abs(np.log(b / d)).max(1) / 2 + np.linalg.norm((a - c) / np.sqrt(d), axis=1) * near)
+    q = np.maximum(*out)
+    return np.where(np.isfinite(q), q, np.inf)
+
+
+def _nested(s: _Sample, m: float, tol: float, max_iter: int, origin: np.ndarray, direct: bool) -> tuple[np.ndarray, DataFrame | None]:
+    """The sums of `_pair_sums` over the pairs that fits without one row lead to, and the other pairs (None: there are no others)."""
+    spark, p = s.df.sparkSession, s.p
+    tasks = min(s.n, max(spark.sparkContext.defaultParallelism, s.n // FITS))
+    singles = _settled(s, s.df.select(F.array("id").alias("ids"), "x").repartition(tasks, "ids"), 0.0, tol, max_iter, origin if direct else None)
+    parts = [_unpacked(r.asDict(), p) for r in singles.select(*_NAMES).toLocalIterator()]
+    ids = np.concatenate([v[0][:, 0] for v in parts])
+    order = np.argsort(ids)
+    ids, x, location, scale, residual, at = (np.concatenate(v)[order] for v in ([v[0][:, 0] for v in parts], [v[1][:, 0] for v in parts], *([v[k] for v in parts] for k in range(2, 6))))
+    try:
+        c, d, _, _ = _followed(x, None, s.n, s.sum, s.squares, tol, max_iter)
+    except ArithmeticError:  # all pairs are fitted themselves
+        return np.zeros(4), _pairs(s)
+    q = np.where(abs(residual[:, 0]) <= tol, _effects(x, s.sum, s.squares, (c, d), location, scale), np.inf)
+    low = np.sort(q)
+    if not REMAINDER * low[0] * low[0] * low[0] <= tol:
+        return np.zeros(4), _pairs(s)
+    shared = spark.sparkContext.broadcast((ids, x, location, scale, at, q))
+
+    def run(keys):
+        ids, x, location, scale, at, q = shared.value
+        n = s.n
+        c, d, own_c, own_d = _followed(x, None, 0, s.sum, s.squares, tol, max_iter)
+        # what each row alone changes, beyond its derivative
+        more_c, more_d = location - c - own_c, np.log(scale / d) - own_d
+        if direct:
+            sums, by = _about(x, origin, d, None)
+            alone = _inner((x - origin) / np.sqrt(scale))[0]
+            more_at = at - (sums - alone) - np.log(scale / d) @ by
+        out = np.zeros(4)
+        for key in keys.to_pylist():
+            i = int(np.searchsorted(ids, key))
+            some = np.flatnonzero(REMAINDER * q[i] * q[i + 1 :] * q[i + 1 :] <= tol) + i + 1
+            if not len(some):
+                continue
+            c, d, by_c, by_d = _followed(x, i, i + 1, s.sum, s.squares, tol, max_iter)
+            if direct:
+                sums, by = _about(x, origin, d, i)
+            for k in range(0, len(some), _CHUNK):
+                j = some[k : k + _CHUNK]
+                log = by_d[j - i - 1] + more_d[j]
+                a = np.exp(log / -2) / np.sqrt(d)
+                u, r = _inner((x[i] - origin) * a)
+                v, t = _inner((x[j] - origin) * a)
+                out[1] += (r == 0).sum() + (t == 0).sum()
+                weight = (np.where(r > 0, r, 1.0) * np.where(t > 0, t, 1.0)) ** m
+                inner = np.einsum("ij,ij->i", u, v)
+                out[2] += weight @ inner
+                if direct:
+                    mean = (sums - v + log @ by + more_at[j]) / (n - 2)
+                    out[3] += (weight**2 * (inner - np.einsum("ij,ij->i", mean, v)) * (inner - np.einsum("ij,ij->i", mean, u))).sum()
+                else:
+                    at_pair = c + by_c[j - i - 1] + more_c[j]
+                    u, _ = _inner((x[i] - at_pair) * a)
+                    v, _ = _inner((x[j] - at_pair) * a)
+                    out[3] += (np.einsum("ij,ij->i", u, v) ** 2).sum()
+        return out
+
+    tasks = min(s.n, 8 * spark.sparkContext.defaultParallelism)
+    sums = total(s.df.select("id").repartition(tasks, "id"), run, tasks)
+    if REMAINDER * low[-1] * low[-1] * low[-1] <= tol:
+        return sums, None
+    return sums, _pairs(s, ids, q, tol)
 
 
 def _pair_sums(df: DataFrame, mu, m: float, tol: float, max_iter: int, direct: bool) -> tuple[int, int, np.ndarray]:
@@ -287,19 +477,26 @@ def _pair_sums(df: DataFrame, mu, m: float, tol: float, max_iter: int, direct: b
     if s.n < 4:
         raise ValueError("at least four rows are needed")
     origin = ((np.zeros(s.p) if mu is None else np.asarray(mu, float)) - s.shift) / s.unit
-    fits = _settled(s, _pairs(s), 0.0, tol, max_iter, origin if direct else None)
+    t, pairs = _nested(s, m, tol, max_iter, origin, direct) if s.n * s.p * 8 <= SHARED_BYTES else (np.zeros(4), _pairs(s))
+    if pairs is not None:
+        t = t + _fitted_sums(s, pairs, m, tol, max_iter, origin, direct)
+    if t[0]:
+        raise ArithmeticError(f"{int(t[0])} fits did not settle")
+    if t[1] and m < 0:
+        raise ArithmeticError("a row at the null location has no inverse radius")
+    return s.n, s.p, t[2:]
 
-    def inner(e):
-        r = np.sqrt((e * e).sum(2))
-        u = e / np.where(r > 0, r, 1.0)[:, :, None]
-        return u, r
+
+def _fitted_sums(s: _Sample, pairs: DataFrame, m: float, tol: float, max_iter: int, origin: np.ndarray, direct: bool) -> np.ndarray:
+    """The sums over some pairs, each with a fit of its own; before them the fits that did not settle and rows at ``origin``."""
+    fits = _settled(s, pairs, 0.0, tol, max_iter, origin if direct else None)
 
     def f(*columns):
         out = np.zeros(4)
         for row in zip(*(c.to_pylist() for c in columns), strict=True):
             _, own, location, scale, residual, at = _unpacked(dict(zip(_NAMES, row, strict=True)), s.p)
             root = np.sqrt(scale)[:, None]
-            u, r = inner((own - origin) / root)
+            u, r = _inner((own - origin) / root)
             out[0] += (abs(residual) > tol).sum()
             out[1] += (r == 0).sum()
             weight = np.where(r > 0, r, 1.0).prod(1) ** m
@@ -308,16 +505,11 @@ def _pair_sums(df: DataFrame, mu, m: float, tol: float, max_iter: int, direct: b
                 mean = at / (s.n - 2)
                 out[3] += (weight**2 * ((u[:, 0] - mean) * u[:, 1]).sum(1) * ((u[:, 1] - mean) * u[:, 0]).sum(1)).sum()
             else:
-                v, _ = inner((own - location[:, None]) / root)
+                v, _ = _inner((own - location[:, None]) / root)
                 out[3] += ((v[:, 0] * v[:, 1]).sum(1) ** 2).sum()
         return out
 
-    t = total(fits.select(*_NAMES), f)
-    if t[0]:
-        raise ArithmeticError(f"{int(t[0])} fits did not settle")
-    if t[1] and m < 0:
-        raise ArithmeticError("a row at the null location has no inverse radius")
-    return s.n, s.p, t[2:]
+    return total(fits.select(*_NAMES), f)
 
 
 def _standardised(raw: float, variance: float, **more) -> dict:

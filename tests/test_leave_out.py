@@ -85,6 +85,39 @@ def test_weighted_sign_sum_against_single_fits(spark, m):
         assert leave_out.inst_one_sample(frame(spark, x), mu, tol=1e-10)["statistic"] == pytest.approx(got["statistic"], rel=1e-9)
 
 
+@pytest.mark.parametrize("remainder", [0.0, 2e-6, math.inf])
+def test_pairs_from_fits_without_one_row_are_those_fitted(spark, monkeypatch, remainder):
+    """All pairs, some, and none by the fits without one row: the same to third order of a row's effect."""
+    x = normals(7, 70, 3)
+    s, = leave_out._samples(frame(spark, x))
+    mu = (np.full(3, 0.1) - s.shift) / s.unit
+    monkeypatch.setattr(leave_out, "REMAINDER", remainder)
+    for m, direct in ((0.0, False), (-1.0, True), (0.5, True)):
+        sums, left = leave_out._nested(s, m, 1e-9, 500, mu, direct)
+        n = 0 if left is None else left.count()
+        assert n == 0 if remainder == 0 else n == 70 * 69 // 2 if math.isinf(remainder) else 0 < n < 70 * 69 // 2
+        if left is not None:
+            sums = sums + leave_out._fitted_sums(s, left, m, 1e-9, 500, mu, direct)
+        assert sums == pytest.approx(leave_out._fitted_sums(s, leave_out._pairs(s), m, 1e-9, 500, mu, direct), rel=2e-3)
+
+
+def test_third_order_of_what_pairs_leave_out(monkeypatch):
+    """Twice the rows, an eighth of the error: a pair's fit from the one without its first row against its own."""
+    off = []
+    for n in (100, 200, 400, 800):
+        x = np.random.default_rng(8).standard_normal((n, 4))
+        total, squares, worst = x.sum(0), (x * x).sum(0), 0.0
+        c, d, by_c, by_d = leave_out._followed(x, None, 0, total, squares, 1e-12, 500)
+        for i in range(5):
+            ci, di, _, first = leave_out._followed(x, i, i + 1, total, squares, 1e-12, 500)
+            for j in range(i + 1, 6):
+                cj, dj = one_fit(np.delete(x, j, 0), tol=1e-12)
+                exact_c, exact_d = one_fit(np.delete(x, [i, j], 0), tol=1e-12)
+                worst = max(worst, np.abs(np.log(di / exact_d) + first[j - i - 1] + np.log(dj / d) - by_d[j]).max())
+        off.append(worst)
+    assert off[3] < off[1] / 16 and off[2] < off[0] / 16 and off[3] < 1e-6
+
+
 def literal_two(x, y, m):
     """The crossed statistic and its variance, pair by pair."""
     groups, p = (x, y), x.shape[1]
