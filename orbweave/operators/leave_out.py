@@ -105,8 +105,13 @@ def _sums(ids: np.ndarray, x: np.ndarray, left: np.ndarray, location: np.ndarray
     at_zero = (on & (r2 <= 0)).sum(0)
     on &= r2 > 0
     safe = np.where(on, r2, 1.0)
-    weight, inverse = np.where(on, safe ** ((m - 1) / 2), 0.0), np.where(on, 1 / safe, 0.0)
-    radial = np.where(on, safe ** (m / 2), 0.0).sum(0)
+    inverse = np.where(on, 1 / safe, 0.0)
+    if m == 0:
+        weight, radial = np.sqrt(inverse), on.sum(0)
+    else:
+        weight = inverse if m == -1 else np.where(on, safe ** ((m - 1) / 2), 0.0)
+        radial = (weight * np.sqrt(safe)).sum(0)
+    weight = weight.copy()
     steps = weight.sum(0)
     near_weight, near_inverse = weight[near_row, near_fit], inverse[near_row, near_fit]
     weight[near_row, near_fit] = inverse[near_row, near_fit] = 0.0
@@ -617,6 +622,37 @@ def _two_sample(x: DataFrame, y: DataFrame, *settings) -> dict:
     return held(lambda a: held(lambda b: _crossed(a, b, *settings))(y))(x)
 
 
+def _crossed_block(z: np.ndarray, w: np.ndarray, c1: np.ndarray, c2: np.ndarray, i1: np.ndarray, i2: np.ndarray, m: float) -> float:
+    """Sum over pairs of rows ``z`` and ``w`` of their weighted signs' inner products, each row about the other's location by its own inverse roots.
+
+    All come from products of matrices; pairs in which a row is so near the location that these would cancel are computed one by one.
+    """
+
+    def squared(z, c, i):
+        a, size = i * i, ((z * i) ** 2).sum(1)[:, None]
+        size = size + a @ (c * c).T
+        r2 = size - 2 * (a * z) @ c.T
+        k, j = np.nonzero(r2 < 1e-4 * size)
+        r2[k, j] = (((z[k] - c[j]) * i[k]) ** 2).sum(1)
+        return r2, k, j
+
+    inner = (i1 * z) @ (i2 * w).T - (i1 * z * c1) @ i2.T - i1 @ (i2 * w * c2).T + (i1 * c1) @ (i2 * c2).T
+    r, k, j = squared(z, c2, i1)
+    other, l, h = squared(w, c1, i2)
+    r *= other.T
+    k, j = np.r_[k, h], np.r_[j, l]
+    inner[k, j] = ((z[k] - c2[j]) * i1[k] * (w[j] - c1[k]) * i2[j]).sum(1)
+    on = r > 0
+    r[~on] = 1.0
+    if m == 0:
+        inner /= np.sqrt(r)
+    elif m == -1:
+        inner /= r
+    else:
+        inner *= r ** ((m - 1) / 2)
+    return float(inner[on].sum())
+
+
 def _crossed(x: DataFrame, y: DataFrame, m: float, tol: float, max_iter: int) -> dict:
     """Each row's sign by its own sample's scale without it, about the other sample's location without the
     other row, weighted by r^m; less their mean inner product over pairs of the samples.
@@ -653,13 +689,7 @@ def _crossed(x: DataFrame, y: DataFrame, m: float, tol: float, max_iter: int) ->
         out = 0.0
         for row in zip(*(c.to_pylist() for c in columns), strict=True):
             first, second = (_unpacked(dict(zip(_NAMES, half, strict=True)), p) for half in (row[: len(_NAMES)], row[len(_NAMES) :]))
-            z, w, c1, c2 = first[1][:, 0], second[1][:, 0], first[2], second[2]
-            i1, i2 = first[3] ** -0.5, second[3] ** -0.5
-            inner = (i1 * z) @ (i2 * w).T - (i1 * z * c1) @ i2.T - i1 @ (i2 * w * c2).T + (i1 * c1) @ (i2 * c2).T
-            r1 = np.stack([np.linalg.norm((z[k] - c2) * i1[k], axis=1) for k in range(len(z))])
-            r2 = np.stack([np.linalg.norm((w - c1[k]) * i2, axis=1) for k in range(len(z))])
-            r = r1 * r2
-            out += (np.where(r > 0, inner, 0.0) * np.where(r > 0, r, 1.0) ** (m - 1)).sum()
+            out += _crossed_block(first[1][:, 0], second[1][:, 0], first[2], second[2], first[3] ** -0.5, second[3] ** -0.5, m)
         return np.r_[out]
 
     pairs = fits[0].select(*_NAMES).crossJoin(fits[1].select(*(F.col(c).alias(f"y_{c}") for c in _NAMES)))

@@ -118,6 +118,22 @@ def test_third_order_of_what_pairs_leave_out(monkeypatch):
     assert off[3] < off[1] / 16 and off[2] < off[0] / 16 and off[3] < 1e-6
 
 
+@pytest.mark.parametrize("m", [-1.0, 0.0, 0.5])
+def test_crossed_block_by_products_is_that_of_single_pairs(m):
+    """Also where a row lies on, or next to, the other sample's location."""
+    g = np.random.default_rng(9)
+    z, w, c1, c2, i1, i2 = (g.standard_normal((k, 4)) + 3 for k in (5, 6, 5, 6, 5, 6))
+    i1, i2 = abs(i1), abs(i2)
+    z[0], z[1], w[2] = c2[3], c2[4] + 1e-9, c1[0] - 1e-7
+    literal = 0.0
+    for k in range(5):
+        for j in range(6):
+            a, b = (z[k] - c2[j]) * i1[k], (w[j] - c1[k]) * i2[j]
+            r = np.linalg.norm(a) * np.linalg.norm(b)
+            literal += a @ b * r ** (m - 1) if r > 0 else 0.0
+    assert leave_out._crossed_block(z, w, c1, c2, i1, i2, m) == pytest.approx(literal, rel=1e-6)
+
+
 def literal_two(x, y, m):
     """The crossed statistic and its variance, pair by pair."""
     groups, p = (x, y), x.shape[1]
