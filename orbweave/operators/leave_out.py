@@ -12,9 +12,9 @@ its task.  A larger one stays in blocks: blocks of fits meet blocks of rows, sum
 block are added after a shuffle, and what a step leaves is written to the shared folder.
 
 Fits without a pair of rows are as many as pairs, and each is a pass over all rows.  Where both rows
-move the fit little, ``_nested`` takes their recursion from those without one row: what the second row
-changes is carried along the steps of the fit without the first by derivatives, and what the second alone
-changes beyond its derivative is added from its own fit.  What is left out is of third order; pairs for which
+move the fit little, ``_nested`` takes it from those without one row: to what both change alone comes a term of second order,
+by derivatives at the fit of all rows (`_Bends`), with very many columns by derivatives along the steps of the fit without the first.
+What is left out is of third order; pairs for which
 ``REMAINDER`` times it is not within the tolerance, and all pairs of a sample too large to share, are fitted themselves.
 
 Ids must be there and differ.  A fit that does not settle, or comes to lie on a row it is fitted to, raises,
@@ -43,7 +43,7 @@ from orbweave.sources.samples import dimensions, rows_of
 SHARED_BYTES = 32 << 20
 #: Fits in a block.
 FITS = 256
-#: A pair's fit may be off by so many times q of one row and the square of q of the other, q the row's own effect (`_effects`).
+#: A pair's fit may be off by so many times q of one row and the square of the other's, if that is larger; q is the row's own effect (`_effects`).
 REMAINDER = 16.0
 #: Rows that `_nested` goes through at once.
 _CHUNK = 512
@@ -294,14 +294,19 @@ def _pairs(s: _Sample, ids: np.ndarray | None = None, q: np.ndarray | None = Non
     first, second = s.df.select("id", "x"), s.df.select(F.col("id").alias("other"), F.col("x").alias("y"))
     n, keep = s.n, F.col("id") < F.col("other")
     if q is not None:
-        for_first, for_second = (~(REMAINDER * a * b * b <= tol) for a, b in ((q, q.max()), (q.max(), q)))
-        n = int(for_first.sum())
-        first, second = (df.join(F.broadcast(spark.createDataFrame(pa.table({name: ids[on], f"q_{name}": q[on]}))), name) for df, name, on in ((first, "id", for_first), (second, "other", for_second)))
-        keep &= ~(F.lit(REMAINDER) * F.col("q_id") * F.col("q_other") * F.col("q_other") <= tol)
+        on = ~(_off(q, q.max()) <= tol)
+        n = int(on.sum())
+        first, second = (df.join(F.broadcast(spark.createDataFrame(pa.table({name: ids[on], f"q_{name}": q[on]}))), name) for df, name in ((first, "id"), (second, "other")))
+        keep &= ~(F.col("q_id") * F.col("q_other") * F.greatest("q_id", "q_other") <= tol)
     tasks = max(4 * spark.sparkContext.defaultParallelism, n * n // (128 * FITS))
     return first.repartition(min(s.n, tasks), "id").crossJoin(second).where(keep).select(F.array("id", "other").alias("ids"), "x", "y")
 
 
+def _off(q: np.ndarray, other) -> np.ndarray:
+    """By how much the fits of pairs of rows with these effects, times the root of ``REMAINDER``, may be off."""
+    return q * other * np.maximum(q, other)
+
+
 def _inner(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     r = np.sqrt((e * e).sum(-1))
     return e / np.where(r > 0, r, 1.0)[..., None], r
@@ -313,9 +318,12 @@ def _started_without(x: np.ndarray, total: np.ndarray, squares: np.ndarray, rows
     return mean, (squares - x * x - (rows - 1) * mean**2) / (rows - 2)
 
 
-def _followed(x: np.ndarray, skip: int | None, first: int, total: np.ndarray, squares: np.ndarray, tol: float, max_iter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _followed(x: np.ndarray, skip: int | None, first: int, total: np.ndarray, squares: np.ndarray, tol: float, max_iter: int, look: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The fit of all rows but ``skip``, and by how much location and log scale change, to first order, without
     each of the rows from ``first`` on.
+
+    ``look`` gets, before each step and at last with None for the step's own: U and U squared, 1 / r, the changes so far, what a
+    change makes of both sums and of the sum of 1 / r, what it makes of the next, and the roots of the scale's factors.
     """
     n, p = x.shape
     if skip is not None:
@@ -350,10 +358,11 @@ def _followed(x: np.ndarray, skip: int | None, first: int, total: np.ndarray, sq
             radial += len(r) - np.isinf(r).sum()
         sums, second_sums, over, over2, squares_over, steps = both[0, :p], both[0, p:], both[1, :p], both[2, :p], both[1, p:], inverses.sum()
         second = second_sums * (p / n)
-        if max(np.abs(sums / radial).max(), np.abs(second - 1).max()) <= tol:
+        settled = max(np.abs(sums / radial).max(), np.abs(second - 1).max()) <= tol
+        if settled and look is None:
             return location, scale, change[:, :p] * root, change[:, p:]
         f = sums / steps
-        if len(change):
+        if len(change) or look is not None:
             by = np.empty((2 * p, 2 * p))  # what a change (of location over root of scale, of log scale) makes of both sums
             by[:p, :p], by[:p, p:], by[p:, :p], by[p:, p:] = m[:p, :p].T, 2 * m[p:, :p].T, m[:p, p:].T / 2, m[p:, p:].T
             k = np.arange(p)
@@ -361,6 +370,11 @@ def _followed(x: np.ndarray, skip: int | None, first: int, total: np.ndarray, sq
             by[k, k + p] -= 2 * over
             by[k + p, k] -= sums / 2
             by[k + p, k + p] -= second_sums
+            if look is not None:
+                of_sums, of_steps = by.copy(), np.r_[over2, squares_over / 2]
+            if settled:
+                look(own, inverses, change, of_sums, of_steps, None, None)
+                return location, scale, change[:, :p] * root, change[:, p:]
             # and of the step: first sums over the sum of 1 / r, in roots of the next scale; logs of second sums over their rows
             by[:, :p] -= np.outer(np.r_[over2, squares_over / 2], f)
             unit = np.r_[1 / (steps * np.sqrt(second)), n / ((n - 1) * second_sums)]
@@ -368,6 +382,8 @@ def _followed(x: np.ndarray, skip: int | None, first: int, total: np.ndarray, sq
             by[k, k] += 1 / np.sqrt(second)
             by[k + p, k] += f / (2 * np.sqrt(second))
             by[k + p, k + p] += 1
+            if look is not None:
+                look(own, inverses, change, of_sums, of_steps, by, np.sqrt(second))
             shift = f * unit[:p]
             for at in range(0, len(change), _CHUNK):
                 d = change[at : at + _CHUNK] @ by
@@ -395,6 +411,148 @@ def _about(x: np.ndarray, origin: np.ndarray, scale: np.ndarray, skip: int | Non
     return at, (by - np.diag(at)) / 2
 
 
+def _slopes(u: np.ndarray, inverse: np.ndarray, f: np.ndarray, g: float, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, what f . U + g / r + h . U squared changes by with e, and that times e."""
+    v = f + 2 * h * u - u * ((u @ f) + 2 * ((u * u) @ h))[:, None] - g * inverse * u
+    return v * inverse, u * v
+
+
+def _curvature(u: np.ndarray, inverse: np.ndarray, f: np.ndarray, g: float, h: np.ndarray) -> np.ndarray:
+    """Second derivatives of the sum of f . U + g / r + h . U squared over rows by (location over root of scale, log scale)."""
+    p = u.shape[1]
+    out, k = np.zeros((2 * p, 2 * p)), np.arange(p)
+    for at in range(0, len(u), _CHUNK):
+        w, i = u[at : at + _CHUNK], inverse[at : at + _CHUNK]
+        a, b = w @ f, (w * w) @ h
+        outer, plain = (3 * a + 8 * b)[:, None] + 3 * g * i, -(a + 2 * b)[:, None] - g * i
+        cross = -(f + 4 * h * w)
+        by_e, times_e = (v.sum(0) for v in _slopes(w, i, f, g, h))
+        for rows, columns, weight, left, right, share, diagonal in ((0, 0, i * i, 1.0, 1.0, 1.0, 0.0), (0, p, i, 1.0, w, 0.5, by_e / 2), (p, p, np.ones_like(i), w, w, 0.25, times_e / 4)):
+            x, y = weight * left, right * w
+            out[rows : rows + p, columns : columns + p] += share * ((x * (outer * w + cross)).T @ y + (x * w).T @ (right * cross))
+            out[rows + k, columns + k] += share * (x * right * (plain + 2 * h)).sum(0) + diagonal
+    out[p:, :p] = out[:p, p:].T
+    return out
+
+
+def _curvatures(s: _Sample, shared, p: int, outputs: int) -> np.ndarray:
+    """`_curvature` of each sum of U, then of U squared, by [change, change, sum]; ``shared`` has U and 1 / r of all rows."""
+    spark = s.df.sparkSession
+
+    def run(batches):
+        u, inverse = shared.value
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                one = np.eye(p)[k % p]
+                found = _curvature(u, inverse, one * (k < p), 0.0, one * (k >= p))
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([found.tobytes()], pa.binary())], names=["k", "found"])
+
+    out = np.empty((2 * p, 2 * p, outputs))
+    for r in spark.range(0, outputs, 1, min(outputs, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "k long, found binary").collect():
+        out[:, :, r["k"]] = np.frombuffer(r["found"]).reshape(2 * p, 2 * p)
+    return out
+
+
+class _Bends:
+    """How much the fit without two rows differs from what the fits without one of them say, to second order.
+
+    At the fit of all rows both sums are zero (U, and U squared less 1 / p), which gives all but the scale's common factor; that follows from the steps
+    taken, of which only its own derivatives, carried backwards, are needed.
+    """
+
+    def __init__(self, s: _Sample, x: np.ndarray, tol: float, max_iter: int, with_location: bool) -> None:
+        p = s.p
+        self.steps, last = [], []
+
+        def look(own, inverses, change, of_sums, of_steps, by, roots):
+            if by is None:
+                last.extend((own.copy(), inverses.copy(), of_sums))
+            else:
+                self.steps.append((by.copy(), roots))
+
+        self.location, self.scale, _, _ = _followed(x, None, len(x), s.sum, s.squares, tol, max_iter, look)
+        own, inverses, of_sums = last
+        shared = s.df.sparkSession.sparkContext.broadcast((own[:, :p].copy(), inverses))
+        bent = _curvatures(s, shared, p, 2 * p)
+        common = np.r_[np.zeros(p), np.ones(p)]
+        inverse = np.linalg.inv(of_sums - len(x) / p**2 * np.outer(common, common))
+        self.inverse, self.out = inverse, inverse if with_location else inverse[:, p:]
+        self.bent = np.ascontiguousarray(bent @ self.out)
+        # derivatives of the mean log scale at last by what each step starts from
+        back = common / p
+        for k in range(len(self.steps) - 1, -1, -1):
+            by, roots = self.steps[k]
+            self.steps[k] = np.r_[back[:p] / roots, back[p:]]
+            back = by @ back
+        self.start = back
+
+    def ready(self, x: np.ndarray) -> None:
+        """Once a task, what all rows have."""
+        p = x.shape[1]
+        u, r = _inner((x - self.location) / np.sqrt(self.scale))
+        inverse = 1 / r[:, None]
+        rows = np.hstack([u, u * u, u * inverse, inverse, np.ones_like(inverse)])
+        self.effects = np.hstack([u, u * u - 1 / p]) @ self.inverse
+        self.products = (np.hstack([u, 2 * u * u]) @ self.out).astype(np.float32)
+        self.exact, self.rows = rows, rows.astype(np.float32)
+
+    def of(self, i: int) -> Callable[[slice], np.ndarray]:
+        """For row i with each of a slice of rows: changes of location over root of scale (where asked for) and of log scale, whose
+        mean is 0.  Single precision is enough for what is of second order."""
+        p = len(self.scale)
+        a, row = self.effects[i], self.exact[i]
+        u, inverse = row[:p], row[3 * p]
+        own = np.empty((2 * p, p))  # derivatives of row i's U
+        own[:p], own[p:] = (np.outer(u, u) - np.eye(p)) * inverse, (np.outer(u * u, u) - np.diag(u)) / 2
+        m = self.inverse @ (np.hstack([own, 2 * own * u]) @ self.out - np.tensordot(a, self.bent, 1))
+        weights = np.vstack([m, -2 * a[:p, None] * self.out[p:], -a[:p] @ self.out[:p], -m[p:].sum(0) / p])
+        weights[:p] -= a[p:, None] / 2 * self.out[:p]
+        weights[p : 2 * p] -= a[p:, None] * self.out[p:]
+        share = np.r_[np.zeros(p), a[p:] / 2, a[:p], 0.0, 0.0]
+        weights, share = weights.astype(np.float32), share.astype(np.float32)
+
+        def at(others: slice) -> np.ndarray:
+            rows = self.rows[others]
+            out = (rows @ share)[:, None] * self.products[others]
+            out += rows @ weights
+            return out
+
+        return at
+
+    def factors(self, s: _Sample, x: np.ndarray, some: np.ndarray, tol: float, max_iter: int) -> np.ndarray:
+        """For some rows with every row, the change of the mean log scale."""
+        n, p = x.shape
+        y = x - s.sum / n
+        q, (a, b) = (y * y).sum(0), (self.start[:p], self.start[p:])
+        along = y @ (a / np.sqrt(q / (n - 1))) / n**2
+        out = b.sum() / (n - 1) ** 2 - along[some, None] - along
+        out -= (y[some] * (2 * b / (n * q))) @ y.T
+        out -= (y[some] ** 2 * (b / q**2)) @ (y * y).T
+        at = iter(self.steps)
+
+        def look(own, inverses, change, of_sums, of_steps, by, roots):
+            back = next(at, None)
+            if by is None or back is None:
+                return
+            u, a, b = own[:, :p], back[:p], back[p:]
+            first, second, steps = u.sum(0), own[:, p:].sum(0), inverses.sum()
+            f, g, h = a / steps, -(a @ first) / steps**2, b / second
+            bent = _curvature(u, inverses, f, g, h)
+            moved, slower = change @ of_sums - own, change @ of_steps - inverses[:, 0]
+            by_e, times_e = _slopes(u, inverses, f, g, h)
+            slopes = np.hstack([-by_e, times_e / -2])
+            d, e, c = moved[some], slower[some, None], change[some]
+            log = c[:, p:]
+            left = c @ bent - slopes[some]
+            left[:, p:] += f / 2 * d[:, :p] - f * first / (2 * steps) * e + f * first / 4 * log
+            last = d[:, :p] @ (-f / steps) - 2 * g / steps * e[:, 0] - log @ (f * first) / (2 * steps)
+            nonlocal out
+            out += np.hstack([f / 2 * log - f / steps * e, -h / second * d[:, p:], left, -c, last[:, None], np.full((len(c), 1), b.sum() / n**2)]) @ np.hstack([moved, change, slopes, slower[:, None], np.ones((n, 1))]).T
+
+        _followed(x, None, 0, s.sum, s.squares, tol, max_iter, look)
+        return out
+
+
 def _effects(x: np.ndarray, total: np.ndarray, squares: np.ndarray, whole: tuple[np.ndarray, np.ndarray], location: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """How much each row changes the fit: half the largest change of a log scale plus that of the location over
     the rows' radii (cubic mean), at the start or the end, whichever is larger."""
@@ -415,7 +573,9 @@ def _nested(s: _Sample, m: float, tol: float, max_iter: int, origin: np.ndarray,
     """The sums of `_pair_sums` over the pairs that fits without one row lead to, and the other pairs (None: there are no others)."""
     spark, p = s.df.sparkSession, s.p
     tasks = min(s.n, max(spark.sparkContext.defaultParallelism, s.n // FITS))
-    singles = _settled(s, s.df.select(F.array("id").alias("ids"), "x").repartition(tasks, "ids"), 0.0, tol, max_iter, origin if direct else None)
+    # written, as what is fetched part by part is computed part by part
+    state = States(spark)
+    singles = state.written(_settled(s, s.df.select(F.array("id").alias("ids"), "x").repartition(tasks, "ids"), 0.0, tol, max_iter, origin if direct else None))
     parts = [_unpacked(r.asDict(), p) for r in singles.select(*_NAMES).toLocalIterator()]
     ids = np.concatenate([v[0][:, 0] for v in parts])
     order = np.argsort(ids)
@@ -424,56 +584,131 @@ def _nested(s: _Sample, m: float, tol: float, max_iter: int, origin: np.ndarray,
         c, d, _, _ = _followed(x, None, s.n, s.sum, s.squares, tol, max_iter)
     except ArithmeticError:  # all pairs are fitted themselves
         return np.zeros(4), _pairs(s)
-    q = np.where(abs(residual[:, 0]) <= tol, _effects(x, s.sum, s.squares, (c, d), location, scale), np.inf)
+    q = np.where(abs(residual[:, 0]) <= tol, _effects(x, s.sum, s.squares, (c, d), location, scale), np.inf) * np.cbrt(REMAINDER)
     low = np.sort(q)
-    if not REMAINDER * low[0] * low[0] * low[0] <= tol:
+    if not _off(low[0], low[0]) <= tol:
         return np.zeros(4), _pairs(s)
-    shared = spark.sparkContext.broadcast((ids, x, location, scale, at, q))
+    # with so many columns that second derivatives are not to be sent, derivatives are taken anew for each row
+    bends, about = (_Bends(s, x, tol, max_iter, not direct), None) if 64 * p**3 <= SHARED_BYTES else (None, None)
+    if bends and direct:
+        u, r = _inner((x - origin) / np.sqrt(bends.scale))
+        about = np.ascontiguousarray(_curvatures(s, spark.sparkContext.broadcast((u, 1 / np.where(r > 0, r, 1.0)[:, None])), p, p)[p:, p:])
+    shared = spark.sparkContext.broadcast((ids, x, location, scale, at, q, bends, about))
 
     def run(keys):
-        ids, x, location, scale, at, q = shared.value
-        n = s.n
-        c, d, own_c, own_d = _followed(x, None, 0, s.sum, s.squares, tol, max_iter)
+        ids, x, location, scale, at, q, bends, about = shared.value
+        rows = np.searchsorted(ids, keys.to_numpy())
+        if bends:
+            return _bent_sums(s, rows, x, location, scale, at, q, bends, about, m, tol, max_iter, origin, direct)
+        return _followed_sums(s, rows, x, location, scale, at, q, m, tol, max_iter, origin, direct)
+
+    # a task holds some numbers for each of its rows with every row
+    tasks = min(s.n, max(4 * spark.sparkContext.defaultParallelism, -(-s.n * s.n * 8 // SHARED_BYTES)))
+    sums = total(s.df.select("id").repartition(tasks, "id"), run, tasks)
+    if _off(low[-1], low[-1]) <= tol:
+        return sums, None
+    return sums, _pairs(s, ids, q, tol)
+
+
+def _bent_sums(s: _Sample, rows: np.ndarray, x: np.ndarray, location: np.ndarray, scale: np.ndarray, at: np.ndarray, q: np.ndarray, bends: _Bends, about: np.ndarray | None, m: float, tol: float, max_iter: int, origin: np.ndarray, direct: bool) -> np.ndarray:
+    """The sums over some rows with those after them, by both rows' own fits and `_Bends`."""
+    n, p = s.n, s.p
+    bends.ready(x)
+    c, d = bends.location, bends.scale
+    factors = bends.factors(s, x, rows, tol, max_iter) if m else None
+    log, y = np.log(scale / d), x - origin
+    inverse, own = 1 / scale, (location - c) / np.sqrt(d)
+    if direct:
+        sums, by = _about(x, origin, d, None)
+        signs, alone = (_inner(y / np.sqrt(v))[0] for v in (d, scale))
         # what each row alone changes, beyond its derivative
-        more_c, more_d = location - c - own_c, np.log(scale / d) - own_d
+        more_at = at - (sums - alone) - log @ by
+    out = np.zeros(4)
+    for number, i in enumerate(rows.tolist()):
+        if i + 1 == n:
+            continue
+        bent = bends.of(i)
+        grown = d * inverse[i]
         if direct:
-            sums, by = _about(x, origin, d, None)
-            alone = _inner((x - origin) / np.sqrt(scale))[0]
-            more_at = at - (sums - alone) - np.log(scale / d) @ by
-        out = np.zeros(4)
-        for key in keys.to_pylist():
-            i = int(np.searchsorted(ids, key))
-            some = np.flatnonzero(REMAINDER * q[i] * q[i + 1 :] * q[i + 1 :] <= tol) + i + 1
-            if not len(some):
+            u = signs[i]
+            by_i = by + np.tensordot(log[i], about, 1) - (np.outer(u * u, u) - np.diag(u)) / 2
+        for k in range(i + 1, n, _CHUNK):
+            j = slice(k, min(k + _CHUNK, n))
+            on = _off(q[i], q[j]) <= tol
+            if not on.any():
                 continue
-            c, d, by_c, by_d = _followed(x, i, i + 1, s.sum, s.squares, tol, max_iter)
+            change = bent(j).astype(float)
+            h = change[:, -p:]
+            if m:
+                h += factors[number, j, None]
+            a = 1 - h  # with half its square, e to the -h but for terms of sixth order
+            a += h * h / 2
+            a *= inverse[j]
+            a *= grown
+            z = y[j] * a
+            r2, t2, inner = a @ (y[i] * y[i]), np.einsum("ij,ij->i", z, y[j]), z @ y[i]
+            lies = (r2 <= 0) + (t2 <= 0).astype(int)
+            out[1] += lies[on].sum()
+            r2[r2 <= 0] = t2[t2 <= 0] = 1.0
+            weight = np.where(on, (r2 * t2) ** (m / 2), 0.0)
+            inner /= np.sqrt(r2 * t2)
+            out[2] += weight @ inner
             if direct:
-                sums, by = _about(x, origin, d, i)
-            for k in range(0, len(some), _CHUNK):
-                j = some[k : k + _CHUNK]
-                log = by_d[j - i - 1] + more_d[j]
-                a = np.exp(log / -2) / np.sqrt(d)
-                u, r = _inner((x[i] - origin) * a)
-                v, t = _inner((x[j] - origin) * a)
-                out[1] += (r == 0).sum() + (t == 0).sum()
-                weight = (np.where(r > 0, r, 1.0) * np.where(t > 0, t, 1.0)) ** m
-                inner = np.einsum("ij,ij->i", u, v)
-                out[2] += weight @ inner
-                if direct:
-                    mean = (sums - v + log @ by + more_at[j]) / (n - 2)
-                    out[3] += (weight**2 * (inner - np.einsum("ij,ij->i", mean, v)) * (inner - np.einsum("ij,ij->i", mean, u))).sum()
-                else:
-                    at_pair = c + by_c[j - i - 1] + more_c[j]
-                    u, _ = _inner((x[i] - at_pair) * a)
-                    v, _ = _inner((x[j] - at_pair) * a)
-                    out[3] += (np.einsum("ij,ij->i", u, v) ** 2).sum()
-        return out
-
-    tasks = min(s.n, 8 * spark.sparkContext.defaultParallelism)
-    sums = total(s.df.select("id").repartition(tasks, "id"), run, tasks)
-    if REMAINDER * low[-1] * low[-1] * low[-1] <= tol:
-        return sums, None
-    return sums, _pairs(s, ids, q, tol)
+                h += log[j]
+                mean = h @ by_i
+                mean += more_at[j]
+                mean += at[i]
+                mean *= np.sqrt(a)
+                of_j = np.einsum("ij,ij->i", mean, y[j]) / np.sqrt(t2) - 1
+                of_i = mean @ y[i] / np.sqrt(r2) - inner
+                out[3] += (weight * weight * (inner - of_j / (n - 2)) * (inner - of_i / (n - 2))).sum()
+            else:
+                middle = change[:, :p] + own[j]
+                middle *= np.sqrt(d)
+                middle += location[i]
+                e, f = x[i] - middle, x[j] - middle
+                z = e * a
+                inner = np.einsum("ij,ij->i", z, f) ** 2 / (np.einsum("ij,ij->i", z, e) * np.einsum("ij,ij,ij->i", f, f, a))
+                out[3] += inner[on].sum()
+    return out
+
+
+def _followed_sums(s: _Sample, rows: np.ndarray, x: np.ndarray, location: np.ndarray, scale: np.ndarray, at: np.ndarray, q: np.ndarray, m: float, tol: float, max_iter: int, origin: np.ndarray, direct: bool) -> np.ndarray:
+    """`_bent_sums` with derivatives taken anew along the steps of each row's fit."""
+    n = s.n
+    c, d, own_c, own_d = _followed(x, None, 0, s.sum, s.squares, tol, max_iter)
+    more_c, more_d = location - c - own_c, np.log(scale / d) - own_d
+    if direct:
+        sums, by = _about(x, origin, d, None)
+        alone = _inner((x - origin) / np.sqrt(scale))[0]
+        more_at = at - (sums - alone) - np.log(scale / d) @ by
+    out = np.zeros(4)
+    for i in rows.tolist():
+        some = np.flatnonzero(_off(q[i], q[i + 1 :]) <= tol) + i + 1
+        if not len(some):
+            continue
+        c, d, by_c, by_d = _followed(x, i, i + 1, s.sum, s.squares, tol, max_iter)
+        if direct:
+            sums, by = _about(x, origin, d, i)
+        for k in range(0, len(some), _CHUNK):
+            j = some[k : k + _CHUNK]
+            log = by_d[j - i - 1] + more_d[j]
+            a = np.exp(log / -2) / np.sqrt(d)
+            u, r = _inner((x[i] - origin) * a)
+            v, t = _inner((x[j] - origin) * a)
+            out[1] += (r == 0).sum() + (t == 0).sum()
+            weight = (np.where(r > 0, r, 1.0) * np.where(t > 0, t, 1.0)) ** m
+            inner = np.einsum("ij,ij->i", u, v)
+            out[2] += weight @ inner
+            if direct:
+                mean = (sums - v + log @ by + more_at[j]) / (n - 2)
+                out[3] += (weight**2 * (inner - np.einsum("ij,ij->i", mean, v)) * (inner - np.einsum("ij,ij->i", mean, u))).sum()
+            else:
+                at_pair = c + by_c[j - i - 1] + more_c[j]
+                u, _ = _inner((x[i] - at_pair) * a)
+                v, _ = _inner((x[j] - at_pair) * a)
+                out[3] += (np.einsum("ij,ij->i", u, v) ** 2).sum()
+    return out
 
 
 def _pair_sums(df: DataFrame, mu, m: float, tol: float, max_iter: int, direct: bool) -> tuple[int, int, np.ndarray]:

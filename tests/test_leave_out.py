@@ -118,6 +118,39 @@ def test_third_order_of_what_pairs_leave_out(monkeypatch):
     assert off[3] < off[1] / 16 and off[2] < off[0] / 16 and off[3] < 1e-6
 
 
+def test_second_order_of_pairs_follows_from_derivatives_of_all_rows(spark):
+    """Location, log scale and its common factor beyond both rows' own fits: four times the rows, far less than a sixteenth of the error."""
+    off = []
+    for n in (100, 400):
+        x = np.random.default_rng(8).standard_normal((n, 4)) * np.arange(1, 5)
+        s, = leave_out._samples(frame(spark, x))
+        x = (x - s.shift) / s.unit
+        bends = leave_out._Bends(s, x, 1e-12, 500, True)
+        bends.ready(x)
+        factors = bends.factors(s, x, np.arange(5), 1e-12, 500)
+        single, worst = [one_fit(np.delete(x, k, 0), tol=1e-12) for k in range(6)], np.zeros(3)
+        for i in range(5):
+            for j, got in enumerate(bends.of(i)(slice(i + 1, 6)), i + 1):
+                c, d = one_fit(np.delete(x, [i, j], 0), tol=1e-12)
+                moved = (c - single[i][0] - single[j][0] + bends.location) / np.sqrt(bends.scale)
+                log = np.log(d * bends.scale / single[i][1] / single[j][1])
+                worst = np.maximum(worst, [np.abs(moved - got[:4]).max(), np.abs(log - log.mean() - got[4:]).max(), abs(log.mean() - factors[i, j])])
+        off.append(worst)
+    assert (off[1] < off[0] / 30).all() and (off[1] < 2e-6).all()
+
+
+def test_pairs_are_the_same_with_derivatives_of_each_row(spark, monkeypatch):
+    x = normals(7, 70, 3)
+    s, = leave_out._samples(frame(spark, x))
+    mu = (np.full(3, 0.1) - s.shift) / s.unit
+    monkeypatch.setattr(leave_out, "REMAINDER", 0.0)
+    for m, direct in ((0.0, False), (-1.0, True), (0.5, True)):
+        monkeypatch.setattr(leave_out, "SHARED_BYTES", 32 << 20)
+        want, _ = leave_out._nested(s, m, 1e-9, 500, mu, direct)
+        monkeypatch.setattr(leave_out, "SHARED_BYTES", 1700)  # the sample's 1680 bytes, but not the second derivatives' 1728
+        assert leave_out._nested(s, m, 1e-9, 500, mu, direct)[0] == pytest.approx(want, rel=2e-3)
+
+
 @pytest.mark.parametrize("m", [-1.0, 0.0, 0.5])
 def test_crossed_block_by_products_is_that_of_single_pairs(m):
     """Also where a row lies on, or next to, the other sample's location."""
