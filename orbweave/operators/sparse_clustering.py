@@ -7,7 +7,8 @@ adds up what its next step needs, so that passes do not grow with the number
 of copies or settings.  Labels are never stored; they follow from centres and
 metric.
 
-Exact medians of columns, for all clusters at once, take eight passes that each find
+Exact medians of columns, for all clusters at once, take two passes: one counts values
+between given cuts, one fetches those between the cuts around the middle; where these are too many, eight passes each find
 eight bits of the middle values.  Spatial medians of all clusters take
 their steps together.  Permutations are bijections of row numbers by a keyed
 network, so that each value knows where it goes and none is sorted.
@@ -31,6 +32,10 @@ from orbweave.sources.samples import dimensions, rows_of
 
 #: Bytes of a sample's copies in a task.
 TASK_BYTES = 32 << 20
+#: Cuts of a column are quantiles of about so many rows; between them lie so many ranges.
+CUT_ROWS, RANGES = 4096, 256
+#: So many values around medians are fetched at most.
+FETCHED = 1 << 19
 _STORED = "copy int, begin long, rows binary"
 
 
@@ -52,7 +57,7 @@ class Sample:
 
     def __init__(self, df: DataFrame):
         self.n, self.p = dimensions(df)
-        self.copies = 0
+        self.copies, self._cuts = 0, None
         self.cores = df.sparkSession.sparkContext.defaultParallelism
         self.partitions = self._tasks(1)
         ordered = df.select("id", "x").repartitionByRange(self.partitions, "id").sortWithinPartitions("id", "x")
@@ -158,6 +163,39 @@ class Sample:
 
         return total(self.blocks if of is None else of, g, self.partitions if of is None else None)
 
+    def cuts(self) -> np.ndarray:
+        """For each column, increasing values that part its rows about evenly; any would do.  Copies have the same columns."""
+        if self._cuts is None:
+            p, count = self.p, -(-self.n // BLOCK_ROWS)
+            each, every = max(1, CUT_ROWS // count), max(1, count // CUT_ROWS)
+
+            def some(batches):
+                for b in batches:
+                    for c, a, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                        if c == 0 and a // BLOCK_ROWS % every == 0:
+                            x = np.frombuffer(data).reshape(-1, p)
+                            yield pa.RecordBatch.from_arrays([pa.array([x[:: -(-len(x) // each)].tobytes()], pa.binary())], names=["rows"])
+
+            rows = np.concatenate([np.frombuffer(r["rows"]).reshape(-1, p) for r in self.blocks.mapInArrow(some, "rows binary").collect()])
+            self._cuts = np.quantile(rows, np.arange(1, RANGES) / RANGES, axis=0).T.copy()
+        return self._cuts
+
+    def fetched(self, f: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """All (key, value) that ``f(copy, rows' numbers, rows)`` gives, in order."""
+        p = self.p
+
+        def run(batches):
+            for b in batches:
+                for c, a, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    x = np.frombuffer(data).reshape(-1, p)
+                    key, value = f(c, np.arange(a, a + len(x)), x)
+                    yield pa.RecordBatch.from_arrays([pa.array([key.astype("<i8").tobytes()], pa.binary()), pa.array([value.astype(float).tobytes()], pa.binary())], names=["key", "value"])
+
+        rows = self.blocks.mapInArrow(run, "key binary, value binary").collect()
+        key, value = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("key", "<i8"), ("value", float)))
+        order = np.lexsort((value, key))
+        return key[order], value[order]
+
     def best(self, f: Callable[[int, np.ndarray, np.ndarray], list[tuple[int, float, int]]]) -> dict[int, tuple[int, np.ndarray]]:
         """For every key, the number and row of largest value, the first of several; ``f`` gives (key, value, index) of a block's rows."""
         p = self.p
@@ -405,6 +443,48 @@ def column_medians(data: Sample, states: list[State], sizes: list[np.ndarray], a
 
     An empty cluster keeps its centre.
     """
+    k, p, cuts = len(states[0].centers), data.p, data.cuts()
+
+    def ranges(x):
+        return np.stack([np.searchsorted(cuts[j], x[:, j], side="right") for j in range(p)], 1)
+
+    def count(copy, own, x, out):
+        found = None
+        for i, s in enumerate(states):
+            if s.copy == copy:
+                found = ranges(x) if found is None else found
+                label, _ = _labels(x, own, s, absolute)
+                at = ((i * k + label[:, None]) * p + np.arange(p)) * RANGES + found
+                out += np.bincount(at.ravel(), minlength=len(out))
+
+    ends = data.total(count, len(states) * k * p * RANGES).reshape(len(states), k, p, RANGES).cumsum(-1).astype(np.int64)
+    n = np.stack(sizes).astype(np.int64)[..., None]
+    ranks = np.maximum(n - 1, 0) // 2, n // 2
+    low, high = (np.minimum((ends <= r[..., None]).sum(-1), RANGES - 1) for r in ranks)  # ranges of the middle values
+    before = np.where(low > 0, np.take_along_axis(ends, np.maximum(low - 1, 0)[..., None], -1)[..., 0], 0)
+    within = np.where(n > 0, np.take_along_axis(ends, high[..., None], -1)[..., 0] - before, 0)
+    if within.sum() > FETCHED:
+        return _medians_by_bits(data, states, sizes, absolute)
+
+    def middle(copy, own, x):
+        found, keys, values = None, [np.empty(0, np.int64)], [np.empty(0)]
+        for i, s in enumerate(states):
+            if s.copy == copy:
+                found = ranges(x) if found is None else found
+                label, _ = _labels(x, own, s, absolute)
+                row, column = np.nonzero((found >= low[i][label]) & (found <= high[i][label]))
+                keys.append((i * k + label[row]) * p + column)
+                values.append(x[row, column] + 0.0)
+        return np.concatenate(keys), np.concatenate(values)
+
+    _, values = data.fetched(middle)
+    first = (np.cumsum(within) - within.ravel()).reshape(within.shape) - before
+    a, b = (values[np.where(n > 0, first + r, 0)] for r in ranks)
+    return [np.where(m > 0, u / 2 + v / 2, s.centers) for s, m, u, v in zip(states, n, a, b, strict=True)]
+
+
+def _medians_by_bits(data: Sample, states: list[State], sizes: list[np.ndarray], absolute: bool) -> list[np.ndarray]:
+    """`column_medians` whatever the number of values around them."""
     k, p = len(states[0].centers), data.p
     rank = np.stack([np.stack([(n - 1) // 2, n // 2], 0) for n in sizes]).astype(np.int64)  # state, lower or upper, cluster; from 0
     left = np.repeat(np.maximum(rank, 0)[..., None], p, -1)

@@ -83,6 +83,22 @@ def test_weighted_clusters_equal_literal_ones(spark, monkeypatch, medians):
         assert out["cluster"].tolist() == (np.abs(x[:, None] - c) ** (1 if medians else 2) @ fit["weights"]).argmin(1).tolist()
 
 
+@pytest.mark.parametrize("fetched", [1 << 19, 10])
+def test_medians_take_two_passes_or_bits(spark, monkeypatch, fetched):
+    monkeypatch.setattr(sc, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(sc, "FETCHED", fetched)
+    x = np.random.default_rng(3).standard_normal((90, 4))
+    x[:, 1], x[::3, 2], x[:, 3] = np.round(x[:, 1]), -0.5, 2.0
+    with sc.Sample(frame(spark, x)) as data:
+        state = sc.State(0, np.array([x[0], x[1], np.full(4, 1e9)]))
+        label = np.abs(x[:, None] - state.centers).sum(2).argmin(1)
+        passes, plain = [], data.total
+        monkeypatch.setattr(data, "total", lambda *a: passes.append(1) or plain(*a))
+        got, = sc.column_medians(data, [state], [np.bincount(label, minlength=3)])
+    assert (got[:2] == [np.median(x[label == k], 0) for k in range(2)]).all() and (got[2] == 1e9).all()
+    assert len(passes) == (1 if fetched > 10 else 9)
+
+
 def test_empty_clusters_are_errors_or_get_the_farthest_row(spark):
     x = np.array([[0.0, 0], [1, 0], [2, 0], [10, 1], [11, 0], [12, 1]])
     start = np.array([[1.0, 0], [11, 0], [500, 500]])
