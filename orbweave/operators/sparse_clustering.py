@@ -686,17 +686,21 @@ def sparse_kmeans_select_s(df: DataFrame, k: int, s_grid: list[float], B: int |
     return {"selected": grid[at], "fit": fits[at], "table": table, "objectives": np.array([f["objective"] for f in fits]).reshape(n + 1, len(grid))}
 
 
-def spatial_medians(data: Sample, groups: list[tuple[State, int | None, np.ndarray | None]], start: list[np.ndarray], tol: float = 1e-8, max_iter: int = 500, zero_tol: float = 0.0, of: DataFrame | None = None) -> list[np.ndarray]:
+def spatial_medians(data: Sample, groups: list[tuple[State, int | None, np.ndarray | None]], start: list[np.ndarray], tol: float = 1e-8, max_iter: int = 500, zero_tol: float = 0.0, of: DataFrame | None = None, squares: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """Spatial medians of some groups of rows, all by steps together.
 
     A group is a state's cluster (None: all rows of its copy), over some columns (None:
-    all; the others are 0).  A median that does not settle is an error.
+    all; the others are 0).  Steps are Newton's while each leaves a smaller sum of directions;
+    after one that does not, the group goes back and on by weighted means.  A median that does not settle is an error.
+    ``squares`` gets, for each group, the sum of its rows' squared directions from the median.
     """
     p = data.p
     masks = [np.ones(p) if g[2] is None else np.asarray(g[2], float) for g in groups]
     at = [np.asarray(y, float) * m for y, m in zip(start, masks, strict=True)]
     done: list[np.ndarray | None] = [None] * len(groups)
-    size = p + 3
+    size = p + 3 + p * p * (1 + (squares is not None))
+    best: list[tuple] = [(math.inf,)] * len(groups)  # length of the sum of directions, where, and the plain step from there
+    newton, found = [True] * len(groups), [None] * len(groups)
 
     def members(copy, own, x, wanted):
         """Each wanted group's rows in a block; labels once a state."""
@@ -711,6 +715,8 @@ def spatial_medians(data: Sample, groups: list[tuple[State, int | None, np.ndarr
     for it in range(max_iter + 1):
         going = [i for i, d in enumerate(done) if d is None]
         if not going:
+            if squares is not None:
+                squares.extend(found)
             return done
         tries = {(i, 0): at[i] for i in going}
         if it % 10 == 9:  # a median may be a row, which steps only come near to
@@ -732,16 +738,26 @@ def spatial_medians(data: Sample, groups: list[tuple[State, int | None, np.ndarr
                 if i in rows_of_group:
                     u, r = signs((x[rows_of_group[i]] - tries[i, t]) * masks[i], zero_tol)
                     on = r > zero_tol
-                    out[j * size : (j + 1) * size] += np.r_[u.sum(0), (1 / r[on]).sum(), len(r) - on.sum(), len(r)]
+                    w = u[on]
+                    out[j * size : (j + 1) * size] += np.concatenate([u.sum(0), [(1 / r[on]).sum(), len(r) - on.sum(), len(r)], ((w / r[on, None]).T @ w).ravel(), *([(w.T @ w).ravel()] if size > p + 3 + p * p else [])])
 
         t = data.total(sums, size * len(keys), of).reshape(len(keys), size)
         for (i, kind), r in zip(keys, t, strict=True):
             direction, inverse, same, n = r[:p], r[p], r[p + 1], r[p + 2]
             length = float(np.linalg.norm(direction))
             if done[i] is None and (inverse == 0 or max(0.0, length - same) / n <= tol):
-                done[i] = tries[i, kind]
+                done[i], found[i] = tries[i, kind], r[p + 3 + p * p :].reshape(-1, p)
             elif done[i] is None and kind == 0:
-                at[i] = at[i] + (1 - min(1.0, same / length)) * direction / inverse
+                plain = (1 - min(1.0, same / length)) * direction / inverse
+                if newton[i] and length >= best[i][0]:
+                    newton[i], at[i] = False, best[i][1] + best[i][2]
+                    continue
+                best[i] = length, at[i], plain
+                if newton[i] and same == 0:
+                    bend = (1 + 1e-12) * inverse * np.eye(p) - r[p + 3 : p + 3 + p * p].reshape(p, p)
+                    at[i] = at[i] + np.linalg.solve(bend, direction) * masks[i]
+                else:
+                    at[i] = at[i] + plain
     raise ArithmeticError("a spatial median did not converge")
 
 
@@ -755,24 +771,12 @@ def _active(scores: np.ndarray, tau: float, empty_active: str) -> np.ndarray:
     return on
 
 
-def _metric(data: Sample, states: list[State], centers: list[np.ndarray], ridge: float, zero_tol: float) -> list[np.ndarray]:
-    """Roots of the inverse of the mean square of residual directions with a ridge."""
-    p = data.p
-
-    def f(copy, own, x, out):
-        for i, s in enumerate(states):
-            if s.copy == copy:
-                u, _ = signs(x - centers[i][_labels(x, own, s, False)[0]], zero_tol)
-                out[i * p * p : (i + 1) * p * p] += (u.T @ u).ravel()
-
-    t = data.total(f, p * p * len(states)).reshape(-1, p, p) / data.n
-    out = []
-    for m in t:
-        values, vectors = np.linalg.eigh((m + m.T) / 2 + ridge * np.eye(p))
-        if not values.min() > 0:
-            raise ArithmeticError("the metric is not positive definite")
-        out.append(vectors / np.sqrt(values))
-    return out
+def _metric(m: np.ndarray, ridge: float) -> np.ndarray:
+    """A root of the inverse of the mean square of residual directions with a ridge."""
+    values, vectors = np.linalg.eigh((m + m.T) / 2 + ridge * np.eye(len(m)))
+    if not values.min() > 0:
+        raise ArithmeticError("the metric is not positive definite")
+    return vectors / np.sqrt(values)
 
 
 def _medians_in_step(data: Sample, k: int, settings: list[dict], copies: list[int], initial, first_index: int, seed, tol: float, max_iter: int, spatial_max_iter: int, zero_tol: float, empty_action: str, empty_active: str, cycle_action: str) -> list[dict]:
@@ -791,12 +795,11 @@ def _medians_in_step(data: Sample, k: int, settings: list[dict], copies: list[in
         """New centres, and what screens or turns the columns, of some fits' labels."""
         groups = [(f["state"], c, None) for f in going for c in range(k)]
         at = [f["found"]["sums"][c] / f["found"]["sizes"][c] if f["fresh"] else f["centers"][c] for f in going for c in range(k)]
-        found = spatial_medians(data, groups, at, tol, spatial_max_iter, zero_tol)
+        squares = [] if "ridge" in going[0] else None
+        found = spatial_medians(data, groups, at, tol, spatial_max_iter, zero_tol, squares=squares)
         centers = [np.array(found[i * k : (i + 1) * k]) for i in range(len(going))]
-        ridged = [i for i, f in enumerate(going) if "ridge" in f]
-        roots = dict(zip(ridged, _metric(data, [going[i]["state"] for i in ridged], [centers[i] for i in ridged], going[ridged[0]]["ridge"], zero_tol), strict=True)) if ridged else {}
         for i, (f, c) in enumerate(zip(going, centers, strict=True)):
-            f.update(centers=c, fresh=False, scores=np.abs(c - c.mean(0)).sum(0), metric=roots.get(i))
+            f.update(centers=c, fresh=False, scores=np.abs(c - c.mean(0)).sum(0), metric=None if squares is None else _metric(sum(squares[i * k : (i + 1) * k]) / data.n, f["ridge"]))
             if "tau" in f:
                 f["active"] = _active(f["scores"], f["tau"], empty_active)
                 f["metric"] = f["active"].astype(float)

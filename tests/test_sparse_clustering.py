@@ -167,6 +167,22 @@ def median(z):
     return y
 
 
+def test_spatial_medians_settle_in_few_passes(spark, monkeypatch):
+    x = np.random.default_rng(12).standard_normal((200, 3)) * [1.0, 2, 5]
+    with sc.Sample(frame(spark, x)) as data:
+        passes, plain, squares = [], data.total, []
+        monkeypatch.setattr(data, "total", lambda *a: passes.append(1) or plain(*a))
+        group = sc.State(0, np.zeros((1, 3))), None, None
+        got, = sc.spatial_medians(data, [group], [x.mean(0)], tol=1e-10, squares=squares)
+    assert len(passes) <= 6
+    np.testing.assert_allclose(got, median(x), atol=1e-8)
+    u = (x - got) / np.linalg.norm(x - got, axis=1)[:, None]
+    np.testing.assert_allclose(squares[0], u.T @ u, atol=1e-8)
+    line = np.c_[np.arange(9.0) ** 2, np.zeros(9)]  # no curvature along a line
+    with sc.Sample(frame(spark, line)) as data:
+        assert sc.spatial_medians(data, [(sc.State(0, np.zeros((1, 2))), None, None)], [line.mean(0)])[0] == pytest.approx([16, 0], abs=1e-6)
+
+
 def literal_screened(x, k, tau, start):
     label = ((x[:, None] - start) ** 2).sum(2).argmin(1)
     for _ in range(50):
