@@ -91,12 +91,20 @@ class Sample:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), pa.array(begin, pa.int64()), b.column(3)], names=["copy", "begin", "rows"])
 
         self._kept = [packed]
-        self.blocks = packed.mapInArrow(place, _STORED)
+        self._keep(packed.mapInArrow(place, _STORED))
 
     def _tasks(self, copies: int) -> int:
         """Partitions for some copies: a task a core, no more than blocks, and of ``TASK_BYTES`` at most."""
         return min(copies * -(-self.n // BLOCK_ROWS), max(self.cores, -(-copies * self.n * self.p * 8 // TASK_BYTES)))
 
+    def _keep(self, blocks: DataFrame) -> None:
+        """Keep the blocks as they are passed over, and no longer what they come from."""
+        self.blocks = blocks.persist()
+        self.blocks.count()
+        for x in self._kept:
+            x.unpersist()
+        self._kept = [self.blocks]
+
     def __enter__(self) -> Sample:
         return self
 
@@ -145,10 +153,8 @@ class Sample:
                 yield done()
 
         spread = self.blocks.mapInArrow(scatter, "copy int, block long, entries binary").repartition(self._tasks(copies), "copy", "block").sortWithinPartitions("copy", "block")
-        permuted = spread.mapInArrow(gather, _STORED).persist()
-        self._kept.append(permuted)
-        self.blocks, self.copies = self.blocks.union(permuted), copies
-        self.partitions += self._tasks(copies)
+        self.copies, self.partitions = copies, self._tasks(copies + 1)
+        self._keep(self.blocks.union(spread.mapInArrow(gather, _STORED)).coalesce(self.partitions))
 
     def total(self, f: Callable[[int, np.ndarray, np.ndarray, np.ndarray], None], size: int, of: DataFrame | None = None) -> np.ndarray:
         """What ``f(copy, rows' numbers, rows, out)`` adds to ``out``, a vector of ``size``, over all blocks."""

@@ -272,3 +272,14 @@ def test_clusters_settle_after_more_than_a_hundred_steps(spark):
     assert fit["centers"][:, 0] == pytest.approx([x[label == k].mean() for k in range(8)])
     with pytest.raises(ArithmeticError):
         sc.sparse_kmeans(frame(spark, x), 8, 1.0, max_iter=3)
+
+
+def test_passes_go_over_one_kept_table_of_all_copies(spark):
+    x = np.random.default_rng(5).standard_normal((3000, 3))
+    with sc.Sample(frame(spark, x)) as data:
+        data.permute(2, sc.keyed_bijection(1, data.n))
+        assert data.blocks.storageLevel.useMemory and data.blocks.rdd.getNumPartitions() == data.partitions
+        assert data.blocks.groupBy("copy").count().count() == 3
+        t = data.total(lambda copy, own, rows, out: out.__iadd__(np.eye(3)[copy] * rows.sum()), 3)
+        assert np.allclose(t, x.sum())
+    assert not data.blocks.storageLevel.useMemory
