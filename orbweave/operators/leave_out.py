@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from orbweave.functions import tails
 from orbweave.functions.partial import blocks, held, total
 from orbweave.functions.states import States
+from orbweave.operators import pair_moments
 from orbweave.operators.foundations import Fit
 from orbweave.operators.location import spatial_sign_max_test
 from orbweave.sources.samples import dimensions, rows_of
@@ -585,31 +586,82 @@ def _nested(s: _Sample, m: float, tol: float, max_iter: int, origin: np.ndarray,
     except ArithmeticError:  # all pairs are fitted themselves
         return np.zeros(4), _pairs(s)
     q = np.where(abs(residual[:, 0]) <= tol, _effects(x, s.sum, s.squares, (c, d), location, scale), np.inf) * np.cbrt(REMAINDER)
-    low = np.sort(q)
-    if not _off(low[0], low[0]) <= tol:
+    if not _off(q.min(), q.min()) <= tol:
         return np.zeros(4), _pairs(s)
+    return _by_fits(s, ids, x, location, scale, at, q, s.n, m, tol, max_iter, origin, direct)
+
+
+def _by_fits(s: _Sample, ids: np.ndarray, x: np.ndarray, location: np.ndarray, scale: np.ndarray, at: np.ndarray, q: np.ndarray, first: int, m: float, tol: float, max_iter: int, origin: np.ndarray, direct: bool) -> tuple[np.ndarray, DataFrame | None]:
+    """The sums of the ``first`` rows with all after them, and the pairs that these leave."""
+    spark, p = s.df.sparkSession, s.p
     # with so many columns that second derivatives are not to be sent, derivatives are taken anew for each row
     bends, about = (_Bends(s, x, tol, max_iter, not direct), None) if 64 * p**3 <= SHARED_BYTES else (None, None)
     if bends and direct:
         u, r = _inner((x - origin) / np.sqrt(bends.scale))
         about = np.ascontiguousarray(_curvatures(s, spark.sparkContext.broadcast((u, 1 / np.where(r > 0, r, 1.0)[:, None])), p, p)[p:, p:])
-    shared = spark.sparkContext.broadcast((ids, x, location, scale, at, q, bends, about))
+    shared = spark.sparkContext.broadcast((x, location, scale, at, q, bends, about))
 
-    def run(keys):
-        ids, x, location, scale, at, q, bends, about = shared.value
-        rows = np.searchsorted(ids, keys.to_numpy())
+    def run(rows):
+        x, location, scale, at, q, bends, about = shared.value
+        rows = rows.to_numpy()
         if bends:
             return _bent_sums(s, rows, x, location, scale, at, q, bends, about, m, tol, max_iter, origin, direct)
         return _followed_sums(s, rows, x, location, scale, at, q, m, tol, max_iter, origin, direct)
 
     # a task holds some numbers for each of its rows with every row
-    tasks = min(s.n, max(4 * spark.sparkContext.defaultParallelism, -(-s.n * s.n * 8 // SHARED_BYTES)))
-    sums = total(s.df.select("id").repartition(tasks, "id"), run, tasks)
-    if _off(low[-1], low[-1]) <= tol:
+    tasks = min(first, max(4 * spark.sparkContext.defaultParallelism, -(-first * s.n * 8 // SHARED_BYTES)))
+    sums = total(spark.range(first).repartition(tasks, "id"), run, tasks)
+    if _off(q.max(), q.max()) <= tol:
         return sums, None
     return sums, _pairs(s, ids, q, tol)
 
 
+def _by_moments(s: _Sample, m: float, tol: float, max_iter: int, origin: np.ndarray, direct: bool) -> tuple[np.ndarray, DataFrame | None]:
+    """As `_nested`: pairs of rows that change the fit little by sums over rows, the others each."""
+    shared, bound = s.n * s.p * 8 <= SHARED_BYTES, float(np.cbrt(tol / REMAINDER)) if REMAINDER else math.inf
+    each = _nested if shared else lambda s, *_: (np.zeros(4), _pairs(s))
+    if 64 * s.p**3 > SHARED_BYTES:
+        return each(s, m, tol, max_iter, origin, direct)
+    try:
+        e = pair_moments.Expansion(s, tol, max_iter, _curvature, _slopes, bool(m), bound)
+    except (ArithmeticError, np.linalg.LinAlgError):  # a row at a location, or a fit that does not settle
+        return each(s, m, tol, max_iter, origin, direct)
+    if 4 * e.heavy > s.n:
+        return each(s, m, tol, max_iter, origin, direct)
+    sums = pair_moments.pair_sums(s, e, origin, m, direct, bound)
+    if not e.heavy:
+        return sums, None
+    heavy = pair_moments.heavy_rows(s, e, bound)
+    if not shared:
+        return sums, _pairs_of(s, heavy)
+    more, pairs = _of_heavy(s, e, heavy, m, tol, max_iter, origin, direct)
+    return sums + more, pairs
+
+
+def _pairs_of(s: _Sample, heavy: np.ndarray) -> DataFrame:
+    """Every pair of rows of which one is among some."""
+    spark = s.df.sparkSession
+    some = F.broadcast(spark.createDataFrame(pa.table({"id": heavy})))
+    second = s.df.select("id", "x").join(some.withColumn("heavy", F.lit(True)), "id", "left").select(F.col("id").alias("other"), F.col("x").alias("y"), F.col("heavy").isNotNull().alias("heavy"))
+    first = s.df.select("id", "x").join(some, "id").repartition(max(1, min(len(heavy), 4 * spark.sparkContext.defaultParallelism)), "id")
+    return first.crossJoin(second).where(~F.col("heavy") | (F.col("id") < F.col("other"))).select(F.array("id", "other").alias("ids"), "x", "y")
+
+
+def _of_heavy(s: _Sample, e: pair_moments.Expansion, heavy: np.ndarray, m: float, tol: float, max_iter: int, origin: np.ndarray, direct: bool) -> tuple[np.ndarray, DataFrame | None]:
+    """As `_nested`, the pairs of which one is among some rows; the others' own fits follow from derivatives."""
+    spark, p = s.df.sparkSession, s.p
+    some = F.broadcast(spark.createDataFrame(pa.table({"id": heavy})))
+    fits = States(spark).written(_settled(s, s.df.join(some, "id").select(F.array("id").alias("ids"), "x").repartition(min(len(heavy), spark.sparkContext.defaultParallelism), "ids"), 0.0, tol, max_iter, origin if direct else None))
+    parts = [_unpacked(r.asDict(), p) for r in fits.select(*_NAMES).toLocalIterator()]
+    own = [np.concatenate([v[k][:, 0] if k < 2 else v[k] for v in parts]) for k in range(6)]
+    ids, rest = pair_moments.light_fits(s, e, heavy, origin)
+    x, location, scale, at = (np.concatenate([a, b]) for a, b in zip((own[1], own[2], own[3], own[5]), rest, strict=True))
+    q = np.where(abs(np.r_[own[4][:, 0], np.zeros(len(ids))]) <= tol, _effects(x, s.sum, s.squares, (e.location, e.scale), location, scale), np.inf) * np.cbrt(REMAINDER)
+    # pairs of other rows are in the sums
+    q[len(heavy) :] = np.minimum(q[len(heavy) :], np.cbrt(tol) * (1 - 1e-9))
+    return _by_fits(s, np.r_[own[0], ids], x, location, scale, at, q, len(heavy), m, tol, max_iter, origin, direct)
+
+
 def _bent_sums(s: _Sample, rows: np.ndarray, x: np.ndarray, location: np.ndarray, scale: np.ndarray, at: np.ndarray, q: np.ndarray, bends: _Bends, about: np.ndarray | None, m: float, tol: float, max_iter: int, origin: np.ndarray, direct: bool) -> np.ndarray:
     """The sums over some rows with those after them, by both rows' own fits and `_Bends`."""
     n, p = s.n, s.p
@@ -717,7 +769,7 @@ def _pair_sums(df: DataFrame, mu, m: float, tol: float, max_iter: int, direct: b
     if s.n < 4:
         raise ValueError("at least four rows are needed")
     origin = ((np.zeros(s.p) if mu is None else np.asarray(mu, float)) - s.shift) / s.unit
-    t, pairs = _nested(s, m, tol, max_iter, origin, direct) if s.n * s.p * 8 <= SHARED_BYTES else (np.zeros(4), _pairs(s))
+    t, pairs = _by_moments(s, m, tol, max_iter, origin, direct)
     if pairs is not None:
         t = t + _fitted_sums(s, pairs, m, tol, max_iter, origin, direct)
     if t[0]:

@@ -272,3 +272,41 @@ def test_what_cannot_be_fitted_raises(spark):
         leave_out.weighted_sign_sum(frame(spark, sample(9, 12, 5)), sample(9, 12, 5)[0], -1.0)
     with pytest.raises(ValueError, match="at most 1"):
         leave_out.weighted_max_test(frame(spark, x), m=2.0)
+
+
+def moments(spark, x, mu, m, direct, tol=1e-12, bound=math.inf):
+    s, = leave_out._samples(frame(spark, x))
+    mu = (mu - s.shift) / s.unit
+    e = leave_out.pair_moments.Expansion(s, tol, 900, leave_out._curvature, leave_out._slopes, bool(m), bound)
+    return s, mu, leave_out.pair_moments.pair_sums(s, e, mu, m, direct, bound)
+
+
+@pytest.mark.parametrize("m,direct", [(0.0, False), (0.5, True)])
+def test_sums_over_rows_give_those_over_pairs(spark, m, direct):
+    """Twice the rows, a quarter of the relative error and less."""
+    off = []
+    for n in (60, 120):
+        s, mu, got = moments(spark, normals(7, n, 4), np.full(4, 0.3), m, direct)
+        want = leave_out._fitted_sums(s, leave_out._pairs(s), m, 1e-12, 900, mu, direct)
+        off.append(abs(got[2:] / want[2:] - 1))
+    assert (off[0] < 30 / 60**2).all() and (off[1] < 30 / 120**2).all() and off[1][0] < 2 / 120**2
+
+
+def test_rows_that_change_the_fit_much_are_paired_one_by_one(spark, monkeypatch):
+    """Some rows are not in the sums over rows; none is lost and none is twice there."""
+    x, mu = normals(7, 90, 3), np.full(3, 0.1)
+    x[:2] *= 30
+    monkeypatch.setattr(leave_out, "REMAINDER", 1e-4)
+    s, = leave_out._samples(frame(spark, x))
+    at = (mu - s.shift) / s.unit
+    called = []
+    monkeypatch.setattr(leave_out, "_of_heavy", lambda *a, f=leave_out._of_heavy: called.append(len(a[2])) or f(*a))
+    monkeypatch.setattr(leave_out, "_nested", lambda *a: pytest.fail("all pairs"))
+    for m, direct in ((0.0, False), (0.5, True)):
+        bound = 0.04
+        sums, left = leave_out._by_moments(s, m, 1e-4 * bound**3, 900, at, direct)
+        if left is not None:
+            sums = sums + leave_out._fitted_sums(s, left, m, 1e-9, 900, at, direct)
+        want = leave_out._fitted_sums(s, leave_out._pairs(s), m, 1e-9, 900, at, direct)
+        assert sums == pytest.approx(want, rel=2e-2)
+    assert called and all(0 < h < 23 for h in called)
