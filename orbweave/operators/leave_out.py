@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from orbweave.functions import tails
 from orbweave.functions.partial import blocks, held, total
 from orbweave.functions.states import States
-from orbweave.operators import pair_moments
+from orbweave.operators import crossed_moments, pair_moments
 from orbweave.operators.foundations import Fit
 from orbweave.operators.location import spatial_sign_max_test
 from orbweave.sources.samples import dimensions, rows_of
@@ -940,6 +940,103 @@ def _crossed_block(z: np.ndarray, w: np.ndarray, c1: np.ndarray, c2: np.ndarray,
     return float(inner[on].sum())
 
 
+def _kept_fits(s: _Sample, rows: DataFrame, n: int, m: float, tol: float, max_iter: int) -> DataFrame:
+    """Fits without each of ``n`` rows, written."""
+    spark = s.df.sparkSession
+    tasks = min(n, max(spark.sparkContext.defaultParallelism, n // FITS))
+    return States(spark).written(_settled(s, rows.select(F.array("id").alias("ids"), "x").repartition(tasks, "ids"), m, tol, max_iter))
+
+
+def _own_sums(fits: DataFrame, p: int, m: float, tol: float, bridge: np.ndarray) -> np.ndarray:
+    """Of rows by their own fits: those lost, both means' sums, bridged squares of rows with themselves, and the signs' products."""
+
+    def f(*columns):
+        out = np.zeros(4 + p * p)
+        for row in zip(*(c.to_pylist() for c in columns), strict=True):
+            _, z, location, scale, residual, _ = _unpacked(dict(zip(_NAMES, row, strict=True)), p)
+            e = (z[:, 0] - location) / np.sqrt(scale)
+            r = np.linalg.norm(e, axis=1)
+            lost = (abs(residual[:, 0]) > tol) | (r == 0)
+            r[lost] = 1.0
+            u = e / r[:, None]
+            out += np.r_[lost.sum(), (r ** (2 * m)).sum(), (r ** (m - 1)).sum(), ((u * u * bridge).sum(1) ** 2).sum(), (u.T @ u).ravel()]
+        return out
+
+    return total(fits.select(*_NAMES), f)
+
+
+def _crossed_pairs(first: DataFrame, second: DataFrame, p: int, m: float) -> float:
+    """`_crossed_block` over all pairs of blocks of fits."""
+
+    def cross(*columns):
+        out = 0.0
+        for row in zip(*(c.to_pylist() for c in columns), strict=True):
+            a, b = (_unpacked(dict(zip(_NAMES, half, strict=True)), p) for half in (row[: len(_NAMES)], row[len(_NAMES) :]))
+            out += _crossed_block(a[1][:, 0], b[1][:, 0], a[2], b[2], a[3] ** -0.5, b[3] ** -0.5, m)
+        return np.r_[out]
+
+    return float(total(first.select(*_NAMES).crossJoin(second.select(*(F.col(c).alias(f"y_{c}") for c in _NAMES))), cross)[0])
+
+
+def _crossed_sums(both: list[_Sample], m: float, tol: float, max_iter: int) -> tuple[float, list[np.ndarray], np.ndarray] | None:
+    """The sum over pairs, `_own_sums` of both samples and their roots of scales' ratio: of rows that change a fit little
+    from sums over rows, the others each.  None where these are more than a quarter, or a row lies at a location.
+    """
+    p, bound = both[0].p, float(np.cbrt(tol / REMAINDER)) if REMAINDER else math.inf
+    # a row changes a variance by about so much at least
+    if 64 * p**3 > SHARED_BYTES or min(s.n for s in both) * bound < 1:
+        return None
+    fits = []
+    try:
+        for s in both:
+            e = pair_moments.Expansion(s, tol, max_iter, _curvature, _slopes, bool(m), bound)
+            if 4 * e.heavy > s.n:
+                return None
+            fits.append(crossed_moments.Fits(s, e, m, tol, max_iter))
+    except (ArithmeticError, np.linalg.LinAlgError):
+        return None
+    reach = [crossed_moments.reach(s, f, other.e.root, bound) for s, f, other in zip(both, fits, fits[::-1], strict=True)]
+    if any(4 * heavy > s.n for s, (heavy, _) in zip(both, reach, strict=True)):
+        return None
+    sides = [crossed_moments.Side(f, other, far, bound) for f, other, (_, far) in zip(fits, fits[::-1], reach[::-1], strict=True)]
+    ratio = fits[0].e.root / fits[1].e.root
+    sums = [crossed_moments.side_sums(s, side, bridge) for s, side, bridge in zip(both, sides, (ratio, 1 / ratio), strict=True)]
+    if any(4 * v["heavy"] > s.n for s, v in zip(both, sums, strict=True)):
+        return None
+    raw, own, heavy = crossed_moments.crossed(*sums), [v["own"] for v in sums], [None, None]
+    for k, (s, v, side, bridge) in enumerate(zip(both, sums, sides, (ratio, 1 / ratio), strict=True)):
+        if v["heavy"]:
+            heavy[k] = _kept_fits(s, crossed_moments.heavy_rows(s, side), v["heavy"], m, tol, max_iter)
+            own[k] = own[k] + _own_sums(heavy[k], p, m, tol, bridge)
+    if heavy[0] and heavy[1]:
+        raw += _crossed_pairs(*heavy, p, m)
+    for k, (s, side) in enumerate(zip(both, sides, strict=True)):
+        if heavy[1 - k]:
+            light = States(s.df.sparkSession).written(_light_fits(s, side))
+            raw += _crossed_pairs(*((light, heavy[1]) if k == 0 else (heavy[0], light)), p, m)
+    return raw, own, ratio
+
+
+def _light_fits(s: _Sample, side: crossed_moments.Side) -> DataFrame:
+    """Blocks of fits without each of the rows that are not heavy, by derivatives."""
+    shared = s.df.sparkSession.sparkContext.broadcast(side)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        side, block = shared.value, TaskContext.get().partitionId() << 32
+        for b in batches:
+            for start in range(0, b.num_rows, FITS):
+                c = b.slice(start, FITS)
+                x = s.scaled(c.column(1))
+                on = ~side.heavy(x)
+                shift, log = side.fits.of(x[on])
+                yield _packed(block, [c.column(0).to_numpy()[on].astype("<i8"), x[on], side.fits.location + shift, side.fits.e.scale * np.exp(log), np.zeros(on.sum()), np.zeros_like(shift)])
+                block += 1
+
+    return s.df.select("id", "x").mapInArrow(run, _BLOCK)
+
+
 def _crossed(x: DataFrame, y: DataFrame, m: float, tol: float, max_iter: int) -> dict:
     """Each row's sign by its own sample's scale without it, about the other sample's location without the
     other row, weighted by r^m; less their mean inner product over pairs of the samples.
@@ -948,39 +1045,17 @@ def _crossed(x: DataFrame, y: DataFrame, m: float, tol: float, max_iter: int) ->
     (a, b), p = both, both[0].p
     if min(a.n, b.n) < 3:
         raise ValueError("at least three rows a sample are needed")
-    scales = [_whole(s, 0.0, tol, max_iter)[1] for s in both]
-    states = [States(x.sparkSession) for _ in both]
-    ratio = np.sqrt(scales[0] / scales[1])
-    fits, own = [], []
-    for s, kept, bridge in zip(both, states, (ratio, 1 / ratio), strict=True):
-        tasks = min(s.n, max(x.sparkSession.sparkContext.defaultParallelism, s.n // FITS))
-        fits.append(kept.written(_settled(s, s.df.select(F.array("id").alias("ids"), "x").repartition(tasks, "ids"), m, tol, max_iter)))
-
-        def f(*columns, bridge=bridge):
-            out = np.zeros(4 + p * p)
-            for row in zip(*(c.to_pylist() for c in columns), strict=True):
-                _, z, location, scale, residual, _ = _unpacked(dict(zip(_NAMES, row, strict=True)), p)
-                e = (z[:, 0] - location) / np.sqrt(scale)
-                r = np.linalg.norm(e, axis=1)
-                lost = (abs(residual[:, 0]) > tol) | (r == 0)
-                r[lost] = 1.0
-                u = e / r[:, None]
-                out += np.r_[lost.sum(), (r ** (2 * m)).sum(), (r ** (m - 1)).sum(), ((u * u * bridge).sum(1) ** 2).sum(), (u.T @ u).ravel()]
-            return out
-
-        own.append(total(fits[-1].select(*_NAMES), f))
+    found = _crossed_sums(both, m, tol, max_iter)
+    if found:
+        raw, own, ratio = found
+    else:
+        scales = [_whole(s, 0.0, tol, max_iter)[1] for s in both]
+        ratio = np.sqrt(scales[0] / scales[1])
+        fits = [_kept_fits(s, s.df, s.n, m, tol, max_iter) for s in both]
+        own = [_own_sums(f, p, m, tol, bridge) for f, bridge in zip(fits, (ratio, 1 / ratio), strict=True)]
     if own[0][0] + own[1][0]:
         raise ArithmeticError(f"{int(own[0][0] + own[1][0])} fits did not settle or lie on their own row")
-
-    def cross(*columns):
-        out = 0.0
-        for row in zip(*(c.to_pylist() for c in columns), strict=True):
-            first, second = (_unpacked(dict(zip(_NAMES, half, strict=True)), p) for half in (row[: len(_NAMES)], row[len(_NAMES) :]))
-            out += _crossed_block(first[1][:, 0], second[1][:, 0], first[2], second[2], first[3] ** -0.5, second[3] ** -0.5, m)
-        return np.r_[out]
-
-    pairs = fits[0].select(*_NAMES).crossJoin(fits[1].select(*(F.col(c).alias(f"y_{c}") for c in _NAMES)))
-    raw = -float(total(pairs, cross)[0]) / (a.n * b.n)
+    raw = -(raw if found else _crossed_pairs(*fits, p, m)) / (a.n * b.n)
     size, nu, c, gram = (a.n, b.n), [], [], []
     for k, t in zip(size, own, strict=True):
         nu.append(t[1] / k)
